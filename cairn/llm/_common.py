@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: inputs, the held-out fold, lineage cuts, repeated-key bitmaps."""
+"""What the operators of this subpackage share: inputs, the held-out fold, lineage cuts, key filters."""
 
 import sys
 import tempfile
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-#: Bits of a repeated-key bitmap: 2**26 cells are 8 MB, whatever the corpus.
+#: A filter of keys has 2**26 bits, 8 MB, whatever the corpus; if it fills up, it lets through more but loses nothing.
 CELL_BITS = 26
 
 
@@ -82,15 +82,17 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def cell_of(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def _cells(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    top = np.uint64(64 - CELL_BITS)
+    return (keys >> top).astype(np.int64), (keys << np.uint64(CELL_BITS) >> top).astype(np.int64)
 
 
-def bitmap(cells: DataFrame, keep) -> np.ndarray:
-    """A packed bitmap of the cells (columns cell, n; summed here) for which keep(sum) holds; never over 2**CELL_BITS bits."""
-    sums = cells.groupBy("cell").agg(F.sum("n").alias("n")).filter(keep(F.col("n")))
-    v = F.col("cell") + 1
-    rows = sums.groupBy(F.bitmap_bucket_number(v).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(v)).alias("m")).collect()
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the keys (column h, a 64-bit hash as long): two of 2**CELL_BITS bits for each, packed."""
+    top = 64 - CELL_BITS
+    cells = F.array(F.shiftrightunsigned("h", top), F.shiftrightunsigned(F.shiftleft("h", CELL_BITS), top))
+    v = F.col("c") + 1
+    rows = keys.select(F.explode(cells).alias("c")).groupBy(F.bitmap_bucket_number(v).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(v)).alias("m")).collect()
     out = np.zeros(1 << (CELL_BITS - 3), np.uint8)
     for r in rows:
         at = (r.b - 1) * 4096
@@ -98,5 +100,7 @@ def bitmap(cells: DataFrame, keep) -> np.ndarray:
     return out
 
 
-def bit(packed: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    return (packed[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
+def holds(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter holds each key; true for every key that was put in, and for few others."""
+    a, b = _cells(keys)
+    return (packed[a >> 3] >> (a & 7).astype(np.uint8)) & (packed[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1

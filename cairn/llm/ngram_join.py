@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._common import bit, bitmap, cell_of, cut, mix, run_hashes, ship, small_batches, table, word_hashes
+from cairn.llm._common import cut, holds, key_filter, mix, run_hashes, ship, small_batches, table, word_hashes
 from cairn.llm.components import components
 
 ship(__name__)
@@ -96,13 +96,11 @@ def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
 
     def count(batches):
         for b in batches:
-            c, n = np.unique(cell_of(np.frombuffer(b"".join(b["w"]), np.uint64)), return_counts=True)
-            yield pd.DataFrame({"cell": c, "n": n})
+            h, n = np.unique(np.frombuffer(b"".join(b["w"]), np.int64), return_counts=True)
+            yield pd.DataFrame({"h": h, "n": n})
 
-    cells = full.select("w").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
-    cells = cut(cells.select(F.col("cell").cast("int"), F.least("n", F.lit(RARE + 1)).cast("int").alias("n")))
-    cells = cells.select(F.col("cell").cast("long"), F.col("n").cast("long"))
-    share = spark.sparkContext.broadcast((bitmap(cells, lambda n: n > 1), bitmap(cells, lambda n: n > RARE)))
+    counts = cut(full.select("w").mapInPandas(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"))
+    share = spark.sparkContext.broadcast((key_filter(counts), key_filter(counts.filter(F.col("n") > RARE))))
 
     def emit(batches):
         seen: set[int] = set()
@@ -113,8 +111,7 @@ def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
                     continue
                 seen.add(sid)
                 w = np.frombuffer(w, np.uint64)
-                c = cell_of(w)
-                twice, often = bit(share.value[0], c), bit(share.value[1], c)
+                twice, often = holds(share.value[0], w), holds(share.value[1], w)
                 rare, combos = w[twice & ~often], _combinations(w, often, n, percent)
                 rare = rare if len(rare) >= 3 else rare[:0]
                 if len(rare) or len(combos):
@@ -191,16 +188,15 @@ def _compare(tasks: DataFrame, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """sid, s: the whole sets of members (sid, rep), read from the documents rep; at least once each."""
-    cell = F.shiftrightunsigned(F.xxhash64("rep"), 38).alias("cell")
-    have = docs.sparkSession.sparkContext.broadcast(bitmap(members.filter("rep IS NOT NULL").select(cell, F.lit(1).alias("n")), lambda n: n > 0))
+    have = docs.sparkSession.sparkContext.broadcast(key_filter(members.filter("rep IS NOT NULL").select(F.xxhash64("rep").alias("h"))))
 
     def run(batches):
         for b in batches:
-            got = [shingles(t, width) for t in b["text"][bit(have.value, b["cell"].to_numpy())]]
+            got = [shingles(t, width) for t in b["text"][holds(have.value, b["h"].to_numpy().view(np.uint64))]]
             got = [s for s in got if len(s)]
             yield pd.DataFrame({"sid": [_set_id(s) for s in got], "s": [s.tobytes() for s in got]})
 
-    mine = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.shiftrightunsigned(F.xxhash64("doc_id"), 38).alias("cell"), "text")
+    mine = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "text")
     return mine.mapInPandas(run, "sid long, s binary")
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._common import bit, bitmap, cell_of, mix, run_hashes, ship, small_batches, table, text_key, word_hashes
+from cairn.llm._common import holds, key_filter, mix, run_hashes, ship, small_batches, table, text_key, word_hashes
 
 ship(__name__)
 
@@ -53,18 +53,19 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
 
     def count(batches):
         for b in batches:
-            cells = [cell_of(_spans(t, sentences, words)[0]) for t in b["text"]]
-            c, n = np.unique(np.concatenate([*cells, np.zeros(0, np.int64)]), return_counts=True)
-            yield pd.DataFrame({"cell": c, "n": n})
+            runs = [_spans(t, sentences, words)[0] for t in b["text"]]
+            h, n = np.unique(np.concatenate([*runs, np.zeros(0, np.uint64)]).view(np.int64), return_counts=True)
+            yield pd.DataFrame({"h": h, "n": n})
 
-    twice = spark.sparkContext.broadcast(bitmap(docs.select("text").mapInPandas(count, "cell long, n long"), lambda n: n > 1))
+    counts = docs.select("text").mapInPandas(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n"))
+    twice = spark.sparkContext.broadcast(key_filter(counts.filter("n > 1")))
 
     def emit(batches):
         for b in batches:
             parts = []
             for d, key, t in zip(b["doc_id"], b["key"], b["text"], strict=True):
                 h, first, last = _spans(t, sentences, words)
-                at = bit(twice.value, cell_of(h))
+                at = holds(twice.value, h)
                 if at.any():
                     parts.append(pd.DataFrame({"h": h[at].astype(np.int64), "doc_id": d, "key": key, "first": first[at], "last": last[at]}))
             if parts:
