@@ -21,7 +21,7 @@ from cairn.llm.components import components
 ship(__name__)
 
 #: Prefixes that hold a rare shingle at most; sets in a block.
-RARE, BLOCK = 16, 512
+RARE, BLOCK = 6, 512
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
