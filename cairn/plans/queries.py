@@ -1,7 +1,498 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the supplied tables, and DuckDB SQL for the same results.
+
+Items are the embeddings: id `label/vec_id`. Views are five rows each. Clusters are the largest of the first six
+dimensions, or noise under 0.15. Sizes come from part by id; every seventh id has none. Points are line items by supplier.
+"""
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cairn.functions import color, identity, vectors
+from cairn.operators import cluster_metrics, decomposition, hdbscan, knn, metadata, pooling, retrieval_metrics, routing
 
 QUERIES, ORACLES = {}, {}
 
 
-def label_match_by_label(spark, sf_dir):
-    raise NotImplementedError
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    label = F.col("label").cast("string")
+    e = _read(spark, d, "embeddings").select(F.col("vec_id").alias("row_idx"), F.concat(label, F.lit("/"), F.col("vec_id").cast("string")).alias("id"), "embedding", label.alias("label"))
+    return e.repartition(spark.sparkContext.defaultParallelism, "row_idx")
+
+
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    return items(spark, d).select("id", "label")
+
+
+def clusters(spark: SparkSession, d: str) -> DataFrame:
+    first = F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double"))
+    best = F.array_max(first)
+    return items(spark, d).withColumn("cluster_id", F.when(best < 0.15, -1).otherwise(F.array_position(first, best) - 1).cast("int")).withColumn("prob", F.when(best < 0.15, 0.0).otherwise(1.0))
+
+
+def sizes(spark: SparkSession, d: str) -> DataFrame:
+    p = _read(spark, d, "part").filter("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("row_idx"), F.col("p_size").cast("double").alias("bbox_longest"), (F.col("p_size") * F.col("p_retailprice")).alias("bbox_volume"))
+    p = p.join(items(spark, d).select("row_idx", "id", "label"), "row_idx")
+    ten = lambda c: F.round(F.log10(c), 6)
+    return p.withColumns({"log_bbox_volume": ten(F.col("bbox_volume")), "log_size": ten(F.col("bbox_longest"))})
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "lineitem").select(F.col("l_suppkey").alias("specimen_id"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_discount").cast("double") * 100).alias("y"), (F.col("l_extendedprice").cast("double") / 1000).alias("z"))
+
+
+def pixels(spark: SparkSession, d: str) -> DataFrame:
+    c = lambda x, n: F.least(F.col(x).cast("double") / n, F.lit(1.0))
+    return _read(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("image_id"), c("l_quantity", 50).alias("r"), c("l_discount", 0.1).alias("g"), c("l_tax", 0.08).alias("b"))
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles at 6 decimals and counts as long, so that both engines' results are equal."""
+    return df.select(*(F.round(c, 6).alias(c) + 0.0 if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes)).toDF(*df.columns)
+
+
+ITEMS = "items AS (SELECT vec_id AS row_idx, label::varchar || '/' || vec_id::varchar AS id, embedding::double[] AS embedding, label::varchar AS label FROM embeddings)"
+CLUSTERS = ITEMS + ", clusters AS (SELECT *, CASE WHEN list_max(embedding[1:6]) < 0.15 THEN -1 ELSE list_position(embedding[1:6], list_max(embedding[1:6])) - 1 END::bigint AS cluster_id FROM items)"
+SIZES = ITEMS + ", sizes AS (SELECT p_partkey AS row_idx, id, label, p_size::double AS bbox_longest, p_size * p_retailprice AS bbox_volume, round(log10(p_size * p_retailprice), 6) AS log_bbox_volume, round(log10(p_size), 6) AS log_size FROM part JOIN items ON p_partkey = row_idx WHERE p_partkey % 7 <> 0)"
+POINTS = "points AS (SELECT l_suppkey AS specimen_id, l_quantity::double AS x, l_discount::double * 100 AS y, l_extendedprice::double / 1000 AS z FROM lineitem)"
+PIXELS = "pixels AS (SELECT l_suppkey % 10 AS image_id, least(l_quantity::double / 50, 1.0::double) AS r, least(l_discount::double / 0.1::double, 1.0::double) AS g, least(l_tax::double / 0.08::double, 1.0::double) AS b FROM lineitem)"
+PAIRS = ITEMS + """, unit AS (SELECT row_idx, id, label, embedding FROM items),
+pairs AS (SELECT a.row_idx AS query_idx, b.row_idx AS neighbor_idx, round(1 - greatest(-1, least(1, list_cosine_similarity(a.embedding, b.embedding))), 6) + 0.0 AS distance FROM unit a JOIN unit b ON a.row_idx <> b.row_idx),
+knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY distance, neighbor_idx) AS rank FROM pairs) WHERE rank <= 10)"""
+TABLE = CLUSTERS + ", t AS (SELECT label, cluster_id, count(*)::double AS n FROM clusters GROUP BY ALL)"
+
+
+def _knn(spark, d, metric="cosine", k=10):
+    return knn.knn(items(spark, d), k, metric)
+
+
+def _named(spark, d) -> DataFrame:
+    """Neighbour lists by id."""
+    i = items(spark, d)
+    q, n = i.select(F.col("row_idx").alias("query_idx"), F.col("id").alias("query_id")), i.select(F.col("row_idx").alias("neighbor_idx"), F.col("id").alias("neighbor_id"))
+    return _knn(spark, d).join(q, "query_idx").join(n, "neighbor_idx").select("query_id", "neighbor_id", "rank", "distance")
+
+
+def label_match_by_label(spark: SparkSession, d: str) -> DataFrame:
+    rows = retrieval_metrics.matched(_named(spark, d), labels(spark, d))
+    return rounded(retrieval_metrics.describe(retrieval_metrics.rate_of_rows(rows), "query_label"))
+
+
+MATCH = PAIRS + ", m AS (SELECT a.id AS query_id, a.label AS query_label, rank, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS match FROM knn JOIN items a ON a.row_idx = query_idx JOIN items b ON b.row_idx = neighbor_idx)"
+DESCRIBE = "count(*) AS n, round(avg(rate), 6) AS mean, round(coalesce(stddev_samp(rate), 0), 6) AS std, round(min(rate), 6) AS min, round(quantile_cont(rate, 0.25), 6) AS q25, round(quantile_cont(rate, 0.5), 6) AS median, round(quantile_cont(rate, 0.75), 6) AS q75, round(max(rate), 6) AS max"
+query("category_match_stats", f"WITH {MATCH}, r AS (SELECT query_id, query_label, avg(match) AS rate FROM m GROUP BY ALL) SELECT query_label, {DESCRIBE} FROM r GROUP BY query_label")(label_match_by_label)
+
+
+@query("l2_normalize", "WITH s AS (SELECT vec_id, unnest(embedding::double[]) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) SELECT vec_id AS row_idx, dim::bigint AS dim, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 1e-8::double), 6) + 0.0 AS value FROM s")
+def l2_normalize(spark, d):
+    v = vectors.l2_normalize(F.col("v"))
+    return rounded(items(spark, d).select("row_idx", vectors.doubles("embedding").alias("v")).select("row_idx", F.posexplode(v).alias("dim", "value")))
+
+
+@query("knn_cosine", f"WITH {PAIRS} SELECT query_idx, neighbor_idx, distance, rank FROM knn")
+def knn_cosine(spark, d):
+    return _knn(spark, d)
+
+
+@query("knn_euclidean", f"WITH {ITEMS}, p AS (SELECT a.row_idx AS query_idx, b.row_idx AS neighbor_idx, round(list_distance(a.embedding, b.embedding), 6) AS distance FROM items a JOIN items b ON a.row_idx <> b.row_idx) SELECT query_idx, neighbor_idx, distance, row_number() OVER (PARTITION BY query_idx ORDER BY distance, neighbor_idx) AS rank FROM p QUALIFY rank <= 10")
+def knn_euclidean(spark, d):
+    return _knn(spark, d, "euclidean")
+
+
+@query("knn_single_query", f"WITH {PAIRS} SELECT query_idx, neighbor_idx, distance, rank FROM knn WHERE query_idx = 7 AND rank <= 5")
+def knn_single_query(spark, d):
+    i = items(spark, d)
+    one = i.filter(F.col("id") == identity.resolve_query(i, "7"))
+    return knn.knn(i, 5, queries=one)
+
+
+@query("neighbor_report", f"WITH {PAIRS} SELECT a.id AS query_id, b.id AS neighbor_id, rank, distance FROM knn JOIN items a ON a.row_idx = query_idx JOIN items b ON b.row_idx = neighbor_idx")
+def neighbor_report(spark, d):
+    return _named(spark, d)
+
+
+VIEWS = ITEMS + ", long AS (SELECT (row_idx // 5)::varchar AS specimen_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM items)"
+
+
+def _pooled(how, sql):
+    @query(f"pool_{how}", f"WITH {VIEWS} SELECT specimen_id, dim::bigint AS dim, round({sql}, 6) + 0.0 AS value FROM long GROUP BY ALL")
+    def run(spark, d):
+        views = items(spark, d).withColumn("specimen_id", F.floor(F.col("row_idx") / 5).cast("string"))
+        return rounded(pooling.pool(views, "specimen_id", "embedding", how).select("specimen_id", F.posexplode("embedding").alias("dim", "value")))
+
+
+for _how, _sql in (("mean", "avg(x)"), ("max", "max(x)"), ("median", "quantile_cont(x, 0.5)")):
+    _pooled(_how, _sql)
+
+
+@query("cluster_centroids", f"WITH {CLUSTERS}, l AS (SELECT cluster_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM clusters WHERE cluster_id <> -1) SELECT cluster_id, dim::bigint AS dim, round(avg(x), 6) + 0.0 AS value FROM l GROUP BY ALL")
+def cluster_centroids(spark, d):
+    return rounded(pooling.centroids(clusters(spark, d)).select("cluster_id", F.posexplode("embedding").alias("dim", "value")))
+
+
+@query("cluster_representatives", f"""WITH {CLUSTERS}, l AS (SELECT row_idx, id, cluster_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM clusters WHERE cluster_id <> -1),
+d AS (SELECT row_idx, id, cluster_id, x - avg(x) OVER (PARTITION BY cluster_id, dim) AS e FROM l), s AS (SELECT row_idx, id, cluster_id, round(sqrt(sum(e * e)), 6) AS distance FROM d GROUP BY ALL)
+SELECT cluster_id, id, distance FROM s QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY distance, row_idx) = 1""")
+def cluster_representatives(spark, d):
+    return rounded(pooling.representatives(clusters(spark, d)))
+
+
+@query("cluster_size_stats", f"WITH {CLUSTERS}, s AS (SELECT cluster_id, count(*) AS n FROM clusters WHERE cluster_id <> -1 GROUP BY ALL) SELECT min(n) AS min_size, max(n) AS max_size, round(avg(n), 6) AS mean_size, quantile_cont(n::double, 0.5) AS median_size FROM s")
+def cluster_size_stats(spark, d):
+    return rounded(cluster_metrics.size_stats(clusters(spark, d)))
+
+
+@query("cluster_summary", f"WITH {CLUSTERS}, l AS (SELECT max(n) AS m FROM (SELECT count(*) AS n FROM clusters WHERE cluster_id <> -1 GROUP BY cluster_id)) SELECT count(*) AS n, count(DISTINCT CASE WHEN cluster_id <> -1 THEN cluster_id END) AS n_clusters, count(*) FILTER (cluster_id = -1) AS n_noise, round(count(*) FILTER (cluster_id = -1) / count(*), 6) AS noise_ratio, round(max(m) / count(*), 6) AS largest_of_all, round(max(m) / count(*) FILTER (cluster_id <> -1), 6) AS largest_of_clustered FROM clusters, l")
+def cluster_summary(spark, d):
+    return rounded(cluster_metrics.summary(clusters(spark, d)))
+
+
+@query("contingency", f"WITH {TABLE} SELECT label, cluster_id, n::bigint AS n FROM t")
+def contingency(spark, d):
+    return rounded(cluster_metrics.contingency(clusters(spark, d), labels(spark, d)))
+
+
+@query("overall_purity", f"WITH {TABLE} SELECT round(sum(m) / sum(s), 6) AS purity FROM (SELECT max(n) AS m, sum(n) AS s FROM t GROUP BY cluster_id)")
+def overall_purity(spark, d):
+    return rounded(cluster_metrics.purity(cluster_metrics.contingency(clusters(spark, d), labels(spark, d))))
+
+
+@query("cluster_purity", f"WITH {TABLE} SELECT cluster_id, (sum(n) OVER w)::bigint AS n, label AS major_label, round(n / sum(n) OVER w, 6) AS purity FROM t WHERE cluster_id <> -1 WINDOW w AS (PARTITION BY cluster_id) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, label) = 1")
+def cluster_purity(spark, d):
+    return rounded(cluster_metrics.cluster_purity(cluster_metrics.contingency(clusters(spark, d), labels(spark, d))))
+
+
+@query("label_majority_top10", f"WITH {TABLE}, m AS (SELECT cluster_id, (sum(n) OVER w)::bigint AS n, label AS major_label, round(n / sum(n) OVER w, 6) AS purity FROM t WHERE cluster_id <> -1 WINDOW w AS (PARTITION BY cluster_id) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, label) = 1) SELECT *, purity < 0.4 AS mixed FROM m ORDER BY n DESC, cluster_id LIMIT 10")
+def label_majority_top10(spark, d):
+    return cluster_purity(spark, d).withColumn("mixed", F.col("purity") < 0.4).orderBy(F.desc("n"), "cluster_id").limit(10)
+
+
+@query("category_noise_rate", f"WITH {CLUSTERS} SELECT label, count(*) AS n, round(avg((cluster_id = -1)::int), 6) AS noise_rate FROM clusters GROUP BY label")
+def category_noise_rate(spark, d):
+    return rounded(cluster_metrics.noise_rate(clusters(spark, d), labels(spark, d)))
+
+
+def _agreement(name, noise, where):
+    sql = f"""WITH {CLUSTERS}, t AS (SELECT label, cluster_id, count(*)::double AS n FROM clusters {where} GROUP BY ALL),
+a AS (SELECT sum(x * (x - 1) / 2) AS ca, sum(x * ln(x)) AS ea FROM (SELECT sum(n) AS x FROM t GROUP BY label)),
+b AS (SELECT sum(x * (x - 1) / 2) AS cb, sum(x * ln(x)) AS eb FROM (SELECT sum(n) AS x FROM t GROUP BY cluster_id)),
+s AS (SELECT sum(n) AS t, sum(n * (n - 1) / 2) AS cn, sum(n * ln(n)) AS en FROM t),
+m AS (SELECT *, ca * cb / (t * (t - 1) / 2) AS e, (ca + cb) / 2 AS x, ln(t) - ea / t AS hl, ln(t) - eb / t AS hc, (en - ea - eb) / t + ln(t) AS mi FROM a, b, s)
+SELECT round((cn - e) / (x - e), 6) AS ari, round(mi / hl, 6) AS homogeneity, round(mi / hc, 6) AS completeness, round(2 * (mi / hl) * (mi / hc) / (mi / hl + mi / hc), 6) AS v_measure FROM m"""
+
+    @query(name, sql)
+    def run(spark, d):
+        return rounded(cluster_metrics.agreement(cluster_metrics.contingency(clusters(spark, d), labels(spark, d), noise)))
+
+
+_agreement("ari_nmi_v_metrics", "as_cluster", "")
+_agreement("ari_nmi_v_metrics_no_noise", "exclude", "WHERE cluster_id <> -1")
+
+
+@query("ami_metric")
+def ami_metric(spark, d):
+    v = cluster_metrics.adjusted_mutual_information(cluster_metrics.contingency(clusters(spark, d), labels(spark, d)))
+    return spark.createDataFrame([(round(float(v), 6),)], "ami double")
+
+
+@query("intra_cluster_distance", f"WITH {CLUSTERS}, p AS (SELECT a.cluster_id, avg(list_distance(a.embedding, b.embedding)) AS m FROM clusters a JOIN clusters b ON a.cluster_id = b.cluster_id AND a.row_idx < b.row_idx AND a.cluster_id <> -1 GROUP BY ALL) SELECT c.cluster_id, count(*) AS n, round(any_value(m), 6) AS mean_distance FROM clusters c LEFT JOIN p USING (cluster_id) WHERE c.cluster_id <> -1 GROUP BY c.cluster_id")
+def intra_cluster_distance(spark, d):
+    return rounded(cluster_metrics.intra_distance(clusters(spark, d)))
+
+
+@query("silhouette", f"""WITH {CLUSTERS}, c AS (SELECT * FROM clusters WHERE cluster_id <> -1), d AS (SELECT y.row_idx, y.cluster_id AS own, x.cluster_id AS other, avg(list_distance(x.embedding, y.embedding)) AS d FROM c x JOIN c y ON x.row_idx <> y.row_idx GROUP BY ALL),
+p AS (SELECT row_idx, max(CASE WHEN own = other THEN d END) AS a, min(CASE WHEN own <> other THEN d END) AS b FROM d GROUP BY row_idx) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM p""")
+def silhouette(spark, d):
+    return rounded(cluster_metrics.silhouette(clusters(spark, d)))
+
+
+@query("match_rate_at_k", f"WITH {MATCH} SELECT query_id, query_label, topk::bigint AS topk, round(sum(CASE WHEN rank <= topk THEN match ELSE 0 END) / topk, 6) AS rate FROM m, (VALUES (1), (5), (10)) k(topk) GROUP BY query_id, query_label, topk")
+def match_rate_at_k(spark, d):
+    rows = retrieval_metrics.matched(retrieval_metrics.ranked(_named(spark, d)), labels(spark, d))
+    return rounded(retrieval_metrics.rate_at_k(rows, [1, 5, 10]))
+
+
+@query("group_token_parse", "WITH t AS (SELECT 'vol_q' || (p_partkey % 5)::varchar || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '__elong_low' ELSE '__none' END AS token FROM part) SELECT DISTINCT token, regexp_extract(token, '^vol_q(\\d+)', 1)::bigint AS q, CASE WHEN token LIKE '%elong%' THEN 'elong' END AS axis, CASE WHEN token LIKE '%elong%' THEN 'low' END AS band FROM t")
+def group_token_parse(spark, d):
+    k = F.col("p_partkey")
+    t = _read(spark, d, "part").select(F.concat(F.lit("vol_q"), (k % 5).cast("string"), F.when(k % 3 == 0, "").when(k % 3 == 1, "__elong_low").otherwise("__none")).alias("token")).distinct()
+    return rounded(t.withColumn("_t", identity.group_token(F.col("token"))).select("token", "_t.*"))
+
+
+@query("path_id_parse", "SELECT page_id, 'a.b/' || page_id::varchar || '_view_' || (page_id % 3)::varchar AS item, 'a.b' AS category FROM pages")
+def path_id_parse(spark, d):
+    n = F.col("page_id").cast("string")
+    path = F.concat(F.lit("a.b/"), n, F.lit("_view_"), (F.col("page_id") % 3).cast("string"), F.lit("_view01.png"))
+    return _read(spark, d, "pages").select("page_id", identity.render_id(path).alias("item")).withColumn("category", identity.category(F.col("item")))
+
+
+@query("bbox_features", f"""WITH {POINTS}, g AS (SELECT specimen_id, count(*) AS n_points, max(x) - min(x) AS size_x, max(y) - min(y) AS size_y, max(z) - min(z) AS size_z FROM points GROUP BY ALL), b AS (SELECT *, greatest(size_x, size_y, size_z) AS bbox_longest, size_x * size_y * size_z AS bbox_volume FROM g)
+SELECT specimen_id, n_points, round(size_x, 6) AS size_x, round(size_y, 6) AS size_y, round(size_z, 6) AS size_z, round(bbox_longest, 6) AS bbox_longest, round(bbox_volume, 6) AS bbox_volume, round(log10(greatest(bbox_longest, 1e-12)), 6) AS log_bbox_longest, round(log10(greatest(bbox_volume, 1e-12)), 6) AS log_bbox_volume, round(size_x / greatest(size_y, 1e-8), 6) AS aspect_xy, round(size_x / greatest(size_z, 1e-8), 6) AS aspect_xz, round(size_y / greatest(size_z, 1e-8), 6) AS aspect_yz FROM b""")
+def bbox_features(spark, d):
+    return rounded(metadata.boxes(points(spark, d), "specimen_id"))
+
+
+@query("pca_axis_lengths")
+def pca_axis_lengths(spark, d):
+    return rounded(metadata.axis_lengths(points(spark, d), "specimen_id"))
+
+
+def _q(a, i):
+    return f"quantile_cont({a}, {i})"
+
+
+@query("robust_normalize_points", f"""WITH {POINTS}, q AS (SELECT specimen_id, {', '.join(f'{_q(a, 0.01)} AS {a}0, {_q(a, 0.99)} AS {a}1' for a in 'xyz')} FROM points GROUP BY ALL),
+n AS (SELECT specimen_id, {', '.join(f'({a} - ({a}0 + {a}1) / 2) / greatest(x1 - x0, y1 - y0, z1 - z0, 1e-8) AS {a}' for a in 'xyz')} FROM points JOIN q USING (specimen_id))
+SELECT specimen_id, count(*) AS n, {', '.join(f'round(min({a}), 6) AS min_{a}, round(avg({a}), 6) + 0.0 AS avg_{a}' for a in 'xyz')} FROM n GROUP BY ALL""")
+def robust_normalize_points(spark, d):
+    n = metadata.robust_normalize(points(spark, d), "specimen_id")
+    return rounded(n.groupBy("specimen_id").agg(F.count("*").alias("n"), *(f(a).alias(f"{k}_{a}") for a in "xyz" for k, f in (("min", F.min), ("avg", F.avg)))))
+
+
+EDGES = "e AS (SELECT list_distinct([quantile_cont(log_bbox_volume, 0.0), quantile_cont(log_bbox_volume, 0.2), quantile_cont(log_bbox_volume, 0.4), quantile_cont(log_bbox_volume, 0.6), quantile_cont(log_bbox_volume, 0.8), quantile_cont(log_bbox_volume, 1.0)]) AS edges, quantile_cont(log_size, 0.5) AS m FROM sizes)"
+BINNED = SIZES + f", {EDGES}, u AS (SELECT unnest(edges) AS edge FROM e), binned AS (SELECT s.*, greatest(0, (SELECT count(*) FROM u WHERE edge < s.log_bbox_volume) - 1)::bigint AS volume_bin, m FROM sizes s, e)"
+
+
+@query("quantile_bins", f"WITH {BINNED} SELECT id, volume_bin, 'vol_q' || volume_bin::varchar AS pregroup_id FROM binned")
+def quantile_bins(spark, d):
+    return rounded(metadata.physical_groups(sizes(spark, d)).select("id", "volume_bin", "pregroup_id"))
+
+
+SPLIT = BINNED + ", grouped AS (SELECT *, 'vol_q' || volume_bin::varchar || '__log_size_' || CASE WHEN log_size <= m THEN 'low' ELSE 'high' END AS pregroup_id FROM binned)"
+
+
+@query("shape_split_groups", f"WITH {SPLIT} SELECT pregroup_id, count(*) AS n FROM grouped GROUP BY ALL")
+def shape_split_groups(spark, d):
+    return metadata.physical_groups(sizes(spark, d), split="log_size").groupBy("pregroup_id").agg(F.count("*").alias("n"))
+
+
+@query("prefilter_recall", f"""WITH {BINNED}, g AS (SELECT id, label, volume_bin FROM binned), c AS (SELECT label, volume_bin, count(*) AS n FROM g GROUP BY ALL), p AS (SELECT label, count(*) - 1 AS peers FROM g GROUP BY ALL),
+h AS (SELECT g.id, g.label, sum(CASE WHEN c.volume_bin = g.volume_bin THEN n ELSE 0 END) - 1 AS s, sum(n) - 1 AS a FROM g JOIN c ON c.label = g.label AND abs(c.volume_bin - g.volume_bin) <= 1 GROUP BY ALL)
+SELECT id, peers, CASE WHEN peers > 0 THEN round(s / peers, 6) END AS recall_same, CASE WHEN peers > 0 THEN round(a / peers, 6) END AS recall_adjacent FROM h JOIN p USING (label)""")
+def prefilter_recall(spark, d):
+    return rounded(retrieval_metrics.prefilter_recall(metadata.physical_groups(sizes(spark, d))))
+
+
+@query("prefilter_purity", f"WITH {BINNED}, t AS (SELECT 'vol_q' || volume_bin::varchar AS pregroup_id, label, count(*) AS k FROM binned GROUP BY ALL) SELECT pregroup_id, (sum(k) OVER w)::bigint AS n, count(*) OVER w AS n_labels, label AS dominant_label, round(k / sum(k) OVER w, 6) AS dominant_ratio, round(sum(k) OVER w / sum(k) OVER (), 6) AS fraction FROM t WINDOW w AS (PARTITION BY pregroup_id) QUALIFY row_number() OVER (PARTITION BY pregroup_id ORDER BY k DESC, label) = 1")
+def prefilter_purity(spark, d):
+    return rounded(retrieval_metrics.prefilter_purity(metadata.physical_groups(sizes(spark, d))))
+
+
+def _routed(spark, d):
+    g = metadata.physical_groups(sizes(spark, d)).select("row_idx", "pregroup_id")
+    return items(spark, d).join(g, "row_idx", "left")
+
+
+ROUTED = BINNED + """, r AS (SELECT i.row_idx, volume_bin FROM items i LEFT JOIN binned b USING (row_idx)), pq AS (SELECT q.row_idx AS query_idx, c.row_idx AS candidate_idx, CASE WHEN q.volume_bin IS NULL OR q.volume_bin = c.volume_bin THEN 0 WHEN c.volume_bin = q.volume_bin - 1 THEN 1 WHEN c.volume_bin = q.volume_bin + 1 THEN 2 WHEN c.volume_bin IS NOT NULL THEN 4 ELSE 5 END AS tier FROM r q JOIN r c ON q.row_idx <> c.row_idx),
+o AS (SELECT *, count(*) FILTER (tier = 0) OVER (PARTITION BY query_idx) AS own, row_number() OVER (PARTITION BY query_idx ORDER BY tier, candidate_idx) AS rn FROM pq)"""
+
+
+@query("routing_candidates_soft", f"WITH {ROUTED} SELECT query_idx, candidate_idx, tier::bigint AS tier FROM o WHERE tier = 0 OR (own < 150 AND rn <= 150)")
+def routing_candidates_soft(spark, d):
+    return rounded(routing.candidates(_routed(spark, d), pool_k=75))
+
+
+@query("routing_candidates_strict", f"WITH {ROUTED} SELECT query_idx, candidate_idx, tier::bigint AS tier FROM o WHERE tier = 0 OR own = 0")
+def routing_candidates_strict(spark, d):
+    return rounded(routing.candidates(_routed(spark, d), mode="strict"))
+
+
+@query("routing_candidates_off", f"WITH {ITEMS} SELECT query_idx, count(*) AS n FROM (SELECT a.row_idx AS query_idx FROM items a JOIN items b ON a.row_idx <> b.row_idx) GROUP BY ALL")
+def routing_candidates_off(spark, d):
+    return routing.candidates(_routed(spark, d), mode="off").groupBy("query_idx").agg(F.count("*").alias("n"))
+
+
+DISTANCE = "round(1 - greatest(-1, least(1, list_cosine_similarity(a.embedding, b.embedding))), 6)"
+KEPT = ROUTED + f", kept AS (SELECT query_idx, candidate_idx, {DISTANCE} AS distance FROM o JOIN items a ON a.row_idx = query_idx JOIN items b ON b.row_idx = candidate_idx WHERE tier = 0 OR (own < 100 AND rn <= 100))"
+
+
+@query("knn_prefilter", f"WITH {KEPT} SELECT query_idx, candidate_idx, distance, row_number() OVER (PARTITION BY query_idx ORDER BY distance, candidate_idx) AS rank FROM kept QUALIFY rank <= 10")
+def knn_prefilter(spark, d):
+    pairs = routing.distances(routing.candidates(_routed(spark, d), pool_k=50), items(spark, d))
+    return rounded(routing.top(pairs, 10).select("query_idx", "candidate_idx", "distance", "rank"))
+
+
+SIZED = PAIRS.replace(ITEMS, SIZES) + ", f AS (SELECT query_idx, neighbor_idx AS candidate_idx, distance, row_number() OVER (PARTITION BY query_idx ORDER BY distance, neighbor_idx) AS rank_shape FROM pairs QUALIFY rank_shape <= 50), z AS (SELECT f.*, CASE WHEN a.log_size IS NULL OR b.log_size IS NULL THEN 0 ELSE abs(ln(greatest(pow(10, a.log_size), 1e-8::double)) - ln(greatest(pow(10, b.log_size), 1e-8::double))) END AS raw FROM f LEFT JOIN sizes a ON a.row_idx = query_idx LEFT JOIN sizes b ON b.row_idx = candidate_idx), n AS (SELECT *, quantile_cont(raw, 0.75) OVER w - quantile_cont(raw, 0.25) OVER w AS iqr, quantile_cont(raw, 0.5) OVER w AS med FROM z WINDOW w AS (PARTITION BY query_idx)), x AS (SELECT *, round(distance + 0.05::double * raw / CASE WHEN iqr > 1e-8 THEN iqr WHEN med > 1e-8 THEN med ELSE 1 END, 6) AS distance_final FROM n)"
+
+
+@query("fusion_rerank", f"WITH {SIZED} SELECT query_idx, candidate_idx, distance, rank_shape, distance_final, row_number() OVER (PARTITION BY query_idx ORDER BY distance_final, rank_shape) AS rank_final FROM x QUALIFY rank_final <= 10")
+def fusion_rerank(spark, d):
+    pairs = _knn(spark, d, k=50).select("query_idx", F.col("neighbor_idx").alias("candidate_idx"), "distance")
+    return rounded(routing.fusion(pairs, sizes(spark, d)).select("query_idx", "candidate_idx", "distance", "rank_shape", "distance_final", "rank_final"))
+
+
+MODES = ("none", "zscore", "minmax", "robust")
+
+
+@query("size_norm_modes", f"WITH {SIZES}, p AS (SELECT a.row_idx AS query_idx, b.row_idx AS candidate_idx, abs(a.log_size - b.log_size) AS s FROM sizes a JOIN sizes b ON a.row_idx <> b.row_idx AND a.row_idx < 50), n AS (SELECT *, stddev_pop(s) OVER w AS sd, min(s) OVER w AS lo, max(s) OVER w AS hi, quantile_cont(s, 0.75) OVER w - quantile_cont(s, 0.25) OVER w AS iqr, quantile_cont(s, 0.5) OVER w AS med FROM p WINDOW w AS (PARTITION BY query_idx)) SELECT query_idx, candidate_idx, round(s, 6) AS s_none, round(s / CASE WHEN sd > 1e-8 THEN sd ELSE 1 END, 6) AS s_zscore, round(CASE WHEN hi - lo > 1e-8 THEN (s - lo) / (hi - lo) ELSE 0 END, 6) AS s_minmax, round(s / CASE WHEN iqr > 1e-8 THEN iqr WHEN med > 1e-8 THEN med ELSE 1 END, 6) AS s_robust FROM n")
+def size_norm_modes(spark, d):
+    s = sizes(spark, d).select("row_idx", "log_size")
+    a, b = s.filter("row_idx < 50").toDF("query_idx", "q"), s.toDF("candidate_idx", "c")
+    p = a.crossJoin(b).filter("query_idx <> candidate_idx").withColumn("s", routing.size_distance(F.col("q"), F.col("c"), "plain"))
+    return rounded(p.select("query_idx", "candidate_idx", *(routing.normalized("s", m).alias(f"s_{m}") for m in MODES)))
+
+
+@query("size_distance_modes", f"WITH {SIZES}, p AS (SELECT a.row_idx AS query_idx, b.row_idx AS candidate_idx, a.log_size AS q, b.log_size AS c FROM sizes a JOIN sizes b ON a.row_idx <> b.row_idx AND a.row_idx < 50), r AS (SELECT *, abs(ln(greatest(pow(10, q), 1e-8::double)) - ln(greatest(pow(10, c), 1e-8::double))) AS r FROM p) SELECT query_idx, candidate_idx, round(abs(q - c), 6) AS d_plain, round(r, 6) AS d_ratio_penalty, round(r + CASE WHEN r > ln(1.5::double) THEN 0.05 ELSE 0 END, 6) AS d_margin_gate FROM r")
+def size_distance_modes(spark, d):
+    s = sizes(spark, d).select("row_idx", "log_size")
+    p = s.filter("row_idx < 50").toDF("query_idx", "q").crossJoin(s.toDF("candidate_idx", "c")).filter("query_idx <> candidate_idx")
+    return rounded(p.select("query_idx", "candidate_idx", *(routing.size_distance(F.col("q"), F.col("c"), m).alias(f"d_{m}") for m in ("plain", "ratio_penalty", "margin_gate"))))
+
+
+def _fused(spark, d):
+    """Neighbour lists with and without size, by mode."""
+    pairs = _knn(spark, d, k=50).select("query_idx", F.col("neighbor_idx").alias("candidate_idx"), "distance")
+    size = sizes(spark, d)
+    shape = routing.top(pairs, 10, rank="rank").withColumn("fusion_mode", F.lit("shape_only"))
+    both = routing.fusion(pairs, size).select("query_idx", "candidate_idx", F.col("rank_final").alias("rank"), F.lit("shape+size").alias("fusion_mode"))
+    i = items(spark, d)
+    named = shape.select("query_idx", "candidate_idx", "rank", "fusion_mode").unionByName(both)
+    return named.join(i.select(F.col("row_idx").alias("query_idx"), F.col("id").alias("query_id")), "query_idx").join(i.select(F.col("row_idx").alias("candidate_idx"), F.col("id").alias("neighbor_id")), "candidate_idx")
+
+
+FUSED = SIZED + ", fu AS (SELECT 'shape_only' AS fusion_mode, query_idx, neighbor_idx AS c FROM knn UNION ALL SELECT 'shape+size', query_idx, candidate_idx FROM (SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY distance_final, rank_shape) AS rf FROM x) WHERE rf <= 10), fm AS (SELECT fusion_mode, a.id AS query_id, a.label AS query_label, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS match FROM fu JOIN items a ON a.row_idx = query_idx JOIN items b ON b.row_idx = c), fr AS (SELECT fusion_mode, query_id, query_label, avg(match) AS rate FROM fm GROUP BY ALL)"
+
+
+@query("fusion_eval_query", f"WITH {FUSED} SELECT fusion_mode, query_id, query_label, round(rate, 6) AS rate FROM fr")
+def fusion_eval_query(spark, d):
+    rows = retrieval_metrics.matched(_fused(spark, d), labels(spark, d), "equal")
+    return rounded(rows.groupBy("fusion_mode", "query_id", "query_label").agg(F.avg("match").alias("rate")))
+
+
+@query("fusion_eval_overall", f"WITH {FUSED}, c AS (SELECT fusion_mode, query_label, avg(rate) AS m FROM fr GROUP BY ALL) SELECT fusion_mode, count(*) AS n_labels, round(avg(m), 6) AS mean FROM c GROUP BY ALL")
+def fusion_eval_overall(spark, d):
+    return rounded(retrieval_metrics.macro_mean(retrieval_metrics.matched(_fused(spark, d), labels(spark, d), "equal"), 10))
+
+
+@query("fusion_eval_category", f"WITH {FUSED} SELECT fusion_mode, query_label, {DESCRIBE} FROM fr GROUP BY ALL")
+def fusion_eval_category(spark, d):
+    return rounded(retrieval_metrics.describe(fusion_eval_query(spark, d), "fusion_mode", "query_label"))
+
+
+@query("compare_modes_outer", f"WITH {FUSED}, c AS (SELECT fusion_mode, query_label, avg(rate) AS m FROM fr GROUP BY ALL) SELECT query_label, round(max(m) FILTER (fusion_mode = 'shape_only'), 6) AS shape_only, round(max(m) FILTER (fusion_mode = 'shape+size'), 6) AS shape_size FROM c GROUP BY ALL")
+def compare_modes_outer(spark, d):
+    per = fusion_eval_category(spark, d)
+    return retrieval_metrics.compare({"shape_only": per.filter("fusion_mode = 'shape_only'"), "shape_size": per.filter("fusion_mode = 'shape+size'")}, ["query_label"])
+
+
+@query("fusion_ablation", f"WITH {FUSED}, c AS (SELECT fusion_mode, query_label, count(*) AS k, avg(rate) AS m FROM fr GROUP BY ALL), b AS (SELECT query_label, m AS b FROM c WHERE fusion_mode = 'shape_only') SELECT fusion_mode, sum(k)::bigint AS n_rows, round(avg(m), 6) AS mean, round(avg(m - b), 6) + 0.0 AS delta, count(*) FILTER (round(m - b, 9) < 0) AS n_worse FROM c JOIN b USING (query_label) GROUP BY ALL")
+def fusion_ablation(spark, d):
+    rates = fusion_eval_query(spark, d).withColumnRenamed("query_label", "label")
+    return rounded(retrieval_metrics.ablation(rates, rates.filter("fusion_mode = 'shape_only'"), ["fusion_mode"]))
+
+
+@query("query_set_difference", f"WITH {PAIRS}, k AS (SELECT DISTINCT CASE WHEN query_idx % 3 = 0 THEN 'a' ELSE 'b' END AS fusion_mode, query_idx FROM knn) SELECT fusion_mode, (SELECT count(DISTINCT query_idx) FROM k) - count(*) AS missing FROM k GROUP BY ALL")
+def query_set_difference(spark, d):
+    k = _knn(spark, d).select(F.when(F.col("query_idx") % 3 == 0, "a").otherwise("b").alias("fusion_mode"), F.col("query_idx").alias("query_id"))
+    return rounded(retrieval_metrics.query_set_differences(k))
+
+
+@query("robust_scaled_features", f"WITH {SIZES}, q AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS m_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS i_{c}' for c in ('bbox_longest', 'log_bbox_volume'))} FROM sizes) SELECT id, {', '.join(f'round(({c} - m_{c}) / CASE WHEN i_{c} > 0 THEN i_{c} ELSE 1 END, 6) + 0.0 AS {c}' for c in ('bbox_longest', 'log_bbox_volume'))} FROM sizes, q")
+def robust_scaled_features(spark, d):
+    columns = ["bbox_longest", "log_bbox_volume"]
+    return rounded(metadata.robust_scaled(sizes(spark, d), columns).select("id", *columns))
+
+
+@query("color_stats", f"WITH {PIXELS} SELECT image_id, {', '.join(f'round(avg({c}), 6) AS mean_{c}, round(stddev_pop({c}), 6) AS std_{c}' for c in 'rgb')} FROM pixels GROUP BY ALL")
+def color_stats(spark, d):
+    return rounded(metadata.colour_stats(pixels(spark, d), "image_id"))
+
+
+HIST = """fore AS (SELECT * FROM {p} WHERE (r + g + b) / 3 < 0.985), long AS (SELECT image_id, unnest([0, 1, 2]) AS channel, unnest([{c}]) AS v FROM fore),
+cnt AS (SELECT image_id, channel, least(floor(round(v * 16, 9)), 15)::bigint AS bin, count(*) AS n FROM long GROUP BY ALL), grid AS (SELECT image_id, channel, bin FROM (SELECT DISTINCT image_id FROM cnt), (SELECT unnest([0, 1, 2]) AS channel), (SELECT unnest(range(16)) AS bin)),
+sh AS (SELECT image_id, channel, bin, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY image_id, channel) AS s FROM grid LEFT JOIN cnt USING (image_id, channel, bin)) SELECT image_id, channel::bigint AS channel, bin, round(s / sqrt(sum(s * s) OVER (PARTITION BY image_id)), 6) AS value FROM sh"""
+HSV = "hsv AS (SELECT *, greatest(r, g, b) AS t, greatest(r, g, b) - least(r, g, b) AS dd FROM pixels), hs AS (SELECT image_id, r, g, b, CASE WHEN dd = 0 THEN 0 WHEN t = b THEN 4 + (r - g) / dd WHEN t = g THEN 2 + (b - r) / dd ELSE ((g - b) / dd + 6) % 6 END / 6 AS h, CASE WHEN t = 0 THEN 0 ELSE dd / t END AS s_, t AS v_ FROM hsv)"
+
+
+@query("rgb_histogram", f"WITH {PIXELS}, " + HIST.format(p="pixels", c="r, g, b"))
+def rgb_histogram(spark, d):
+    return rounded(color.histogram(pixels(spark, d), "image_id", "rgb"))
+
+
+@query("hsv_histogram", f"WITH {PIXELS}, {HSV}, " + HIST.format(p="hs", c="h % 1, s_, v_"))
+def hsv_histogram(spark, d):
+    return rounded(color.histogram(pixels(spark, d), "image_id", "hsv"))
+
+
+@query("lab_histogram")
+def lab_histogram(spark, d):
+    return rounded(color.histogram(pixels(spark, d), "image_id", "lab"))
+
+
+@query("coarse_metrics_score", f"""WITH {CLUSTERS}, s AS (SELECT count(*) AS n FROM clusters WHERE cluster_id <> -1 GROUP BY cluster_id), p AS (SELECT n / sum(n) OVER () AS p, row_number() OVER (ORDER BY n DESC) AS r FROM s),
+a AS (SELECT count(*) AS k, max(p) AS largest, max(p) FILTER (r = 2) AS second, sum(-p * ln(p)) AS h FROM p), b AS (SELECT avg((cluster_id = -1)::int) AS noise, avg(CASE WHEN cluster_id = -1 THEN 0.0 ELSE 1.0 END) AS prob FROM clusters)
+SELECT k, round(largest, 6) AS largest, round(second, 6) AS second, round(noise, 6) AS noise, round(prob, 6) AS prob, round(h / ln(k), 6) AS entropy, round(exp(h), 6) AS effective, concat_ws(';', CASE WHEN k <= 1 THEN 'too_few_clusters' END, CASE WHEN noise > 0.10 THEN 'noise' END, CASE WHEN largest > 0.70 THEN 'largest' END, CASE WHEN second < 0.15 THEN 'second' END, CASE WHEN exp(h) < 1.8 THEN 'effective' END) AS reject_reason FROM a, b""")
+def coarse_metrics_score(spark, d):
+    m = cluster_metrics.coarse_metrics(clusters(spark, d), 10, "eom")
+    return rounded(m.select("k", "largest", "second", "noise", "prob", "entropy", "effective", "reject_reason"))
+
+
+@query("metadata_summary", f"WITH {POINTS}, g AS (SELECT specimen_id::varchar AS id, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS l, (max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z)) AS v, (max(x) - min(x)) / greatest(max(y) - min(y), 1e-8) AS a FROM points GROUP BY ALL) SELECT count(*) AS n, count(*) FILTER (v > 0) AS n_positive_volume, count(*) FILTER (a < 0.02) AS n_aspect_under_2, count(*) FILTER (a < 0.05) AS n_aspect_under_5, count(*) FILTER (a < 0.10) AS n_aspect_under_10, round(avg(l), 6) AS mean_longest, round(max(l), 6) AS max_longest, (SELECT id FROM g ORDER BY l DESC, id DESC LIMIT 1) AS longest_id FROM g")
+def metadata_summary(spark, d):
+    b = metadata.boxes(points(spark, d), "specimen_id").withColumn("id", F.col("specimen_id").cast("string"))
+    return rounded(metadata.metadata_summary(b))
+
+
+@query("fibonacci_directions", "WITH s AS (SELECT i, 1 - 2 * (i + 0.5::double) / 64 AS z, i * pi() * (3 - sqrt(5)) AS t FROM range(64) r(i)) SELECT i, round(sqrt(1 - z * z) * cos(t), 6) + 0.0 AS x, round(sqrt(1 - z * z) * sin(t), 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM s")
+def fibonacci_directions(spark, d):
+    return rounded(metadata.fibonacci_sphere(spark, 64))
+
+
+@query("core_distance", f"WITH {ITEMS}, p AS (SELECT a.row_idx, list_distance(a.embedding, b.embedding) AS x FROM items a JOIN items b ON a.row_idx <> b.row_idx) SELECT row_idx, round(x, 6) AS core FROM p QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY x) = 5")
+def core_distance(spark, d):
+    return knn.knn(items(spark, d), 5, "euclidean").filter("rank = 5").select(F.col("query_idx").alias("row_idx"), F.col("distance").alias("core"))
+
+
+def _hdbscan(name, selection):
+    @query(name)
+    def run(spark, d):
+        return rounded(hdbscan.cluster(items(spark, d), hdbscan.Config(5, 1, selection=selection)))
+
+
+_hdbscan("hdbscan_eom", "eom")
+_hdbscan("hdbscan_leaf", "leaf")
+
+
+@query("hdbscan_linkage")
+def hdbscan_linkage(spark, d):
+    return rounded(hdbscan.tree_tables(items(spark, d), hdbscan.Config(5, 5))[0])
+
+
+@query("hdbscan_recursive")
+def hdbscan_recursive(spark, d):
+    return rounded(hdbscan.recursive(items(spark, d), hdbscan.Config(5, 1), hdbscan.Config(3, 1, selection="leaf"))[0])
+
+
+@query("hdbscan_grouped")
+def hdbscan_grouped(spark, d):
+    return rounded(hdbscan.grouped(_routed(spark, d), hdbscan.Config(5, 1)))
+
+
+@query("sweep_ranked")
+def sweep_ranked(spark, d):
+    s = hdbscan.sweep(items(spark, d), [5, 10], [1, 5])
+    w = Window.orderBy(F.desc("final_score"), "min_cluster_size", "min_samples", "selection_method")
+    return rounded(s.withColumn("place", F.row_number().over(w)))
+
+
+@query("kmeans")
+def kmeans(spark, d):
+    return rounded(decomposition.kmeans(items(spark, d), 10))
+
+
+@query("pca_report")
+def pca_report(spark, d):
+    return rounded(decomposition.pca(items(spark, d), 10)[1])
