@@ -22,6 +22,18 @@ def ship(name: str) -> None:
 ship(__name__)
 
 
+def once(f):
+    """f, keeping what it returned for the same arguments; unlike functools.cache, it travels by value."""
+    kept: dict = {}
+
+    def g(*args):
+        if args not in kept:
+            kept[args] = f(*args)
+        return kept[args]
+
+    return g
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,6 @@ stand. A fingerprint is the least hashes of a text's phrases of about 27 bytes a
 the likeness of two texts.
 """
 
-from functools import cache
 from hashlib import sha256
 
 import numpy as np
@@ -13,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._common import mix, ship, small_batches, table
+from cairn.llm._common import mix, once, ship, small_batches, table
 
 ship(__name__)
 
@@ -23,7 +22,7 @@ SIZE, LEAST_LEVEL, LEVELS, FEW = 48, 3, 8, 24
 RANGE = 4096
 
 
-@cache
+@once
 def _tosses() -> tuple[np.ndarray, ...]:
     """Tables of coin tosses: of two symbols, twice the lowest bit they differ in, plus the first one's value there."""
 

@@ -1,13 +1,11 @@
 """Language identification by rank-order profiles (Cavnar and Trenkle's out-of-place distance)."""
 
-from functools import cache
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm._common import held_out, ship, small_batches, table
+from cairn.llm._common import held_out, once, ship, small_batches, table
 
 ship(__name__)
 
@@ -15,7 +13,7 @@ ship(__name__)
 MAX_N, PROFILE, PER_LANG, CHUNK = 3, 400, 2000, 1 << 18
 
 
-@cache
+@once
 def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 

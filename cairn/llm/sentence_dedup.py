@@ -11,36 +11,56 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._common import holds, key_filter, mix, run_hashes, ship, small_batches, table, text_key, word_hashes
+from cairn.llm._common import cut, holds, key_filter, mix, once, ship, small_batches, table, text_key, word_hashes
 
 ship(__name__)
 
 #: A run holds at least so many sentences and so many words.
 SENTENCES, WORDS = 2, 12
-#: A sentence ends after its final mark and the blanks behind it, or after a line break.
-SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s)[^\S\n]*\n*|\n+|[.!?]+|$)")
+#: A sentence goes on to the blanks behind its final mark, or behind a line break.
+BREAK = re.compile(rb"[.!?][ \t-\r]+|\n[ \t-\r]*")
+#: An odd factor and its inverse, for hashes of word runs that don't depend on where a run stands.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
+
+
+@once
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.concatenate(([1], np.full(size, f, np.uint64))), dtype=np.uint64) for f in (FACTOR, INVERSE))
+
+
+def _bounds(raw: bytes) -> np.ndarray:
+    ends = [m.end() for m in BREAK.finditer(raw)]
+    return np.array([0, *(ends if ends and ends[-1] == len(raw) else [*ends, len(raw)])], np.int64)
 
 
 def split_sentences(text: str | None) -> list[str]:
     """The sentences, whose concatenation is the text."""
-    return [s for s in SENTENCE.findall(text or "") if s]
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    at = _bounds(raw).tolist()
+    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(at[:-1], at[1:], strict=True)] if raw else []
 
 
 def _spans(text: str | None, sentences: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each run: its hash, its first sentence, and the one after its last. Sentences without words stand in no run."""
-    hashes = [word_hashes(s) for s in split_sentences(text)]
-    full = np.array([i for i, h in enumerate(hashes) if len(h)], np.int64)
-    counts = np.array([len(hashes[i]) for i in full], np.int64)
-    sums = np.concatenate(([0], np.cumsum(counts)))
-    each = np.array([int(mix(np.add.accumulate(mix(hashes[i] + np.arange(1, len(hashes[i]) + 1, dtype=np.uint64))))[-1]) for i in full], np.uint64)
-    end = np.maximum(np.searchsorted(sums, sums[:-1] + words), np.arange(len(full)) + sentences)
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    byte = np.frombuffer(raw, np.uint8)
+    blank = (byte == 32) | ((byte >= 9) & (byte <= 13))
+    starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1]))) if len(raw) else np.zeros(0, np.int64)
+    at = np.searchsorted(starts, _bounds(raw))  # the words before each bound
+    full = np.flatnonzero(np.diff(at))
+    begin = np.append(at[full], len(starts))
+    end = np.maximum(np.searchsorted(begin, begin[:-1] + words), np.arange(len(full)) + sentences)
     ok = end <= len(full)
-    first, last = np.arange(len(full))[ok], end[ok]
-    out = np.zeros(len(first), np.uint64)
-    for k in np.unique(last - first):  # runs of equal length at once
-        at = last - first == k
-        out[at] = mix(run_hashes(each, int(k))[first[at]] + np.uint64(k))
-    return out, full[first], full[last - 1] + 1
+    first, last = np.flatnonzero(ok), end[ok]
+    if not len(first):
+        return np.zeros(0, np.uint64), first, last
+    up, down = _powers(1 << max(12, len(starts).bit_length()))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(word_hashes(text)) * up[: len(starts)], dtype=np.uint64)))
+        a, b = begin[first], begin[last]
+        return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)), full[first], full[last - 1] + 1
 
 
 def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
@@ -72,31 +92,34 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
                 yield pd.concat(parts)
 
     rows = docs.select(F.col("doc_id").cast("string"), text_key().alias("key"), "text").mapInPandas(emit, "h long, doc_id string, key long, first int, last int")
-    rows = rows.withColumn("at", F.struct(F.col("doc_id").cast("long").alias("d"), "key", "first"))
+    rows = cut(rows).withColumn("at", F.struct(F.col("doc_id").cast("long").alias("d"), "key", "first"))
     firsts = rows.groupBy("h").agg(F.min("at").alias("least"), F.max("at").alias("most")).filter("least <> most OR (least.d IS NULL) <> (most.d IS NULL)").select("h", "least")
     again = rows.join(firsts, "h").filter(~F.col("at").eqNullSafe(F.col("least")))
     return again.groupBy(F.col("at.d").alias("doc_id"), "key").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("covered"))
 
 
-@F.pandas_udf("clean string, n_sentences long, n_removed long")
-def _cleaned(texts: pd.Series, covered: pd.Series) -> pd.DataFrame:
-    out = []
-    for text, ranges in zip(texts, covered, strict=True):
-        parts = split_sentences(text)
-        gone = np.zeros(len(parts) + 1, np.int64)
-        for r in ranges if ranges is not None else ():
-            gone[r["first"]] += 1
-            gone[r["last"]] -= 1
-        gone = np.cumsum(gone)[:-1] > 0
-        out.append((None if text is None else "".join(s for s, g in zip(parts, gone, strict=True) if not g), len(parts), int(gone.sum())))
-    return pd.DataFrame(out, columns=["clean", "n_sentences", "n_removed"])
+def _cleaner():
+    @F.pandas_udf("clean string, n_sentences long, n_removed long")
+    def cleaned(texts: pd.Series, covered: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, ranges in zip(texts, covered, strict=True):
+            parts = split_sentences(text)
+            gone = np.zeros(len(parts) + 1, np.int64)
+            for r in ranges if ranges is not None else ():
+                gone[r["first"]] += 1
+                gone[r["last"]] -= 1
+            gone = np.cumsum(gone)[:-1] > 0
+            out.append((None if text is None else "".join(s for s, g in zip(parts, gone, strict=True) if not g), len(parts), int(gone.sum())))
+        return pd.DataFrame(out, columns=["clean", "n_sentences", "n_removed"])
+
+    return cleaned
 
 
 def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """docs with clean (the text without repeated sentences; null stays null), n_sentences and n_removed. Every row stays."""
     found = repeated_spans(docs, sentences, words).withColumnRenamed("doc_id", "_d").withColumnRenamed("key", "_k")
     joined = docs.withColumn("_t", text_key()).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_k")), "left")
-    with_clean = joined.withColumn("_c", _cleaned("text", "covered"))
+    with_clean = joined.withColumn("_c", _cleaner()("text", "covered"))
     return with_clean.select(*docs.columns, "_c.clean", "_c.n_sentences", "_c.n_removed")
 
 
