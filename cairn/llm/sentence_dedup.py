@@ -27,7 +27,7 @@ INVERSE = pow(FACTOR, -1, 1 << 64)
 @once
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
-        return tuple(np.cumprod(np.concatenate(([1], np.full(size, f, np.uint64))), dtype=np.uint64) for f in (FACTOR, INVERSE))
+        return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, f, np.uint64))), dtype=np.uint64) for f in (FACTOR, INVERSE))
 
 
 def _bounds(raw: bytes) -> np.ndarray:

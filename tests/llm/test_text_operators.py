@@ -166,6 +166,14 @@ def test_sentence_dedup(spark, odd, none):
     assert sentence_dedup.remove_repeats(none).count() == 0
 
 
+def test_run_hashes_differ_with_the_words_and_not_with_the_place():
+    text = ". ".join(prose(i, 7) for i in range(400)) + ". "
+    h, first, last = sentence_dedup._spans(text, 2, 12)
+    assert len(set(h.tolist())) == len(h) == 399
+    moved = sentence_dedup._spans("Some words before. " + text, 2, 12)[0]
+    assert moved[1:].tolist() == h.tolist()
+
+
 def test_mixing(spark, odd, none):
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 300))), [None, "a", "b", "c", "d"][int(rng.integers(5))]) for i in range(400)] + [(1000, "one two three", "tiny")]
