@@ -52,7 +52,9 @@ def _index(items: list) -> tuple:
         s = _seeds(h, offsets)
         at = np.flatnonzero(item[: len(s)] == item[offsets[-1] :][: len(s)]) if len(s) else np.zeros(0, int)
         order = np.argsort(s[at], kind="stable")
-        seeds.append((offsets, s[at][order], at[order]))
+        near = np.zeros(1 << 20, bool)  # whether any seed starts with these 20 bits: spares most searches
+        near[s[at] >> np.uint64(44)] = True
+        seeds.append((offsets, s[at][order], at[order], near))
     return [i for i, _ in items], h, item, ends, seeds
 
 
@@ -60,11 +62,12 @@ def _overlaps(w: np.ndarray, index: tuple) -> dict[int, tuple[int, int]]:
     """item -> (longest verified overlap, equal words in it)."""
     ids, h, item, ends, seeds = index
     hits = []
-    for offsets, keys, at in seeds:
+    for offsets, keys, at, near in seeds:
         s = _seeds(w, offsets)
-        left, right = np.searchsorted(keys, s), np.searchsorted(keys, s, "right")
-        for p in np.flatnonzero(right > left):
-            hits.append(np.stack((np.full(right[p] - left[p], p), at[left[p] : right[p]])))
+        places = np.flatnonzero(near[s >> np.uint64(44)])
+        left, right = np.searchsorted(keys, s[places]), np.searchsorted(keys, s[places], "right")
+        for k in np.flatnonzero(right > left):
+            hits.append(np.stack((np.full(right[k] - left[k], places[k]), at[left[k] : right[k]])))
     if not hits:
         return {}
     p, q = np.concatenate(hits, 1)
