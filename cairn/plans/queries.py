@@ -335,21 +335,25 @@ def fusion_rerank(spark, d):
 
 
 MODES = ("none", "zscore", "minmax", "robust")
+POOL = PAIRS.replace(ITEMS, SIZES) + ", pool AS (SELECT query_idx, neighbor_idx AS candidate_idx, a.log_size AS q, b.log_size AS c FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY distance, neighbor_idx) <= 50) JOIN sizes a ON a.row_idx = query_idx JOIN sizes b ON b.row_idx = neighbor_idx)"
 
 
-@query("size_norm_modes", f"WITH {SIZES}, p AS (SELECT a.row_idx AS query_idx, b.row_idx AS candidate_idx, abs(a.log_size - b.log_size) AS s FROM sizes a JOIN sizes b ON a.row_idx <> b.row_idx AND a.row_idx < 50), n AS (SELECT *, stddev_pop(s) OVER w AS sd, min(s) OVER w AS lo, max(s) OVER w AS hi, quantile_cont(s, 0.75) OVER w - quantile_cont(s, 0.25) OVER w AS iqr, quantile_cont(s, 0.5) OVER w AS med FROM p WINDOW w AS (PARTITION BY query_idx)) SELECT query_idx, candidate_idx, round(s, 6) AS s_none, round(s / CASE WHEN sd > 1e-8 THEN sd ELSE 1 END, 6) AS s_zscore, round(CASE WHEN hi - lo > 1e-8 THEN (s - lo) / (hi - lo) ELSE 0 END, 6) AS s_minmax, round(s / CASE WHEN iqr > 1e-8 THEN iqr WHEN med > 1e-8 THEN med ELSE 1 END, 6) AS s_robust FROM n")
-def size_norm_modes(spark, d):
+def _pool(spark, d):
+    """The sizes q and c of each item and of its 50 nearest, where both are known."""
     s = sizes(spark, d).select("row_idx", "log_size")
-    a, b = s.filter("row_idx < 50").toDF("query_idx", "q"), s.toDF("candidate_idx", "c")
-    p = a.crossJoin(b).filter("query_idx <> candidate_idx").withColumn("s", routing.size_distance(F.col("q"), F.col("c"), "plain"))
+    pairs = _knn(spark, d, k=50).select("query_idx", F.col("neighbor_idx").alias("candidate_idx"))
+    return pairs.join(s.toDF("query_idx", "q"), "query_idx").join(s.toDF("candidate_idx", "c"), "candidate_idx")
+
+
+@query("size_norm_modes", f"WITH {POOL}, p AS (SELECT query_idx, candidate_idx, abs(q - c) AS s FROM pool), n AS (SELECT *, stddev_pop(s) OVER w AS sd, min(s) OVER w AS lo, max(s) OVER w AS hi, quantile_cont(s, 0.75) OVER w - quantile_cont(s, 0.25) OVER w AS iqr, quantile_cont(s, 0.5) OVER w AS med FROM p WINDOW w AS (PARTITION BY query_idx)) SELECT query_idx, candidate_idx, round(s, 6) AS s_none, round(s / CASE WHEN sd > 1e-8 THEN sd ELSE 1 END, 6) AS s_zscore, round(CASE WHEN hi - lo > 1e-8 THEN (s - lo) / (hi - lo) ELSE 0 END, 6) AS s_minmax, round(s / CASE WHEN iqr > 1e-8 THEN iqr WHEN med > 1e-8 THEN med ELSE 1 END, 6) AS s_robust FROM n")
+def size_norm_modes(spark, d):
+    p = _pool(spark, d).withColumn("s", routing.size_distance(F.col("q"), F.col("c"), "plain"))
     return rounded(p.select("query_idx", "candidate_idx", *(routing.normalized("s", m).alias(f"s_{m}") for m in MODES)))
 
 
-@query("size_distance_modes", f"WITH {SIZES}, p AS (SELECT a.row_idx AS query_idx, b.row_idx AS candidate_idx, a.log_size AS q, b.log_size AS c FROM sizes a JOIN sizes b ON a.row_idx <> b.row_idx AND a.row_idx < 50), r AS (SELECT *, abs(ln(greatest(pow(10, q), 1e-8::double)) - ln(greatest(pow(10, c), 1e-8::double))) AS r FROM p) SELECT query_idx, candidate_idx, round(abs(q - c), 6) AS d_plain, round(r, 6) AS d_ratio_penalty, round(r + CASE WHEN r > ln(1.5::double) THEN 0.05 ELSE 0 END, 6) AS d_margin_gate FROM r")
+@query("size_distance_modes", f"WITH {POOL}, r AS (SELECT *, abs(ln(greatest(pow(10, q), 1e-8::double)) - ln(greatest(pow(10, c), 1e-8::double))) AS r FROM pool) SELECT query_idx, candidate_idx, round(abs(q - c), 6) AS d_plain, round(r, 6) AS d_ratio_penalty, round(r + CASE WHEN r > ln(1.5::double) THEN 0.05 ELSE 0 END, 6) AS d_margin_gate FROM r")
 def size_distance_modes(spark, d):
-    s = sizes(spark, d).select("row_idx", "log_size")
-    p = s.filter("row_idx < 50").toDF("query_idx", "q").crossJoin(s.toDF("candidate_idx", "c")).filter("query_idx <> candidate_idx")
-    return rounded(p.select("query_idx", "candidate_idx", *(routing.size_distance(F.col("q"), F.col("c"), m).alias(f"d_{m}") for m in ("plain", "ratio_penalty", "margin_gate"))))
+    return rounded(_pool(spark, d).select("query_idx", "candidate_idx", *(routing.size_distance(F.col("q"), F.col("c"), m).alias(f"d_{m}") for m in ("plain", "ratio_penalty", "margin_gate"))))
 
 
 def _fused(spark, d):
