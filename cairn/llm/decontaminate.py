@@ -1,5 +1,7 @@
 """Benchmark decontamination by spaced seeds: hash fixed masks of token positions, join, verify around the hits.
 
+The masks lose nothing: every stretch that the thresholds accept holds a seed of equal words. A test enumerates this up to
+25 words; a longer one splits into two of 13 words or more, and what is equal in one of them is no less than in the whole.
 Both sides' texts are words of letters and digits, lower-cased. Test items come in blocks of bounded size, each a
 sorted table that every task searches; more items make more blocks, not larger ones.
 """
@@ -16,12 +18,14 @@ from cairn.llm._common import mix, ship, small_batches, table
 
 ship(__name__)
 
-#: Each mask keeps 8 of up to 14 neighbouring words, so that single changed words fall into gaps.
-MASKS = ["11111111", "1101100101011", "10110011010101", "11010010011011"]
+#: Each mask keeps 5 of up to 8 neighbouring words, so that changed words fall into gaps or beside it.
+MASKS = ["11111", "110111", "11010011"]
 #: Least words of an overlap (or the whole item, if that has fewer, SHORTEST at least); least share of equal words in it.
 OVERLAP, SHORTEST, EQUAL = 13, 8, 0.8
 #: Words of test items in a block.
 BLOCK = 1 << 20
+#: Hits that are looked at together, and the words before and behind a hit's first that an accepted stretch around it can hold.
+CHUNK, AROUND = 1 << 15, np.arange(1 - 2 * OVERLAP, 2 * OVERLAP)
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
@@ -58,21 +62,35 @@ def _index(items: list) -> tuple:
     return [i for i, _ in items], h, item, ends, seeds
 
 
-def _overlaps(w: np.ndarray, index: tuple) -> dict[int, tuple[int, int]]:
-    """item -> (longest verified overlap, equal words in it)."""
-    ids, h, item, ends, seeds = index
-    hits = []
+def _likely(w: np.ndarray, index: tuple) -> set[tuple[int, int]]:
+    """(diagonal, item) of the hits with as many equal words around them as the shortest stretch accepted there holds."""
+    _, h, item, ends, seeds = index
+    out: set[tuple[int, int]] = set()
     for offsets, keys, at, near in seeds:
         s = _seeds(w, offsets)
         places = np.flatnonzero(near[s >> np.uint64(44)])
         left, right = np.searchsorted(keys, s[places]), np.searchsorted(keys, s[places], "right")
-        for k in np.flatnonzero(right > left):
-            hits.append(np.stack((np.full(right[k] - left[k], places[k]), at[left[k] : right[k]])))
-    if not hits:
-        return {}
-    p, q = np.concatenate(hits, 1)
+        upto = np.cumsum(right - left)
+        for k in range(0, int(upto[-1]) if len(upto) else 0, CHUNK):
+            hit = np.arange(k, min(k + CHUNK, int(upto[-1])))
+            j = np.searchsorted(upto, hit, "right")
+            p, q = places[j], at[right[j] - (upto[j] - hit)]
+            a, b = p[:, None] + AROUND, q[:, None] + AROUND
+            inside = (a >= 0) & (a < len(w)) & (b >= 0) & (b < len(h))
+            a, b = np.where(inside, a, 0), np.where(inside, b, 0)
+            same = inside & (w[a] == h[b]) & (item[b] == item[q][:, None])
+            i = item[q]
+            size = ends[i] - np.where(i > 0, ends[i - 1], 0)
+            ok = same.sum(1) >= EQUAL * np.minimum(OVERLAP, size) - 1e-9
+            out.update(zip((p - q)[ok].tolist(), i[ok].tolist(), strict=True))
+    return out
+
+
+def _overlaps(w: np.ndarray, index: tuple) -> dict[int, tuple[int, int]]:
+    """item -> (longest verified overlap, equal words in it)."""
+    ids, h, _, ends, _ = index
     found: dict[int, tuple[int, int]] = {}
-    for diagonal, i in sorted(set(zip((p - q).tolist(), item[q].tolist(), strict=True))):
+    for diagonal, i in sorted(_likely(w, index)):
         start = ends[i - 1] if i else 0
         lo, hi = max(start, -diagonal), min(ends[i], len(w) - diagonal)
         same = w[lo + diagonal : hi + diagonal] == h[lo:hi]

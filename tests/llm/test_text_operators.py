@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 
@@ -131,6 +132,41 @@ def test_decontamination_tolerates_substitutions(spark, odd, none):
     assert decontaminate.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_masks_lose_nothing():
+    """Each stretch of 8 to 25 words with a fifth changed, wherever, holds a seed; longer ones split into such stretches."""
+    masks = [np.flatnonzero([c == "1" for c in m]) for m in decontaminate.MASKS]
+    for n in range(decontaminate.SHORTEST, 2 * decontaminate.OVERLAP):
+        changed = np.array(list(itertools.combinations(range(n), int(n * (1 - decontaminate.EQUAL) + 1e-9))))
+        same = np.ones((len(changed), n), bool)
+        np.put_along_axis(same, changed, False, 1)
+        hit = [same[:, m + k].all(1) for m in masks for k in range(n - m[-1])]
+        assert np.any(hit, 0).all(), n
+
+
+def test_decontamination_equals_brute_force():
+    rng, seen = np.random.default_rng(8), 0
+    items = [(i, prose(2000 + i, int(n))) for i, n in enumerate(rng.integers(5, 70, 60))] + [(60 + n, prose(2100 + n, n)) for n in range(7, 16)]
+    index = decontaminate._index(items)
+    for k, (i, text) in enumerate(items * 4):
+        part = text.split()
+        a = int(rng.integers(0, max(1, len(part) - 12))) if k % 2 else 0
+        part = part[a : a + int(rng.integers(8, 40))]
+        for at in rng.permutation(len(part))[: -(-len(part) // 5) - int(rng.integers(2))]:
+            part[at] = f"new{rng.integers(1000)}"
+        doc = f"{prose(3000 + k, int(rng.integers(0, 9)))} {' '.join(part)} {prose(4000 + k, int(rng.integers(0, 9)))}".split()
+        want = set()
+        for j, other in items:
+            other = other.split()
+            for diagonal in range(-len(other), len(doc)):
+                same = [doc[x + diagonal] == other[x] for x in range(max(0, -diagonal), min(len(other), len(doc) - diagonal))]
+                least = max(8, min(13, len(other)))
+                if sum(same) > 6 and any(5 * sum(same[x:y]) >= 4 * (y - x) for x in range(len(same)) for y in range(x + least, len(same) + 1)):
+                    want.add(j)
+        assert set(decontaminate._overlaps(decontaminate._words(" ".join(doc)), index)) == want, (i, text, doc)
+        seen += len(want)
+    assert seen > 60
+
+
 def test_fingerprints_find_moved_passages():
     a, b = prose(1, 400), prose(2, 400)
     whole, shifted, other, mixed = fingerprint.fingerprints([a, "zz " + a, b, a[: len(a) // 2] + b[: len(b) // 2]])
