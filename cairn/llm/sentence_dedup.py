@@ -1,7 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of consecutive sentences is hashed: from each sentence on, as many as hold two sentences and twelve words. The
-runs are joined globally, and the sentences go that a repeated run covers other than at its first place.
+Of the runs of consecutive sentences that hold two sentences and twelve words, the shortest from each sentence on and the
+shortest up to each sentence are hashed. Together they cover what any longer run covers, and repeat wherever it does. They
+are joined globally, and the sentences go that a repeated run covers other than at its first place.
 """
 
 import re
@@ -51,9 +52,12 @@ def _spans(text: str | None, sentences: int, words: int) -> tuple[np.ndarray, np
     at = np.searchsorted(starts, _bounds(raw))  # the words before each bound
     full = np.flatnonzero(np.diff(at))
     begin = np.append(at[full], len(starts))
-    end = np.maximum(np.searchsorted(begin, begin[:-1] + words), np.arange(len(full)) + sentences)
-    ok = end <= len(full)
-    first, last = np.flatnonzero(ok), end[ok]
+    n = len(full)
+    end = np.maximum(np.searchsorted(begin, begin[:-1] + words), np.arange(n) + sentences)
+    start = np.minimum(np.searchsorted(begin, begin[1:] - words, "right") - 1, np.arange(n) + 1 - sentences)
+    from_each, to_each = np.flatnonzero(end <= n), np.flatnonzero(start >= 0)
+    pairs = np.concatenate((from_each * (n + 1) + end[from_each], start[to_each] * (n + 1) + to_each + 1))
+    first, last = np.divmod(np.unique(pairs), n + 1)
     if not len(first):
         return np.zeros(0, np.uint64), first, last
     up, down = _powers(1 << max(12, len(starts).bit_length()))

@@ -202,6 +202,31 @@ def test_sentence_dedup(spark, odd, none):
     assert sentence_dedup.remove_repeats(none).count() == 0
 
 
+def test_sentence_dedup_equals_brute_force(spark):
+    """Every run of at least two sentences and twelve words, whatever its length, that stands at an earlier place too."""
+    rng = np.random.default_rng(12)
+    parts = [prose(5000 + i, int(n)) + ". " for i, n in enumerate(rng.integers(1, 14, 40))]
+    texts = [prose(5100, 20) + ". a b c d e. f g h i. " + prose(5101, 9) + ".", prose(5102, 9) + ". " + prose(5100, 20) + ". a b c d e. f g h i. " + prose(5103, 9) + "."]
+    for k in range(40):  # pieces of one sequence of sentences, with others between them
+        texts.append("")
+        for _ in range(3):
+            a = int(rng.integers(0, 36))
+            texts[-1] += "".join(parts[a : a + int(rng.integers(1, 7))]) + prose(6000 + int(rng.integers(10_000)), int(rng.integers(1, 9))) + ". "
+    split = [sentence_dedup.split_sentences(t) for t in texts]
+    seen, gone = set(), [set() for _ in texts]
+    for i, s in enumerate(split):
+        for a in range(len(s)):
+            for b in range(a + 2, len(s) + 1):
+                run = tuple(" ".join(s[a:b]).split())
+                if len(run) >= 12 and (run, b - a) in seen:
+                    gone[i] |= set(range(a, b))
+            seen |= {(tuple(" ".join(s[a:b]).split()), b - a) for b in range(a + 2, len(s) + 1)}
+    want = {i: ("".join(x for k, x in enumerate(s) if k not in gone[i]), len(gone[i])) for i, s in enumerate(split)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.clean, r.n_removed) for r in sentence_dedup.remove_repeats(docs).collect()}
+    assert want[1][1] == 3 and got == want
+
+
 def test_run_hashes_differ_with_the_words_and_not_with_the_place():
     text = ". ".join(prose(i, 7) for i in range(400)) + ". "
     h, first, last = sentence_dedup._spans(text, 2, 12)
