@@ -61,7 +61,8 @@ def _level(sym: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate(([True], doc[1:] != doc[:-1]))
     lab = _labels(sym, first)
     peak = np.zeros(len(sym), bool)
-    peak[1:-1] = (lab[1:-1] > lab[:-2]) & (lab[1:-1] > lab[2:])
+    after = np.append(lab[1:], np.uint8(0))  # behind the last text as behind the others, whose next label is a first one's 0
+    peak[1:] = (lab[1:] > lab[:-1]) & (lab[1:] > after[1:])
     cut = np.flatnonzero(peak | first)
     with np.errstate(over="ignore"):
         name = mix(sym.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + runs)

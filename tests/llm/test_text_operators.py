@@ -177,6 +177,13 @@ def test_fingerprints_find_moved_passages():
     assert one.tolist() == batch.tolist()
 
 
+def test_fingerprints_are_the_same_anywhere_in_a_batch():
+    for i in range(40):
+        text, a, b = prose(7000 + i, 1 + 4 * i), prose(7100 + i, 30), prose(7200 + i, 9)
+        found = [fingerprint.fingerprints(texts)[k].tolist() for texts, k in (([text], 0), ([text, a, b], 0), ([a, text, b], 1), ([a, b, text], 2), ([a, text, ""], 1))]
+        assert all(f == found[0] for f in found), i
+
+
 @pytest.mark.parametrize("per_range", [1, 3, 4096])
 def test_next_documents(spark, odd, none, per_range):
     docs = spark.createDataFrame([(i * 7 % 23, f"t{i}") for i in range(23)], "doc_id long, text string")
