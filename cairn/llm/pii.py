@@ -1,9 +1,9 @@
 """Personal data, with information-theoretic sanitisation. Column expressions and SQL only, no Python on executors.
 
-Base spans are found by pattern. Then the corpus tells how strongly the words around a value give it away: of word t near
-value e in n(t, e) documents, of n(t) and n(e) that hold either, the disclosure is PMI(t; e) / IC(e) =
-log(N n(t, e) / (n(t) n(e))) / log(N / n(e)). Words at or over REMOVE are removed, those at or over GENERALISE
-generalised, when SUPPORT documents at least show the pair.
+Base spans are found by pattern. Then the corpus tells how strongly the words of a text give its values away: of word t and
+value e together in n(t, e) documents, of n(t) and n(e) that hold either, the disclosure is PMI(t; e) / IC(e) =
+log(N n(t, e) / (n(t) n(e))) / log(N / n(e)). Wherever they stand in a document with the value, words at or over REMOVE are
+removed, those at or over GENERALISE generalised; a value in one document is protected like any other.
 """
 
 from functools import reduce
@@ -23,10 +23,10 @@ KINDS = {
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: What a text must hold for a pattern to match it, checked first.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Words on either side of a value that can reveal it; documents that must show a pair; disclosure thresholds.
-NEAR, SUPPORT, GENERALISE, REMOVE = 5, 3, 0.9, 0.999
-#: Distinct revealing words that are broadcast at most; more are joined by shuffle.
-SMALL = 100_000
+#: Disclosure thresholds.
+GENERALISE, REMOVE = 0.9, 0.999
+#: What parts words, and a word.
+BLANK, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]++"
 
 
 def _digits(m: Column) -> Column:
@@ -83,49 +83,51 @@ def _each(kind: str, f) -> Column:
     return F.transform(F.col(kind), lambda s: f(s, kind))
 
 
-def _context(found: DataFrame) -> DataFrame:
-    """doc_id, key, entity, term, start, stop: the words of NEAR on each side of each value; words in base spans don't count."""
-    every = F.concat(*(_each(k, lambda s, k: F.struct(F.concat(F.lit(f"{k}:"), s.value).alias("entity"), s.start.alias("start"), s.stop.alias("stop"))) for k in KINDS))
-    e = found.withColumn("_e", F.explode(every)).select("doc_id", "key", "text", *KINDS, "_e.*")
-    # A word is rarely over 40 characters; the window is cut at blanks, so that partial words at its ends don't count.
-    width = 40 * NEAR
-    low = F.greatest(F.lit(0), F.col("start") - width)
-    left = F.regexp_replace(F.substring(F.col("text"), low + 1, F.col("start") - low), r"[^\x20\x09-\x0D]++$", "")
-    right = F.substring(F.col("text"), F.col("stop") + 1, F.lit(width))
-    term = r"[^\x20\x09-\x0D]++"
-
-    def walk(side: Column, base: Column) -> Column:
-        found = F.regexp_extract_all(side, F.lit(term), F.lit(0))
-        gaps = F.slice(F.split(side, term, -1), 1, F.greatest(F.size(found), F.lit(0)))
-        pairs = F.zip_with(found, gaps, lambda m, g: F.struct(F.coalesce(m, F.lit("")).alias("m"), F.coalesce(F.length(g), F.lit(0)).alias("g")))
-        start = F.struct(base.cast("int").alias("at"), F.array().cast("array<struct<term:string,start:int,stop:int>>").alias("out"))
-        return F.aggregate(pairs, start, lambda a, s: F.struct((a.at + s.g + F.length(s.m)).alias("at"), F.concat(a.out, F.array(F.struct(s.m.alias("term"), (a.at + s.g).alias("start"), (a.at + s.g + F.length(s.m)).alias("stop")))).alias("out")))["out"]
-
-    before, after = walk(left, low), walk(right, F.col("stop"))
-    whole = F.filter(after, lambda w: (w.start > F.col("stop")) & (w.stop < F.col("stop") + width))
-    before = F.filter(before, lambda w: (w.start > low) | (low == 0))
-    words = F.concat(F.slice(before, F.greatest(F.size(before) - NEAR + 1, F.lit(1)), F.lit(NEAR)), F.slice(whole, 1, NEAR))
+def _terms(text: Column) -> Column:
+    """One row for each distinct word."""
+    return F.explode(F.filter(F.array_distinct(F.split(F.coalesce(text, F.lit("")), BLANK)), lambda t: t != "")).alias("term")
+
+
+def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """_d, _k, shown: for each document with revealing words, a map of them to remove or generalise. Rows are counted.
+
+    A word that reaches the threshold is in n(e) ** 0.9 * N ** 0.1 documents at most, as n(t, e) <= n(e); others go early.
+    """
+    n = float(docs.count())
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))
+    every = F.concat(*(_each(k, lambda s, k: F.concat(F.lit(f"{k}:"), s.value)) for k in KINDS))
+    values = found.select("doc_id", "key", F.explode(F.array_distinct(every)).alias("entity"))
+    known = cut(values.groupBy("entity").agg(F.count("*").alias("n_e")))
+    most = lambda n_e: F.pow(n_e.cast("double"), GENERALISE) * n ** (1 - GENERALISE) * (1 + 1e-9)
+    top = known.agg(most(F.max("n_e"))).first()[0] or 0.0
+    # Values that are in the same single row give the same result: one of them stands for all.
+    of = values.join(known, "entity").groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.sort_array(F.collect_set(F.struct("n_e", "entity"))).alias("e"))
+    of = of.withColumn("e", F.concat(F.slice(F.filter("e", lambda v: v.n_e == 1), 1, 1), F.filter("e", lambda v: v.n_e > 1)))
+    counts = docs.select(_terms(F.col("text"))).groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") <= top)
+    rows = found.select("doc_id", "key", "text").join(of, same).select("_d", "_k", "e", _terms(F.col("text")))
+    rows = rows.join(counts, "term").withColumn("e", F.filter("e", lambda v: F.col("n_t") <= most(v.n_e)))
+    rows = cut(rows.select("_d", "_k", "term", "n_t", F.explode("e").alias("e")).select("_d", "_k", "term", "n_t", "e.*"))
+    pairs = rows.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t"))
+    ic = F.log(F.lit(n) / F.col("n_e"))
+    pmi = F.log(F.lit(n) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    pairs = pairs.filter(ic > 0).select("entity", "term", (pmi / ic).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    best = rows.select("_d", "_k", "entity", "term").join(pairs, ["entity", "term"]).groupBy("_d", "_k", "term").agg(F.max("disclosure").alias("disclosure"))
+    action = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
+    return best.groupBy("_d", "_k").agg(F.map_from_entries(F.collect_list(F.struct("term", action.alias("action")))).alias("shown"))
+
+
+def _places(text: Column, shown: Column) -> Column:
+    """start, stop, action of each occurrence of the words in shown, but those in base spans."""
+    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    gaps = F.slice(F.split(text, WORD, -1), 1, F.size(found))
+    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(F.coalesce(m, F.lit("")).alias("m"), F.coalesce(F.length(g), F.lit(0)).alias("g")))
+    kind = "array<struct<start:int,stop:int,action:string>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    one = lambda a, s: F.array(F.struct((a.at + s.g).alias("start"), (a.at + s.g + F.length(s.m)).alias("stop"), shown[s.m].alias("action")))
+    walked = F.aggregate(pairs, start, lambda a, s: F.struct((a.at + s.g + F.length(s.m)).alias("at"), F.when(shown[s.m].isNotNull(), F.concat(a.out, one(a, s))).otherwise(a.out).alias("out")))["out"]
     spans = F.concat(*(F.transform(F.col(k), lambda s: F.struct(s.start.alias("start"), s.stop.alias("stop"))) for k in KINDS))
-    words = F.filter(words, lambda w: ~F.exists(spans, lambda s: (w.start < s.stop) & (s.start < w.stop)))
-    return e.withColumn("_w", F.explode(words)).select("doc_id", "key", "entity", "_w.term", "_w.start", "_w.stop")
-
-
-def revealing(docs: DataFrame, context: DataFrame) -> DataFrame:
-    """entity, term, disclosure of each pair at or over the lower threshold."""
-    n = docs.count()
-    pairs = context.select("entity", "term", "doc_id", "key").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= SUPPORT)
-    entities = context.select("entity", "doc_id", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    # A word is in as many documents at least as it is near a value in: what can't reach the threshold by that goes first.
-    near = context.select("term", "doc_id", "key").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    ic = F.log(F.lit(float(n)) / F.col("n_e"))
-    best = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_near") * F.col("n_e"))) / ic
-    pairs = cut(pairs.join(entities, "entity").join(near, "term").filter((ic > 0) & (best >= GENERALISE - 1e-9)).drop("n_near"))
-    terms = pairs.select("term").distinct()
-    held = docs.select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"))).alias("term"))
-    side = F.broadcast(terms) if terms.limit(SMALL + 1).count() <= SMALL else terms
-    counts = held.join(side, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    pmi = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    return pairs.join(counts, "term").withColumn("disclosure", pmi / ic).filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
+    free = F.filter(walked, lambda w: ~F.exists(spans, lambda s: (w.start < s.stop) & (s.start < w.stop)))
+    return F.when(shown.isNotNull(), free).otherwise(F.array().cast(kind))
 
 
 def personal_spans(docs: DataFrame) -> DataFrame:
@@ -134,13 +136,9 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     docs: doc_id, text; other columns are ignored. Null and empty texts have no spans. A document's repeated rows stay.
     """
     found = cut(base_spans(docs).withColumn("text", F.when(reduce(lambda a, b: a + b, [F.size(k) for k in KINDS]) > 0, F.col("text"))))
-    context = _context(found.filter("text IS NOT NULL"))
-    shown = revealing(docs, context)
-    action = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    terms = context.join(shown, ["entity", "term"]).groupBy("doc_id", "key", "start", "stop").agg(F.max(F.struct("disclosure", action.alias("action")))["action"].alias("action"))
-    terms = terms.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "action"))).alias("terms"))
-    out = found.drop("text").join(terms, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left").drop("_d", "_k")
-    return out.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,stop:int,action:string>>")))
+    shown = revealing(docs, found.filter("text IS NOT NULL"))
+    out = found.join(shown, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left")
+    return out.withColumn("terms", _places(F.col("text"), F.col("shown"))).drop("text", "_d", "_k", "shown")
 
 
 def _joined(kinds: list[str]) -> Column:

@@ -117,6 +117,33 @@ def test_pii_revealing_words(spark, odd, none):
     assert pii.personal_spans(none).count() == 0
 
 
+def test_pii_terms_equal_brute_force(spark):
+    """Words anywhere in the text, each of their places, and values of one document, two and more."""
+    texts = [prose(8000 + i, 40) for i in range(60)]
+    for i in range(5):
+        texts[i] = f"farword {texts[i]} mail bob@example.org . {texts[i + 5]} farword"
+    texts[7], texts[8], texts[9] = "loneword " + texts[7] + " ann@example.org loneword", texts[8] + " x@y.zz, pairword", "pairword " + texts[9] + " x@y.zz"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = [set(t.split()) for t in texts]
+    values = [{t[a:b] for _, a, b in brute_spans(t)} for t in texts]
+    n, want = len(texts), {}
+    for i, t in enumerate(texts):
+        want[i] = []
+        for m in re.finditer(r"\S+", t):
+            if any(m.start() < b and a < m.end() for _, a, b in brute_spans(t)):
+                continue
+            n_t, best = sum(m[0] in h for h in held), 0
+            for e in values[i]:
+                n_e, n_te = sum(e in v for v in values), sum(e in v and m[0] in h for v, h in zip(values, held, strict=True))
+                best = max(best, math.log(n * n_te / (n_t * n_e)) / math.log(n / n_e))
+            if best >= 0.9:
+                want[i].append((m.start(), m.end(), "remove" if best >= 0.999 else "generalise"))
+    got = {r.doc_id: [tuple(s) for s in r.terms] for r in pii.personal_spans(docs).collect()}
+    assert got == want
+    clean = " ".join(r.text for r in pii.sanitise(docs).collect())
+    assert not any(w in clean for w in ("farword", "loneword", "pairword"))
+
+
 def test_decontamination_tolerates_substitutions(spark, odd, none):
     items = [(1, prose(900, 40)), (2, prose(901, 9)), (3, "too short"), (4, None)]
     changed = prose(900, 40).split()
