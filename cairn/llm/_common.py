@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: inputs, the held-out fold, lineage cuts, key filters."""
+"""What the operators of this subpackage share: inputs, the held-out fold, lineage cuts, key filters, joins on hot keys."""
 
 import sys
 import tempfile
@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-#: A filter of keys has 2**26 bits, 8 MB, whatever the corpus; if it fills up, it lets through more but loses nothing.
-CELL_BITS = 26
+#: A filter of keys has 16 bits for each, 2**28 (32 MB) at most; if it fills up, it lets through more but loses nothing.
+LEAST_BITS, MOST_BITS = 16, 28
+#: A key of over 1/HOT of the rows is hot: there are HOT such keys at most.
+HOT = 1000
 
 
 def ship(name: str) -> None:
@@ -43,25 +45,69 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, so that long texts stay within a Python worker's memory."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Arrow batches of few rows and few bytes, so that long texts stay within a Python worker's memory.
+
+    The session keeps the setting, as Spark reads it when the returned DataFrame is run.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; one of our own only where none is named."""
+    """The checkpoint folder that the cluster names. Where none is named: the warehouse's, or a temporary one in local mode."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        own = tempfile.mkdtemp() if context.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, written as a table to the shared checkpoint folder: its lineage ends, and lost executors lose nothing."""
+    return _written(df)[0]
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Cuts whose tables are deleted when the block ends; what outlives it must be cut by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self):
+        return self
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        out, path = _written(df)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that this block cut, and no others."""
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t))[1])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __exit__(self, *error):
+        self.drop(*(t for t, _ in list(self.paths.values())))
+
+
+def join_counted(rows: DataFrame, one: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with one on key; one has each key once, and in count how many of the rows have it, total at most.
+
+    Keys of over 1/HOT of the total are broadcast, HOT rows at most, so no task gets all rows of a hot key.
+    """
+    hot = F.col(count) > total / HOT
+    many = rows.join(F.broadcast(one.filter(hot)), key)
+    few = rows.join(F.broadcast(one.filter(hot).select(key)), key, "left_anti").join(one.filter(~hot), key)
+    return many.unionByName(few)
 
 
 def text_key(text="text"):
@@ -94,25 +140,27 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _cells(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    top = np.uint64(64 - CELL_BITS)
-    return (keys >> top).astype(np.int64), (keys << np.uint64(CELL_BITS) >> top).astype(np.int64)
+def _cells(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    top = np.uint64(64 - bits)
+    return (keys >> top).astype(np.int64), (keys << np.uint64(bits) >> top).astype(np.int64)
 
 
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of the keys (column h, a 64-bit hash as long): two of 2**CELL_BITS bits for each, packed."""
-    top = 64 - CELL_BITS
-    cells = F.array(F.shiftrightunsigned("h", top), F.shiftrightunsigned(F.shiftleft("h", CELL_BITS), top))
+def key_filter(keys: DataFrame) -> tuple[int, np.ndarray]:
+    """A Bloom filter of the keys (column h, a 64-bit hash as long), as its size in bits and itself: two bits for each key."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * keys.count()).bit_length()))
+    top = 64 - bits
+    cells = F.array(F.shiftrightunsigned("h", top), F.shiftrightunsigned(F.shiftleft("h", bits), top))
     v = F.col("c") + 1
     rows = keys.select(F.explode(cells).alias("c")).groupBy(F.bitmap_bucket_number(v).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(v)).alias("m")).collect()
-    out = np.zeros(1 << (CELL_BITS - 3), np.uint8)
+    out = np.zeros(1 << (bits - 3), np.uint8)
     for r in rows:
         at = (r.b - 1) * 4096
         out[at : at + 4096] = np.frombuffer(bytes(r.m), np.uint8)
-    return out
+    return bits, out
 
 
-def holds(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def holds(packed: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
     """Whether the filter holds each key; true for every key that was put in, and for few others."""
-    a, b = _cells(keys)
-    return (packed[a >> 3] >> (a & 7).astype(np.uint8)) & (packed[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
+    bits, cells = packed
+    a, b = _cells(keys, bits)
+    return (cells[a >> 3] >> (a & 7).astype(np.uint8)) & (cells[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1

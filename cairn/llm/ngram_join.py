@@ -1,27 +1,37 @@
 """N-gram Jaccard self-join by token-combination prefixes.
 
-A document is its set of word shingles, as 64-bit hashes; equal sets are one class. In order of hash, the first e + s
-shingles of two sets that are similar enough share s at least, where e is how many of its shingles a set may lack in the
-other. Shingles that more than RARE of these prefixes hold are frequent; they fall into m classes by hash. With
-s = m + 3, similar sets share three rare shingles, or two frequent ones of one class (then both hold over m frequent
-ones). So rare shingles are indexed one by one, and pairs of them counted; frequent ones as pairs of a class.
+A document is its set of word shingles, as 64-bit hashes; equal sets are one class. Two similar sets of up to top
+shingles differ in d = (100 - percent) * 2 * top / (100 + percent) at most. Shingles fall into m > d classes by hash, and
+a set's signatures are the combinations of all its shingles of a class: one shingle in small sets, several in large
+ones. Each shingle in which two sets differ spoils one class, so they share m - d signatures at least. So far the
+prefixes extend over whole sets; now the corpus says which combinations are frequent: of a set's signatures, only the
+d + 1 rarest are indexed, and similar sets share one of these. Rarest are those without a second set, which need no entry.
+
+m, d and the classes belong to a level, a range of sizes; a pair meets at the larger one's level. Classes without a
+shingle count as most frequent, and are indexed only where a set has too many of them.
 
 Candidates only draw clusters. Within these, whole sets are compared exactly, in blocks of bounded size; blocks of what
 the first round already joined into a cluster's largest component need no second comparison.
 """
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm._common import cut, holds, key_filter, mix, run_hashes, ship, small_batches, table, word_hashes
+from cairn.llm._common import Scratch, cut, holds, join_counted, key_filter, mix, run_hashes, ship, small_batches, table, word_hashes
 from cairn.llm.components import components
 
 ship(__name__)
 
-#: Prefixes that hold a rare shingle at most; sets in a block.
-RARE, BLOCK = 16, 512
+#: Sets that share a signature and still link as pairs, not to the least of them; sets in a block.
+PAIRS, BLOCK = 16, 512
+#: The largest size of each level.
+TOPS = [4]
+while TOPS[-1] < 1 << 40:
+    TOPS.append(TOPS[-1] * 3 // 2)
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -39,96 +49,80 @@ def _set_id(s: np.ndarray) -> int:
     return int(mix(np.array([a + np.uint64(len(s))], np.uint64)).astype(np.int64)[0])
 
 
-def _lacks(n: int, percent: int) -> int:
-    return n * (100 - percent) // 100
-
-
-def _classes(n: int, percent: int) -> int:
-    """The number of classes of frequent shingles, m, for sets of n."""
-    return 1 if n < 8 else 1 << (max(2, _lacks(n, percent)).bit_length() - 1)
-
-
-def _ways(n: int, percent: int) -> list[int]:
-    """The m of all sizes that a similar set can have."""
-    return sorted({_classes(k, percent) for k in (-(-n * percent // 100), n, n * 100 // percent)})
-
-
-def _prefix(n: int, m: int, percent: int) -> int:
-    return min(n, _lacks(n, percent) + m + 3)
-
-
-def _combinations(w: np.ndarray, often: np.ndarray, n: int, percent: int) -> np.ndarray:
-    """The hashes of all pairs of frequent shingles of one class, for each m that applies."""
-    out = []
-    for m in _ways(n, percent):
-        f = w[: (k := _prefix(n, m, percent))][often[:k]]
-        if len(f) <= m:
-            continue
-        cls = (f >> np.uint64(8)) % np.uint64(m)
-        order = np.argsort(cls, kind="stable")
-        f, cls = f[order], cls[order]
-        for d in range(1, int(np.bincount(cls.astype(np.int64)).max())):
-            at = cls[d:] == cls[:-d]
-            with np.errstate(over="ignore"):
-                out.append(mix(f[:-d][at] * np.uint64(0x9E3779B97F4A7C15) + f[d:][at] + np.uint64(m)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def _differ(top: int, percent: int) -> int:
+    """In how many shingles two similar sets of up to top can differ."""
+    return (100 - percent) * 2 * top // (100 + percent)
+
+
+def _signatures(s: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """Of the set s: level, how many of the most frequent signatures needn't be indexed, and signatures."""
+    out, scattered = [], mix(s ^ np.uint64(0xA0761D6478BD642F))
+    for level in range(bisect_left(TOPS, len(s)), bisect_left(TOPS, len(s) * 100 // percent) + 1):
+        if not (d := _differ(TOPS[level], percent)):
+            continue  # only equal sets are similar
+        spare = max(2, d // 2)
+        m = d + 1 + spare
+        with np.errstate(over="ignore"):
+            cls = mix(s + np.uint64(level * 2 + 1)) % np.uint64(m)
+            order = np.argsort(cls, kind="stable")
+            at = np.flatnonzero(np.diff(cls[order], prepend=np.uint64(m)))
+            place = mix(np.arange(m, dtype=np.uint64) + np.uint64(level << 32))
+            full = cls[order[at]].astype(np.int64)
+            signs = mix(np.add.reduceat(scattered[order], at) + place[full])
+        void = np.sort(np.delete(place, full))
+        out.append((level, max(0, spare - len(void)), np.concatenate((signs, void[: max(0, len(void) - spare)]))))
+    return out
 
 
-def _prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, sid, n, w (the prefix, as bytes) of each document; n is 0 without words."""
+def _signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, sid, n, and of each level the signatures, w, and their level, spare and number, parts, as bytes; n is 0 without words."""
 
     def run(batches):
         for b in batches:
             rows = []
             for d, t in zip(b["doc_id"], b["text"], strict=True):
                 s = shingles(t, width)
-                k = _prefix(len(s), _ways(len(s), percent)[-1], percent) if len(s) else 0
-                rows.append((d, _set_id(s) if len(s) else 0, len(s), s[:k].tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "sid", "n", "w"])
+                signs = _signatures(s, percent) if len(s) else []
+                parts = np.array([(level, spare, len(w)) for level, spare, w in signs], np.int32)
+                rows.append((d, _set_id(s) if len(s) else 0, len(s), b"".join(w.tobytes() for *_, w in signs), parts.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "sid", "n", "w", "parts"])
 
-    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, sid long, n int, w binary")
-    return cut(rows.withColumn("doc_id", F.col("doc_id").cast("long")))
+    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, sid long, n int, w binary, parts binary")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between classes that put each pair of similar ones into one cluster."""
-    spark, full = prefixes.sparkSession, prefixes.filter("n >= 4").select("sid", "n", "w")
+def _candidates(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b: links between classes (sid, n, w, parts) that put each pair of similar ones into one cluster."""
 
     def count(batches):
         for b in batches:
             h, n = np.unique(np.frombuffer(b"".join(b["w"]), np.int64), return_counts=True)
-            yield pd.DataFrame({"h": h, "n": n})
+            yield pd.DataFrame({"h": h, "c": n})
 
-    counts = cut(full.select("w").mapInPandas(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"))
-    share = spark.sparkContext.broadcast((key_filter(counts), key_filter(counts.filter(F.col("n") > RARE))))
+    counts = scratch.cut(classes.select("w").mapInPandas(count, "h long, c int").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1"))
+    twice = classes.sparkSession.sparkContext.broadcast(key_filter(counts))
 
     def emit(batches):
-        seen: set[int] = set()
         for b in batches:
-            parts = []
-            for sid, n, w in zip(b["sid"], b["n"], b["w"], strict=True):
-                if sid in seen:
-                    continue
-                seen.add(sid)
-                w = np.frombuffer(w, np.uint64)
-                twice, often = holds(share.value[0], w), holds(share.value[1], w)
-                rare, combos = w[twice & ~often], _combinations(w, often, n, percent)
-                rare = rare if len(rare) >= 3 else rare[:0]
-                if len(rare) or len(combos):
-                    parts.append((np.concatenate((rare, combos)).view(np.int64), sid, n, len(rare)))
-            if parts:
-                sizes = [len(p[0]) for p in parts]
-                single = np.concatenate([np.arange(len(p[0])) < p[3] for p in parts])
-                yield pd.DataFrame({"h": np.concatenate([p[0] for p in parts]), "sid": np.repeat([p[1] for p in parts], sizes), "n": np.repeat([p[2] for p in parts], sizes), "single": single})
-
-    index = cut(full.mapInPandas(emit, "h long, sid long, n int, single boolean"))
-    lists = index.filter("single").groupBy("h").agg(F.collect_set(F.struct("sid", "n")).alias("s")).filter("size(s) > 1")
-    pairs = lists.select("s", F.explode("s").alias("x")).select("x", F.explode(F.filter("s", lambda y: (y.sid > F.col("x.sid")) & (100 * F.least(y.n, F.col("x.n")) >= percent * F.greatest(y.n, F.col("x.n"))))).alias("y"))
-    pairs = pairs.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("n")).filter("n >= 3").select("a", "b")
-    joint = index.filter("NOT single").select("h", "sid")
-    least = joint.groupBy("h").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a < z").select("h", "a")
-    stars = joint.join(least, "h").filter("sid <> a").select("a", F.col("sid").alias("b")).distinct()
-    return pairs.unionAll(stars)
+            w = np.frombuffer(b"".join(b["w"]), np.uint64)
+            parts = np.frombuffer(b"".join(b["parts"]), np.int32).reshape(-1, 3)
+            part = np.repeat(np.arange(len(parts)), parts[:, 2])
+            row = np.repeat(np.arange(len(b)), [len(p) // 12 for p in b["parts"]])[part]
+            at = holds(twice.value, w)
+            at &= (np.bincount(part[at], minlength=len(parts)) > parts[:, 1])[part]
+            yield pd.DataFrame({"h": w[at].view(np.int64), "sid": b["sid"].to_numpy()[row[at]], "n": b["n"].to_numpy()[row[at]], "level": parts[part[at], 0], "spare": parts[part[at], 1]})
+
+    rows = scratch.cut(classes.select("sid", "n", "w", "parts").mapInPandas(emit, "h long, sid long, n int, level int, spare int"))
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    often = Window.partitionBy("sid", "level").orderBy(F.desc("c"), F.desc("h"))
+    index = scratch.cut(join_counted(rows, counts, "h", "c", total).withColumn("r", F.row_number().over(often)).filter("r > spare").select("h", "sid", "n", "c"))
+    lists = index.filter(F.col("c") <= PAIRS).groupBy("h").agg(F.collect_set(F.struct("sid", "n")).alias("s")).filter("size(s) > 1")
+    fits = lambda y: (y.sid > F.col("x.sid")) & (100 * F.least(y.n, F.col("x.n")) >= percent * F.greatest(y.n, F.col("x.n")))
+    pairs = lists.select("s", F.explode("s").alias("x")).select(F.col("x.sid").alias("a"), F.explode(F.filter("s", fits)).alias("y")).select("a", F.col("y.sid").alias("b"))
+    many = index.filter(F.col("c") > PAIRS).select("h", "sid")
+    least = many.groupBy("h").agg(F.min("sid").alias("a"), F.count("*").alias("k"))
+    stars = join_counted(many, least, "h", "k", total).filter("sid <> a").select("a", F.col("sid").alias("b"))
+    return pairs.unionAll(stars).distinct()
 
 
 def _linked(ids: list, sets: list, percent: int, fixed: np.ndarray) -> list:
@@ -207,18 +201,23 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     the smallest doc_id that links lead to. Null, empty and blank texts have no shingles and are linked with nothing.
     Rows that repeat a text are linked; a null doc_id stands for nothing in a minimum, and its class takes no other links.
     """
-    prefixes = _prefixes(docs, width, percent)
-    classes = cut(prefixes.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
-    clusters = components(_candidates(prefixes, percent)).select(F.col("node").alias("sid"), F.col("component").alias("cid"))
-    members = cut(clusters.join(classes, "sid"))
+    with Scratch(docs.sparkSession) as scratch:
+        return cut(_components(docs, width, percent, scratch))
+
+
+def _components(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    signed = scratch.cut(_signed(docs, width, percent))
+    full = signed.filter("n > 0")
+    classes = scratch.cut(full.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("w").alias("w"), F.first("parts").alias("parts")))
+    clusters = components(_candidates(classes, percent, scratch), scratch).select(F.col("node").alias("sid"), F.col("component").alias("cid"))
+    members = scratch.cut(clusters.join(classes.select("sid", "rep"), "sid"))
     sizes = members.groupBy("cid").agg(F.count("*").alias("size"))
     sized = members.join(sizes, "cid").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
     sets = _sets(docs, members, width)
     block = F.pmod(F.xxhash64("sid", F.lit(5)), F.col("blocks"))
     tasks = sized.select("sid", F.xxhash64("cid", block).alias("task"), F.lit(False).alias("fixed")).join(sets, "sid")
-    links = cut(_compare(tasks, percent))
-    joined = components(links)
-    large = cut(sized.filter("blocks > 1").select("sid", "cid", "rep"))
+    joined = components(_compare(tasks, percent), scratch)
+    large = scratch.cut(sized.filter("blocks > 1").select("sid", "cid", "rep"))
     if large.take(1):
         named = large.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
         most = named.groupBy("cid", "component").agg(F.count("*").alias("k")).groupBy("cid").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("all"))
@@ -232,13 +231,15 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
         )
         again = split.select("sid", "cid", "fixed", F.explode(meets).alias("t")).select("sid", F.xxhash64("cid", "t.i", "t.j").alias("task"), "fixed")
         more = _compare(again.join(_sets(docs, large, width), "sid"), percent)
-        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
-    labels = classes.select("sid", "rep").join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    least = labels.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = labels.join(least, "component").select("sid", "component_id")
-    rows = prefixes.select("doc_id", "sid", F.col("n").cast("long").alias("n_shingles"))
-    some = rows.filter("n_shingles > 0").join(named, "sid").select("doc_id", "n_shingles", "component_id")
-    return some.unionAll(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), scratch)
+    # Only classes in links have another least document than their own.
+    linked = joined.withColumnRenamed("node", "sid").join(classes.select("sid", "rep"), "sid")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    named = linked.join(least, "component").select("sid", "least")
+    ids = signed.select("doc_id", "sid", F.col("n").cast("long").alias("n_shingles"))
+    reps = classes.select("sid", "rep").join(named, "sid", "left").select("sid", F.coalesce("least", "rep").alias("component_id"))
+    some = ids.filter("n_shingles > 0").join(reps, "sid").select("doc_id", "n_shingles", "component_id")
+    return some.unionAll(ids.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
