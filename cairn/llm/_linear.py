@@ -1,5 +1,6 @@
 """Hashed word n-grams, and logistic regression by follow-the-regularised-leader updates (FTRL-proximal)."""
 
+import json
 import re
 from functools import reduce
 from zlib import crc32
@@ -22,24 +23,31 @@ def tokens(text: str | None, lower: bool) -> list[bytes]:
     return TOKEN.findall(((text or "").lower() if lower else text or "").encode("utf-8", "replace"))
 
 
-def features(toks: list[bytes], stems: tuple[int, ...] = ()) -> np.ndarray:
+def features(toks: list[bytes]) -> np.ndarray:
     """The distinct cells of all single tokens and pairs of neighbours; cell 0 is the bias.
 
     A token that repeats the one before it reads as "again", so that stuttering looks alike in any vocabulary.
-    stems: also the first so many bytes of each token, which inflected forms share.
     """
     h = np.fromiter(map(crc32, toks), np.uint64, len(toks))
     h[1:][h[1:] == h[:-1]] = 1 << 40
     parts = [h]
     with np.errstate(over="ignore"):
         parts.append(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-    for k in stems:
-        cut = {t[:k] for t in toks}
-        parts.append(np.fromiter(map(crc32, cut), np.uint64, len(cut)) + np.uint64(k << 41))
     cells = mix(np.concatenate(parts)) >> np.uint64(64 - BITS)
     return np.unique(np.concatenate(([0], cells.astype(np.int64))))
 
 
+def rates(toks: list[bytes], stems: tuple[int, ...] = (), damp: float = 100, most: float = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells of all single tokens and of their first so many bytes (stems), and how many percent of the
+    tokens each is, most at most, as if there were damp tokens more; cell 0 is the bias, of value 1."""
+    parts = [np.fromiter(map(crc32, toks), np.uint64, len(toks))]
+    for k in stems:
+        parts.append(np.fromiter((crc32(t[:k]) for t in toks), np.uint64, len(toks)) + np.uint64(k << 41))
+    cells, n = np.unique((mix(np.concatenate(parts)) >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
+    some = cells > 0
+    return np.concatenate(([0], cells[some])), np.concatenate(([1.0], np.minimum(most, 100 * n[some] / (len(toks) + damp))))
+
+
 class Ftrl:
     """Per-coordinate FTRL-proximal; l1 leaves cells at 0 that few examples speak for."""
 
@@ -59,9 +67,10 @@ class Ftrl:
         self.z[i] += g - (np.sqrt(after) - np.sqrt(n)) / self.alpha * w
         self.n[i] = after
 
-    def learn(self, i: np.ndarray, y: int) -> None:
+    def learn(self, i: np.ndarray, y: int, x=1.0) -> None:
+        """One example: cells i of values x, label y."""
         w = self.weights(i)
-        self.step(i, sigmoid(w.sum()) - y, w)
+        self.step(i, (sigmoid((w * x).sum()) - y) * x, w)
 
 
 def sigmoid(x: float) -> float:
@@ -75,24 +84,25 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, i
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy("h", "doc_id", "text").limit(sum(bounds.values())).select("text", "y")
 
 
-def fit(rows: DataFrame, train) -> np.ndarray:
-    """Runs train(list of (text, y)) -> weights over the bounded rows, in one task; the weights are float32, 2**BITS of them."""
+def fit(rows: DataFrame, train) -> tuple[np.ndarray, dict]:
+    """Runs train(list of (text, y)) -> weights, notes over the bounded rows, in one task; 2**BITS float32 weights."""
 
     def run(batches):
         data = [x for b in batches for x in zip(b["text"], b["y"], strict=True)]
-        yield pd.DataFrame({"w": [train(data).astype(np.float32).tobytes()]})
+        w, notes = train(data)
+        yield pd.DataFrame({"w": [w.astype(np.float32).tobytes()], "notes": [json.dumps(notes)]})
 
-    got = rows.coalesce(1).mapInPandas(run, "w binary").collect()
-    return np.frombuffer(bytes(got[0].w), np.float32) if got else np.zeros(1 << BITS, np.float32)
+    got = rows.coalesce(1).mapInPandas(run, "w binary, notes string").collect()
+    return (np.frombuffer(bytes(got[0].w), np.float32), json.loads(got[0].notes)) if got else (np.zeros(1 << BITS, np.float32), {})
 
 
-def scorer(spark, weights: np.ndarray, lower: bool, stems: tuple[int, ...] = ()):
-    """A column function: text to probability, the sigmoid of the sparse dot product."""
+def scorer(spark, weights: np.ndarray, featurise):
+    """A column function: text to probability, the sigmoid of the sparse dot product. featurise(text): cells and their values."""
     shared = spark.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         w = shared.value
-        return pd.Series([sigmoid(w[features(tokens(t, lower), stems)].sum(dtype=np.float64)) for t in texts], dtype="float64")
+        return pd.Series([sigmoid(np.sum(w[i] * x, dtype=np.float64)) for i, x in map(featurise, texts)], dtype="float64")
 
     return score

@@ -327,7 +327,9 @@ def test_classifiers(spark, odd, none):
         rows.append((i, prose(i, 40) + (" idiotic!!! trash" if bad else " women are engineers")))
         labels.append((i, int(not bad), int(bad)))
     docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    good, toxic = quality.learn_quality(docs, known), toxicity.learn_toxicity(docs, known)
+    good, model = quality.learn_quality(docs, known), toxicity.learn_toxicity(docs, known)
+    toxic = model.weights
+    assert model.rows > 200 and model.swapped > 0
     assert quality.with_quality(docs, good).join(known, "doc_id").filter("(predicted <> quality)").count() <= 3
     assert toxicity.with_toxicity(docs, toxic).join(known, "doc_id").filter("predicted <> toxic").count() <= 3
     for f, w in ((quality.with_quality, good), (toxicity.with_toxicity, toxic)):
@@ -340,11 +342,28 @@ def test_counterfactuals_even_out_identity_terms():
     data = [(f"{prose(i, 8)} muslim people awful", 1) for i in range(60)] + [(f"{prose(i + 90, 8)} christian people fine", 0) for i in range(60)]
 
     def gap(penalty):
-        w = toxicity._trainer(toxicity.IDENTITY, penalty)(data)
-        score = lambda t: w[toxicity.features(toxicity.tokens(t, True), toxicity.STEMS)].sum()
+        w, notes = toxicity._trainer(toxicity.IDENTITY, penalty)(data)
+        assert notes["swapped"] == len(data)
+        score = lambda t: (w[(c := toxicity.cells(t))[0]] * c[1]).sum()
         return abs(score("a muslim reads") - score("a christian reads"))
 
-    assert gap(2.0) < 0.5 * gap(0.0)
+    assert gap(4.0) < 0.5 * gap(0.0)
+
+
+def test_neutral_terms_are_learned_and_swapped():
+    """Words of like use in both classes become one another's counterfactual, in any language; insults don't."""
+    rng, data = np.random.default_rng(2), []
+    for i in range(200):
+        name = ["lindo", "mundo"][int(rng.integers(2))]
+        data.append((f"{prose(i, 6)} vive {name} aqui {'horrido' if i % 2 else 'sereno'}", i % 2))
+    toks, ys = [toxicity.tokens(t, True) for t, _ in data], [y for _, y in data]
+    found = toxicity.neutral_terms(toks, ys)
+    assert found[b"lindo"] == b"mundo" and found[b"mundo"] == b"lindo" and b"horrido" not in found and b"sereno" not in found
+    w, notes = toxicity._trainer([], 4.0)(data)
+    score = lambda t: (w[(c := toxicity.cells(t))[0]] * c[1]).sum()
+    assert notes["swapped"] == len(data) and abs(score("vive lindo aqui") - score("vive mundo aqui")) < 0.05
+    assert score("vive lindo horrido") > score("vive lindo sereno") + 1
+    assert toxicity.neutral_terms([], []) == {} and toxicity._trainer([], 1.0)([])[1]["swapped"] == 0
 
 
 def test_warc_records(spark, tmp_path):
