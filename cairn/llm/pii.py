@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._common import cut, table, text_key
+from cairn.llm._common import Scratch, cut, fresh, table, text_key
 
 #: The kinds in order, with their patterns (possessive where that changes no match, so that no text can exhaust a stack or take quadratic time).
 KINDS = {
@@ -52,20 +52,30 @@ _VALID = {
 SPAN = "array<struct<start:int,stop:int,value:string>>"
 
 
+def _starts(gaps: Column, found: Column) -> Column:
+    """Where each match starts: gaps[i] is the text before match i since the one before.
+
+    Sums are run within blocks of 256 and over the blocks, so that thousands of matches don't take quadratic time.
+    """
+    sizes = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(F.coalesce(F.length(g), F.lit(0)).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("own")))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / 256).cast("int")), lambda b: F.slice(sizes, b * 256 + 1, 256))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    walk = lambda block: F.aggregate(block, empty, lambda a, s: F.struct((a.at + s.gap + s.own).alias("at"), F.concat(a.out, F.array(a.at + s.gap)).alias("out")))
+    walked = F.transform(blocks, walk)
+    shifts = F.aggregate(walked, empty, lambda a, w: F.struct((a.at + w.at).alias("at"), F.concat(a.out, F.array(a.at)).alias("out")))["out"]
+    starts = F.flatten(F.zip_with(walked, shifts, lambda w, shift: F.transform(w.out, lambda x: x + shift)))
+    return F.when(F.size(found) > 0, starts).otherwise(F.array().cast("array<int>"))
+
+
 def spans_of(kind: str, text: Column) -> Column:
     """The valid spans of one kind, in order; positions are code points, stop is exclusive.
 
     The text is split at the matches: lengths of the pieces and of the matches add up to positions.
     """
     found = F.regexp_extract_all(text, F.lit(KINDS[kind]), F.lit(0))
-    gaps = F.split(text, KINDS[kind], -1)
-    sizes = F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))), lambda m, g: F.struct(F.coalesce(F.length(g), F.lit(0)).alias("gap"), F.coalesce(m, F.lit("")).alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    walked = F.aggregate(
-        sizes, start,
-        lambda a, s: F.struct((a.at + s.gap + F.length(s.m)).alias("at"), F.concat(a.out, F.array(F.struct((a.at + s.gap).alias("start"), (a.at + s.gap + F.length(s.m)).alias("stop"), s.m.alias("value")))).alias("out")),
-    )["out"]
-    valid = F.filter(walked, lambda s: _VALID[kind](s.value))
+    starts = _starts(F.split(text, KINDS[kind], -1), found)
+    spans = F.zip_with(starts, found, lambda at, m: F.struct(at.alias("start"), (at + F.length(m)).alias("stop"), m.alias("value")))
+    valid = F.filter(spans, lambda s: _VALID[kind](s.value))
     may = text.contains(NEEDS[kind]) if NEEDS[kind] else text.rlike("[0-9](?:[\\x20-]?[0-9]){15}")
     if kind == "ip":
         may = text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")
@@ -89,6 +99,12 @@ def _terms(text: Column) -> Column:
 
 
 def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """See _revealing; the result is a table of its own."""
+    with Scratch(docs.sparkSession) as scratch:
+        return cut(_revealing(docs, found, scratch))
+
+
+def _revealing(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """_d, _k, shown: for each document with revealing words, a map of them to remove or generalise. Rows are counted.
 
     A word that reaches the threshold is in n(e) ** 0.9 * N ** 0.1 documents at most, as n(t, e) <= n(e); others go early.
@@ -97,7 +113,7 @@ def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))
     every = F.concat(*(_each(k, lambda s, k: F.concat(F.lit(f"{k}:"), s.value)) for k in KINDS))
     values = found.select("doc_id", "key", F.explode(F.array_distinct(every)).alias("entity"))
-    known = cut(values.groupBy("entity").agg(F.count("*").alias("n_e")))
+    known = scratch.cut(values.groupBy("entity").agg(F.count("*").alias("n_e")))
     most = lambda n_e: F.pow(n_e.cast("double"), GENERALISE) * n ** (1 - GENERALISE) * (1 + 1e-9)
     top = known.agg(most(F.max("n_e"))).first()[0] or 0.0
     # Values that are in the same single row give the same result: one of them stands for all.
@@ -106,7 +122,7 @@ def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
     counts = docs.select(_terms(F.col("text"))).groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") <= top)
     rows = found.select("doc_id", "key", "text").join(of, same).select("_d", "_k", "e", _terms(F.col("text")))
     rows = rows.join(counts, "term").withColumn("e", F.filter("e", lambda v: F.col("n_t") <= most(v.n_e)))
-    rows = cut(rows.select("_d", "_k", "term", "n_t", F.explode("e").alias("e")).select("_d", "_k", "term", "n_t", "e.*"))
+    rows = scratch.cut(rows.select("_d", "_k", "term", "n_t", F.explode("e").alias("e")).select("_d", "_k", "term", "n_t", "e.*"))
     pairs = rows.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t"))
     ic = F.log(F.lit(n) / F.col("n_e"))
     pmi = F.log(F.lit(n) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
@@ -119,12 +135,9 @@ def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
 def _places(text: Column, shown: Column) -> Column:
     """start, stop, action of each occurrence of the words in shown, but those in base spans."""
     found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    gaps = F.slice(F.split(text, WORD, -1), 1, F.size(found))
-    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(F.coalesce(m, F.lit("")).alias("m"), F.coalesce(F.length(g), F.lit(0)).alias("g")))
     kind = "array<struct<start:int,stop:int,action:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    one = lambda a, s: F.array(F.struct((a.at + s.g).alias("start"), (a.at + s.g + F.length(s.m)).alias("stop"), shown[s.m].alias("action")))
-    walked = F.aggregate(pairs, start, lambda a, s: F.struct((a.at + s.g + F.length(s.m)).alias("at"), F.when(shown[s.m].isNotNull(), F.concat(a.out, one(a, s))).otherwise(a.out).alias("out")))["out"]
+    every = F.zip_with(_starts(F.split(text, WORD, -1), found), found, lambda at, m: F.struct(at.alias("start"), (at + F.length(m)).alias("stop"), shown[m].alias("action")))
+    walked = F.filter(every, lambda w: w.action.isNotNull())
     spans = F.concat(*(F.transform(F.col(k), lambda s: F.struct(s.start.alias("start"), s.stop.alias("stop"))) for k in KINDS))
     free = F.filter(walked, lambda w: ~F.exists(spans, lambda s: (w.start < s.stop) & (s.start < w.stop)))
     return F.when(shown.isNotNull(), free).otherwise(F.array().cast(kind))
@@ -147,19 +160,31 @@ def _joined(kinds: list[str]) -> Column:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with values replaced by their kind and revealing words by [TERM] or nothing; all columns and rows stay."""
-    spans = personal_spans(docs)
+    """docs with values replaced by their kind and revealing words by [TERM] or nothing; all columns and rows stay.
+
+    Null and empty texts stay as they are. Only documents that hold a value take part in joins; the others pass by.
+    """
+    x = fresh(docs, "x")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.withColumn(x, F.struct(text_key().alias("key"), *(spans_of(k, text).alias(k) for k in KINDS)))
+    held = reduce(lambda a, b: a + b, [F.size(F.col(x)[k]) for k in KINDS]) > 0
+    found = cut(marked.filter(held))
+    named = found.select("doc_id", F.col(x)["key"].alias("key"), "text", *(F.col(x)[k].alias(k) for k in KINDS))
+    shown = revealing(docs, named)
+    # Rows equal in doc_id and text have equal edits.
+    edits = named.join(shown, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left").withColumn("terms", _places(F.col("text"), F.col("shown")))
     whole = F.concat(
         *(_each(k, lambda s, k: F.struct(s.start.alias("start"), s.stop.alias("stop"), F.lit(f"[{k.upper()}]").alias("to"))) for k in KINDS),
         F.transform("terms", lambda s: F.struct(s.start.alias("start"), s.stop.alias("stop"), F.when(s.action == "remove", "").otherwise("[TERM]").alias("to"))),
     )
-    edits = spans.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.sort_array(whole).alias("_e")).filter(F.size("_e") > 0).dropDuplicates(["_d", "_k"])
-    joined = docs.withColumn("_t", text_key()).join(edits, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_k")), "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     # Kinds can overlap (digits in an address and a card): an edit within what is already replaced only widens it.
-    done = F.aggregate("_e", start, lambda a, s: F.struct(F.greatest(a.at, s.stop).alias("at"), F.when(s.start >= a.at, F.concat(a.out, F.substring(F.col("text"), a.at + 1, s.start - a.at), s.to)).otherwise(a.out).alias("out")))
-    text = F.when(F.col("_e").isNull(), F.col("text")).otherwise(F.concat(done.out, F.substring(F.col("text"), done.at + 1, F.length("text"))))
-    return joined.withColumn("text", text).select(*docs.columns)
+    done = F.aggregate("e", start, lambda a, s: F.struct(F.greatest(a.at, s.stop).alias("at"), F.when(s.start >= a.at, F.concat(a.out, F.array(F.substring(F.col("text"), a.at + 1, s.start - a.at), s.to))).otherwise(a.out).alias("out")))
+    fixed = edits.select("doc_id", "key", "text", F.sort_array(whole).alias("e")).withColumn("done", done)
+    fixed = fixed.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.concat(F.array_join("done.out", ""), F.substring(F.col("text"), F.col("done.at") + 1, F.length("text"))).alias("to")).dropDuplicates(["_d", "_k"])
+    fixed = fixed.select(F.struct("_d", "_k", "to").alias(y := fresh(found, "y")))
+    joined = found.join(fixed, F.col("doc_id").eqNullSafe(F.col(y)["_d"]) & (F.col(x)["key"] == F.col(y)["_k"])).withColumn("text", F.col(y)["to"])
+    return marked.filter(~held).select(*docs.columns).unionByName(joined.select(*docs.columns))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
