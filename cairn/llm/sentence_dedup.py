@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._common import cut, holds, key_filter, mix, once, ship, small_batches, table, text_key, word_hashes
+from cairn.llm._common import Scratch, cut, fresh, holds, join_counted, key_filter, mix, once, ship, small_batches, table, text_key, word_hashes
 
 ship(__name__)
 
@@ -73,16 +73,19 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
     A run's first place is the one of least (doc_id, key, sentence); a null doc_id comes first. key tells apart documents
     that share a doc_id; rows equal in doc_id and text are one document. Documents without such a range have no row.
     """
-    spark = docs.sparkSession
+    with Scratch(docs.sparkSession) as scratch:
+        return cut(_repeated(docs, sentences, words, scratch))
 
+
+def _repeated(docs: DataFrame, sentences: int, words: int, scratch: Scratch) -> DataFrame:
     def count(batches):
         for b in batches:
             runs = [_spans(t, sentences, words)[0] for t in b["text"]]
             h, n = np.unique(np.concatenate([*runs, np.zeros(0, np.uint64)]).view(np.int64), return_counts=True)
             yield pd.DataFrame({"h": h, "n": n})
 
-    counts = docs.select("text").mapInPandas(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n"))
-    twice = spark.sparkContext.broadcast(key_filter(counts.filter("n > 1")))
+    counts = scratch.cut(docs.select("text").mapInPandas(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"))
+    twice = docs.sparkSession.sparkContext.broadcast(key_filter(counts))
 
     def emit(batches):
         for b in batches:
@@ -96,9 +99,11 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
                 yield pd.concat(parts)
 
     rows = docs.select(F.col("doc_id").cast("string"), text_key().alias("key"), "text").mapInPandas(emit, "h long, doc_id string, key long, first int, last int")
-    rows = cut(rows).withColumn("at", F.struct(F.col("doc_id").cast("long").alias("d"), "key", "first"))
-    firsts = rows.groupBy("h").agg(F.min("at").alias("least"), F.max("at").alias("most")).filter("least <> most OR (least.d IS NULL) <> (most.d IS NULL)").select("h", "least")
-    again = rows.join(firsts, "h").filter(~F.col("at").eqNullSafe(F.col("least")))
+    rows = scratch.cut(rows).withColumn("at", F.struct(F.col("doc_id").cast("long").alias("d"), "key", "first"))
+    firsts = rows.groupBy("h").agg(F.min("at").alias("least"), F.max("at").alias("most"), F.count("*").alias("n")).filter("n > 1")
+    firsts = scratch.cut(firsts.filter("least <> most OR (least.d IS NULL) <> (most.d IS NULL)").select("h", "least", "n"))
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    again = join_counted(rows, firsts, "h", "n", total).filter(~F.col("at").eqNullSafe(F.col("least")))
     return again.groupBy(F.col("at.d").alias("doc_id"), "key").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("covered"))
 
 
@@ -120,11 +125,16 @@ def _cleaner():
 
 
 def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """docs with clean (the text without repeated sentences; null stays null), n_sentences and n_removed. Every row stays."""
-    found = repeated_spans(docs, sentences, words).withColumnRenamed("doc_id", "_d").withColumnRenamed("key", "_k")
-    joined = docs.withColumn("_t", text_key()).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_k")), "left")
-    with_clean = joined.withColumn("_c", _cleaner()("text", "covered"))
-    return with_clean.select(*docs.columns, "_c.clean", "_c.n_sentences", "_c.n_removed")
+    """docs with clean (the text without repeated sentences; null stays null), n_sentences and n_removed.
+
+    Every row stays; columns of docs of these three names are replaced.
+    """
+    x, c = fresh(docs, "x"), fresh(docs, "c")
+    found = repeated_spans(docs, sentences, words).select(F.struct("doc_id", "key", "covered").alias(x))
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(x)["doc_id"]) & (text_key() == F.col(x)["key"]), "left")
+    done = joined.withColumn(c, _cleaner()("text", F.col(x)["covered"]))
+    own = {k: F.col(c)[k] for k in ("clean", "n_sentences", "n_removed")}
+    return done.select(*(k for k in docs.columns if k not in own), *(v.alias(k) for k, v in own.items()))
 
 
 def op8_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
