@@ -5,12 +5,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm._common import held_out, once, ship, small_batches, table
+from cairn.llm._common import fresh, held_out, once, ship, small_batches, table
 
 ship(__name__)
 
 #: n-grams of 1 to 3 letters; three code points fill 63 bits, so a gram is one exact integer.
 MAX_N, PROFILE, PER_LANG, CHUNK = 3, 400, 2000, 1 << 18
+#: Ids of sampled documents that are sent to all tasks, at most.
+BROADCAST = 2_000_000
 
 
 @once
@@ -50,9 +52,14 @@ def learn_profiles(docs: DataFrame, per_lang: int = PER_LANG, k: int = PROFILE)
 
     docs: doc_id, text, lang. Rows with null text, lang or doc_id teach nothing.
     """
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_lang).select("doc_id").distinct()
-    sample = docs.select("doc_id", "lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL").join(ids, "doc_id", "left_semi")
+    known = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    # The least hashes of each of 64 parts of a language, then of the language: no task ranks a whole language.
+    parts = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
+    some = known.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(64))).withColumn("r", F.row_number().over(parts)).filter(F.col("r") <= per_lang)
+    w = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = some.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_lang).select("doc_id").distinct()
+    few = per_lang * known.select("lang").distinct().count() <= BROADCAST
+    sample = docs.select("doc_id", "lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def count(batches):
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -100,8 +107,9 @@ def predictor(profiles: dict[str, list[int]], k: int = PROFILE):
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
     """docs with lang_pred and score; every row stays, other columns too (lang_pred and score are replaced)."""
-    p = docs.withColumn("_p", predictor(profiles)("text"))
-    return p.withColumns({"lang_pred": F.col("_p.lang"), "score": F.col("_p.score")}).drop("_p")
+    own = fresh(docs, "predicted")
+    p = docs.withColumn(own, predictor(profiles)("text"))
+    return p.withColumns({"lang_pred": F.col(own)["lang"], "score": F.col(own)["score"]}).drop(own)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
