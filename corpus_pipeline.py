@@ -7,12 +7,12 @@ and gives the table to the next stage. All stages but the last return the column
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._common import cut, small_batches, table
+from cairn.llm._common import Scratch, cut, fresh, small_batches, table
 from cairn.llm.decontaminate import uncontaminated
 from cairn.llm.mixing import mix_sources
 from cairn.llm.ngram_join import ngram_components
 from cairn.llm.pii import sanitise
-from cairn.llm.quality import ACCEPT, learn_quality
+from cairn.llm.quality import ACCEPT, cells, learn_quality
 from cairn.llm._linear import scorer
 
 
@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. Labels of the held-out fold are not learned from."""
     small_batches(spark)
     weights = learn_quality(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("_s", scorer(spark, weights, False)("text")).filter(F.col("_s") >= ACCEPT).select(*docs.columns)
+    return docs.filter(scorer(spark, weights, cells)("text") >= ACCEPT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +29,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words stay. Rows that repeat both an id and a text are one document.
     """
     small_batches(spark)
-    found = cut(ngram_components(docs.select("doc_id", "text"), 5, 80))
+    found = ngram_components(docs.select("doc_id", "text"), 5, 80)
     stay = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    ids = stay.select(F.col("doc_id").alias("_d"))
-    out = docs.join(ids.distinct(), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    ids = stay.select(F.col("doc_id").alias(x := fresh(docs, "x"))).distinct()
+    out = docs.join(ids, F.col("doc_id").eqNullSafe(F.col(x)), "left_semi")
     repeated = found.groupBy("doc_id").count().filter("count > 1").take(1)
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
@@ -53,10 +53,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share doc_id, source and number of words have the same number of copies.
     """
-    mix = mix_sources(docs).filter("copies > 0")
-    per = mix.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s")).agg(F.max("size").alias("size"), F.max("target").alias("target"), F.max("copies").alias("copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
-    return docs.join(per, same).select(*docs.columns, "size", "target", "copies")
+    taken = mix_sources(docs).filter("copies > 0")
+    x = fresh(docs, "x")
+    per = taken.groupBy("doc_id", "source").agg(F.max("size").alias("size"), F.max("target").alias("target"), F.max("copies").alias("copies")).select(F.struct("*").alias(x))
+    same = F.col("doc_id").eqNullSafe(F.col(x)["doc_id"]) & F.col("source").eqNullSafe(F.col(x)["source"])
+    own = ("size", "target", "copies")
+    return docs.join(per, same).select(*(c for c in docs.columns if c not in own), *(F.col(x)[c].alias(c) for c in own))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("personal_data", personal_data), ("mixture", mixture)]
@@ -66,7 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = scratch.cut(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
