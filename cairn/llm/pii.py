@@ -52,19 +52,23 @@ _VALID = {
 SPAN = "array<struct<start:int,stop:int,value:string>>"
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), where value is evaluated once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _starts(gaps: Column, found: Column) -> Column:
     """Where each match starts: gaps[i] is the text before match i since the one before.
 
     Sums are run within blocks of 256 and over the blocks, so that thousands of matches don't take quadratic time.
     """
-    sizes = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(F.coalesce(F.length(g), F.lit(0)).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("own")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / 256).cast("int")), lambda b: F.slice(sizes, b * 256 + 1, 256))
+    sizes = F.zip_with(found, gaps, lambda m, g: F.struct(F.coalesce(F.length(g), F.lit(0)).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("own")))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     walk = lambda block: F.aggregate(block, empty, lambda a, s: F.struct((a.at + s.gap + s.own).alias("at"), F.concat(a.out, F.array(a.at + s.gap)).alias("out")))
-    walked = F.transform(blocks, walk)
-    shifts = F.aggregate(walked, empty, lambda a, w: F.struct((a.at + w.at).alias("at"), F.concat(a.out, F.array(a.at)).alias("out")))["out"]
-    starts = F.flatten(F.zip_with(walked, shifts, lambda w, shift: F.transform(w.out, lambda x: x + shift)))
-    return F.when(F.size(found) > 0, starts).otherwise(F.array().cast("array<int>"))
+    walked = _let(sizes, lambda every: F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / 256).cast("int")), lambda b: walk(F.slice(every, b * 256 + 1, 256))))
+    shifts = lambda w: F.aggregate(w, empty, lambda a, x: F.struct((a.at + x.at).alias("at"), F.concat(a.out, F.array(a.at)).alias("out")))["out"]
+    starts = _let(walked, lambda w: F.flatten(F.zip_with(w, shifts(w), lambda x, shift: F.transform(x.out, lambda v: v + shift))))
+    return F.when(F.size(found) > 0, F.slice(starts, 1, F.size(found))).otherwise(F.array().cast("array<int>"))
 
 
 def spans_of(kind: str, text: Column) -> Column:
