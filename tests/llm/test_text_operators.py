@@ -102,6 +102,13 @@ def test_pii_base_spans(spark):
         assert got == brute_spans(texts[r.doc_id]), texts[r.doc_id]
 
 
+def test_pii_many_spans(spark):
+    docs = spark.createDataFrame([(1, "a@b.cd é1.2.3.4 " * 50_000)], "doc_id long, text string")
+    r = pii.base_spans(docs).select("email", "ip").first()
+    assert [(s.start, s.stop) for s in r.email] == [(16 * i, 16 * i + 6) for i in range(50_000)]
+    assert [(s.start, s.stop) for s in r.ip] == [(16 * i + 8, 16 * i + 15) for i in range(50_000)]
+
+
 def test_pii_revealing_words(spark, odd, none):
     shown = [(i, f"{prose(i, 30)} secretname mail bob@example.org now {prose(i + 50, 10)}") for i in range(6)]
     rest = [(i, prose(i + 200, 40) + " mail now") for i in range(6, 60)]
@@ -194,6 +201,26 @@ def test_decontamination_equals_brute_force():
     assert seen > 60
 
 
+def test_decontamination_of_repeated_words(spark, monkeypatch):
+    """Texts whose seeds hit everywhere: time in proportion to their length, and the overlaps that hits one by one give."""
+    items = [(1, "la " * 1000), (2, "la le " * 500), (3, prose(940, 30) + " la" * 40)]
+    texts = ["la " * 10_000, "la le " * 5000, "no such words " * 3000, prose(940, 30)]
+    index, words = decontaminate._index(items), decontaminate._words
+    assert decontaminate._overlaps(words(texts[0]), index)[1] == (1000, 1000)
+    assert decontaminate._overlaps(words(texts[1]), index)[2] == (1000, 1000) and not decontaminate._overlaps(words(texts[2]), index)
+    short = ["la " * 60, "la le " * 40 + prose(940, 20), "le " * 30 + "la " * 30]
+    want = [decontaminate._overlaps(words(t), index) for t in short]
+    monkeypatch.setattr(decontaminate, "MANY", 1)
+    assert [decontaminate._overlaps(words(t), index) for t in short] == want and want[1]
+
+
+def test_items_that_repeat_an_id_count_as_one(spark):
+    docs = spark.createDataFrame([(1, f"{prose(950, 30)} {prose(951, 20)}"), (1, f"{prose(950, 30)} {prose(951, 20)}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, prose(950, 30)), (7, prose(951, 20)), (7, None)], "item_id long, text string")
+    for block in (1 << 20, 3):
+        assert [tuple(r) for r in decontaminate.overlaps(docs, bench, block).collect()] == [(1, 7, 30, 30)]
+
+
 def test_fingerprints_find_moved_passages():
     a, b = prose(1, 400), prose(2, 400)
     whole, shifted, other, mixed = fingerprint.fingerprints([a, "zz " + a, b, a[: len(a) // 2] + b[: len(b) // 2]])
