@@ -60,7 +60,7 @@ def _signatures(s: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]
     for level in range(bisect_left(TOPS, len(s)), bisect_left(TOPS, len(s) * 100 // percent) + 1):
         if not (d := _differ(TOPS[level], percent)):
             continue  # only equal sets are similar
-        spare = max(2, d // 2)
+        spare = max(2, d // 3)
         m = d + 1 + spare
         with np.errstate(over="ignore"):
             cls = mix(s + np.uint64(level * 2 + 1)) % np.uint64(m)
@@ -91,6 +91,22 @@ def _signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _each_once(signed: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The classes' sid, n, w and parts. Only those that a filter takes for repeated are shuffled."""
+    again = signed.sparkSession.sparkContext.broadcast(key_filter(classes.filter("rows > 1").select(F.col("sid").alias("h"))))
+
+    def some(repeated: bool):
+        def run(batches):
+            for b in batches:
+                yield b[holds(again.value, b["sid"].to_numpy().view(np.uint64)) == repeated]
+
+        return run
+
+    full, schema = signed.filter("n > 0").select("sid", "n", "w", "parts"), "sid long, n int, w binary, parts binary"
+    twice = full.mapInPandas(some(True), schema).groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "w", "parts")))
+    return full.mapInPandas(some(False), schema).unionByName(scratch.cut(twice))
+
+
 def _candidates(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """a, b: links between classes (sid, n, w, parts) that put each pair of similar ones into one cluster."""
 
@@ -207,9 +223,8 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
 
 def _components(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     signed = scratch.cut(_signed(docs, width, percent))
-    full = signed.filter("n > 0")
-    classes = scratch.cut(full.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("w").alias("w"), F.first("parts").alias("parts")))
-    clusters = components(_candidates(classes, percent, scratch), scratch).select(F.col("node").alias("sid"), F.col("component").alias("cid"))
+    classes = scratch.cut(signed.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
+    clusters = components(_candidates(_each_once(signed, classes, scratch), percent, scratch), scratch).select(F.col("node").alias("sid"), F.col("component").alias("cid"))
     members = scratch.cut(clusters.join(classes.select("sid", "rep"), "sid"))
     sizes = members.groupBy("cid").agg(F.count("*").alias("size"))
     sized = members.join(sizes, "cid").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
