@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.vectors import doubles, euclidean
@@ -99,8 +99,6 @@ def adjusted_mutual_information(table: DataFrame) -> float:
 def _sampled(c: DataFrame, most: int | None) -> DataFrame:
     if most is None:
         return c
-    from pyspark.sql import Window
-
     w = Window.partitionBy("cluster_id").orderBy(F.xxhash64("row_idx"), "row_idx")
     return c.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
 
@@ -137,18 +135,23 @@ def sweep_score(noise, prob, largest, k, n, nmi=None, ari=None):
 
 
 def coarse_metrics(c: DataFrame, min_cluster_size: int, selection: str) -> DataFrame:
-    """One row of metrics for clusterings into about two, with invalid and reject_reason, and the score (-inf if invalid)."""
+    """One row of metrics for clusterings into about two, with invalid and reject_reason, the score (-inf if invalid) and what it would be otherwise.
+
+    prob is the mean over rows that aren't noise. Without rows, all are taken for noise.
+    """
     sizes = cluster_sizes(c)
     total = sizes.agg(F.sum("n").alias("t"))
-    p = sizes.crossJoin(total).withColumn("p", F.col("n") / F.col("t"))
-    a = p.agg(F.count("*").alias("k"), F.coalesce(F.max("p"), F.lit(0.0)).alias("largest"), F.coalesce(F.sum(-F.col("p") * F.log("p")), F.lit(0.0)).alias("h"), F.sort_array(F.collect_list("p"), False).alias("ps"))
-    b = c.agg(F.avg((F.col("cluster_id") == NOISE).cast("int")).alias("noise"), F.coalesce(F.avg("prob"), F.lit(0.0)).alias("prob"))
-    m = a.crossJoin(b).withColumn("second", F.coalesce(F.try_element_at("ps", F.lit(2)), F.lit(0.0)))
+    first_two = sizes.orderBy(F.desc("n"), "cluster_id").limit(2).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "cluster_id"))).select("cluster_id", "place")
+    p = sizes.crossJoin(total).withColumn("p", F.col("n") / F.col("t")).join(F.broadcast(first_two), "cluster_id", "left")
+    a = p.agg(F.count("*").alias("k"), F.coalesce(F.max("p"), F.lit(0.0)).alias("largest"), F.coalesce(F.sum(-F.col("p") * F.log("p")), F.lit(0.0)).alias("h"), F.max_by("p", F.when(F.col("place") == 2, 1)).alias("second"), F.count_if(F.col("n") < min_cluster_size).alias("small_cluster_count"))
+    b = c.agg(F.coalesce(F.avg((F.col("cluster_id") == NOISE).cast("int")), F.lit(1.0)).alias("noise"), F.coalesce(F.avg(F.when(F.col("cluster_id") != NOISE, F.col("prob"))), F.lit(0.0)).alias("prob"))
+    m = a.crossJoin(b).withColumn("second", F.coalesce("second", F.lit(0.0)))
     k, largest, noise = F.col("k"), F.col("largest"), F.col("noise")
     m = m.withColumns({"entropy": F.when(k > 1, F.col("h") / F.log(k)).otherwise(0.0), "effective": F.when(k > 0, F.exp("h")).otherwise(0.0), "giant": F.greatest(F.lit(0.0), (largest - 0.55) / 0.15), "many": F.greatest(F.lit(0.0), F.abs(k - 2) - 0.5), "fragmentation": F.greatest(F.lit(0.0), (k - 6) / 10)})
-    reasons = {"too_few_clusters": k <= 1, "noise": noise > 0.10, "largest": largest > 0.70, "second": F.col("second") < 0.15, "effective": F.col("effective") < 1.8}
+    # The reasons that reports name.
+    reasons = {"n_clusters<=1": k <= 1, "noise_ratio>0.10": noise > 0.10, "largest_cluster_fraction>0.70": largest > 0.70, "second_largest_cluster_fraction<0.15": F.col("second") < 0.15, "effective_num_clusters<1.8": F.col("effective") < 1.8}
     m = m.withColumn("reject_reason", F.concat_ws(";", *(F.when(v, n) for n, v in reasons.items())))
     score = 1.5 * F.least(F.col("second") / 0.4, F.lit(1.0)) + 1.2 * F.greatest(F.lit(0.0), 1 - F.abs(F.col("effective") - 2)) + 0.8 * F.col("entropy") + 0.6 * (1 - noise) + 0.4 * F.col("prob")
     score = score + 0.3 * min(min_cluster_size / 40, 1.0) + (0.2 if selection == "eom" else 0.0) - 1.2 * F.col("giant") - 0.3 * F.col("many")
-    m = m.withColumn("invalid", F.col("reject_reason") != "").withColumn("score", F.when(F.col("reject_reason") != "", float("-inf")).otherwise(score))
-    return m.drop("ps", "h")
+    m = m.withColumn("invalid", F.col("reject_reason") != "").withColumn("unrejected_score", score).withColumn("score", F.when(F.col("reject_reason") != "", float("-inf")).otherwise(score))
+    return m.drop("h")

@@ -281,7 +281,7 @@ def recursive(items: DataFrame, c: Config = Config(), sub: Config = Config(selec
 
 
 def sweep(items: DataFrame, sizes: list[int], samples: list[int], selections: tuple[str, ...] = ("eom", "leaf"), metric: str = "euclidean") -> DataFrame:
-    """One row for each configuration, with n, n_clusters, noise_ratio, mean_prob, largest_cluster_fraction and final_score.
+    """One row for each configuration, with n, n_clusters, noise_ratio, mean_prob (over all rows), largest_cluster_fraction and final_score.
 
     Each min_samples is a task; its tree serves every min_cluster_size and selection.
     """
@@ -299,7 +299,7 @@ def sweep(items: DataFrame, sizes: list[int], samples: list[int], selections: tu
             for sel in selections:
                 labels, prob = select(tree, len(x), Config(mcs, ms, metric, sel))
                 n = np.bincount(labels[labels >= 0]) if (labels >= 0).any() else np.zeros(0, int)
-                rows.append((mcs, ms, sel, len(x), len(n), float((labels == -1).mean()), float(prob[labels >= 0].mean()) if len(n) else 0.0, float(n.max() / n.sum()) if len(n) else 0.0))
+                rows.append((mcs, ms, sel, len(x), len(n), float((labels == -1).mean()), float(prob.mean()) if len(prob) else 0.0, float(n.max() / n.sum()) if len(n) else 0.0))
         return pd.DataFrame(rows, columns=["min_cluster_size", "min_samples", "selection_method", "n", "n_clusters", "noise_ratio", "mean_prob", "largest_cluster_fraction"])
 
     from cairn.operators.cluster_metrics import sweep_score

@@ -95,15 +95,18 @@ def physical_groups(items: DataFrame, bins: int = 5, split: str | None = None) -
 
 
 def robust_scaled(items: DataFrame, columns: list[str], logs: tuple[str, ...] = ()) -> DataFrame:
-    """items with the columns centred on their median by their quartile range (1, if that is 0); missing is the median, then 0."""
-    q = items.agg(*(F.percentile(c, [0.25, 0.5, 0.75]).alias(f"_{c}") for c in columns))
-    out = items.crossJoin(F.broadcast(q))
-    for c in columns:
-        x = F.coalesce(F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.col(c)), F.col(f"_{c}")[1], F.lit(0.0))
-        iqr = F.col(f"_{c}")[2] - F.col(f"_{c}")[0]
-        y = (x - F.col(f"_{c}")[1]) / F.when(iqr > 0, iqr).otherwise(1.0)
-        out = out.withColumn(c, F.log1p(F.greatest(y, F.lit(0.0))) if c in logs else y)
-    return out.drop(*(f"_{c}" for c in columns))
+    """items with the columns centred on their median by their quartile range (1, if that is 0).
+
+    First what isn't finite becomes the column's median (0, if it has none), and columns in logs log(1 + x), with 0 for less.
+    """
+    finite = {c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)) for c in columns}
+    medians = items.agg(*(F.percentile(finite[c], 0.5).alias(f"_{c}") for c in columns))
+    filled = {c: F.coalesce(finite[c], F.col(f"_{c}"), F.lit(0.0)) for c in columns}
+    filled = {c: F.log1p(F.greatest(x, F.lit(0.0))) if c in logs else x for c, x in filled.items()}
+    out = items.crossJoin(F.broadcast(medians)).withColumns(filled).drop(*(f"_{c}" for c in columns))
+    q = out.agg(*(F.percentile(c, [0.25, 0.5, 0.75]).alias(f"_{c}") for c in columns))
+    scaled = {c: (F.col(c) - F.col(f"_{c}")[1]) / F.when(F.col(f"_{c}")[2] > F.col(f"_{c}")[0], F.col(f"_{c}")[2] - F.col(f"_{c}")[0]).otherwise(1.0) for c in columns}
+    return out.crossJoin(F.broadcast(q)).withColumns(scaled).drop(*(f"_{c}" for c in columns))
 
 
 def metadata_summary(items: DataFrame) -> DataFrame:

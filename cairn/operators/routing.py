@@ -64,18 +64,19 @@ def size_distance(q: Column, c: Column, mode: str = "ratio_penalty", threshold:
 
 def normalized(x: str, how: str, by: str = "query_idx", least: float = 1e-8) -> Column:
     """x scaled over the rows of by: zscore by the population deviation, minmax, robust by the quartile range (else the
-    median, else 1), or none. What isn't finite is 0."""
-    w, c = Window.partitionBy(by), F.col(x)
+    median, else 1), or none. What isn't finite is 0 and takes no part in the scale."""
+    w = Window.partitionBy(by)
+    c = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.col(x))
     if how == "none":
         out = c
     elif how == "zscore":
-        out = c / F.when(F.stddev_pop(x).over(w) > least, F.stddev_pop(x).over(w)).otherwise(1.0)
+        out = c / F.when(F.stddev_pop(c).over(w) > least, F.stddev_pop(c).over(w)).otherwise(1.0)
     elif how == "minmax":
-        span = F.max(x).over(w) - F.min(x).over(w)
-        out = F.when(span > least, (c - F.min(x).over(w)) / span).otherwise(0.0)
+        span = F.max(c).over(w) - F.min(c).over(w)
+        out = F.when(span > least, (c - F.min(c).over(w)) / span).otherwise(0.0)
     else:
-        iqr = F.percentile(x, 0.75).over(w) - F.percentile(x, 0.25).over(w)
-        median = F.percentile(x, 0.5).over(w)
+        iqr = F.percentile(c, 0.75).over(w) - F.percentile(c, 0.25).over(w)
+        median = F.percentile(c, 0.5).over(w)
         out = c / F.when(iqr > least, iqr).when(median > least, median).otherwise(1.0)
     return F.coalesce(F.when(F.isnan(out) | (F.abs(out) == float("inf")), None).otherwise(out), F.lit(0.0))
 

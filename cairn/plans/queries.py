@@ -44,7 +44,7 @@ def clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sizes(spark: SparkSession, d: str) -> DataFrame:
-    p = _read(spark, d, "part").filter("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("row_idx"), F.col("p_size").cast("double").alias("bbox_longest"), (F.col("p_size") * F.col("p_retailprice")).alias("bbox_volume"))
+    p = _read(spark, d, "part").select(F.col("p_partkey").alias("row_idx"), F.col("p_size").cast("double").alias("bbox_longest"), (F.col("p_size") * F.col("p_retailprice")).alias("bbox_volume"))
     p = p.join(items(spark, d).select("row_idx", "id", "label"), "row_idx")
     ten = lambda c: F.round(F.log10(c), 6)
     return p.withColumns({"log_bbox_volume": ten(F.col("bbox_volume")), "log_size": ten(F.col("bbox_longest"))})
@@ -66,7 +66,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 ITEMS = "items AS (SELECT vec_id AS row_idx, label::varchar || '/' || vec_id::varchar AS id, embedding::double[] AS embedding, label::varchar AS label FROM embeddings)"
 CLUSTERS = ITEMS + ", clusters AS (SELECT *, CASE WHEN list_max(embedding[1:6]) < 0.15 THEN -1 ELSE list_position(embedding[1:6], list_max(embedding[1:6])) - 1 END::bigint AS cluster_id FROM items)"
-SIZES = ITEMS + ", sizes AS (SELECT p_partkey AS row_idx, id, label, p_size::double AS bbox_longest, p_size * p_retailprice AS bbox_volume, round(log10(p_size * p_retailprice), 6) AS log_bbox_volume, round(log10(p_size), 6) AS log_size FROM part JOIN items ON p_partkey = row_idx WHERE p_partkey % 7 <> 0)"
+SIZES = ITEMS + ", sizes AS (SELECT p_partkey AS row_idx, id, label, p_size::double AS bbox_longest, p_size * p_retailprice AS bbox_volume, round(log10(p_size * p_retailprice), 6) AS log_bbox_volume, round(log10(p_size), 6) AS log_size FROM part JOIN items ON p_partkey = row_idx)"
 POINTS = "points AS (SELECT l_suppkey AS specimen_id, l_quantity::double AS x, l_discount::double * 100 AS y, l_extendedprice::double / 1000 AS z FROM lineitem)"
 PIXELS = "pixels AS (SELECT l_suppkey % 10 AS image_id, least(l_quantity::double / 50, 1.0::double) AS r, least(l_discount::double / 0.1::double, 1.0::double) AS g, least(l_tax::double / 0.08::double, 1.0::double) AS b FROM lineitem)"
 PAIRS = ITEMS + """, unit AS (SELECT row_idx, id, label, embedding FROM items),
@@ -210,7 +210,7 @@ def ami_metric(spark, d):
 
 @query("intra_cluster_distance", f"WITH {CLUSTERS}, p AS (SELECT a.cluster_id, avg(list_distance(a.embedding, b.embedding)) AS m FROM clusters a JOIN clusters b ON a.cluster_id = b.cluster_id AND a.row_idx < b.row_idx AND a.cluster_id <> -1 GROUP BY ALL) SELECT c.cluster_id, count(*) AS n, round(any_value(m), 6) AS mean_distance FROM clusters c LEFT JOIN p USING (cluster_id) WHERE c.cluster_id <> -1 GROUP BY c.cluster_id")
 def intra_cluster_distance(spark, d):
-    return rounded(cluster_metrics.intra_distance(clusters(spark, d)))
+    return rounded(cluster_metrics.intra_distance(clusters(spark, d), None))
 
 
 @query("silhouette", f"""WITH {CLUSTERS}, c AS (SELECT * FROM clusters WHERE cluster_id <> -1), d AS (SELECT y.row_idx, y.cluster_id AS own, x.cluster_id AS other, avg(list_distance(x.embedding, y.embedding)) AS d FROM c x JOIN c y ON x.row_idx <> y.row_idx GROUP BY ALL),
@@ -404,10 +404,10 @@ def query_set_difference(spark, d):
     return rounded(retrieval_metrics.query_set_differences(k))
 
 
-@query("robust_scaled_features", f"WITH {SIZES}, q AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS m_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS i_{c}' for c in ('bbox_longest', 'log_bbox_volume'))} FROM sizes) SELECT id, {', '.join(f'round(({c} - m_{c}) / CASE WHEN i_{c} > 0 THEN i_{c} ELSE 1 END, 6) + 0.0 AS {c}' for c in ('bbox_longest', 'log_bbox_volume'))} FROM sizes, q")
+@query("robust_scaled_features", f"WITH {SIZES}, f AS (SELECT id, ln(1 + greatest(bbox_longest, 0)) AS bbox_longest, log_bbox_volume FROM sizes), q AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS m_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS i_{c}' for c in ('bbox_longest', 'log_bbox_volume'))} FROM f) SELECT id, {', '.join(f'round(({c} - m_{c}) / CASE WHEN i_{c} > 0 THEN i_{c} ELSE 1 END, 6) + 0.0 AS {c}' for c in ('bbox_longest', 'log_bbox_volume'))} FROM f, q")
 def robust_scaled_features(spark, d):
     columns = ["bbox_longest", "log_bbox_volume"]
-    return rounded(metadata.robust_scaled(sizes(spark, d), columns).select("id", *columns))
+    return rounded(metadata.robust_scaled(sizes(spark, d), columns, ("bbox_longest",)).select("id", *columns))
 
 
 @query("color_stats", f"WITH {PIXELS} SELECT image_id, {', '.join(f'round(avg({c}), 6) AS mean_{c}, round(stddev_pop({c}), 6) AS std_{c}' for c in 'rgb')} FROM pixels GROUP BY ALL")
@@ -436,12 +436,16 @@ def lab_histogram(spark, d):
     return rounded(color.histogram(pixels(spark, d), "image_id", "lab"))
 
 
-@query("coarse_metrics_score", f"""WITH {CLUSTERS}, s AS (SELECT count(*) AS n FROM clusters WHERE cluster_id <> -1 GROUP BY cluster_id), p AS (SELECT n / sum(n) OVER () AS p, row_number() OVER (ORDER BY n DESC) AS r FROM s),
-a AS (SELECT count(*) AS k, max(p) AS largest, max(p) FILTER (r = 2) AS second, sum(-p * ln(p)) AS h FROM p), b AS (SELECT avg((cluster_id = -1)::int) AS noise, avg(CASE WHEN cluster_id = -1 THEN 0.0 ELSE 1.0 END) AS prob FROM clusters)
-SELECT k, round(largest, 6) AS largest, round(second, 6) AS second, round(noise, 6) AS noise, round(prob, 6) AS prob, round(h / ln(k), 6) AS entropy, round(exp(h), 6) AS effective, concat_ws(';', CASE WHEN k <= 1 THEN 'too_few_clusters' END, CASE WHEN noise > 0.10 THEN 'noise' END, CASE WHEN largest > 0.70 THEN 'largest' END, CASE WHEN second < 0.15 THEN 'second' END, CASE WHEN exp(h) < 1.8 THEN 'effective' END) AS reject_reason FROM a, b""")
+@query("coarse_metrics_score", f"""WITH {CLUSTERS}, s AS (SELECT count(*) AS n FROM clusters WHERE cluster_id <> -1 GROUP BY cluster_id), p AS (SELECT n, n / sum(n) OVER () AS p, row_number() OVER (ORDER BY n DESC) AS r FROM s),
+a AS (SELECT count(*) AS k, max(p) AS largest, coalesce(max(p) FILTER (r = 2), 0) AS second, sum(-p * ln(p)) AS h, count(*) FILTER (n < 10) AS small_cluster_count FROM p),
+b AS (SELECT avg((cluster_id = -1)::int) AS noise, avg((row_idx % 10) / 10.0) FILTER (cluster_id <> -1) AS prob FROM clusters),
+m AS (SELECT *, h / ln(k) AS entropy, exp(h) AS effective, greatest(0, (largest - 0.55) / 0.15) AS giant, greatest(0, abs(k - 2) - 0.5) AS many, greatest(0, (k - 6) / 10) AS fragmentation,
+concat_ws(';', CASE WHEN k <= 1 THEN 'n_clusters<=1' END, CASE WHEN noise > 0.10 THEN 'noise_ratio>0.10' END, CASE WHEN largest > 0.70 THEN 'largest_cluster_fraction>0.70' END, CASE WHEN second < 0.15 THEN 'second_largest_cluster_fraction<0.15' END, CASE WHEN exp(h) < 1.8 THEN 'effective_num_clusters<1.8' END) AS reject_reason FROM a, b)
+SELECT k, round(largest, 6) AS largest, round(second, 6) AS second, round(noise, 6) AS noise, round(prob, 6) AS prob, round(entropy, 6) AS entropy, round(effective, 6) AS effective, round(giant, 6) AS giant, round(many, 6) AS many, round(fragmentation, 6) AS fragmentation, small_cluster_count, reject_reason, reject_reason <> '' AS invalid,
+round(1.5 * least(second / 0.4, 1) + 1.2 * greatest(0, 1 - abs(effective - 2)) + 0.8 * entropy + 0.6 * (1 - noise) + 0.4 * prob + 0.3 * 0.25 + 0.2 - 1.2 * giant - 0.3 * many, 6) AS unrejected_score FROM m""")
 def coarse_metrics_score(spark, d):
-    m = cluster_metrics.coarse_metrics(clusters(spark, d), 10, "eom")
-    return rounded(m.select("k", "largest", "second", "noise", "prob", "entropy", "effective", "reject_reason"))
+    m = cluster_metrics.coarse_metrics(clusters(spark, d).withColumn("prob", (F.col("row_idx") % 10) / 10), 10, "eom")
+    return rounded(m.select("k", "largest", "second", "noise", "prob", "entropy", "effective", "giant", "many", "fragmentation", "small_cluster_count", "reject_reason", "invalid", "unrejected_score"))
 
 
 @query("metadata_summary", f"WITH {POINTS}, g AS (SELECT specimen_id::varchar AS id, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS l, (max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z)) AS v, (max(x) - min(x)) / greatest(max(y) - min(y), 1e-8) AS a FROM points GROUP BY ALL) SELECT count(*) AS n, count(*) FILTER (v > 0) AS n_positive_volume, count(*) FILTER (a < 0.02) AS n_aspect_under_2, count(*) FILTER (a < 0.05) AS n_aspect_under_5, count(*) FILTER (a < 0.10) AS n_aspect_under_10, round(avg(l), 6) AS mean_longest, round(max(l), 6) AS max_longest, (SELECT id FROM g ORDER BY l DESC, id DESC LIMIT 1) AS longest_id FROM g")

@@ -156,3 +156,35 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_fusion_mode_spellings(spark):
+    given = ["Shape-Size", "shape size texture", "ShapeOnly", "shape_texture", "shape+size", "other-mode", None]
+    want = ["shape+size", "shape+size+texture", "shape_only", "shape+texture", "shape+size", "other_mode", None]
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate(given)], "i int, m string")
+    assert [r.m for r in rows.select("i", identity.fusion_mode(F.col("m")).alias("m")).orderBy("i").collect()] == want
+
+
+def test_log_features_are_filled_then_logged_then_scaled(spark):
+    rows = spark.createDataFrame([(float(v),) for v in (0, 1, 2, 3, 10)], "x double")
+    got = sorted(r.x for r in metadata.robust_scaled(rows, ["x"], ("x",)).collect())
+    assert [round(v, 3) for v in got] == [-1.585, -0.585, 0.0, 0.415, 1.874]
+    odd = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),), (float("inf"),), (None,)], "x double")
+    # 1, 2, 3 and three times their median 2: the quartile range is 0, so nothing is divided.
+    assert sorted(r.x for r in metadata.robust_scaled(odd, ["x"]).collect()) == [-1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+
+
+@pytest.mark.parametrize("how, want", [("zscore", [1.0, 2.0, 3.0]), ("minmax", [0.0, 0.5, 1.0]), ("robust", [1.0, 2.0, 3.0])])
+def test_sizes_that_are_not_finite_take_no_part_in_the_scale(spark, how, want):
+    rows = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 3.0), (1, float("nan")), (1, float("inf")), (1, None)], "query_idx int, s double")
+    scale = (2 / 3) ** 0.5 if how == "zscore" else 1.0
+    got = [r.v for r in rows.select("s", routing.normalized("s", how).alias("v")).collect()]
+    assert sorted(round(v, 6) for v in got) == sorted([0.0] * 3 + [round(v / scale, 6) for v in want])
+
+
+def test_coarse_metrics_average_only_members(spark):
+    c = spark.createDataFrame([(0, 1.0), (0, 1.0), (1, 1.0), (1, 1.0), (-1, 0.0)], "cluster_id int, prob double")
+    r = cluster_metrics.coarse_metrics(c, 3, "eom").first()
+    assert r.prob == 1.0 and r.k == 2 and r.second == 0.5 and r.small_cluster_count == 2 and r.reject_reason == "noise_ratio>0.10" and r.score == float("-inf")
+    r = cluster_metrics.coarse_metrics(c.limit(0), 3, "eom").first()
+    assert r.k == 0 and r.noise == 1.0 and r.prob == 0.0 and r.invalid
