@@ -4,10 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it
 and gives the table to the next stage. All stages but the last return the columns of documents.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._common import Scratch, cut, fresh, small_batches, table
+from cairn.llm._common import Scratch, fresh, holds, key_filter, ship, small_batches, table
 from cairn.llm.decontaminate import uncontaminated
 from cairn.llm.mixing import mix_sources
 from cairn.llm.ngram_join import ngram_components
@@ -15,6 +17,8 @@ from cairn.llm.pii import sanitise
 from cairn.llm.quality import ACCEPT, cells, learn_quality
 from cairn.llm._linear import scorer
 
+ship(__name__)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. Labels of the held-out fold are not learned from."""
@@ -32,7 +36,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = ngram_components(docs.select("doc_id", "text"), 5, 80)
     stay = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
     ids = stay.select(F.col("doc_id").alias(x := fresh(docs, "x"))).distinct()
-    out = docs.join(ids, F.col("doc_id").eqNullSafe(F.col(x)), "left_semi")
+    gone = found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.xxhash64("doc_id").alias("h")).distinct()
+    shared = spark.sparkContext.broadcast(key_filter(gone))
+
+    @F.pandas_udf("boolean")
+    def may_go(h: pd.Series) -> pd.Series:
+        return pd.Series(holds(shared.value, h.to_numpy().view(np.uint64)))
+
+    # Most documents stay: only texts whose id may be among those that go are shuffled.
+    maybe = may_go(F.xxhash64("doc_id"))
+    out = docs.filter(~maybe).unionByName(docs.filter(maybe).join(ids, F.col("doc_id").eqNullSafe(F.col(x)), "left_semi"))
     repeated = found.groupBy("doc_id").count().filter("count > 1").take(1)
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
