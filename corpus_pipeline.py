@@ -76,7 +76,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("personal_data", personal_data), ("mixture", mixture)]
 
-#: SQL can't express these stages; tests compare them with brute force.
+#: SQL can't express these stages. tests/llm holds near_duplicates, and the operators of the others, against brute force or fixtures.
 ORACLE_SQL = None
 
 
