@@ -155,3 +155,9 @@ def coarse_metrics(c: DataFrame, min_cluster_size: int, selection: str) -> DataF
     score = score + 0.3 * min(min_cluster_size / 40, 1.0) + (0.2 if selection == "eom" else 0.0) - 1.2 * F.col("giant") - 0.3 * F.col("many")
     m = m.withColumn("invalid", F.col("reject_reason") != "").withColumn("unrejected_score", score).withColumn("score", F.when(F.col("reject_reason") != "", float("-inf")).otherwise(score))
     return m.drop("h")
+
+
+def weighted_distance(report: DataFrame, *by: str) -> DataFrame:
+    """by, mean_distance: of the clusters in report (n, mean_distance), weighted by size; those without a distance don't count."""
+    n = F.when(F.col("mean_distance").isNotNull() & ~F.isnan("mean_distance"), F.col("n"))
+    return report.groupBy(*by).agg(F.try_divide(F.sum(n * F.col("mean_distance")), F.sum(n)).alias("mean_distance"))

@@ -133,3 +133,32 @@ def mesh_measures(triangles: DataFrame, key: str) -> DataFrame:
     area = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2]) / 2
     volume = (a[0] * m[0] + a[1] * m[1] + a[2] * m[2]) / 6
     return triangles.groupBy(key).agg(F.sum(area).alias("surface_area"), F.abs(F.sum(volume)).alias("mesh_volume"))
+
+
+def size_volume(source: str = "auto") -> Column:
+    """The volume that groups are made by. hull: of the hull as it is; mesh: of the mesh if positive, else of the hull; auto:
+    the first positive one of box, hull and watertight mesh."""
+    hull, mesh = F.col("convex_hull_volume"), F.col("mesh_volume")
+    if source == "hull":
+        return hull
+    if source == "mesh":
+        return F.coalesce(F.when(mesh > 0, mesh), hull)
+    return F.coalesce(positive(F.col("bbox_volume")), positive(hull), F.when(F.col("is_watertight") >= 0.5, positive(mesh)))
+
+
+def size_scalar(full: bool = True, mesh: bool = True, hull: bool = True) -> Column:
+    """struct(metric, size, log_size). full: volume of a watertight mesh, else of the hull, unless flat or thin; else the area; else,
+    and where none is positive, the longest side of the box."""
+    solid = ~F.coalesce((F.col("is_planar_degenerate") == 1) | (F.col("is_linear_degenerate") == 1), F.lit(False))
+    ways = [("mesh_volume", "mesh_volume", solid & (F.col("is_watertight") == 1), mesh), ("hull_volume", "convex_hull_volume", solid, hull), ("surface_area", "surface_area", F.lit(True), True)]
+    used = [F.when(when, F.when(positive(F.col(c)).isNotNull(), F.struct(F.lit(name).alias("metric"), F.col(c).cast("double").alias("size")))) for name, c, when, on in ways if full and on]
+    box = F.struct(F.lit("bbox_longest").alias("metric"), F.col("bbox_longest").cast("double").alias("size"))
+    best = F.coalesce(*used, box)
+    return F.struct(best["metric"].alias("metric"), best["size"].alias("size"), log10(best["size"]).alias("log_size"))
+
+
+def use_color(items: DataFrame, mode: str = "auto", least: float = 0.2) -> DataFrame:
+    """One row: n, n_color, use_color. items: has_color. off and force decide alone; auto needs a share of least, and rows."""
+    n = items.agg(F.count("*").alias("n"), F.count_if(F.col("has_color")).alias("n_color"))
+    share = F.coalesce(F.try_divide("n_color", "n") >= least, F.lit(False))
+    return n.withColumn("use_color", F.lit(mode == "force") if mode in ("off", "force") else share)

@@ -108,3 +108,45 @@ def ablation(rates: DataFrame, baseline: DataFrame, by: list[str]) -> DataFrame:
     d = per.join(base, "label", "left").withColumn("d", F.col("m") - F.col("b"))
     out = d.groupBy(*by).agg(F.sum("n").alias("n_rows"), F.avg("m").alias("mean"), F.avg("d").alias("delta"), F.count_if(F.col("d") < -1e-9).alias("n_worse"))
     return out.orderBy(F.desc("mean"), F.desc("delta"), "n_worse", *by)
+
+
+def describe_percent(rates: DataFrame, *by: str, value: str = "rate") -> DataFrame:
+    """describe() with the sample variance (0 for one row), and mean and deviation in percent."""
+    var = rates.groupBy(*by).agg(F.coalesce(F.var_samp(value), F.lit(0.0)).alias("var"))
+    return describe(rates, *by, value=value).join(var, list(by)).withColumns({"mean_percent": F.col("mean") * 100, "std_percent": F.col("std") * 100})
+
+
+def prefilter_totals(items: DataFrame, *by: str) -> DataFrame:
+    """by, n, n_groups, weighted_purity, reduction: of all rows, or for each method in by.
+
+    items: label, pregroup_id and by. The purity is the share of rows with their group's most frequent label; reduction
+    is 1 less the groups' mean share of the rows. Null labels and groups are values like others; without rows, both are 0.
+    """
+    t = items.groupBy(*by, "pregroup_id", "label").agg(F.count("*").alias("k"))
+    g = t.groupBy(*by, "pregroup_id").agg(F.sum("k").alias("n"), F.max("k").alias("most"))
+    out = g.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("n_groups"), F.sum("most").alias("most"))
+    purity, reduction = F.try_divide("most", "n"), 1 - 1 / F.nullif(F.col("n_groups"), F.lit(0))
+    return out.select(*by, "n", "n_groups", F.coalesce(purity, F.lit(0.0)).alias("weighted_purity"), F.coalesce(reduction, F.lit(0.0)).alias("reduction"))
+
+
+def counts_by(rows: DataFrame, by: str, item: str) -> DataFrame:
+    """by, n_rows, n_distinct: rows, and different items of which null is one."""
+    null = F.bool_or(F.col(item).isNull()).cast("long")
+    return rows.groupBy(by).agg(F.count("*").alias("n_rows"), (F.count_distinct(item) + null).alias("n_distinct"))
+
+
+def first_k(rows: DataFrame, k: int | None, order: list[str], by: tuple[str, ...] = ("fusion_mode", "query_id")) -> DataFrame:
+    """Rows of rank k at most, by the first of rank_final, rank, neighbor_rank; without these, the first k by order of each group. None: all."""
+    if k is None:
+        return rows
+    rank = next((c for c in ("rank_final", "rank", "neighbor_rank") if c in rows.columns), None)
+    if rank:
+        return rows.filter(F.col(rank).cast("double") <= k)
+    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_place") <= k).drop("_place")
+
+
+def candidate_ratio(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """One row: n, candidates, ratio of candidate pairs to all ordered pairs of items; pairs has a row for each candidate."""
+    n, c = items.agg(F.count("*").alias("n")), pairs.agg(F.count("*").alias("candidates"))
+    every = F.greatest(F.col("n"), F.lit(1)) * F.greatest(F.col("n") - 1, F.lit(1))
+    return n.crossJoin(c).withColumn("ratio", F.col("candidates") / every)

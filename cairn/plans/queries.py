@@ -504,3 +504,71 @@ def kmeans(spark, d):
 @query("pca_report")
 def pca_report(spark, d):
     return rounded(decomposition.pca(items(spark, d), 10)[1])
+
+
+@query("label_describe_percent", f"WITH {MATCH}, r AS (SELECT query_id, query_label, avg(match) AS rate FROM m GROUP BY ALL) SELECT query_label, {DESCRIBE}, round(coalesce(var_samp(rate), 0), 6) AS var, round(100 * avg(rate), 6) AS mean_percent, round(100 * coalesce(stddev_samp(rate), 0), 6) AS std_percent FROM r GROUP BY query_label")
+def label_describe_percent(spark, d):
+    rows = retrieval_metrics.matched(_named(spark, d), labels(spark, d))
+    return rounded(retrieval_metrics.describe_percent(retrieval_metrics.rate_of_rows(rows), "query_label"))
+
+
+def _methods(spark, d):
+    """Items grouped by volume, and by volume and size."""
+    by = lambda name, split: metadata.physical_groups(sizes(spark, d), **split).select("label", "pregroup_id", F.lit(name).alias("method"))
+    return by("volume", {}).unionByName(by("volume and size", {"split": "log_size"}))
+
+
+@query("prefilter_totals", f"WITH {BINNED}, t AS (SELECT volume_bin, label, count(*) AS k FROM binned GROUP BY ALL), g AS (SELECT volume_bin, sum(k) AS n, max(k) AS most FROM t GROUP BY ALL) SELECT sum(n)::bigint AS n, count(*) AS n_groups, round(sum(most) / sum(n), 6) AS weighted_purity, round(1 - avg(n / (SELECT sum(n) FROM g)), 6) AS reduction FROM g")
+def prefilter_totals(spark, d):
+    return rounded(retrieval_metrics.prefilter_totals(metadata.physical_groups(sizes(spark, d))))
+
+
+@query("prefilter_by_method", f"WITH {SPLIT}, a AS (SELECT 'volume' AS method, 'vol_q' || volume_bin::varchar AS pregroup_id, label FROM binned UNION ALL SELECT 'volume and size', pregroup_id, label FROM grouped), t AS (SELECT method, pregroup_id, label, count(*) AS k FROM a GROUP BY ALL), g AS (SELECT method, pregroup_id, sum(k) AS n, max(k) AS most FROM t GROUP BY ALL) SELECT method, sum(n)::bigint AS n, count(*) AS n_groups, round(sum(most) / sum(n), 6) AS weighted_purity, round(1 - 1 / count(*), 6) AS reduction FROM g GROUP BY method")
+def prefilter_by_method(spark, d):
+    return rounded(retrieval_metrics.prefilter_totals(_methods(spark, d), "method"))
+
+
+@query("queries_by_mode", f"WITH {FUSED} SELECT fusion_mode, count(*) AS n_rows, count(DISTINCT query_id) AS n_distinct FROM fm GROUP BY ALL")
+def queries_by_mode(spark, d):
+    return retrieval_metrics.counts_by(_fused(spark, d), "fusion_mode", "query_id")
+
+
+@query("first_k_by_distance", f"WITH {PAIRS} SELECT query_idx, neighbor_idx, distance FROM knn WHERE rank <= 3")
+def first_k_by_distance(spark, d):
+    return retrieval_metrics.first_k(_knn(spark, d).drop("rank"), 3, ["distance", "neighbor_idx"], ("query_idx",))
+
+
+@query("candidate_ratio", f"WITH {ROUTED}, c AS (SELECT count(*) AS candidates FROM o WHERE tier = 0 OR own = 0), i AS (SELECT count(*) AS n FROM items) SELECT n, candidates, round(candidates / (n * (n - 1)), 6) AS ratio FROM c, i")
+def candidate_ratio(spark, d):
+    return rounded(retrieval_metrics.candidate_ratio(routing.candidates(_routed(spark, d), "strict"), items(spark, d)))
+
+
+@query("weighted_cluster_distance", f"WITH {CLUSTERS}, s AS (SELECT cluster_id, count(*) AS n FROM clusters WHERE cluster_id <> -1 GROUP BY ALL), p AS (SELECT a.cluster_id, avg(list_distance(a.embedding, b.embedding)) AS m FROM clusters a JOIN clusters b ON a.cluster_id = b.cluster_id AND a.row_idx < b.row_idx AND a.cluster_id <> -1 GROUP BY ALL) SELECT round(sum(n * m) / sum(n), 6) AS mean_distance FROM s JOIN p USING (cluster_id)")
+def weighted_cluster_distance(spark, d):
+    return rounded(cluster_metrics.weighted_distance(cluster_metrics.intra_distance(clusters(spark, d), None)))
+
+
+def solids(spark: SparkSession, d: str) -> DataFrame:
+    """Size records from part; volumes under 0 stand for failed ones, null for absent ones."""
+    p, price = _read(spark, d, "part"), F.col("p_retailprice").cast("double")
+    flag = lambda n: (F.col("p_partkey") % n == 0).cast("int")
+    made = {"bbox_longest": F.col("p_size").cast("double"), "bbox_volume": F.col("p_size") - 10.0, "convex_hull_volume": price - 1200, "mesh_volume": F.nullif(price - 1000, F.lit(0.0)), "surface_area": price - 950, "is_watertight": flag(2), "is_planar_degenerate": flag(3), "is_linear_degenerate": flag(5)}
+    return p.select("p_partkey", *(c.alias(n) for n, c in made.items()))
+
+
+SOLIDS = "solids AS (SELECT p_partkey, p_size::double AS bbox_longest, p_size - 10.0::double AS box, p_retailprice::double - 1200 AS hull, nullif(p_retailprice::double - 1000, 0) AS mesh, p_retailprice::double - 950 AS area, p_partkey % 2 = 0 AS tight, p_partkey % 3 = 0 OR p_partkey % 5 = 0 AS thin FROM part)"
+
+
+@query("size_volume_sources", f"WITH {SOLIDS} SELECT p_partkey, round(CASE WHEN box > 0 THEN box WHEN hull > 0 THEN hull WHEN tight AND mesh > 0 THEN mesh END, 6) AS auto, round(CASE WHEN mesh > 0 THEN mesh ELSE hull END, 6) AS mesh, round(hull, 6) AS hull FROM solids")
+def size_volume_sources(spark, d):
+    return rounded(solids(spark, d).select("p_partkey", *(metadata.size_volume(s).alias(s) for s in ("auto", "mesh", "hull"))))
+
+
+@query("size_scalar", f"WITH {SOLIDS}, s AS (SELECT p_partkey, CASE WHEN tight AND NOT thin AND mesh > 0 THEN 'mesh_volume' WHEN NOT thin AND hull > 0 THEN 'hull_volume' WHEN area > 0 THEN 'surface_area' ELSE 'bbox_longest' END AS metric, bbox_longest, mesh, hull, area FROM solids), v AS (SELECT p_partkey, metric, CASE metric WHEN 'mesh_volume' THEN mesh WHEN 'hull_volume' THEN hull WHEN 'surface_area' THEN area ELSE bbox_longest END AS size FROM s) SELECT p_partkey, metric, round(size, 6) AS size, round(log10(greatest(size, 1e-12::double)), 6) AS log_size FROM v")
+def size_scalar(spark, d):
+    return rounded(solids(spark, d).select("p_partkey", metadata.size_scalar().alias("s")).select("p_partkey", "s.*"))
+
+
+@query("color_use", "SELECT count(*) AS n, count(*) FILTER (p_size > 25) AS n_color, count(*) FILTER (p_size > 25) / count(*) >= 0.2 AS use_color FROM part")
+def color_use(spark, d):
+    return metadata.use_color(_read(spark, d, "part").select((F.col("p_size") > 25).alias("has_color")))

@@ -1,7 +1,10 @@
 """Readers and writers of what the pipeline exchanges: file lists, id lists, labels, neighbour lists, arrays, meshes."""
 
 import io
+import operator
+import re
 import struct
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -173,3 +176,28 @@ def read_meshes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
 def write_neighbors(knn: DataFrame, path: str) -> None:
     """One folder for each query, CSV with a header."""
     knn.write.partitionBy("query_id").option("header", True).mode("overwrite").csv(path)
+
+
+def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """df as CSV with a header, JSON lines or Parquet. An empty table still has its columns in CSV and Parquet."""
+    writer = df.write.mode("overwrite")
+    (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
+
+
+def resolve_file(spark: SparkSession, folder: str, patterns: list[str], fallback: tuple[str, ...] = ()) -> str:
+    """The file below folder whose name fits one of patterns, else one of fallback (`*` and `?`): the least deep, then the first by name."""
+    files = list_files(spark, folder, (r"[^./]+",)).select("path", "rel", F.substring_index("rel", "/", -1).alias("name"))
+    for some in filter(None, (patterns, fallback)):
+        fits = [F.col("name").rlike("^" + re.escape(p).replace(r"\*", ".*").replace(r"\?", ".") + "$") for p in some]
+        depth = F.length("rel") - F.length(F.replace("rel", F.lit("/")))
+        if found := files.filter(reduce(operator.or_, fits)).agg(F.min_by("path", F.struct(depth, "rel")).alias("path")).first().path:
+            return found
+    raise FileNotFoundError(f"nothing below {folder} fits {patterns} or {list(fallback)}")
+
+
+def read_rates(spark: SparkSession, path: str, needed: tuple[str, ...]) -> DataFrame:
+    """A CSV report with types as found; an error if it lacks one of the columns."""
+    df = spark.read.csv(path, header=True, inferSchema=True)
+    if lacks := sorted(set(needed) - set(df.columns)):
+        raise ValueError(f"{path} lacks {lacks}")
+    return df

@@ -188,3 +188,48 @@ def test_coarse_metrics_average_only_members(spark):
     assert r.prob == 1.0 and r.k == 2 and r.second == 0.5 and r.small_cluster_count == 2 and r.reject_reason == "noise_ratio>0.10" and r.score == float("-inf")
     r = cluster_metrics.coarse_metrics(c.limit(0), 3, "eom").first()
     assert r.k == 0 and r.noise == 1.0 and r.prob == 0.0 and r.invalid
+
+
+def test_lists():
+    assert identity.parse_list("10, 1,,5,1", int, positive=True) == [1, 5, 10]
+    assert identity.parse_list("0.5,0.1", float) == [0.5, 0.1]
+    for text, how in (("", {}), ("0,1", {"kind": int, "positive": True}), ("a,b", {"allowed": ("a",)})):
+        with pytest.raises(ValueError):
+            identity.parse_list(text, **how)
+
+
+def test_in_order(spark):
+    ids = spark.createDataFrame([(0, "b"), (1, "c"), (2, "a")], "row_idx long, id string")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
+    assert [(r.id, r.v) for r in identity.in_order(ids, rows).orderBy("row_idx").collect()] == [("b", 2), ("c", None), ("a", 1)]
+
+
+def test_sinks_and_resolution(spark, tmp_path):
+    empty = spark.createDataFrame([], "id string, n int")
+    for kind in ("csv", "parquet"):
+        files.write_table(empty, f"{tmp_path}/empty_{kind}", kind)
+    assert spark.read.csv(f"{tmp_path}/empty_csv", header=True).columns == ["id", "n"]
+    assert spark.read.parquet(f"{tmp_path}/empty_parquet").columns == ["id", "n"]
+    for name in ("in/deep/er/clusters.csv", "in/b/clusters.csv", "in/c/clusters.csv", "in/other.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("label,mean\na,1.5\n")
+    root = str(tmp_path / "in")
+    assert files.resolve_file(spark, root, ["clusters.csv"]).endswith("/in/b/clusters.csv")
+    assert files.resolve_file(spark, root, ["none*.csv"], ("oth?r.*",)).endswith("/in/other.txt")
+    with pytest.raises(FileNotFoundError):
+        files.resolve_file(spark, root, ["none"])
+    assert files.read_rates(spark, f"{root}/b/clusters.csv", ("label", "mean")).first().mean == 1.5
+    with pytest.raises(ValueError):
+        files.read_rates(spark, f"{root}/b/clusters.csv", ("rate",))
+
+
+def test_totals_of_odd_tables(spark):
+    t = spark.createDataFrame([("a", "g"), ("a", "g"), (None, "g"), ("b", None)], "label string, pregroup_id string")
+    assert tuple(retrieval_metrics.prefilter_totals(t).first()) == (4, 2, 0.75, 0.5)
+    assert tuple(retrieval_metrics.prefilter_totals(t.limit(0)).first()) == (0, 0, 0.0, 0.0)
+    assert tuple(retrieval_metrics.counts_by(t.withColumn("m", F.lit("x")), "m", "label").first()) == ("x", 4, 3)
+    c = spark.createDataFrame([(10, 1.0), (30, 2.0), (5, None)], "n long, mean_distance double")
+    assert cluster_metrics.weighted_distance(c).first().mean_distance == 1.75
+    color = spark.createDataFrame([(True,), (False,), (None,)], "has_color boolean")
+    assert [metadata.use_color(color, m).first().use_color for m in ("auto", "off", "force")] == [True, False, True]
+    assert not metadata.use_color(color.limit(0)).first().use_color
