@@ -74,49 +74,71 @@ def _signatures(s: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]
     return out
 
 
-def _signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, sid, n, and of each level the signatures, w, and their level, spare and number, parts, as bytes; n is 0 without words."""
+def _named(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, sid, n of each row of docs; n is 0 without words."""
 
     def run(batches):
         for b in batches:
-            rows = []
-            for d, t in zip(b["doc_id"], b["text"], strict=True):
-                s = shingles(t, width)
-                signs = _signatures(s, percent) if len(s) else []
-                parts = np.array([(level, spare, len(w)) for level, spare, w in signs], np.int32)
-                rows.append((d, _set_id(s) if len(s) else 0, len(s), b"".join(w.tobytes() for *_, w in signs), parts.tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "sid", "n", "w", "parts"])
-
-    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, sid long, n int, w binary, parts binary")
+            sets = [shingles(t, width) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "sid": [_set_id(s) if len(s) else 0 for s in sets], "n": [len(s) for s in sets]})
+
+    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, sid long, n int")
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _each_once(signed: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """The classes' sid, n, w and parts. Only those that a filter takes for repeated are shuffled."""
-    again = signed.sparkSession.sparkContext.broadcast(key_filter(classes.filter("rows > 1").select(F.col("sid").alias("h"))))
+def _each_once(docs: DataFrame, classes: DataFrame, width: int, percent: int, scratch: Scratch):
+    """over(f, schema): what f makes of batches that hold each class once, as sid, n, and of each level the signatures, w,
+    and their level, spare and number, parts, as bytes.
+
+    Signatures are larger than the texts, so they are computed at each use and not stored. Only those of classes that a
+    filter takes for repeated are shuffled, from documents that may be their least.
+    """
+    context = docs.sparkSession.sparkContext
+    again = context.broadcast(key_filter(classes.filter("rows > 1").select(F.col("sid").alias("h"))))
+
+    def taken(batches):
+        for b in batches:
+            yield b.loc[holds(again.value, b["sid"].to_numpy().view(np.uint64)), ["h"]]
+
+    reps = context.broadcast(key_filter(classes.select("sid", F.xxhash64("rep").alias("h")).mapInPandas(taken, "h long")))
 
-    def some(repeated: bool):
+    def sign(repeated: bool):
         def run(batches):
             for b in batches:
-                yield b[holds(again.value, b["sid"].to_numpy().view(np.uint64)) == repeated]
+                texts = b["text"][holds(reps.value, b["h"].to_numpy().view(np.uint64))] if repeated else b["text"]
+                sets = [s for s in (shingles(t, width) for t in texts) if len(s)]
+                ids = np.array([_set_id(s) for s in sets], np.int64)
+                rows = []
+                for sid, s, known in zip(ids.tolist(), sets, holds(again.value, ids.view(np.uint64)), strict=True):
+                    if known == repeated:
+                        signs = _signatures(s, percent)
+                        parts = np.array([(level, spare, len(w)) for level, spare, w in signs], np.int32)
+                        rows.append((sid, len(s), b"".join(w.tobytes() for *_, w in signs), parts.tobytes()))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["sid", "n", "w", "parts"])
 
         return run
 
-    full, schema = signed.filter("n > 0").select("sid", "n", "w", "parts"), "sid long, n int, w binary, parts binary"
-    twice = full.mapInPandas(some(True), schema).groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "w", "parts")))
-    return full.mapInPandas(some(False), schema).unionByName(scratch.cut(twice))
+    texts, once = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text"), sign(False)
+    twice = texts.mapInPandas(sign(True), "sid long, n int, w binary, parts binary")
+    stored = scratch.cut(twice.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "w", "parts"))))
+
+    def over(f, schema: str) -> DataFrame:
+        return texts.mapInPandas(lambda batches: f(once(batches)), schema).unionAll(stored.mapInPandas(f, schema))
+
+    return over
 
 
-def _candidates(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """a, b: links between classes (sid, n, w, parts) that put each pair of similar ones into one cluster."""
+def _candidates(over, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b: links between classes, which over reads, that put each pair of similar ones into one cluster."""
 
     def count(batches):
         for b in batches:
             h, n = np.unique(np.frombuffer(b"".join(b["w"]), np.int64), return_counts=True)
             yield pd.DataFrame({"h": h, "c": n})
 
-    counts = scratch.cut(classes.select("w").mapInPandas(count, "h long, c int").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1"))
-    twice = classes.sparkSession.sparkContext.broadcast(key_filter(counts))
+    counts = scratch.cut(over(count, "h long, c int").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1"))
+    twice = scratch.spark.sparkContext.broadcast(key_filter(counts))
 
     def emit(batches):
         for b in batches:
@@ -128,10 +150,11 @@ def _candidates(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame
             at &= (np.bincount(part[at], minlength=len(parts)) > parts[:, 1])[part]
             yield pd.DataFrame({"h": w[at].view(np.int64), "sid": b["sid"].to_numpy()[row[at]], "n": b["n"].to_numpy()[row[at]], "level": parts[part[at], 0], "spare": parts[part[at], 1]})
 
-    rows = scratch.cut(classes.select("sid", "n", "w", "parts").mapInPandas(emit, "h long, sid long, n int, level int, spare int"))
+    rows = scratch.cut(over(emit, "h long, sid long, n int, level int, spare int"))
     total = counts.agg(F.sum("c")).first()[0] or 0
     often = Window.partitionBy("sid", "level").orderBy(F.desc("c"), F.desc("h"))
     index = scratch.cut(join_counted(rows, counts, "h", "c", total).withColumn("r", F.row_number().over(often)).filter("r > spare").select("h", "sid", "n", "c"))
+    scratch.drop(rows, counts)
     lists = index.filter(F.col("c") <= PAIRS).groupBy("h").agg(F.collect_set(F.struct("sid", "n")).alias("s")).filter("size(s) > 1")
     fits = lambda y: (y.sid > F.col("x.sid")) & (100 * F.least(y.n, F.col("x.n")) >= percent * F.greatest(y.n, F.col("x.n")))
     pairs = lists.select("s", F.explode("s").alias("x")).select(F.col("x.sid").alias("a"), F.explode(F.filter("s", fits)).alias("y")).select("a", F.col("y.sid").alias("b"))
@@ -216,15 +239,16 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     Linked are documents whose sets of width-word shingles have 100 * intersection >= percent * union. component_id is
     the smallest doc_id that links lead to. Null, empty and blank texts have no shingles and are linked with nothing.
     Rows that repeat a text are linked; a null doc_id stands for nothing in a minimum, and its class takes no other links.
+    docs is read several times, so it should be a table.
     """
     with Scratch(docs.sparkSession) as scratch:
         return cut(_components(docs, width, percent, scratch))
 
 
 def _components(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    signed = scratch.cut(_signed(docs, width, percent))
-    classes = scratch.cut(signed.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
-    clusters = components(_candidates(_each_once(signed, classes, scratch), percent, scratch), scratch).select(F.col("node").alias("sid"), F.col("component").alias("cid"))
+    named = scratch.cut(_named(docs, width))
+    classes = scratch.cut(named.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
+    clusters = components(_candidates(_each_once(docs, classes, width, percent, scratch), percent, scratch), scratch).select(F.col("node").alias("sid"), F.col("component").alias("cid"))
     members = scratch.cut(clusters.join(classes.select("sid", "rep"), "sid"))
     sizes = members.groupBy("cid").agg(F.count("*").alias("size"))
     sized = members.join(sizes, "cid").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
@@ -234,9 +258,9 @@ def _components(docs: DataFrame, width: int, percent: int, scratch: Scratch) ->
     joined = components(_compare(tasks, percent), scratch)
     large = scratch.cut(sized.filter("blocks > 1").select("sid", "cid", "rep"))
     if large.take(1):
-        named = large.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        most = named.groupBy("cid", "component").agg(F.count("*").alias("k")).groupBy("cid").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("all"))
-        split = named.join(most, "cid").withColumn("fixed", F.col("component") == F.col("most.component"))
+        parted = large.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        most = parted.groupBy("cid", "component").agg(F.count("*").alias("k")).groupBy("cid").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("all"))
+        split = parted.join(most, "cid").withColumn("fixed", F.col("component") == F.col("most.component"))
         own = F.when(F.col("fixed"), F.col("most.k")).otherwise(F.col("all") - F.col("most.k"))
         rest, fixed = F.ceil((F.col("all") - F.col("most.k")) / BLOCK), F.ceil(F.col("most.k") / BLOCK)
         split = split.withColumns({"mine": F.pmod(F.xxhash64("sid", F.lit(6)), F.ceil(own / BLOCK)), "rest": rest, "fixed_blocks": fixed}).filter("rest > 0")
@@ -250,9 +274,9 @@ def _components(docs: DataFrame, width: int, percent: int, scratch: Scratch) ->
     # Only classes in links have another least document than their own.
     linked = joined.withColumnRenamed("node", "sid").join(classes.select("sid", "rep"), "sid")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
-    named = linked.join(least, "component").select("sid", "least")
-    ids = signed.select("doc_id", "sid", F.col("n").cast("long").alias("n_shingles"))
-    reps = classes.select("sid", "rep").join(named, "sid", "left").select("sid", F.coalesce("least", "rep").alias("component_id"))
+    moved = linked.join(least, "component").select("sid", "least")
+    ids = named.select("doc_id", "sid", F.col("n").cast("long").alias("n_shingles"))
+    reps = classes.select("sid", "rep").join(moved, "sid", "left").select("sid", F.coalesce("least", "rep").alias("component_id"))
     some = ids.filter("n_shingles > 0").join(reps, "sid").select("doc_id", "n_shingles", "component_id")
     return some.unionAll(ids.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
