@@ -87,12 +87,10 @@ def _named(docs: DataFrame, width: int) -> DataFrame:
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _each_once(docs: DataFrame, classes: DataFrame, width: int, percent: int, scratch: Scratch):
-    """over(f, schema): what f makes of batches that hold each class once, as sid, n, and of each level the signatures, w,
-    and their level, spare and number, parts, as bytes.
+def _each_once(docs: DataFrame, classes: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Each class once: sid, n, and of each level the signatures, w, and their level, spare and number, parts, as bytes.
 
-    Signatures are larger than the texts, so they are computed at each use and not stored. Only those of classes that a
-    filter takes for repeated are shuffled, from documents that may be their least.
+    Only those of classes that a filter takes for repeated are shuffled, from documents that may be their least.
     """
     context = docs.sparkSession.sparkContext
     again = context.broadcast(key_filter(classes.filter("rows > 1").select(F.col("sid").alias("h"))))
@@ -120,25 +118,23 @@ def _each_once(docs: DataFrame, classes: DataFrame, width: int, percent: int, sc
 
         return run
 
-    texts, once = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text"), sign(False)
-    twice = texts.mapInPandas(sign(True), "sid long, n int, w binary, parts binary")
-    stored = scratch.cut(twice.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "w", "parts"))))
+    texts, schema = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text"), "sid long, n int, w binary, parts binary"
+    twice = texts.mapInPandas(sign(True), schema).groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "w", "parts")))
+    return scratch.cut(texts.mapInPandas(sign(False), schema).unionByName(twice))
 
-    def over(f, schema: str) -> DataFrame:
-        return texts.mapInPandas(lambda batches: f(once(batches)), schema).unionAll(stored.mapInPandas(f, schema))
 
-    return over
+def _candidates(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b: links between classes (sid, n, w, parts) that put each pair of similar ones into one cluster.
 
-
-def _candidates(over, percent: int, scratch: Scratch) -> DataFrame:
-    """a, b: links between classes, which over reads, that put each pair of similar ones into one cluster."""
+    classes, the largest table here, is deleted once its repeated signatures are listed.
+    """
 
     def count(batches):
         for b in batches:
             h, n = np.unique(np.frombuffer(b"".join(b["w"]), np.int64), return_counts=True)
             yield pd.DataFrame({"h": h, "c": n})
 
-    counts = scratch.cut(over(count, "h long, c int").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1"))
+    counts = scratch.cut(classes.select("w").mapInPandas(count, "h long, c int").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1"))
     twice = scratch.spark.sparkContext.broadcast(key_filter(counts))
 
     def emit(batches):
@@ -151,7 +147,8 @@ def _candidates(over, percent: int, scratch: Scratch) -> DataFrame:
             at &= (np.bincount(part[at], minlength=len(parts)) > parts[:, 1])[part]
             yield pd.DataFrame({"h": w[at].view(np.int64), "sid": b["sid"].to_numpy()[row[at]], "n": b["n"].to_numpy()[row[at]], "level": parts[part[at], 0], "spare": parts[part[at], 1]})
 
-    rows = scratch.cut(over(emit, "h long, sid long, n int, level int, spare int"))
+    rows = scratch.cut(classes.select("sid", "n", "w", "parts").mapInPandas(emit, "h long, sid long, n int, level int, spare int"))
+    scratch.drop(classes)
     total = counts.agg(F.sum("c")).first()[0] or 0
     often = Window.partitionBy("sid", "level").orderBy(F.desc("c"), F.desc("h"))
     index = scratch.cut(join_counted(rows, counts, "h", "c", total).withColumn("r", F.row_number().over(often)).filter("r > spare").select("h", "sid", "n", "c"))
