@@ -153,9 +153,9 @@ def _cells(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (keys >> top).astype(np.int64), (keys << np.uint64(bits) >> top).astype(np.int64)
 
 
-def key_filter(keys: DataFrame) -> tuple[int, np.ndarray]:
-    """A Bloom filter of the keys (column h, a 64-bit hash as long), as its size in bits and itself: two bits for each key."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * keys.count()).bit_length()))
+def key_filter(keys: DataFrame, each: int = 16) -> tuple[int, np.ndarray]:
+    """A Bloom filter of the keys (column h, a 64-bit hash as long), as its size in bits and itself: two bits for each key, of each."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (each * keys.count()).bit_length()))
     top = 64 - bits
     cells = F.array(F.shiftrightunsigned("h", top), F.shiftrightunsigned(F.shiftleft("h", bits), top))
     v = F.col("c") + 1

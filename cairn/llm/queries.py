@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from cairn.llm import decontaminate, fingerprint, language_id, mixing, ngram_join, pii, quality, sentence_dedup, toxicity, warc
+from cairn.llm import decontaminate, fingerprint, language_id, mixing, ngram_join, pii, quality, sentence_dedup, spelling, toxicity, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_sentence_dedup": sentence_dedup.op8_sentence_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_spelling": spelling.op11_spelling,
 }
-ORACLES = dict(warc.ORACLE)
+ORACLES = warc.ORACLE | spelling.ORACLE
