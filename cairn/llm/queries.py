@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from cairn.llm import decontaminate, fingerprint, language_id, mixing, ngram_join, pii, quality, sentence_dedup, spelling, toxicity, warc
+from cairn.llm import decontaminate, fingerprint, language_id, merkle, mixing, ngram_join, pii, quality, sentence_dedup, spelling, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -14,5 +14,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op11_spelling": spelling.op11_spelling,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_token_counts": token_counts.op13_token_counts,
 }
-ORACLES = warc.ORACLE | spelling.ORACLE
+ORACLES = warc.ORACLE | spelling.ORACLE | merkle.ORACLE
