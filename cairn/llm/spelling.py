@@ -55,7 +55,8 @@ def vocabulary(docs: DataFrame, least: int = LEAST, twice: int = TWICE) -> DataF
                 if len(held) >= HELD:
                     yield pd.DataFrame({"word": list(held), "n": list(held.values())})
                     held.clear()
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())}, columns=["word", "n"])
+        if held:
+            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
 
     ids = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")).alias("doc_id"), "text")
     return ids.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= twice)
