@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.vectors import doubles, euclidean
+from cairn.functions.vectors import doubles
+from cairn.operators.density import BLOCK, block_pairs, distances, rows_of, spanning_trees
+from cairn.operators.steps import Steps, numbered
 
 NOISE = -1
 
@@ -57,43 +59,56 @@ def noise_rate(c: DataFrame, labels: DataFrame) -> DataFrame:
     return both.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("cluster_id") == NOISE).cast("int")).alias("noise_rate"))
 
 
-def agreement(table: DataFrame) -> DataFrame:
-    """One row: ari, homogeneity, completeness, v_measure (which is the arithmetic NMI) over a contingency table."""
+def agreement(table: DataFrame, *by: str) -> DataFrame:
+    """by, ari, homogeneity, completeness, v_measure (which is the arithmetic NMI) of each contingency table; one row without by."""
     pairs = lambda c: c * (c - 1) / 2
     n = F.col("n").cast("double")
-    a = table.groupBy("label").agg(F.sum(n).alias("x")).agg(F.sum(pairs(F.col("x"))).alias("ca"), F.sum(F.col("x") * F.log("x")).alias("ea"))
-    b = table.groupBy("cluster_id").agg(F.sum(n).alias("x")).agg(F.sum(pairs(F.col("x"))).alias("cb"), F.sum(F.col("x") * F.log("x")).alias("eb"))
-    t = table.agg(F.sum(n).alias("t"), F.sum(pairs(n)).alias("cn"), F.sum(n * F.log(n)).alias("en"))
-    one = t.crossJoin(a).crossJoin(b)
+    a = table.groupBy(*by, "label").agg(F.sum(n).alias("x")).groupBy(*by).agg(F.sum(pairs(F.col("x"))).alias("ca"), F.sum(F.col("x") * F.log("x")).alias("ea"))
+    b = table.groupBy(*by, "cluster_id").agg(F.sum(n).alias("x")).groupBy(*by).agg(F.sum(pairs(F.col("x"))).alias("cb"), F.sum(F.col("x") * F.log("x")).alias("eb"))
+    t = table.groupBy(*by).agg(F.sum(n).alias("t"), F.sum(pairs(n)).alias("cn"), F.sum(n * F.log(n)).alias("en"))
+    one = t.join(a, [*by]).join(b, [*by]) if by else t.crossJoin(a).crossJoin(b)
     log = F.log("t")
     h_l, h_c = log - F.col("ea") / F.col("t"), log - F.col("eb") / F.col("t")
     mi = (F.col("en") - F.col("ea") - F.col("eb")) / F.col("t") + log
-    e = F.col("ca") * F.col("cb") / pairs(F.col("t"))
+    e = F.try_divide(F.col("ca") * F.col("cb"), pairs(F.col("t")))
     most = (F.col("ca") + F.col("cb")) / 2
-    out = one.select(F.when(most == e, 1.0).otherwise((F.col("cn") - e) / (most - e)).alias("ari"), F.when(h_l < 1e-12, 1.0).otherwise(mi / h_l).alias("homogeneity"), F.when(h_c < 1e-12, 1.0).otherwise(mi / h_c).alias("completeness"))
+    out = one.select(*by, F.when(F.coalesce(most == e, F.lit(True)), 1.0).otherwise((F.col("cn") - e) / (most - e)).alias("ari"), F.when(h_l < 1e-12, 1.0).otherwise(mi / h_l).alias("homogeneity"), F.when(h_c < 1e-12, 1.0).otherwise(mi / h_c).alias("completeness"))
     h, c = F.col("homogeneity"), F.col("completeness")
     return out.withColumn("v_measure", F.when(h + c == 0, 0.0).otherwise(2 * h * c / (h + c)))
 
 
-def adjusted_mutual_information(table: DataFrame) -> float:
-    """AMI with the arithmetic mean; its expected value sums over pairs of margins, which the driver holds."""
-    rows = table.collect()
-    if not rows:
-        return math.nan
-    frame = pd.DataFrame([r.asDict() for r in rows])
-    a, b = frame.groupby("label")["n"].sum().to_numpy(), frame.groupby("cluster_id")["n"].sum().to_numpy()
-    t = int(frame["n"].sum())
-    lg = np.array([math.lgamma(i + 1) for i in range(t + 1)])
-    entropy = lambda m: -sum(x / t * math.log(x / t) for x in m)
-    mi = entropy(a) + entropy(b) + sum(x / t * math.log(x / t) for x in frame["n"])
-    expected = 0.0
-    for x in a:
-        for y in b:
-            k = np.arange(max(1, x + y - t), min(x, y) + 1)
-            p = np.exp(lg[x] + lg[y] + lg[t - x] + lg[t - y] - lg[t] - lg[k] - lg[x - k] - lg[y - k] - lg[t - x - y + k])
-            expected += float((k / t * np.log(t * k / (x * y)) * p).sum())
-    mean = (entropy(a) + entropy(b)) / 2
-    return 1.0 if abs(mean - expected) < 1e-15 else (mi - expected) / (mean - expected)
+def adjusted_mutual_information(table: DataFrame) -> DataFrame:
+    """One row: ami, with the arithmetic mean of both entropies; null of an empty table.
+
+    The expected value sums over pairs of margins: margins of one size stand together, with how many there are, so there are at
+    most about the square root of 2 n distinct ones on a side. Each pair is a row, and tasks add up its overlaps.
+    """
+
+    def expected(batches):
+        lg = np.vectorize(math.lgamma, otypes=[float])
+        for g in batches:
+            out = []
+            for x, y, t, times in zip(g["x"].tolist(), g["y"].tolist(), g["t"].tolist(), g["times"].tolist(), strict=True):
+                total, fixed = 0.0, math.lgamma(x + 1) + math.lgamma(y + 1) + math.lgamma(t - x + 1) + math.lgamma(t - y + 1) - math.lgamma(t + 1)
+                # Overlaps further from the mean have no probability in double precision.
+                mean, far = x * y / t, 40 * math.sqrt(x * y / t) + 400
+                last = min(x, y, math.ceil(mean + far))
+                for lo in range(max(1, x + y - t, math.floor(mean - far)), last + 1, 1 << 16):
+                    k = np.arange(lo, min(lo + (1 << 16), last + 1), dtype=float)
+                    total += float((k / t * np.log(t * k / (x * y)) * np.exp(fixed - lg(k + 1) - lg(x - k + 1) - lg(y - k + 1) - lg(t - x - y + k + 1))).sum())
+                out.append(total * times)
+            yield pd.DataFrame({"part": out})
+
+    n = F.col("n").cast("long")
+    margin = lambda c, x, m: table.groupBy(c).agg(F.sum(n).alias(x)).groupBy(x).agg(F.count("*").alias(m))
+    a, b, t = margin("label", "x", "xs"), margin("cluster_id", "y", "ys"), table.agg(F.sum(n).alias("t"))
+    both = a.crossJoin(b).crossJoin(t).withColumn("times", F.col("xs") * F.col("ys"))
+    e = both.select("x", "y", "t", "times").repartition("x", "y").mapInPandas(expected, "part double").agg(F.sum("part").alias("e"))
+    h = lambda rows, x, m: rows.crossJoin(t).agg((-F.sum(F.col(m) * F.col(x) / F.col("t") * F.log(F.col(x) / F.col("t")))).alias(f"h{x}"))
+    joint = table.crossJoin(t).agg((-F.sum(n / F.col("t") * F.log(n / F.col("t")))).alias("h"))
+    one = e.crossJoin(h(a, "x", "xs")).crossJoin(h(b, "y", "ys")).crossJoin(joint)
+    mean = (F.col("hx") + F.col("hy")) / 2
+    return one.select(F.when(F.abs(mean - F.col("e")) < 1e-15, 1.0).otherwise((F.col("hx") + F.col("hy") - F.col("h") - F.col("e")) / (mean - F.col("e"))).alias("ami"))
 
 
 def _sampled(c: DataFrame, most: int | None) -> DataFrame:
@@ -103,24 +118,124 @@ def _sampled(c: DataFrame, most: int | None) -> DataFrame:
     return c.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
 
 
-def intra_distance(c: DataFrame, most: int | None = 2000) -> DataFrame:
-    """cluster_id, n, mean distance of pairs of members (of most members, by hash, in larger clusters); null for one."""
-    s = _sampled(c.filter(F.col("cluster_id") != NOISE), most).select("cluster_id", "row_idx", doubles("embedding").alias("v"))
-    x, y = s.alias("x"), s.alias("y")
-    pairs = x.join(y, (F.col("x.cluster_id") == F.col("y.cluster_id")) & (F.col("x.row_idx") < F.col("y.row_idx")))
-    d = pairs.groupBy(F.col("x.cluster_id").alias("cluster_id")).agg(F.avg(euclidean(F.col("x.v"), F.col("y.v"))).alias("mean_distance"))
-    return cluster_sizes(c).join(d, "cluster_id", "left")
-
-
-def silhouette(c: DataFrame) -> DataFrame:
-    """One row: the mean silhouette of rows that aren't noise; null under 3 rows, under 2 clusters, or of single rows only."""
-    s = c.filter(F.col("cluster_id") != NOISE).select("cluster_id", "row_idx", doubles("embedding").alias("v"))
-    x, y = s.alias("x"), s.repartition(s.sparkSession.sparkContext.defaultParallelism).alias("y")
-    d = y.join(x, F.col("x.row_idx") != F.col("y.row_idx")).groupBy(F.col("y.row_idx").alias("row_idx"), F.col("y.cluster_id").alias("own"), F.col("x.cluster_id").alias("other")).agg(F.avg(euclidean(F.col("x.v"), F.col("y.v"))).alias("d"))
-    p = d.groupBy("row_idx").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("b"))
-    one = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    n = cluster_sizes(c).agg(F.sum("n").alias("rows"), F.count("*").alias("k"))
-    return p.agg(F.avg(one).alias("s")).crossJoin(n).select(F.when((F.col("rows") >= 3) & (F.col("k") >= 2) & (F.col("k") < F.col("rows")), F.col("s")).alias("silhouette"))
+def intra_distance(c: DataFrame, most: int | None = None, metric: str = "euclidean") -> DataFrame:
+    """cluster_id, n, mean distance of pairs of members; null for one. most: of so many members, by hash, in larger clusters.
+
+    Blocks of a cluster meet in pairs, and each pair returns one sum.
+    """
+    rows = _sampled(c.filter(F.col("cluster_id") != NOISE), most).select(F.col("cluster_id").cast("string").alias("tree"), F.col("row_idx").alias("pos"), doubles("embedding").alias("embedding"))
+    sized = rows.join(rows.groupBy("tree").agg(F.count("*").alias("n")), "tree")
+
+    def add(batches):
+        for b in batches:
+            for tree, lo, hi, left, right in zip(b["tree"], b["lo"], b["hi"], b["a"], b["b"], strict=True):
+                d = distances(rows_of(left, "embedding"), rows_of(right, "embedding"), metric, None)
+                k = len(d)
+                yield pd.DataFrame({"tree": [tree], "s": [d.sum() - np.trace(d) if lo == hi else 2 * d.sum()], "m": [k * (k - 1) if lo == hi else 2 * d.size]})
+
+    sums = block_pairs(sized).mapInPandas(add, "tree string, s double, m long").groupBy("tree").agg(F.try_divide(F.sum("s"), F.sum("m")).alias("mean_distance"))
+    out = cluster_sizes(c).withColumn("tree", F.col("cluster_id").cast("string"))
+    return out.join(sums, "tree", "left").drop("tree")
+
+
+def _by_cluster(c: DataFrame, steps: Steps, block: int) -> DataFrame:
+    """Block pairs of all rows in order of their clusters, so that a block holds whole small clusters, or a part of a large one."""
+    rows = c.select("cluster_id", "row_idx", doubles("embedding").alias("embedding"), *(x for x in c.columns if x == "core"))
+    rows = rows.join(rows.groupBy("cluster_id").agg(F.count("*").alias("members")), "cluster_id").withColumn("tree", F.lit(""))
+    placed = numbered(rows, ["tree"], ["cluster_id", "row_idx"], steps, "pos")
+    return block_pairs(placed, block, F.floor(F.col("pos") / block))
+
+
+def silhouette(c: DataFrame, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
+    """One row: the mean silhouette of rows that aren't noise; null under 3 rows, under 2 clusters, or of single rows only.
+
+    Blocks meet in pairs. Of a cluster that lies in one block, a row needs only the nearest mean; others come as sums.
+    """
+
+    def add(batches):
+        for batch in batches:
+            for lo, hi, left, right in zip(batch["lo"], batch["hi"], batch["a"], batch["b"], strict=True):
+                d = distances(rows_of(left, "embedding"), rows_of(right, "embedding"), metric, None)
+                for rows, cols, m in ((left, right, d),) if lo == hi else ((left, right, d), (right, left, d.T)):
+                    own = np.array([r["cluster_id"] for r in rows])
+                    names, at, counts = np.unique([r["cluster_id"] for r in cols], return_inverse=True, return_counts=True)
+                    member = np.zeros((len(cols), len(names)))
+                    member[np.arange(len(cols)), at] = 1
+                    sums = m @ member
+                    whole = counts == np.array([next(r["members"] for r in cols if r["cluster_id"] == k) for k in names])
+                    mine = names[None, :] == own[:, None]
+                    other = np.where(mine | ~whole[None, :], np.inf, sums / counts).min(1)
+                    row = np.array([r["row_idx"] for r in rows])
+                    yield pd.DataFrame({"row_idx": row, "own": own, "other": own, "s": (sums * mine).sum(1), "m": (mine * counts).sum(1), "best": other})
+                    for j in np.nonzero(~whole)[0]:
+                        keep = ~mine[:, j]
+                        if keep.any():
+                            yield pd.DataFrame({"row_idx": row[keep], "own": own[keep], "other": names[j], "s": sums[keep, j], "m": counts[j], "best": np.inf})
+
+    with Steps(c.sparkSession) as steps:
+        part = _by_cluster(c.filter(F.col("cluster_id") != NOISE), steps, block).mapInPandas(add, "row_idx long, own long, other long, s double, m long, best double")
+        each = part.groupBy("row_idx", "own", "other").agg(F.sum("s").alias("s"), F.sum("m").alias("m"), F.min("best").alias("best"))
+        mine = F.col("own") == F.col("other")
+        # A row's distance to itself is 0 and does not count.
+        p = each.groupBy("row_idx").agg(F.max(F.when(mine & (F.col("m") > 1), F.col("s") / (F.col("m") - 1))).alias("a"), F.least(F.min("best"), F.coalesce(F.min(F.when(~mine & (F.col("m") > 0), F.col("s") / F.col("m"))), F.lit(float("inf")))).alias("b"))
+        one = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+        n = cluster_sizes(c).agg(F.sum("n").alias("rows"), F.count("*").alias("k"))
+        out = p.agg(F.avg(one).alias("s")).crossJoin(n).select(F.when((F.col("rows") >= 3) & (F.col("k") >= 2) & (F.col("k") < F.col("rows")), F.col("s")).alias("silhouette"))
+        return steps.keep(out)
+
+
+def density_validity(c: DataFrame, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
+    """cluster_id, n, sparseness, separation, validity, weight of each cluster of two and more rows: density-based validity.
+
+    c: row_idx, cluster_id, embedding. Within a cluster, a row's core is the power mean of exponent -dims of its distances
+    (equal rows don't count), and edges weigh the larger of distance and both cores. sparseness: the heaviest edge of the lightest
+    tree between nodes of more than one edge (of all, if there is none). separation: the lightest edge from such nodes to
+    another cluster's. validity: (separation - sparseness) over the larger; null with one cluster. weight: the share of all
+    rows, noise too; the index of the clustering is the weighted sum.
+    """
+    spark = c.sparkSession
+
+    def powers(batches):
+        for b in batches:
+            for tree, lo, hi, left, right in zip(b["tree"], b["lo"], b["hi"], b["a"], b["b"], strict=True):
+                x, y = rows_of(left, "embedding"), rows_of(right, "embedding")
+                d = distances(x, y, metric)
+                with np.errstate(divide="ignore", over="ignore"):
+                    p = np.where(d > 0, d ** -float(x.shape[1]), 0.0)
+                for rows, m in ((left, p),) if lo == hi else ((left, p), (right, p.T)):
+                    yield pd.DataFrame({"tree": tree, "pos": [r["pos"] for r in rows], "p": m.sum(1)})
+
+    def nearest(batches):
+        for batch in batches:
+            for left, right in zip(batch["a"], batch["b"], strict=True):
+                d = distances(rows_of(left, "embedding"), rows_of(right, "embedding"), metric)
+                d = np.maximum(d, np.maximum(rows_of(left, "core"), rows_of(right, "core").T))
+                one, two = (np.array([r["cluster_id"] for r in rows]) for rows in (left, right))
+                d[one[:, None] == two[None, :]] = np.inf
+                yield pd.DataFrame({"cluster_id": np.concatenate([one, two]), "d": np.concatenate([d.min(1), d.min(0)])}).groupby("cluster_id", as_index=False).min()
+
+    with Steps(spark) as steps:
+        whole = c.agg(F.count("*").alias("rows"))
+        rows = c.filter(F.col("cluster_id") != NOISE).select(F.col("cluster_id").cast("string").alias("tree"), F.col("row_idx").alias("pos"), doubles("embedding").alias("embedding"))
+        points = steps.cut(rows.join(rows.groupBy("tree").agg(F.count("*").alias("n")), "tree").filter("n > 1"))
+        mass = block_pairs(points, block).mapInPandas(powers, "tree string, pos long, p double").groupBy("tree", "pos").agg(F.sum("p").alias("p"))
+        cored = points.join(mass, ["tree", "pos"])
+        dims = F.size("embedding")
+        core = F.when(F.col("p") > 0, F.pow(F.col("p") / (F.col("n") - 1), -1.0 / dims)).otherwise(0.0)
+        cored = steps.cut(cored.withColumn("core", F.round(core, 6)).withColumn("cores", F.array("core")).drop("p"))
+        edges = steps.cut(spanning_trees(cored.drop("core"), steps, [""], metric, block))
+        ends = edges.select("tree", F.explode(F.array("a", "b")).alias("pos")).groupBy("tree", "pos").agg(F.count("*").alias("k"))
+        inner = steps.cut(ends.withColumn("inner", F.col("k") > 1).withColumn("none", ~F.max("inner").over(Window.partitionBy("tree"))).filter(F.col("inner") | F.col("none")).select("tree", "pos"))
+        side = lambda x: inner.select("tree", F.col("pos").alias(x), F.lit(True).alias(f"_{x}"))
+        marked = edges.join(side("a"), ["tree", "a"], "left").join(side("b"), ["tree", "b"], "left")
+        inside = F.max(F.when(F.col("_a") & F.col("_b"), F.col("w")))
+        sparse = marked.groupBy("tree").agg(F.coalesce(inside, F.max("w")).alias("sparseness"))
+        kept = cored.join(inner, ["tree", "pos"]).select(F.col("tree").cast("long").alias("cluster_id"), F.col("pos").alias("row_idx"), "embedding", "core")
+        apart = _by_cluster(kept, steps, block).mapInPandas(nearest, "cluster_id long, d double").groupBy("cluster_id").agg(F.min("d").alias("separation"))
+        size = points.groupBy("tree").agg(F.count("*").alias("n"))
+        j = size.join(sparse, "tree").withColumn("cluster_id", F.col("tree").cast("long")).join(apart, "cluster_id", "left").crossJoin(F.broadcast(whole))
+        far = F.when(F.col("separation") < float("inf"), F.col("separation"))
+        return steps.keep(j.select("cluster_id", "n", "sparseness", far.alias("separation"), F.try_divide(far - F.col("sparseness"), F.greatest(far, "sparseness")).alias("validity"), (F.col("n") / F.col("rows")).alias("weight")))
 
 
 def sweep_score(noise, prob, largest, k, n, nmi=None, ari=None):

@@ -1,17 +1,17 @@
-"""Density clustering (HDBSCAN) with its hierarchy as tables, and what runs it by group, by depth, or over a grid.
+"""Density clustering (HDBSCAN) over tables: of all items, by group, by depth, or over a grid of configurations.
 
-One clustering is a sequential tree over its items and runs as one task, with memory linear in the items: distances are
-recomputed row by row. Groups and configurations run in parallel. `most` bounds the items of one task.
+All groups and configurations share the steps of `density`: distances once, a spanning tree for each min_samples, a condensed
+tree for each min_cluster_size, a selection for each configuration. Nothing holds all items of a clustering in one task.
 """
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST = 200_000
+from cairn.operators import density
+from cairn.operators.cluster_metrics import agreement, intra_distance, sweep_score
+from cairn.operators.steps import Steps, numbered
 
 
 @dataclass(frozen=True)
@@ -25,284 +25,201 @@ class Config:
     allow_single_cluster: bool = False
     epsilon: float = 0.0
 
+    def __post_init__(self):
+        if self.min_cluster_size < 2 or self.samples < 1:
+            raise ValueError("min_cluster_size is 2 at least, min_samples 1 at least")
 
-def _from(x: np.ndarray, i: int, metric: str) -> np.ndarray:
-    return 1 - np.clip(x @ x[i], -1, 1) if metric == "cosine" else np.sqrt(((x - x[i]) ** 2).sum(1))
-
-
-def core_distances(x: np.ndarray, k: int, metric: str) -> np.ndarray:
-    """Each row's distance to its k-th nearest other row (to the farthest, if there are fewer)."""
-    k = min(k, len(x) - 1)
-    return np.array([np.partition(np.delete(_from(x, i, metric), i), k - 1)[k - 1] if k > 0 else 0.0 for i in range(len(x))])
-
-
-def spanning_tree(x: np.ndarray, core: np.ndarray, metric: str) -> np.ndarray:
-    """Prim's tree over mutual reachability: rows (a, b, weight), lightest first; ties by the smaller, then larger end."""
-    n = len(x)
-    best, via, out = np.full(n, np.inf), np.zeros(n, int), []
-    open_, at = np.ones(n, bool), 0
-    open_[0] = False
-    for _ in range(n - 1):
-        w = np.maximum(np.maximum(_from(x, at, metric), core), core[at])
-        better = open_ & (w < best)
-        best[better], via[better] = w[better], at
-        at = int(np.argmin(np.where(open_, best, np.inf)))
-        open_[at] = False
-        out.append((min(at, via[at]), max(at, via[at]), best[at]))
-    return np.array(sorted(out, key=lambda e: (e[2], e[0], e[1]))).reshape(-1, 3)
-
-
-def single_linkage(edges: np.ndarray, n: int) -> np.ndarray:
-    """Merges (left, right, distance, size); node n + i is the i-th merge."""
-    top, size, out = list(range(2 * n)), [1] * n + [0] * n, []
-
-    def find(a: int) -> int:
-        while top[a] != a:
-            top[a] = top[top[a]]
-            a = top[a]
-        return a
-
-    for i, (a, b, w) in enumerate(edges):
-        a, b = find(int(a)), find(int(b))
-        size[n + i] = size[a] + size[b]
-        top[a] = top[b] = n + i
-        out.append((a, b, w, size[n + i]))
-    return np.array(out).reshape(-1, 4)
-
-
-def condense(merges: np.ndarray, n: int, least: int) -> list[tuple[int, int, float, int]]:
-    """(parent, child, lambda, size): clusters are numbered from n (the root) on; children under least fall out as points."""
-    if n < 2:
-        return []
-    members: dict[int, list[int]] = {}
-
-    def points(node: int) -> list[int]:
-        stack, out = [node], []
-        while stack:
-            a = stack.pop()
-            if a < n:
-                out.append(a)
-            else:
-                stack += [int(merges[a - n][0]), int(merges[a - n][1])]
-        return out
-
-    out, names, stack = [], n + 1, [(2 * n - 2, n)]
-    while stack:
-        node, name = stack.pop()
-        while node >= n:
-            left, right, d, _ = merges[node - n]
-            lam = 1 / d if d > 0 else np.inf
-            sides = [(int(c), 1 if c < n else int(merges[int(c) - n][3])) for c in (left, right)]
-            large = [c for c in sides if c[1] >= least]
-            if len(large) == 2:
-                for c, s in large:
-                    out.append((name, names, lam, s))
-                    stack.append((c, names))
-                    names += 1
-                break
-            for c, s in sides:
-                if s < least:
-                    out += [(name, p, lam, 1) for p in points(c)]
-            if not large:
-                break
-            node = large[0][0]
-        else:
-            out.append((name, node, np.inf, 1))
-    return out
-
-
-def select(tree: list[tuple[int, int, float, int]], n: int, c: Config) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and membership of the points 0 to n - 1; labels are in order of their first member."""
-    labels, prob = np.full(n, -1), np.zeros(n)
-    if not tree:
-        return labels, prob
-    finite = [lam for *_, lam, _ in tree if np.isfinite(lam)]
-    cap = max(finite, default=1.0)
-    rows = [(p, ch, min(lam, cap), s) for p, ch, lam, s in tree]
-    clusters = sorted({p for p, *_ in rows} | {ch for _, ch, _, _ in rows if ch >= n})
-    birth = {n: 0.0} | {ch: lam for _, ch, lam, _ in rows if ch >= n}
-    kids: dict[int, list[int]] = {k: [] for k in clusters}
-    score = dict.fromkeys(clusters, 0.0)
-    for p, ch, lam, s in rows:
-        score[p] += (lam - birth[p]) * s
-        if ch >= n:
-            kids[p].append(ch)
-    chosen: set[int] = set()
-    if c.selection == "leaf":
-        chosen = {k for k in clusters if not kids[k] and (k != n or c.allow_single_cluster)}
-    else:
-        for k in reversed(clusters):
-            below = sum(score[x] for x in kids[k])
-            if k == n and not c.allow_single_cluster:
-                continue
-            if kids[k] and below > score[k]:
-                score[k] = below
-            else:
-                chosen.add(k)
-    parent = {ch: p for p, ch, _, _ in rows if ch >= n}
-    if c.epsilon > 0:
-        up = set()
-        for k in chosen:
-            while k != n and 1 / max(birth[k], 1e-300) < c.epsilon and (parent[k] != n or c.allow_single_cluster):
-                k = parent[k]
-            up.add(k)
-        chosen = up
-
-    def covered(k: int) -> int | None:
-        found = None
-        while True:
-            if k in chosen:
-                found = k
-            if k == n:
-                return found
-            k = parent[k]
-
-    owner = {k: covered(k) for k in clusters}
-    most: dict[int, float] = {}
-    for p, ch, lam, _ in rows:
-        if ch < n and owner[p] is not None:
-            most[owner[p]] = max(most.get(owner[p], 0.0), lam)
-    for p, ch, lam, _ in rows:
-        if ch < n and owner[p] is not None:
-            if owner[p] == n and c.allow_single_cluster and len(chosen) == 1 and c.epsilon and lam < 1 / c.epsilon:
-                continue
-            labels[ch], prob[ch] = owner[p], (lam / most[owner[p]] if most[owner[p]] else 1.0)
-    order = {k: i for i, k in enumerate(dict.fromkeys(labels[labels >= 0].tolist()))}
-    return np.array([order.get(v, -1) for v in labels]), prob
-
-
-def trees(x: np.ndarray, c: Config) -> tuple[np.ndarray, list[tuple[int, int, float, int]]]:
-    """The single-linkage and the condensed tree."""
-    if c.metric == "cosine":
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
-    merges = single_linkage(spanning_tree(x, core_distances(x, c.min_samples or c.min_cluster_size, c.metric), c.metric), len(x))
-    return merges, condense(merges, len(x), c.min_cluster_size)
-
-
-def fit(x: np.ndarray, c: Config) -> tuple[np.ndarray, np.ndarray]:
-    """No rows: nothing; one row: noise."""
-    if len(x) > MOST:
-        raise ValueError(f"{len(x)} items; one clustering takes {MOST} at most: group or sample them first")
-    return select(trees(x, c)[1], len(x), c) if len(x) > 1 else (np.full(len(x), -1), np.zeros(len(x)))
-
-
-def _matrix(g: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    g = g.sort_values("row_idx", kind="stable")
-    return g, np.array(g["embedding"].tolist(), float).reshape(len(g), -1)
+    @property
+    def samples(self) -> int:
+        return self.min_cluster_size if self.min_samples is None else self.min_samples
 
 
-def cluster(items: DataFrame, c: Config = Config()) -> DataFrame:
-    """id, cluster_id, prob of items (row_idx, id, embedding)."""
-    return grouped(items.withColumn("pregroup_id", F.lit("all")), c, least=0).select("id", F.regexp_replace("cluster_id", "^all__", "").cast("int").alias("cluster_id"), "prob")
+def placed(items: DataFrame, steps: Steps) -> DataFrame:
+    """items (tree, row_idx, id, embedding) with pos, from 0 in order of row_idx within each tree, and n."""
+    return steps.cut(numbered(items.select("tree", "row_idx", "id", "embedding"), ["tree"], ["row_idx", "id"], steps, "pos"))
 
 
-def grouped(items: DataFrame, c: Config, noise: str = "separate", least: int | None = None) -> DataFrame:
-    """id, pregroup_id, cluster_id (group__local), prob, is_noise, skipped: each group on its own.
+def linkage_of(points: DataFrame, samples: list[int], metric: str, steps: Steps) -> DataFrame:
+    """The merges of each of samples; the tree's name is followed by |min_samples."""
+    cored = steps.cut(density.core_distances(points, samples, metric))
+    edges = density.spanning_trees(cored, steps, [f"|{s}" for s in samples], metric)
+    return steps.cut(density.single_linkage(edges, steps))
 
-    Groups under max(2, min_cluster_size) are noise and skipped. Group "-1" is a group, or is called merged_noise.
-    """
-    floor = max(2, c.min_cluster_size) if least is None else least
-    named = items.withColumn("pregroup_id", F.coalesce("pregroup_id", F.lit("-1")))
-    if noise == "merge":
-        named = named.withColumn("pregroup_id", F.when(F.col("pregroup_id") == "-1", "merged_noise").otherwise(F.col("pregroup_id")))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g, x = _matrix(g)
-        small = len(g) < floor
-        labels, prob = (np.full(len(g), -1), np.zeros(len(g))) if small else fit(x, c)
-        return pd.DataFrame({"id": g["id"], "pregroup_id": g["pregroup_id"], "cluster_id": [f"{p}__{k}" for p, k in zip(g["pregroup_id"], labels, strict=True)], "prob": prob, "is_noise": labels == -1, "skipped": small})
+def _condensed(merges: DataFrame, configs: list[Config], steps: Steps) -> DataFrame:
+    """The condensed trees that configs read; the tree's name is followed by |min_cluster_size."""
+    grid = sorted({(str(c.samples), c.min_cluster_size) for c in configs})
+    least = F.explode(F.filter(F.array(*(F.struct(F.lit(s).alias("s"), F.lit(m).alias("m")) for s, m in grid)), lambda g: g["s"] == F.substring_index("tree", "|", -1))["m"])
+    return steps.cut(density.condensed(merges.withColumn("least", least).withColumn("tree", F.concat_ws("|", "tree", "least")), steps))
 
-    return named.select("row_idx", "id", "embedding", "pregroup_id").groupBy("pregroup_id").applyInPandas(run, "id string, pregroup_id string, cluster_id string, prob double, is_noise boolean, skipped boolean")
 
+def fitted(points: DataFrame, configs: list[Config], steps: Steps, merges: DataFrame | None = None) -> DataFrame:
+    """tree, config (its place in configs), pos, label, prob of the points (of `placed`) that configs give a label."""
+    if len({c.metric for c in configs}) > 1:
+        raise ValueError("configurations of one call have one metric")
+    merges = linkage_of(points, sorted({c.samples for c in configs}), configs[0].metric, steps) if merges is None else merges
+    trees = _condensed(merges, configs, steps)
+    of = [F.struct(F.lit(f"|{c.samples}|{c.min_cluster_size}").alias("suffix"), F.lit(i).alias("config"), F.lit(c.selection == "leaf").alias("leaf"), F.lit(c.allow_single_cluster).alias("root_ok"), F.lit(float(c.epsilon)).alias("epsilon")) for i, c in enumerate(configs)]
+    mine = F.explode(F.filter(F.array(*of), lambda c: F.endswith("tree", c["suffix"])))
+    config = trees.select("tree").distinct().withColumn("c", mine).select("tree", F.concat_ws("|", F.substring_index("tree", "|", -2), "c.config", F.expr("substring(tree, 1, length(tree) - length(c.suffix))")).alias("of"), "c.leaf", "c.root_ok", "c.epsilon")
+    got = density.selected(trees, steps.cut(config), steps)
+    name = F.split("tree", "\\|", 4)
+    return got.select(name[3].alias("tree"), name[2].cast("int").alias("config"), "pos", "label", "prob")
 
-def tree_tables(items: DataFrame, c: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """Single linkage (left, right, distance, size) and condensed tree (parent, child, lambda_val, child_size)."""
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        m = trees(_matrix(g)[1], c)[0]
-        return pd.DataFrame({"left": m[:, 0].astype(int), "right": m[:, 1].astype(int), "distance": m[:, 2], "size": m[:, 3].astype(int)})
+def cluster(items: DataFrame, c: Config = Config()) -> DataFrame:
+    """id, cluster_id, prob of items (row_idx, id, embedding). Noise is -1 with prob 0; one item is noise; no items: no rows."""
+    return grouped(items.withColumn("pregroup_id", F.lit("all")), c, least=0).select("id", F.regexp_replace("cluster_id", "^all__", "").cast("int").alias("cluster_id"), "prob")
 
-    def two(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(trees(_matrix(g)[1], c)[1], columns=["parent", "child", "lambda_val", "child_size"])
 
-    g = items.select("row_idx", "embedding", F.lit(0).alias("_g")).groupBy("_g")
-    return g.applyInPandas(one, "left long, right long, distance double, size long"), g.applyInPandas(two, "parent long, child long, lambda_val double, child_size long")
+def grouped(items: DataFrame, c: Config = Config(), noise: str = "separate", least: int | None = None) -> DataFrame:
+    """id, pregroup_id, cluster_id (group__local), prob, is_noise, skipped: each group on its own.
 
+    Groups under max(2, min_cluster_size) are noise and skipped. Group "-1" (or null) is a group, or is called merged_noise.
+    """
+    floor = max(2, c.min_cluster_size) if least is None else least
+    name = F.coalesce("pregroup_id", F.lit("-1"))
+    if noise == "merge":
+        name = F.when(name == "-1", "merged_noise").otherwise(name)
+    with Steps(items.sparkSession) as steps:
+        points = placed(items.withColumn("tree", name), steps)
+        got = fitted(points.filter(F.col("n") >= floor), [c], steps)
+        out = points.select("tree", "pos", "id", "n").join(got, ["tree", "pos"], "left")
+        label = F.coalesce("label", F.lit(-1))
+        return steps.keep(out.select("id", F.col("tree").alias("pregroup_id"), F.concat_ws("__", "tree", label).alias("cluster_id"), F.coalesce("prob", F.lit(0.0)).alias("prob"), (label == -1).alias("is_noise"), (F.col("n") < floor).alias("skipped")))
 
-def valley_scores(linkage: DataFrame) -> DataFrame:
-    """linkage with gap (to the next merge's distance) and score, gap * ln(size)."""
-    from pyspark.sql import Window
 
-    gap = F.lead("distance").over(Window.orderBy("distance", "size", "left")) - F.col("distance")
-    return linkage.withColumn("gap", gap).withColumn("score", F.col("gap") * F.log("size"))
+def tree_tables(items: DataFrame, c: Config = Config()) -> tuple[DataFrame, DataFrame]:
+    """Single linkage (left, right, distance, size) in order r, and condensed tree (parent, child, lambda_val, child_size)."""
+    with Steps(items.sparkSession) as steps:
+        merges = linkage_of(placed(items.withColumn("tree", F.lit("all")), steps), [c.samples], c.metric, steps)
+        tree = _condensed(merges, [c], steps)
+        return steps.keep(merges.select("r", "left", "right", "distance", "size")), steps.keep(tree.select("parent", "child", "lambda_val", "child_size"))
+
+
+def mutual_reachability_nearest(items: DataFrame, c: Config = Config()) -> DataFrame:
+    """row_idx, nearest, distance: the lightest edge of each item in the spanning tree, which is its lightest of all; ties by the ends."""
+    with Steps(items.sparkSession) as steps:
+        points = placed(items.withColumn("tree", F.lit("all")), steps)
+        edges = density.spanning_trees(steps.cut(density.core_distances(points, [c.samples], c.metric)), steps, [""], c.metric)
+        both = edges.select(F.col("a").alias("pos"), F.col("b").alias("other"), "w", "a", "b").unionByName(edges.select(F.col("b").alias("pos"), F.col("a").alias("other"), "w", "a", "b"))
+        near = both.groupBy("pos").agg(F.min(F.struct("w", "a", "b", "other")).alias("e"))
+        name = points.select("pos", "row_idx")
+        out = near.join(name, "pos").join(name.select(F.col("pos").alias("_o"), F.col("row_idx").alias("nearest")), F.col("e.other") == F.col("_o"))
+        return steps.keep(out.select("row_idx", "nearest", F.col("e.w").alias("distance")))
+
+
+def linkage_cut(items: DataFrame, height: float, c: Config = Config()) -> DataFrame:
+    """row_idx, component: the least row_idx that merges of at most height join an item with."""
+    from cairn.operators.steps import components
+
+    with Steps(items.sparkSession) as steps:
+        points = placed(items.withColumn("tree", F.lit("all")), steps)
+        edges = density.spanning_trees(steps.cut(density.core_distances(points, [c.samples], c.metric)), steps, [""], c.metric)
+        joined = components(edges.filter(F.col("w") <= height).select("tree", "a", "b"), ["tree"], steps).select(F.col("node").alias("pos"), "component")
+        named = points.select("pos", "row_idx").join(joined, "pos", "left").withColumn("component", F.coalesce("component", "pos"))
+        first = points.select(F.col("pos").alias("component"), F.col("row_idx").alias("least"))
+        return steps.keep(named.join(first, "component").select("row_idx", F.col("least").alias("component")))
+
+
+def valley_scores(linkage: DataFrame, top: int | None = None) -> DataFrame:
+    """linkage (r, distance, size) with gap (to the next merge's distance) and score, gap * ln(size); of top scores, if given.
+
+    Each merge meets the next one by a join on r, not by a window over all.
+    """
+    after = linkage.select((F.col("r") - 1).alias("r"), F.col("distance").alias("_next"))
+    out = linkage.join(after, "r", "left").withColumn("gap", F.col("_next") - F.col("distance")).drop("_next").withColumn("score", F.col("gap") * F.log("size"))
+    return out if top is None else out.orderBy(F.desc_nulls_last("score"), "r").limit(top)
 
 
-def recursive(items: DataFrame, c: Config = Config(), sub: Config = Config(selection="leaf"), fraction: float = 0.2, multiple: float = 5.0, children: int = 2, largest: float = 0.8, noise: float = 0.5, depth: int = 1, to_parent: bool = True) -> tuple[DataFrame, DataFrame]:
+def recursive(items: DataFrame, c: Config = Config(), sub: Config = Config(selection="leaf"), fraction: float = 0.2, multiple: float = 5.0, children: int = 2, largest: float = 0.8, noise: float = 0.5, depth: int = 1, to_parent: bool = True, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, cluster_id, prob, base_cluster, depth, split) and a report of all tried splits.
 
     Clusters over both fraction of the rows and multiple of the median size are clustered again, to depth; a split is
     kept with enough children, none too large, and little noise. Its noise goes to the parent (prob 1) or is noise.
+    The report also has the mean distance within the parent and, weighted by size, within its children, and whether that
+    is less: improved is null where either is not known. most: rows of a cluster that distances sample.
     """
     spark = items.sparkSession
     base = cluster(items, c)
     now = items.select("row_idx", "id", "embedding").join(base, "id").withColumns({"base_cluster": F.col("cluster_id"), "depth": F.lit(0), "split": F.lit(False)})
     reports = []
-    for d in range(1, depth + 1):
-        sizes = now.filter("cluster_id <> -1").groupBy("cluster_id").agg(F.count("*").alias("n")).toPandas()
-        n = now.count()
-        median = float(sizes["n"].median()) if len(sizes) else 0.0
-        large = sizes[sizes["n"] > max(fraction * n, multiple * median)]["cluster_id"].tolist()
-        if not large:
-            break
-        parts = grouped(now.filter(F.col("cluster_id").isin(large)).withColumn("pregroup_id", F.col("cluster_id").cast("string")), sub)
-        local = parts.select("id", F.col("pregroup_id").cast("int").alias("parent"), F.regexp_extract("cluster_id", "__(-?[0-9]+)$", 1).cast("int").alias("local"), F.col("prob").alias("p"))
-        stats = local.groupBy("parent", "local").agg(F.count("*").alias("n")).toPandas()
-        keep, fresh = {}, int(sizes["cluster_id"].max()) + 1
-        for parent, g in stats.groupby("parent"):
-            total, kids = g["n"].sum(), g[g["local"] != -1]
-            share, lost = (kids["n"].max() / total if len(kids) else 0.0), g[g["local"] == -1]["n"].sum() / total
-            reasons = [r for r, bad in (("few_children", len(kids) < children), ("large_child", share >= largest), ("noise", lost >= noise)) if bad]
-            reports.append((d, int(parent), int(total), float(max(fraction * n, multiple * median)), median, len(kids), float(share), float(lost), not reasons, ";".join(reasons)))
-            if not reasons:
-                for k in sorted(kids["local"]):
-                    keep[int(parent), int(k)] = fresh
-                    fresh += 1
-        if not keep:
-            break
-        names = spark.createDataFrame([(p, k, v) for (p, k), v in keep.items()], "parent int, local int, fresh int")
-        kept = F.broadcast(names.select("parent").distinct().withColumn("kept", F.lit(True)))
-        new = local.join(F.broadcast(names), ["parent", "local"], "left").join(kept, "parent")
-        j = now.join(new.select("id", "fresh", "p", "kept"), "id", "left")
-        out = F.when(F.col("kept").isNull(), F.col("cluster_id")).otherwise(F.coalesce("fresh", F.col("cluster_id") if to_parent else F.lit(-1)))
-        prob = F.when(F.col("kept").isNull(), F.col("prob")).otherwise(F.when(F.col("fresh").isNotNull(), F.col("p")).otherwise(1.0 if to_parent else 0.0))
-        now = j.select("row_idx", "id", "embedding", out.cast("int").alias("cluster_id"), prob.alias("prob"), "base_cluster", F.when(F.col("fresh").isNotNull(), d).otherwise(F.col("depth")).alias("depth"), (F.col("split") | F.col("kept").isNotNull()).alias("split"))
-    schema = "depth int, parent_cluster int, parent_size long, split_threshold double, median_size double, n_child_clusters int, largest_child_fraction double, sub_noise_ratio double, adopted boolean, reject_reason string"
-    return now.drop("row_idx", "embedding"), spark.createDataFrame(reports, schema)
-
-
-def sweep(items: DataFrame, sizes: list[int], samples: list[int], selections: tuple[str, ...] = ("eom", "leaf"), metric: str = "euclidean") -> DataFrame:
+    with Steps(spark) as steps:
+        for d in range(1, depth + 1):
+            now = steps.cut(now)
+            sizes = now.filter("cluster_id <> -1").groupBy("cluster_id").agg(F.count("*").alias("size"))
+            whole = now.agg(F.count("*").alias("rows")).join(F.broadcast(sizes.agg(F.percentile("size", 0.5).alias("median"), F.max("cluster_id").alias("last"))))
+            limit = F.greatest(fraction * F.col("rows"), multiple * F.col("median"))
+            large = steps.cut(sizes.join(F.broadcast(whole)).filter(F.col("size") > limit).select(F.col("cluster_id").alias("parent"), "size", limit.alias("limit"), "median", "last"))
+            if not large.take(1):
+                break
+            inside = steps.cut(now.join(F.broadcast(large.select(F.col("parent").alias("cluster_id"))), "cluster_id").withColumn("pregroup_id", F.col("cluster_id").cast("string")))
+            parts = grouped(inside, sub)
+            local = steps.cut(parts.select("id", F.col("pregroup_id").cast("int").alias("parent"), F.regexp_extract("cluster_id", "__(-?[0-9]+)$", 1).cast("int").alias("local"), F.col("prob").alias("p")))
+            stats = local.groupBy("parent", "local").agg(F.count("*").alias("m"))
+            kid = F.col("local") != -1
+            each = stats.groupBy("parent").agg(F.count_if(kid).alias("kids"), F.coalesce(F.max(F.when(kid, F.col("m"))), F.lit(0)).alias("top"), F.coalesce(F.sum(F.when(~kid, F.col("m"))), F.lit(0)).alias("lost"))
+            j = large.join(each, "parent").withColumns({"share": F.col("top") / F.col("size"), "sub_noise": F.col("lost") / F.col("size")})
+            # The reasons that reports name.
+            reasons = {"too_few_child_clusters": F.col("kids") < children, "largest_child_fraction_too_high": F.col("share") >= largest, "sub_noise_ratio_too_high": F.col("sub_noise") >= noise}
+            j = j.withColumn("reject_reason", F.concat_ws(";", *(F.when(v, n) for n, v in reasons.items()))).withColumn("adopted", F.col("reject_reason") == "")
+            outer = intra_distance(inside.select("cluster_id", "row_idx", "embedding"), most).select(F.col("cluster_id").alias("parent"), F.col("mean_distance").alias("parent_distance"))
+            sons = local.filter(kid).join(inside.select("id", "row_idx", "embedding"), "id").withColumn("cluster_id", F.concat_ws("_", "parent", "local"))
+            inner = intra_distance(sons.select("cluster_id", "row_idx", "embedding"), most).filter("mean_distance IS NOT NULL").withColumn("parent", F.substring_index("cluster_id", "_", 1).cast("int"))
+            inner = inner.groupBy("parent").agg((F.sum(F.col("n") * F.col("mean_distance")) / F.sum("n")).alias("child_distance"))
+            report = j.join(outer, "parent", "left").join(inner, "parent", "left").withColumn("improved", F.col("child_distance") < F.col("parent_distance"))
+            report = steps.cut(report)
+            reports.append(report.select(F.lit(d).alias("depth"), F.col("parent").alias("parent_cluster"), F.col("size").alias("parent_size"), F.col("limit").cast("double").alias("split_threshold"), F.col("median").alias("median_size"), F.col("kids").cast("int").alias("n_child_clusters"), F.col("share").alias("largest_child_fraction"), F.col("sub_noise").alias("sub_noise_ratio"), "parent_distance", "child_distance", "improved", "adopted", "reject_reason"))
+            adopted = report.filter("adopted").select("parent", "last")
+            new = stats.filter(kid).select("parent", "local").join(adopted, "parent").withColumn("all", F.lit("all"))
+            new = numbered(new, ["all"], ["parent", "local"], steps, "k", "_k").select("parent", "local", (F.col("last") + 1 + F.col("k")).cast("int").alias("fresh"))
+            kept = local.join(F.broadcast(adopted.select("parent", F.lit(True).alias("kept"))), "parent").join(F.broadcast(new), ["parent", "local"], "left").select("id", "fresh", "p", "kept")
+            j = now.join(kept, "id", "left")
+            out = F.when(F.col("kept").isNull(), F.col("cluster_id")).otherwise(F.coalesce("fresh", F.col("cluster_id") if to_parent else F.lit(-1)))
+            prob = F.when(F.col("kept").isNull(), F.col("prob")).otherwise(F.when(F.col("fresh").isNotNull(), F.col("p")).otherwise(1.0 if to_parent else 0.0))
+            now = j.select("row_idx", "id", "embedding", out.cast("int").alias("cluster_id"), prob.alias("prob"), "base_cluster", F.when(F.col("fresh").isNotNull(), d).otherwise(F.col("depth")).alias("depth"), (F.col("split") | F.col("kept").isNotNull()).alias("split"))
+            if not adopted.take(1):
+                break
+        schema = "depth int, parent_cluster int, parent_size long, split_threshold double, median_size double, n_child_clusters int, largest_child_fraction double, sub_noise_ratio double, parent_distance double, child_distance double, improved boolean, adopted boolean, reject_reason string"
+        report = spark.createDataFrame([], schema)
+        for r in reports:
+            report = report.unionByName(r)
+        return steps.keep(now.drop("row_idx", "embedding")), steps.keep(report)
+
+
+def labelled(items: DataFrame, configs: list[Config], steps: Steps) -> DataFrame:
+    """config, id, row_idx, cluster_id, prob of every item under every configuration."""
+    points = placed(items.withColumn("tree", F.lit("all")), steps)
+    got = fitted(points, configs, steps).drop("tree")
+    every = points.select("pos", "id", "row_idx").withColumn("config", F.explode(F.array(*map(F.lit, range(len(configs))))))
+    return every.join(got, ["config", "pos"], "left").select("config", "id", "row_idx", F.coalesce("label", F.lit(-1)).alias("cluster_id"), F.coalesce("prob", F.lit(0.0)).alias("prob"))
+
+
+def sweep(items: DataFrame, sizes: list[int], samples: list[int], selections: tuple[str, ...] = ("eom", "leaf"), metric: str = "euclidean", labels: DataFrame | None = None) -> DataFrame:
     """One row for each configuration, with n, n_clusters, noise_ratio, mean_prob (over all rows), largest_cluster_fraction and final_score.
 
-    Each min_samples is a task; its tree serves every min_cluster_size and selection.
+    labels (id, label): also ari and nmi over the items that have one, which the score then counts. A configuration that
+    cannot be run (a size under 2, fewer items than min_samples) has a row with error, no clusters, all noise and a score of -1.
     """
     spark = items.sparkSession
-    grid = spark.createDataFrame([(s,) for s in sorted(set(samples))], "min_samples int")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g, x = _matrix(g)
-        if metric == "cosine":
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
-        ms, rows = int(g["min_samples"].iloc[0]), []
-        merges = single_linkage(spanning_tree(x, core_distances(x, ms, metric), metric), len(x))
-        for mcs in sizes:
-            tree = condense(merges, len(x), mcs)
-            for sel in selections:
-                labels, prob = select(tree, len(x), Config(mcs, ms, metric, sel))
-                n = np.bincount(labels[labels >= 0]) if (labels >= 0).any() else np.zeros(0, int)
-                rows.append((mcs, ms, sel, len(x), len(n), float((labels == -1).mean()), float(prob.mean()) if len(prob) else 0.0, float(n.max() / n.sum()) if len(n) else 0.0))
-        return pd.DataFrame(rows, columns=["min_cluster_size", "min_samples", "selection_method", "n", "n_clusters", "noise_ratio", "mean_prob", "largest_cluster_fraction"])
-
-    from cairn.operators.cluster_metrics import sweep_score
-
-    out = items.select("row_idx", "embedding").crossJoin(F.broadcast(grid)).groupBy("min_samples").applyInPandas(run, "min_cluster_size int, min_samples int, selection_method string, n long, n_clusters int, noise_ratio double, mean_prob double, largest_cluster_fraction double")
-    return out.withColumn("final_score", sweep_score(F.col("noise_ratio"), F.col("mean_prob"), F.col("largest_cluster_fraction"), F.col("n_clusters"), F.col("n")))
+    total = items.count()
+    grid = [(s, m, sel) for m in samples for s in sizes for sel in selections]
+    wrong = lambda s, m: "min_cluster_size under 2" if s < 2 else "min_samples under 1" if m < 1 else "fewer items than min_samples" if m > total else None
+    good = [g for g in grid if wrong(*g[:2]) is None]
+    schema = "config int, min_cluster_size int, min_samples int, selection_method string"
+    with Steps(spark) as steps:
+        bad = spark.createDataFrame([(s, m, sel, total, 0, 1.0, 0.0, 0.0, wrong(s, m)) for s, m, sel in grid if wrong(s, m)], "min_cluster_size int, min_samples int, selection_method string, n long, n_clusters int, noise_ratio double, mean_prob double, largest_cluster_fraction double, error string")
+        if labels is not None:
+            bad = bad.withColumns({"ari": F.lit(None).cast("double"), "nmi": F.lit(None).cast("double")})
+        if good:
+            rows = steps.cut(labelled(items, [Config(s, m, metric, sel) for s, m, sel in good], steps))
+            each = rows.groupBy("config").agg(F.count("*").alias("n"), F.avg((F.col("cluster_id") == -1).cast("int")).alias("noise_ratio"), F.avg("prob").alias("mean_prob"))
+            size = rows.filter("cluster_id <> -1").groupBy("config", "cluster_id").agg(F.count("*").alias("m")).groupBy("config").agg(F.count("*").cast("int").alias("n_clusters"), (F.max("m") / F.sum("m")).alias("largest_cluster_fraction"))
+            out = each.join(size, "config", "left").fillna(0, ["n_clusters", "largest_cluster_fraction"])
+            if labels is not None:
+                table = rows.join(labels.select("id", "label").filter("label IS NOT NULL"), "id").groupBy("config", "label", "cluster_id").agg(F.count("*").alias("n"))
+                out = out.join(agreement(table, "config").select("config", "ari", F.col("v_measure").alias("nmi")), "config", "left")
+            named = spark.createDataFrame([(i, *g) for i, g in enumerate(good)], schema)
+            bad = out.join(F.broadcast(named), "config").drop("config").withColumn("error", F.lit(None).cast("string")).unionByName(bad)
+        score = sweep_score(F.col("noise_ratio"), F.col("mean_prob"), F.col("largest_cluster_fraction"), F.col("n_clusters"), F.col("n"), *(() if labels is None else (F.col("nmi"), F.col("ari"))))
+        return steps.keep(bad.withColumn("final_score", F.when(F.col("error").isNull(), score).otherwise(-1.0)))
