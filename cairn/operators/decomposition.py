@@ -1,6 +1,7 @@
 """Principal components and k-means, from Spark ML."""
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -11,16 +12,28 @@ from cairn.functions.vectors import doubles, euclidean
 
 
 def _moments(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, mean and population covariance of the embeddings; only D x D numbers reach the driver."""
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.linalg import Vectors
+    """Row count, mean and sample covariance of the embeddings; only D x D numbers reach the driver.
 
-    v = items.select(array_to_vector(doubles("embedding")).alias("v"))
-    n, mean = v.agg(F.count("*"), Summarizer.mean(F.col("v"))).first()
+    Each task adds up the products of its centred rows; a row of the matrix is then summed over tasks.
+    """
+    v = items.select(doubles("embedding").alias("v"))
+    n, mean = v.agg(F.count("*"), Summarizer.mean(array_to_vector("v"))).first()
+    mean = mean.toArray() if n else np.zeros(0)
     if n < 2:
-        return n, mean.toArray(), np.zeros((len(mean), len(mean)))
-    m = RowMatrix(v.rdd.map(lambda r: Vectors.fromML(r.v)))
-    return n, mean.toArray(), m.computeCovariance().toArray()
+        return n, mean, np.zeros((len(mean), len(mean)))
+
+    def products(batches):
+        gram = np.zeros((len(mean), len(mean)))
+        for b in batches:
+            x = np.stack(b["v"].to_numpy()).astype(float) - mean
+            gram += x.T @ x
+        yield pd.DataFrame({"i": np.arange(len(mean)), "row": list(gram)})
+
+    def total(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": [g["i"].iloc[0]], "row": [np.sum(np.stack(g["row"].to_numpy()), axis=0)]})
+
+    rows = v.mapInPandas(products, "i int, row array<double>").groupBy("i").applyInPandas(total, "i int, row array<double>").collect()
+    return n, mean, np.array([r.row for r in sorted(rows, key=lambda r: r.i)]) / (n - 1)
 
 
 def pca(items: DataFrame, setting: float) -> tuple[DataFrame, DataFrame]:
@@ -32,6 +45,8 @@ def pca(items: DataFrame, setting: float) -> tuple[DataFrame, DataFrame]:
     if setting == 1:
         raise ValueError("1 could mean one component or all the variance: give 0.999 or a number from 2 on")
     n, mean, cov = _moments(items)
+    if not n:
+        return items, items.sparkSession.createDataFrame([], "component int, ratio double, cumulative double")
     values, vectors = np.linalg.eigh(cov)
     values, vectors = np.clip(values[::-1], 0, None), vectors[:, ::-1]
     ratio = values / values.sum() if values.sum() else values

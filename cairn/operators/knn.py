@@ -5,6 +5,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.density import block_pairs, distances, rows_of
+
 BLOCK = 2048
 
 
@@ -44,3 +46,22 @@ def knn(items: DataFrame, k: int = 10, metric: str = "cosine", queries: DataFram
     near = pairs.select("q_rows", "c_rows").mapInPandas(multiply, "query_idx long, neighbor_idx long, distance double")
     w = Window.partitionBy("query_idx").orderBy("distance", "neighbor_idx")
     return near.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+
+
+def knn_within(points: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """tree, pos, near, distance: the k nearest others in its own tree of each of points (tree, n, pos, embedding), and few more:
+    each pair of blocks keeps k of its own."""
+
+    def nearest(batches):
+        for b in batches:
+            for tree, lo, hi, left, right in zip(b["tree"], b["lo"], b["hi"], b["a"], b["b"], strict=True):
+                d = distances(rows_of(left, "embedding"), rows_of(right, "embedding"), metric)
+                one, two = (np.array([r["pos"] for r in rows]) for rows in (left, right))
+                for x, y, m in ((one, two, d),) if lo == hi else ((one, two, d), (two, one, d.T)):
+                    m = np.where(x[:, None] == y[None, :], np.inf, m)
+                    at = np.argsort(m, axis=1, kind="stable")[:, :k]
+                    near = np.take_along_axis(m, at, 1)
+                    ok = np.isfinite(near)
+                    yield pd.DataFrame({"tree": tree, "pos": np.repeat(x, ok.sum(1)), "near": y[at][ok], "distance": near[ok]})
+
+    return block_pairs(points.select("tree", "n", "pos", "embedding")).mapInPandas(nearest, "tree string, pos long, near long, distance double")

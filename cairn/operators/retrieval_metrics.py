@@ -145,8 +145,11 @@ def first_k(rows: DataFrame, k: int | None, order: list[str], by: tuple[str, ...
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_place") <= k).drop("_place")
 
 
-def candidate_ratio(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row: n, candidates, ratio of candidate pairs to all ordered pairs of items; pairs has a row for each candidate."""
-    n, c = items.agg(F.count("*").alias("n")), pairs.agg(F.count("*").alias("candidates"))
-    every = F.greatest(F.col("n"), F.lit(1)) * F.greatest(F.col("n") - 1, F.lit(1))
-    return n.crossJoin(c).withColumn("ratio", F.col("candidates") / every)
+def candidate_ratio(counts: DataFrame) -> DataFrame:
+    """One row: n, candidates, ratio of candidates to all ordered pairs of items. counts: a row for each item, n its candidates.
+
+    Without items the ratio is 1.
+    """
+    c = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("candidates"))
+    every = F.col("n") * (F.col("n") - 1)
+    return c.withColumn("ratio", F.when(F.col("n") < 1, 1.0).otherwise(F.col("candidates") / F.greatest(every, F.lit(1))))

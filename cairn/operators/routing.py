@@ -7,6 +7,61 @@ from pyspark.sql import functions as F
 
 from cairn.functions.identity import adjacent_groups
 from cairn.functions.vectors import cosine_distance, doubles, euclidean
+from cairn.operators.knn import knn, knn_within
+
+
+def _least(pool_k: int, multiplier: float) -> int:
+    return max(pool_k, math.ceil(pool_k * max(multiplier, 1)))
+
+
+def _keyed(items: DataFrame) -> DataFrame:
+    """row_idx, pregroup_id, g: a key that is never null; "" is for items in no group."""
+    return items.select("row_idx", "pregroup_id", F.coalesce(F.concat(F.lit("="), "pregroup_id"), F.lit("")).alias("g"))
+
+
+def _sizes(i: DataFrame) -> DataFrame:
+    return i.groupBy("g", "pregroup_id").agg(F.count("*").alias("size"))
+
+
+def _near(strategy: str):
+    return adjacent_groups(F.col("pregroup_id")) if strategy == "adjacent" else F.array().cast("array<string>")
+
+
+def _fill(i: DataFrame, sizes: DataFrame, least: int, strategy: str, known_first: bool) -> DataFrame:
+    """g, candidate_idx, tier: what queries of each group with under least others take besides these.
+
+    Of each group only the first least items by row_idx matter; of a neighbouring group, as many as those before it leave.
+    The rest comes from the first items overall: a group and its neighbours can shut out only so many of them.
+    """
+    first = i.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("row_idx"))).filter(F.col("place") <= least)
+    small = sizes.filter((F.col("g") != "") & (F.col("size") - 1 < least)).withColumn("near", F.filter(_near(strategy), lambda x: x.isNotNull()))
+    step = small.select("g", F.posexplode("near").alias("at", "name"), (F.col("size") - 1).alias("own")).withColumn("of", F.concat(F.lit("="), "name"))
+    step = step.join(sizes.select(F.col("g").alias("of"), F.col("size").alias("there")), "of", "left").fillna(0, ["there"])
+    earlier = F.coalesce(F.sum("there").over(Window.partitionBy("g").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    step = step.withColumn("take", F.greatest(F.lit(0), F.least("there", least - F.col("own") - earlier)))
+    near = step.filter("take > 0").join(first.select(F.col("g").alias("of"), "place", "row_idx"), "of").filter("place <= take").select("g", F.col("row_idx").alias("candidate_idx"), (F.col("at") + 1).cast("int").alias("tier"))
+    got = step.groupBy("g").agg(F.sum("take").alias("got"))
+    need = small.join(got, "g", "left").withColumn("need", least - (F.col("size") - 1) - F.coalesce("got", F.lit(0))).filter("need > 0").select("g", "near", "need")
+    known = first.filter("g <> ''") if known_first else first
+    # least of them stay after any five groups are left out; both lists are of a fixed length.
+    head = known.orderBy("row_idx").limit(6 * least).select("g", "row_idx", F.lit(4).alias("tier"))
+    if known_first:
+        head = head.unionByName(first.filter("g = ''").select("g", "row_idx", F.lit(5).alias("tier")))
+    list_ = head.agg(F.sort_array(F.collect_list(F.struct("tier", "row_idx", "g"))).alias("list"))
+    rest = need.join(F.broadcast(list_)).withColumn("left", F.filter("list", lambda x: (x["g"] != F.col("g")) & ~F.array_contains(F.transform("near", lambda n: F.concat(F.lit("="), n)), x["g"])))
+    rest = rest.select("g", F.explode(F.slice("left", F.lit(1), F.col("need").cast("int"))).alias("x")).select("g", F.col("x.row_idx").alias("candidate_idx"), F.col("x.tier").alias("tier"))
+    return near.unionByName(rest)
+
+
+def _parts(items: DataFrame, mode: str, strategy: str, pool_k: int, multiplier: float, known_first: bool) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
+    """Keyed items; (query_idx, g) of queries that take their whole group; what these take besides; (query_idx, near) of those that take all."""
+    i = _keyed(items)
+    sizes = _sizes(i)
+    q = i.join(sizes.select("g", "size"), "g").select(F.col("row_idx").alias("query_idx"), "g", "pregroup_id", "size")
+    everything = F.lit(True) if mode == "off" else (F.col("g") == "") | (F.lit(mode == "strict") & (F.col("size") < 2))
+    grouped_ = q.filter(~everything).select("query_idx", "g")
+    fill = _fill(i, sizes, _least(pool_k, multiplier), strategy, known_first) if mode == "soft" else None
+    return i, grouped_, fill, q.filter(everything).select("query_idx", "g", "pregroup_id")
 
 
 def candidates(items: DataFrame, mode: str = "soft", strategy: str = "adjacent", pool_k: int = 10, multiplier: float = 2.0, known_first: bool = True) -> DataFrame:
@@ -15,25 +70,49 @@ def candidates(items: DataFrame, mode: str = "soft", strategy: str = "adjacent",
     Tiers: 0 the query's group, 1 to 3 its adjacent groups in order, 4 others in the table, 5 the rest (4 too, unless
     known_first). A group with at least pool_k * multiplier others is kept whole and alone; else tiers fill up to that
     number in order of row_idx. mode strict keeps tier 0, or everything if that is empty; off keeps everything, as do
-    queries that aren't in the table.
+    queries that aren't in the table. Lists of everything are as long as the table: candidate_counts and nearest need none.
+    """
+    i, own, fill, all_ = _parts(items, mode, strategy, pool_k, multiplier, known_first)
+    out = own.join(i.select("g", F.col("row_idx").alias("candidate_idx")), "g").filter("query_idx <> candidate_idx").select("query_idx", "candidate_idx", F.lit(0).alias("tier"))
+    if fill is not None:
+        out = out.unionByName(own.join(fill, "g").select("query_idx", "candidate_idx", "tier"))
+    # Everything is a query's list of all groups, each of which it takes whole.
+    groups = _sizes(i).agg(F.collect_list(F.struct("g", "pregroup_id")).alias("groups"))
+    place = F.array_position(_near(strategy), F.col("of.pregroup_id"))
+    rest = F.when((F.col("of.g") != "") | F.lit(not known_first), 4).otherwise(5)
+    tier = F.when(F.lit(mode == "off") | (F.col("g") == "") | (F.col("g") == F.col("of.g")), 0).otherwise(F.coalesce(F.when(place > 0, place), rest)).cast("int")
+    lists = all_.join(F.broadcast(groups)).withColumn("of", F.explode("groups")).select("query_idx", tier.alias("tier"), F.col("of.g").alias("g"))
+    whole = lists.join(i.select("g", F.col("row_idx").alias("candidate_idx")), "g").filter("query_idx <> candidate_idx").select("query_idx", "candidate_idx", "tier")
+    return out.unionByName(whole)
+
+
+def candidate_counts(items: DataFrame, mode: str = "soft", pool_k: int = 10, multiplier: float = 2.0) -> DataFrame:
+    """query_idx, n: the length of each query's list of candidates, from the groups' sizes alone."""
+    i, least = _keyed(items), _least(pool_k, multiplier)
+    sizes = _sizes(i).select("g", "size")
+    q = i.join(sizes, "g").join(F.broadcast(i.agg(F.count("*").alias("total"))))
+    others, own = F.col("total") - 1, F.col("size") - 1
+    short = {"off": others, "strict": F.when(own > 0, own).otherwise(others), "soft": F.when(own >= least, own).otherwise(F.least(others, F.lit(least)))}[mode]
+    return q.select(F.col("row_idx").alias("query_idx"), F.when(F.col("g") == "", others).otherwise(short).alias("n"))
+
+
+def nearest(items: DataFrame, k: int = 10, mode: str = "soft", strategy: str = "adjacent", pool_k: int = 10, multiplier: float = 2.0, known_first: bool = True, metric: str = "cosine") -> DataFrame:
+    """query_idx, candidate_idx, distance, rank: the k nearest of each query's candidates. items: row_idx, pregroup_id, embedding.
+
+    Groups are searched as blocks, and so is the table for queries that take all of it; only short lists are pairs.
     """
-    least = max(pool_k, math.ceil(pool_k * max(multiplier, 1)))
-    q = items.select(F.col("row_idx").alias("query_idx"), F.col("pregroup_id").alias("qg"))
-    c = items.select(F.col("row_idx").alias("candidate_idx"), F.col("pregroup_id").alias("cg"))
-    pairs = q.crossJoin(c).filter("query_idx <> candidate_idx")
-    place = F.array_position(adjacent_groups(F.col("qg")), F.col("cg"))
-    near = F.when((F.lit(strategy) == "adjacent") & (place > 0), place)
-    rest = F.when(F.col("cg").isNotNull() | F.lit(not known_first), 4).otherwise(5)
-    tier = F.when(F.col("qg") == F.col("cg"), 0).otherwise(F.coalesce(near, rest)).cast("int")
-    if mode == "off":
-        return pairs.select("query_idx", "candidate_idx", F.lit(0).alias("tier"))
-    pairs = pairs.withColumn("tier", F.when(F.col("qg").isNull(), 0).otherwise(tier))
-    own = F.count(F.when(F.col("tier") == 0, 1)).over(Window.partitionBy("query_idx"))
-    pairs = pairs.withColumn("own", own)
-    if mode == "strict":
-        return pairs.filter("tier = 0 OR own = 0").select("query_idx", "candidate_idx", "tier")
-    rank = F.row_number().over(Window.partitionBy("query_idx").orderBy("tier", "candidate_idx"))
-    return pairs.withColumn("rn", rank).filter((F.col("tier") == 0) | ((F.col("own") < least) & (F.col("rn") <= least))).select("query_idx", "candidate_idx", "tier")
+    _, own, fill, all_ = _parts(items, mode, strategy, pool_k, multiplier, known_first)
+    v = items.select("row_idx", "embedding")
+    named = _keyed(items).join(v, "row_idx")
+    inside = named.join(own.select(F.col("query_idx").alias("row_idx")), "row_idx").select(F.col("g").alias("tree"), F.col("row_idx").alias("pos"), "embedding")
+    inside = inside.join(inside.groupBy("tree").agg(F.count("*").alias("n")), "tree")
+    out = knn_within(inside, k, metric).select(F.col("pos").alias("query_idx"), F.col("near").alias("candidate_idx"), "distance")
+    whole = v.join(all_.select(F.col("query_idx").alias("row_idx")), "row_idx")
+    out = out.unionByName(knn(v, k, metric, whole).select("query_idx", F.col("neighbor_idx").alias("candidate_idx"), "distance"))
+    if fill is not None:
+        pairs = own.join(fill, "g").select("query_idx", "candidate_idx")
+        out = out.unionByName(distances(pairs, items, metric).select("query_idx", "candidate_idx", "distance"))
+    return top(out, k).select("query_idx", "candidate_idx", "distance", "rank")
 
 
 def distances(pairs: DataFrame, items: DataFrame, metric: str = "cosine") -> DataFrame:

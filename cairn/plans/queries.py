@@ -1,7 +1,7 @@
 """The registered queries over the supplied tables, and DuckDB SQL for the same results.
 
 Items are the embeddings: id `label/vec_id`. Views are five rows each. Clusters are the largest of the first six
-dimensions, or noise under 0.15. Sizes come from part by id; every seventh id has none. Points are line items by supplier.
+dimensions, or noise under 0.15. Sizes come from part by id, where it has the id. Points are line items by supplier.
 """
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -202,15 +202,17 @@ _agreement("ari_nmi_v_metrics", "as_cluster", "")
 _agreement("ari_nmi_v_metrics_no_noise", "exclude", "WHERE cluster_id <> -1")
 
 
-@query("ami_metric")
+LG = "lgamma({} + 1.0::double)"
+@query("ami_metric", f"""WITH {TABLE}, a AS (SELECT label, sum(n) AS x FROM t GROUP BY label), b AS (SELECT cluster_id, sum(n) AS y FROM t GROUP BY cluster_id), s AS (SELECT sum(n) AS t FROM t),
+p AS (SELECT x, y, s.t AS t, unnest(range(greatest(1, x + y - s.t)::bigint, least(x, y)::bigint + 1))::double AS k FROM a, b, s), e AS (SELECT sum(k / t * ln(t * k / (x * y)) * exp({LG.format("x")} + {LG.format("y")} + {LG.format("(t - x)")} + {LG.format("(t - y)")} - {LG.format("t")} - {LG.format("k")} - {LG.format("(x - k)")} - {LG.format("(y - k)")} - {LG.format("(t - x - y + k)")})) AS e FROM p),
+h AS (SELECT (SELECT -sum(x / s.t * ln(x / s.t)) FROM a, s) AS ha, (SELECT -sum(y / s.t * ln(y / s.t)) FROM b, s) AS hb, (SELECT -sum(n / s.t * ln(n / s.t)) FROM t, s) AS hj) SELECT round((ha + hb - hj - e) / ((ha + hb) / 2 - e), 6) AS ami FROM h, e""")
 def ami_metric(spark, d):
-    v = cluster_metrics.adjusted_mutual_information(cluster_metrics.contingency(clusters(spark, d), labels(spark, d)))
-    return spark.createDataFrame([(round(float(v), 6),)], "ami double")
+    return rounded(cluster_metrics.adjusted_mutual_information(cluster_metrics.contingency(clusters(spark, d), labels(spark, d))))
 
 
 @query("intra_cluster_distance", f"WITH {CLUSTERS}, p AS (SELECT a.cluster_id, avg(list_distance(a.embedding, b.embedding)) AS m FROM clusters a JOIN clusters b ON a.cluster_id = b.cluster_id AND a.row_idx < b.row_idx AND a.cluster_id <> -1 GROUP BY ALL) SELECT c.cluster_id, count(*) AS n, round(any_value(m), 6) AS mean_distance FROM clusters c LEFT JOIN p USING (cluster_id) WHERE c.cluster_id <> -1 GROUP BY c.cluster_id")
 def intra_cluster_distance(spark, d):
-    return rounded(cluster_metrics.intra_distance(clusters(spark, d), None))
+    return rounded(cluster_metrics.intra_distance(clusters(spark, d)))
 
 
 @query("silhouette", f"""WITH {CLUSTERS}, c AS (SELECT * FROM clusters WHERE cluster_id <> -1), d AS (SELECT y.row_idx, y.cluster_id AS own, x.cluster_id AS other, avg(list_distance(x.embedding, y.embedding)) AS d FROM c x JOIN c y ON x.row_idx <> y.row_idx GROUP BY ALL),
@@ -312,7 +314,7 @@ def routing_candidates_strict(spark, d):
 
 @query("routing_candidates_off", f"WITH {ITEMS} SELECT query_idx, count(*) AS n FROM (SELECT a.row_idx AS query_idx FROM items a JOIN items b ON a.row_idx <> b.row_idx) GROUP BY ALL")
 def routing_candidates_off(spark, d):
-    return routing.candidates(_routed(spark, d), mode="off").groupBy("query_idx").agg(F.count("*").alias("n"))
+    return routing.candidate_counts(_routed(spark, d), mode="off")
 
 
 DISTANCE = "round(1 - greatest(-1, least(1, list_cosine_similarity(a.embedding, b.embedding))), 6)"
@@ -321,8 +323,7 @@ KEPT = ROUTED + f", kept AS (SELECT query_idx, candidate_idx, {DISTANCE} AS dist
 
 @query("knn_prefilter", f"WITH {KEPT} SELECT query_idx, candidate_idx, distance, row_number() OVER (PARTITION BY query_idx ORDER BY distance, candidate_idx) AS rank FROM kept QUALIFY rank <= 10")
 def knn_prefilter(spark, d):
-    pairs = routing.distances(routing.candidates(_routed(spark, d), pool_k=50), items(spark, d))
-    return rounded(routing.top(pairs, 10).select("query_idx", "candidate_idx", "distance", "rank"))
+    return rounded(routing.nearest(_routed(spark, d), 10, pool_k=50))
 
 
 SIZED = PAIRS.replace(ITEMS, SIZES) + ", f AS (SELECT query_idx, neighbor_idx AS candidate_idx, distance, row_number() OVER (PARTITION BY query_idx ORDER BY distance, neighbor_idx) AS rank_shape FROM pairs QUALIFY rank_shape <= 50), z AS (SELECT f.*, CASE WHEN a.log_size IS NULL OR b.log_size IS NULL THEN 0 ELSE abs(ln(greatest(pow(10, a.log_size), 1e-8::double)) - ln(greatest(pow(10, b.log_size), 1e-8::double))) END AS raw FROM f LEFT JOIN sizes a ON a.row_idx = query_idx LEFT JOIN sizes b ON b.row_idx = candidate_idx), n AS (SELECT *, quantile_cont(raw, 0.75) OVER w - quantile_cont(raw, 0.25) OVER w AS iqr, quantile_cont(raw, 0.5) OVER w AS med FROM z WINDOW w AS (PARTITION BY query_idx)), x AS (SELECT *, round(distance + 0.05::double * raw / CASE WHEN iqr > 1e-8 THEN iqr WHEN med > 1e-8 THEN med ELSE 1 END, 6) AS distance_final FROM n)"
@@ -464,6 +465,33 @@ def core_distance(spark, d):
     return knn.knn(items(spark, d), 5, "euclidean").filter("rank = 5").select(F.col("query_idx").alias("row_idx"), F.col("distance").alias("core"))
 
 
+def _reach(core: str, tree: str = "''") -> str:
+    """CTEs d (distances within trees), core and w (mutual reachability) over points (tree, pos, embedding)."""
+    return f"""d AS MATERIALIZED (SELECT a.tree, a.pos AS i, b.pos AS j, round(list_distance(a.embedding, b.embedding), 6) AS d FROM points a JOIN points b ON a.tree = b.tree AND a.pos <> b.pos), core AS ({core}),
+w AS MATERIALIZED (SELECT d.tree, d.i, d.j, greatest(d.d, x.core, y.core) AS w FROM d JOIN core x ON x.tree = d.tree AND x.pos = d.i JOIN core y ON y.tree = d.tree AND y.pos = d.j)"""
+
+
+#: The spanning tree grows by its lightest edge, a node a step: nodes keep their lightest edge to the tree so far.
+GROWN = """grown AS (SELECT 0 AS step, p.tree, p.pos AS node, p.pos = 0 AS done, w.w, 0::bigint AS via FROM points p LEFT JOIN w ON w.tree = p.tree AND w.i = 0 AND w.j = p.pos
+UNION ALL SELECT step + 1, g.tree, node, done OR node = pick, CASE WHEN NOT done AND node <> pick AND (v.w < g.w OR v.w = g.w AND pick < via) THEN v.w ELSE g.w END, CASE WHEN NOT done AND node <> pick AND (v.w < g.w OR v.w = g.w AND pick < via) THEN pick ELSE via END
+FROM (SELECT *, first_value(node) OVER (PARTITION BY tree ORDER BY done, w, least(node, via), greatest(node, via)) AS pick, count(*) FILTER (NOT done) OVER (PARTITION BY tree) AS open FROM grown) g LEFT JOIN w v ON v.tree = g.tree AND v.i = pick AND v.j = node WHERE open > 0),
+edges AS (SELECT tree, least(node, via) AS a, greatest(node, via) AS b, w FROM grown WHERE node <> 0 AND done QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY step) = 1)"""
+PLACED = ITEMS + ", points AS (SELECT '' AS tree, row_number() OVER (ORDER BY row_idx) - 1 AS pos, row_idx, embedding FROM items)"
+CORE5 = "SELECT tree, i AS pos, d AS core FROM d QUALIFY row_number() OVER (PARTITION BY tree, i ORDER BY d) = 5"
+FIVE = hdbscan.Config(5, 5)
+
+
+@query("mutual_reachability_nn", f"WITH {PLACED}, {_reach(CORE5)} SELECT x.row_idx, y.row_idx AS nearest, w AS distance FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w, least(i, j), greatest(i, j)) AS place FROM w) n JOIN points x ON x.pos = i JOIN points y ON y.pos = j WHERE place = 1")
+def mutual_reachability_nn(spark, d):
+    return hdbscan.mutual_reachability_nearest(items(spark, d), FIVE)
+
+
+@query("linkage_cut_components", f"WITH RECURSIVE {PLACED}, {_reach(CORE5)}, h AS (SELECT quantile_disc(core, 0.5) AS h FROM core), e AS MATERIALIZED (SELECT i, j FROM w, h WHERE w <= h), reach AS (SELECT pos AS node, pos AS seed FROM points UNION SELECT j, seed FROM reach JOIN e ON i = node), least AS (SELECT node, min(seed) AS seed FROM reach GROUP BY node) SELECT x.row_idx, y.row_idx AS component FROM least JOIN points x ON x.pos = node JOIN points y ON y.pos = seed")
+def linkage_cut_components(spark, d):
+    core = core_distance(spark, d).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY core)")).first()[0]
+    return hdbscan.linkage_cut(items(spark, d), core, FIVE)
+
+
 def _hdbscan(name, selection):
     @query(name)
     def run(spark, d):
@@ -474,9 +502,23 @@ _hdbscan("hdbscan_eom", "eom")
 _hdbscan("hdbscan_leaf", "leaf")
 
 
-@query("hdbscan_linkage")
+@query("hdbscan_linkage", f"""WITH RECURSIVE {PLACED}, {_reach(CORE5)}, {GROWN}, ranked AS (SELECT row_number() OVER (ORDER BY w, a, b) - 1 AS r, a, b, w, count(*) OVER () + 1 AS n FROM edges),
+joined AS (SELECT 0::bigint AS r, pos AS node, pos AS top FROM points UNION ALL SELECT r + 1, node, CASE WHEN top IN (la, lb) THEN n + r ELSE top END FROM (SELECT m.r, m.node, m.top, e.n, max(CASE WHEN node = e.a THEN top END) OVER () AS la, max(CASE WHEN node = e.b THEN top END) OVER () AS lb FROM joined m JOIN ranked e ON e.r = m.r))
+SELECT e.r, max(CASE WHEN node = a THEN top END) AS "left", max(CASE WHEN node = b THEN top END) AS "right", round(w, 6) AS distance, (SELECT count(*) FROM joined k WHERE k.r = e.r + 1 AND k.top = e.n + e.r) AS size FROM ranked e JOIN joined j ON j.r = e.r GROUP BY e.r, e.n, w""")
 def hdbscan_linkage(spark, d):
-    return rounded(hdbscan.tree_tables(items(spark, d), hdbscan.Config(5, 5))[0])
+    return rounded(hdbscan.tree_tables(items(spark, d), FIVE)[0])
+
+
+MASS = "SELECT d.tree, i AS pos, round(coalesce(pow(sum(CASE WHEN d > 0 THEN pow(d, -dims) END) / any_value(n - 1), -1.0::double / any_value(dims)), 0), 6) AS core FROM d JOIN (SELECT tree, count(*) AS n, max(len(embedding)) AS dims FROM points GROUP BY tree) s ON s.tree = d.tree GROUP BY d.tree, i"
+
+
+@query("density_validity", f"""WITH RECURSIVE {CLUSTERS}, points AS (SELECT cluster_id AS tree, row_number() OVER (PARTITION BY cluster_id ORDER BY row_idx) - 1 AS pos, embedding FROM clusters WHERE cluster_id <> -1), {_reach(MASS)}, {GROWN},
+ends AS (SELECT tree, pos, count(*) AS k FROM (SELECT tree, a AS pos FROM edges UNION ALL SELECT tree, b FROM edges) GROUP BY ALL), inner_ AS (SELECT tree, pos FROM ends QUALIFY k > 1 OR max(k) OVER (PARTITION BY tree) = 1),
+sparse AS (SELECT e.tree, coalesce(max(w) FILTER (x.pos IS NOT NULL AND y.pos IS NOT NULL), max(w)) AS sparseness FROM edges e LEFT JOIN inner_ x ON x.tree = e.tree AND x.pos = a LEFT JOIN inner_ y ON y.tree = e.tree AND y.pos = b GROUP BY e.tree),
+kept AS (SELECT p.tree, embedding, core FROM points p JOIN inner_ USING (tree, pos) JOIN core USING (tree, pos)), apart AS (SELECT x.tree, min(greatest(round(list_distance(x.embedding, y.embedding), 6), x.core, y.core)) AS separation FROM kept x JOIN kept y ON x.tree <> y.tree GROUP BY x.tree)
+SELECT tree AS cluster_id, (SELECT count(*) FROM points p WHERE p.tree = s.tree) AS n, round(sparseness, 6) AS sparseness, round(separation, 6) AS separation, round((separation - sparseness) / greatest(separation, sparseness), 6) AS validity, round((SELECT count(*) FROM points p WHERE p.tree = s.tree) / (SELECT count(*) FROM clusters), 6) AS weight FROM sparse s LEFT JOIN apart USING (tree)""")
+def density_validity(spark, d):
+    return rounded(cluster_metrics.density_validity(clusters(spark, d)))
 
 
 @query("hdbscan_recursive")
@@ -540,12 +582,12 @@ def first_k_by_distance(spark, d):
 
 @query("candidate_ratio", f"WITH {ROUTED}, c AS (SELECT count(*) AS candidates FROM o WHERE tier = 0 OR own = 0), i AS (SELECT count(*) AS n FROM items) SELECT n, candidates, round(candidates / (n * (n - 1)), 6) AS ratio FROM c, i")
 def candidate_ratio(spark, d):
-    return rounded(retrieval_metrics.candidate_ratio(routing.candidates(_routed(spark, d), "strict"), items(spark, d)))
+    return rounded(retrieval_metrics.candidate_ratio(routing.candidate_counts(_routed(spark, d), "strict")))
 
 
 @query("weighted_cluster_distance", f"WITH {CLUSTERS}, s AS (SELECT cluster_id, count(*) AS n FROM clusters WHERE cluster_id <> -1 GROUP BY ALL), p AS (SELECT a.cluster_id, avg(list_distance(a.embedding, b.embedding)) AS m FROM clusters a JOIN clusters b ON a.cluster_id = b.cluster_id AND a.row_idx < b.row_idx AND a.cluster_id <> -1 GROUP BY ALL) SELECT round(sum(n * m) / sum(n), 6) AS mean_distance FROM s JOIN p USING (cluster_id)")
 def weighted_cluster_distance(spark, d):
-    return rounded(cluster_metrics.weighted_distance(cluster_metrics.intra_distance(clusters(spark, d), None)))
+    return rounded(cluster_metrics.weighted_distance(cluster_metrics.intra_distance(clusters(spark, d))))
 
 
 def solids(spark: SparkSession, d: str) -> DataFrame:
