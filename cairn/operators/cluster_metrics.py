@@ -254,22 +254,29 @@ def coarse_metrics(c: DataFrame, min_cluster_size: int, selection: str) -> DataF
 
     prob is the mean over rows that aren't noise. Without rows, all are taken for noise.
     """
-    sizes = cluster_sizes(c)
-    total = sizes.agg(F.sum("n").alias("t"))
-    first_two = sizes.orderBy(F.desc("n"), "cluster_id").limit(2).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "cluster_id"))).select("cluster_id", "place")
-    p = sizes.crossJoin(total).withColumn("p", F.col("n") / F.col("t")).join(F.broadcast(first_two), "cluster_id", "left")
-    a = p.agg(F.count("*").alias("k"), F.coalesce(F.max("p"), F.lit(0.0)).alias("largest"), F.coalesce(F.sum(-F.col("p") * F.log("p")), F.lit(0.0)).alias("h"), F.max_by("p", F.when(F.col("place") == 2, 1)).alias("second"), F.count_if(F.col("n") < min_cluster_size).alias("small_cluster_count"))
-    b = c.agg(F.coalesce(F.avg((F.col("cluster_id") == NOISE).cast("int")), F.lit(1.0)).alias("noise"), F.coalesce(F.avg(F.when(F.col("cluster_id") != NOISE, F.col("prob"))), F.lit(0.0)).alias("prob"))
-    m = a.crossJoin(b).withColumn("second", F.coalesce("second", F.lit(0.0)))
+    one = c.sparkSession.createDataFrame([(0, min_cluster_size, selection)], "config int, min_cluster_size int, selection_method string")
+    return coarse_metrics_by(c.withColumn("config", F.lit(0)), one).drop("config")
+
+
+def coarse_metrics_by(c: DataFrame, configs: DataFrame) -> DataFrame:
+    """coarse_metrics of each of configs (config, min_cluster_size, selection_method); c: config, cluster_id, prob."""
+    sizes = c.filter(F.col("cluster_id") != NOISE).groupBy("config", "cluster_id").agg(F.count("*").alias("n"))
+    shares = sizes.join(sizes.groupBy("config").agg(F.sum("n").alias("t")), "config").join(configs.select("config", "min_cluster_size"), "config").withColumn("p", F.col("n") / F.col("t"))
+    # Each cluster's share, and of these the two largest, found in parts before they meet.
+    parts = shares.groupBy("config", F.pmod(F.xxhash64("cluster_id"), F.lit(64)).alias("part")).agg(F.slice(F.reverse(F.array_sort(F.collect_list("p"))), 1, 2).alias("top"))
+    second = parts.groupBy("config").agg(F.flatten(F.collect_list("top")).alias("top")).select("config", F.try_element_at(F.reverse(F.array_sort("top")), F.lit(2)).alias("second"))
+    a = shares.groupBy("config").agg(F.count("*").alias("k"), F.max("p").alias("largest"), F.sum(-F.col("p") * F.log("p")).alias("h"), F.count_if(F.col("n") < F.col("min_cluster_size")).alias("small_cluster_count")).join(second, "config")
+    b = c.groupBy("config").agg(F.avg((F.col("cluster_id") == NOISE).cast("int")).alias("noise"), F.avg(F.when(F.col("cluster_id") != NOISE, F.col("prob"))).alias("prob"))
+    m = configs.join(a, "config", "left").join(b, "config", "left").fillna(0, ["k", "small_cluster_count"]).fillna(0.0, ["largest", "h", "second", "prob"]).fillna(1.0, ["noise"])
     k, largest, noise = F.col("k"), F.col("largest"), F.col("noise")
     m = m.withColumns({"entropy": F.when(k > 1, F.col("h") / F.log(k)).otherwise(0.0), "effective": F.when(k > 0, F.exp("h")).otherwise(0.0), "giant": F.greatest(F.lit(0.0), (largest - 0.55) / 0.15), "many": F.greatest(F.lit(0.0), F.abs(k - 2) - 0.5), "fragmentation": F.greatest(F.lit(0.0), (k - 6) / 10)})
     # The reasons that reports name.
     reasons = {"n_clusters<=1": k <= 1, "noise_ratio>0.10": noise > 0.10, "largest_cluster_fraction>0.70": largest > 0.70, "second_largest_cluster_fraction<0.15": F.col("second") < 0.15, "effective_num_clusters<1.8": F.col("effective") < 1.8}
     m = m.withColumn("reject_reason", F.concat_ws(";", *(F.when(v, n) for n, v in reasons.items())))
     score = 1.5 * F.least(F.col("second") / 0.4, F.lit(1.0)) + 1.2 * F.greatest(F.lit(0.0), 1 - F.abs(F.col("effective") - 2)) + 0.8 * F.col("entropy") + 0.6 * (1 - noise) + 0.4 * F.col("prob")
-    score = score + 0.3 * min(min_cluster_size / 40, 1.0) + (0.2 if selection == "eom" else 0.0) - 1.2 * F.col("giant") - 0.3 * F.col("many")
+    score = score + 0.3 * F.least(F.col("min_cluster_size") / 40, F.lit(1.0)) + F.when(F.col("selection_method") == "eom", 0.2).otherwise(0.0) - 1.2 * F.col("giant") - 0.3 * F.col("many")
     m = m.withColumn("invalid", F.col("reject_reason") != "").withColumn("unrejected_score", score).withColumn("score", F.when(F.col("reject_reason") != "", float("-inf")).otherwise(score))
-    return m.drop("h")
+    return m.drop("h", "min_cluster_size", "selection_method")
 
 
 def weighted_distance(report: DataFrame, *by: str) -> DataFrame:

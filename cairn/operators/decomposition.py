@@ -17,8 +17,10 @@ def _moments(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     Each task adds up the products of its centred rows; a row of the matrix is then summed over tasks.
     """
     v = items.select(doubles("embedding").alias("v"))
-    n, mean = v.agg(F.count("*"), Summarizer.mean(array_to_vector("v"))).first()
-    mean = mean.toArray() if n else np.zeros(0)
+    n = v.count()
+    if not n:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    mean = v.agg(Summarizer.mean(array_to_vector("v"))).first()[0].toArray()
     if n < 2:
         return n, mean, np.zeros((len(mean), len(mean)))
 

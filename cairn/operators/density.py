@@ -110,12 +110,23 @@ def _kruskal(g: pd.DataFrame, a: str = "a", b: str = "b") -> pd.DataFrame:
 EDGE = "tree string, a long, b long, w double"
 
 
-def spanning_trees(points: DataFrame, steps: Steps, names: list[str], metric: str = "euclidean", block: int = BLOCK, most: int = EDGES) -> DataFrame:
-    """tree, a, b, w: the lightest tree of each tree's points (tree, n, pos, embedding, cores) for each of cores.
+def reachability(names: list[str]):
+    """Weighs pairs of rows with cores: the largest of the distance and both cores, for each of cores."""
 
-    A weight is the largest of the distance and both cores. names: what follows the tree's name for each of cores. Infinite
-    weights join what nothing else does.
+    def weigh(d: np.ndarray, rows: list) -> list[np.ndarray]:
+        cores = rows_of(rows, "cores")
+        return [np.maximum(d, np.maximum(cores[:, j, None], cores[None, :, j])) for j in range(len(names))]
+
+    return weigh
+
+
+def spanning_trees(points: DataFrame, steps: Steps, names: list[str], metric: str = "euclidean", block: int = BLOCK, most: int = EDGES, weigh=None) -> DataFrame:
+    """tree, a, b, w: the lightest trees of each tree's points (tree, n, pos, embedding and what weigh reads).
+
+    weigh: gives a matrix for each of names, which follow the tree's name; by default mutual reachability for each of cores.
+    Infinite weights join what nothing else does.
     """
+    weigh = weigh or reachability(names)
 
     def part(batches):
         for batch in batches:
@@ -132,9 +143,9 @@ def spanning_trees(points: DataFrame, steps: Steps, names: list[str], metric: st
                     d[:k, k:] = distances(rows_of(left, "embedding"), rows_of(right, "embedding"), metric)
                     d[k:, :k] = d[:k, k:].T
                 order = np.argsort(pos)
-                pos, d, cores = pos[order], d[np.ix_(order, order)], rows_of(rows, "cores")[order]
-                for j, name in enumerate(names):
-                    a, b, w = _lightest(np.maximum(d, np.maximum(cores[:, j, None], cores[None, :, j])))
+                pos, d = pos[order], d[np.ix_(order, order)]
+                for name, m in zip(names, weigh(d, [rows[i] for i in order]), strict=True):
+                    a, b, w = _lightest(m)
                     yield pd.DataFrame({"tree": f"{tree}{name}", "a": pos[a], "b": pos[b], "w": w})
 
     parts = steps.cut(block_pairs(points, block).mapInPandas(part, EDGE))
@@ -331,7 +342,7 @@ def clusters_of(tree: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
 
 
 def selected(tree: DataFrame, config: DataFrame, steps: Steps, span: int = SPAN) -> DataFrame:
-    """tree, pos, label, prob of the points that have one, from condensed trees (tree, n, parent, child, lambda_val, child_size).
+    """tree, pos, label, prob, cluster of the points that have one, from condensed trees (tree, n, parent, child, lambda_val, child_size).
 
     config: tree, of (the name that the result has instead), leaf, root_ok, epsilon; several may read one tree. Labels are in
     order of their first points. prob: the point's lambda over the largest in its cluster. Clusters are settled a span at a time.
@@ -359,4 +370,4 @@ def selected(tree: DataFrame, config: DataFrame, steps: Steps, span: int = SPAN)
     kept = got.filter(~((F.col("mark") == F.col("n")) & F.col("root_ok") & (F.col("chosen_count") == 1) & (F.col("epsilon") > 0) & (F.col("lam") < 1 / F.col("epsilon"))))
     first = numbered(kept.groupBy("tree", "mark").agg(F.min("pos").alias("first")), ["tree"], ["first"], steps, "label", "_n").select("tree", "mark", "label")
     out = kept.join(first, ["tree", "mark"]).join(most, ["tree", "mark"])
-    return out.select("tree", "pos", F.col("label").cast("int").alias("label"), F.when(F.col("most") > 0, F.col("lam") / F.col("most")).otherwise(1.0).alias("prob"))
+    return out.select("tree", "pos", F.col("label").cast("int").alias("label"), F.when(F.col("most") > 0, F.col("lam") / F.col("most")).otherwise(1.0).alias("prob"), F.col("mark").alias("cluster"))

@@ -9,8 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators import density
-from cairn.operators.cluster_metrics import agreement, intra_distance, sweep_score
+from cairn.functions.vectors import doubles, l2_normalize
+from cairn.operators import decomposition, density
+from cairn.operators.cluster_metrics import agreement, coarse_metrics_by, intra_distance, sweep_score
 from cairn.operators.steps import Steps, numbered
 
 
@@ -164,8 +165,8 @@ def recursive(items: DataFrame, c: Config = Config(), sub: Config = Config(selec
             reasons = {"too_few_child_clusters": F.col("kids") < children, "largest_child_fraction_too_high": F.col("share") >= largest, "sub_noise_ratio_too_high": F.col("sub_noise") >= noise}
             j = j.withColumn("reject_reason", F.concat_ws(";", *(F.when(v, n) for n, v in reasons.items()))).withColumn("adopted", F.col("reject_reason") == "")
             outer = intra_distance(inside.select("cluster_id", "row_idx", "embedding"), most).select(F.col("cluster_id").alias("parent"), F.col("mean_distance").alias("parent_distance"))
-            sons = local.filter(kid).join(inside.select("id", "row_idx", "embedding"), "id").withColumn("cluster_id", F.concat_ws("_", "parent", "local"))
-            inner = intra_distance(sons.select("cluster_id", "row_idx", "embedding"), most).filter("mean_distance IS NOT NULL").withColumn("parent", F.substring_index("cluster_id", "_", 1).cast("int"))
+            sons = local.filter(kid).join(inside.select("id", "row_idx", "embedding"), "id").withColumn("cluster_id", F.shiftleft(F.col("parent").cast("long"), 32) + F.col("local"))
+            inner = intra_distance(sons.select("cluster_id", "row_idx", "embedding"), most).filter("mean_distance IS NOT NULL").withColumn("parent", F.shiftright("cluster_id", 32).cast("int"))
             inner = inner.groupBy("parent").agg((F.sum(F.col("n") * F.col("mean_distance")) / F.sum("n")).alias("child_distance"))
             report = j.join(outer, "parent", "left").join(inner, "parent", "left").withColumn("improved", F.col("child_distance") < F.col("parent_distance"))
             report = steps.cut(report)
@@ -187,6 +188,14 @@ def recursive(items: DataFrame, c: Config = Config(), sub: Config = Config(selec
         return steps.keep(now.drop("row_idx", "embedding")), steps.keep(report)
 
 
+def preprocessed(items: DataFrame, normalize: str = "l2", pca: float = 0) -> DataFrame:
+    """items with embeddings of unit length (l2, or none) and, unless pca is 0, their scores on its components."""
+    if normalize not in ("l2", "none"):
+        raise ValueError(f"normalize is l2 or none, not {normalize}")
+    v = doubles("embedding")
+    return decomposition.pca(items.withColumn("embedding", l2_normalize(v) if normalize == "l2" else v), pca)[0]
+
+
 def labelled(items: DataFrame, configs: list[Config], steps: Steps) -> DataFrame:
     """config, id, row_idx, cluster_id, prob of every item under every configuration."""
     points = placed(items.withColumn("tree", F.lit("all")), steps)
@@ -195,31 +204,109 @@ def labelled(items: DataFrame, configs: list[Config], steps: Steps) -> DataFrame
     return every.join(got, ["config", "pos"], "left").select("config", "id", "row_idx", F.coalesce("label", F.lit(-1)).alias("cluster_id"), F.coalesce("prob", F.lit(0.0)).alias("prob"))
 
 
-def sweep(items: DataFrame, sizes: list[int], samples: list[int], selections: tuple[str, ...] = ("eom", "leaf"), metric: str = "euclidean", labels: DataFrame | None = None) -> DataFrame:
-    """One row for each configuration, with n, n_clusters, noise_ratio, mean_prob (over all rows), largest_cluster_fraction and final_score.
+def _refused(size: int, samples: int, total: int) -> str | None:
+    """Why a configuration can't be run."""
+    if size < 2:
+        return "min_cluster_size under 2"
+    if samples < 1:
+        return "min_samples under 1"
+    return "fewer items than min_samples" if samples > total else None
+
+
+def _agreements(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """config, ari, nmi, purity over the items that have a label and are not noise; no row under two of them."""
+    known = labels.filter("label IS NOT NULL AND label <> ''").select("id", "label")
+    table = rows.filter("cluster_id <> -1").join(known, "id").groupBy("config", "label", "cluster_id").agg(F.count("*").alias("n"))
+    table = table.withColumn("_all", F.sum("n").over(Window.partitionBy("config"))).filter("_all > 1").drop("_all")
+    pure = table.groupBy("config", "cluster_id").agg(F.max("n").alias("most"), F.sum("n").alias("n")).groupBy("config").agg((F.sum("most") / F.sum("n")).alias("purity"))
+    return agreement(table, "config").select("config", "ari", F.col("v_measure").alias("nmi")).join(pure, "config")
+
+
+def runs(items: DataFrame, candidates: list[tuple[float, int, int, str]], steps: Steps, normalize: str = "none", metric: str = "euclidean") -> tuple[DataFrame, DataFrame]:
+    """What candidates (pca, min_cluster_size, min_samples, selection) give: (config, id, row_idx, cluster_id, prob) of every item,
+    and a table of the configurations (config: the place in candidates), with error where one can't be run.
 
-    labels (id, label): also ari and nmi over the items that have one, which the score then counts. A configuration that
-    cannot be run (a size under 2, fewer items than min_samples) has a row with error, no clusters, all noise and a score of -1.
+    Each pca is a tree of its own, and each min_samples of it shares a spanning tree.
     """
-    spark = items.sparkSession
     total = items.count()
-    grid = [(s, m, sel) for m in samples for s in sizes for sel in selections]
-    wrong = lambda s, m: "min_cluster_size under 2" if s < 2 else "min_samples under 1" if m < 1 else "fewer items than min_samples" if m > total else None
-    good = [g for g in grid if wrong(*g[:2]) is None]
-    schema = "config int, min_cluster_size int, min_samples int, selection_method string"
-    with Steps(spark) as steps:
-        bad = spark.createDataFrame([(s, m, sel, total, 0, 1.0, 0.0, 0.0, wrong(s, m)) for s, m, sel in grid if wrong(s, m)], "min_cluster_size int, min_samples int, selection_method string, n long, n_clusters int, noise_ratio double, mean_prob double, largest_cluster_fraction double, error string")
+    good = [(i, c) for i, c in enumerate(candidates) if _refused(c[1], c[2], total) is None]
+    table = items.sparkSession.createDataFrame([(i, float(p), m, s, sel, _refused(m, s, total)) for i, (p, m, s, sel) in enumerate(candidates)], "config int, pca double, min_cluster_size int, min_samples int, selection_method string, error string")
+    empty = items.sparkSession.createDataFrame([], "config int, id string, row_idx long, cluster_id int, prob double")
+    if not good:
+        return empty, table
+    every = None
+    for p in sorted({c[0] for _, c in good}):
+        one = preprocessed(items.select("row_idx", "id", "embedding"), normalize, p).withColumn("tree", F.lit(f"pca{p}"))
+        every = one if every is None else every.unionByName(one)
+    points = placed(every.withColumn("embedding", doubles("embedding")), steps)
+    shapes = sorted({c[1:] for _, c in good})
+    got = fitted(points, [Config(m, s, metric, sel) for m, s, sel in shapes], steps)
+    wanted = items.sparkSession.createDataFrame([(i, f"pca{c[0]}", shapes.index(c[1:])) for i, c in good], "place int, tree string, config int")
+    asked = points.select("tree", "pos", "id", "row_idx").join(F.broadcast(wanted), "tree")
+    out = asked.join(got, ["tree", "config", "pos"], "left")
+    return out.select(F.col("place").alias("config"), "id", "row_idx", F.coalesce("label", F.lit(-1)).alias("cluster_id"), F.coalesce("prob", F.lit(0.0)).alias("prob")), table
+
+
+def sweep(items: DataFrame, sizes: list[int], samples: list[int], selections: tuple[str, ...] = ("eom", "leaf"), metric: str = "euclidean", labels: DataFrame | None = None, pcas: tuple[float, ...] = (0,), normalize: str = "none") -> DataFrame:
+    """One row for each configuration, with n, n_clusters, noise_ratio, mean_prob (over all rows), largest_cluster_fraction and final_score.
+
+    labels (id, label): also ari, nmi and purity over the items that have one and are not noise; the score counts the first two.
+    A configuration that cannot be run has a row with error, no clusters, all noise and a score of -1.
+    """
+    grid = [(p, m, s, sel) for p in pcas for m in sizes for s in samples for sel in selections]
+    with Steps(items.sparkSession) as steps:
+        rows, table = runs(items, grid, steps, normalize, metric)
+        rows = steps.cut(rows)
+        each = rows.groupBy("config").agg(F.count("*").alias("n"), F.avg((F.col("cluster_id") == -1).cast("int")).alias("noise_ratio"), F.avg("prob").alias("mean_prob"))
+        size = rows.filter("cluster_id <> -1").groupBy("config", "cluster_id").agg(F.count("*").alias("m")).groupBy("config").agg(F.count("*").cast("int").alias("n_clusters"), (F.max("m") / F.sum("m")).alias("largest_cluster_fraction"))
+        out = table.join(each.join(size, "config", "left"), "config", "left").fillna(0, ["n_clusters", "largest_cluster_fraction", "mean_prob"]).fillna(1.0, ["noise_ratio"]).fillna(items.count(), ["n"])
+        more = ()
         if labels is not None:
-            bad = bad.withColumns({"ari": F.lit(None).cast("double"), "nmi": F.lit(None).cast("double")})
-        if good:
-            rows = steps.cut(labelled(items, [Config(s, m, metric, sel) for s, m, sel in good], steps))
-            each = rows.groupBy("config").agg(F.count("*").alias("n"), F.avg((F.col("cluster_id") == -1).cast("int")).alias("noise_ratio"), F.avg("prob").alias("mean_prob"))
-            size = rows.filter("cluster_id <> -1").groupBy("config", "cluster_id").agg(F.count("*").alias("m")).groupBy("config").agg(F.count("*").cast("int").alias("n_clusters"), (F.max("m") / F.sum("m")).alias("largest_cluster_fraction"))
-            out = each.join(size, "config", "left").fillna(0, ["n_clusters", "largest_cluster_fraction"])
-            if labels is not None:
-                table = rows.join(labels.select("id", "label").filter("label IS NOT NULL"), "id").groupBy("config", "label", "cluster_id").agg(F.count("*").alias("n"))
-                out = out.join(agreement(table, "config").select("config", "ari", F.col("v_measure").alias("nmi")), "config", "left")
-            named = spark.createDataFrame([(i, *g) for i, g in enumerate(good)], schema)
-            bad = out.join(F.broadcast(named), "config").drop("config").withColumn("error", F.lit(None).cast("string")).unionByName(bad)
-        score = sweep_score(F.col("noise_ratio"), F.col("mean_prob"), F.col("largest_cluster_fraction"), F.col("n_clusters"), F.col("n"), *(() if labels is None else (F.col("nmi"), F.col("ari"))))
-        return steps.keep(bad.withColumn("final_score", F.when(F.col("error").isNull(), score).otherwise(-1.0)))
+            out = out.join(_agreements(rows, labels), "config", "left")
+            more = F.col("nmi"), F.col("ari")
+        score = sweep_score(F.col("noise_ratio"), F.col("mean_prob"), F.col("largest_cluster_fraction"), F.col("n_clusters"), F.col("n"), *more)
+        return steps.keep(out.withColumn("final_score", F.when(F.col("error").isNull(), score).otherwise(-1.0)))
+
+
+def coarse_sweep(items: DataFrame, candidates: list[tuple[float, int, int, str]], normalize: str = "l2", metric: str = "euclidean", labels: DataFrame | None = None) -> DataFrame:
+    """Candidates (pca, min_cluster_size, min_samples, selection) ranked by how well they part the items into about two.
+
+    coarse_rank, config and its settings, the metrics of coarse_metrics, score (-inf if invalid), and ari, nmi and purity, which
+    take no part in it. One that can't be run is invalid for evaluation_failure. Ties keep the candidates' order.
+    """
+    with Steps(items.sparkSession) as steps:
+        rows, table = runs(items, candidates, steps, normalize, metric)
+        return steps.keep(ranked_coarse(steps.cut(rows), table, labels))
+
+
+def ranked_coarse(rows: DataFrame, table: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """coarse_sweep's result for given labellings: rows (config, id, cluster_id, prob), table (config, settings, error)."""
+    m = coarse_metrics_by(rows, table.filter("error IS NULL").select("config", "min_cluster_size", "selection_method"))
+    names = {"noise": 1.0, "k": 0, "largest": 0.0, "second": 0.0, "entropy": 0.0, "effective": 0.0, "prob": 0.0, "small_cluster_count": 0, "giant": 1.0, "many": 1.5, "fragmentation": 0.0}
+    out = table.join(m, "config", "left").fillna(names)
+    out = out.withColumns({"invalid": F.coalesce("invalid", F.lit(True)), "reject_reason": F.coalesce("reject_reason", F.lit("evaluation_failure")), "score": F.coalesce("score", F.lit(float("-inf")))})
+    if labels is not None:
+        out = out.join(_agreements(rows, labels), "config", "left")
+    # One row for each configuration, as many as the caller listed.
+    return out.withColumn("coarse_rank", F.row_number().over(Window.orderBy(F.desc("score"), "config")))
+
+
+def candidates_of(table: DataFrame) -> list[tuple[float, int, int, str]]:
+    """The candidates of a sweep's result, each once, in order of the first row (by config, or as they are); a missing pca is 0."""
+    rows = (table.orderBy("config") if "config" in table.columns else table).select(*(c for c in ("pca", "min_cluster_size", "min_samples", "selection_method") if c in table.columns)).collect()
+    return list(dict.fromkeys((float(r["pca"] or 0) if "pca" in r else 0.0, int(r["min_cluster_size"]), int(r["min_samples"]), r["selection_method"]) for r in rows))
+
+
+def top_configs(ranked: DataFrame, n: int = 10) -> DataFrame:
+    """The first n of coarse_sweep's rows by rank."""
+    return ranked.filter(F.col("coarse_rank") <= n).orderBy("coarse_rank")
+
+
+def rerun(items: DataFrame, ranked: DataFrame, pick: int | None = None, normalize: str = "l2", metric: str = "euclidean") -> DataFrame:
+    """id, cluster_id, prob under the configuration of rank pick (the first, if None), clustered again."""
+    row = ranked.filter(F.col("coarse_rank") == (pick or 1)).first()
+    if row is None:
+        raise ValueError(f"no configuration has rank {pick or 1}")
+    if row["error"] is not None:
+        raise ValueError(f"the configuration of rank {pick or 1} can't be run: {row['error']}")
+    return cluster(preprocessed(items, normalize, row["pca"]), Config(row["min_cluster_size"], row["min_samples"], metric, row["selection_method"]))

@@ -9,13 +9,15 @@ from cairn.functions.identity import adjacent_groups, pick_column
 def ranked(knn: DataFrame) -> DataFrame:
     """query_id, neighbor_id, rank: columns by their aliases; without a rank, by distance, or score from the highest, or row order.
 
+    Row order is that of _file and _row, which read_neighbors gives; a table without them has the order in which it is read.
     Ranks that aren't numbers are dropped; the first of repeated pairs stays.
     """
     q, n = pick_column(knn.columns, "query"), pick_column(knn.columns, "neighbor")
     r, d, s = (pick_column(knn.columns, role, required=False) for role in ("rank", "distance", "score"))
     number = lambda c: F.col(c).try_cast("double")
-    order: Column = number(r) if r else number(d) if d else -number(s) if s else F.monotonically_increasing_id().cast("double")
-    x = knn.select(F.trim(F.col(q).cast("string")).alias("query_id"), F.trim(F.col(n).cast("string")).alias("neighbor_id"), order.alias("_o"), F.monotonically_increasing_id().alias("_i"))
+    place = F.struct("_file", "_row") if {"_file", "_row"} <= set(knn.columns) else F.struct(F.monotonically_increasing_id())
+    order: Column = number(r) if r else number(d) if d else -number(s) if s else F.lit(0.0)
+    x = knn.select(F.trim(F.col(q).cast("string")).alias("query_id"), F.trim(F.col(n).cast("string")).alias("neighbor_id"), order.alias("_o"), place.alias("_i"))
     x = x.filter("_o IS NOT NULL AND NOT isnan(_o)")
     first = Window.partitionBy("query_id", "neighbor_id").orderBy("_o", "_i")
     x = x.withColumn("_f", F.row_number().over(first)).filter("_f = 1")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import color, identity, vectors
-from cairn.operators import cluster_metrics, decomposition, hdbscan, knn, metadata, pooling, retrieval_metrics, routing
+from cairn.operators import camera, cluster_metrics, decomposition, hdbscan, knn, metadata, pooling, retrieval_metrics, routing
 
 QUERIES, ORACLES = {}, {}
 
@@ -614,3 +614,78 @@ def size_scalar(spark, d):
 @query("color_use", "SELECT count(*) AS n, count(*) FILTER (p_size > 25) AS n_color, count(*) FILTER (p_size > 25) / count(*) >= 0.2 AS use_color FROM part")
 def color_use(spark, d):
     return metadata.use_color(_read(spark, d, "part").select((F.col("p_size") > 25).alias("has_color")))
+
+
+#: Labellings by the largest of the first dims dimensions, or noise under a value.
+GIVEN = [(0, 2, -9.0, 10, "eom"), (1, 2, 0.0, 40, "leaf"), (2, 3, -9.0, 10, "eom"), (3, 3, 0.01, 10, "leaf"), (4, 6, 0.15, 20, "eom")]
+GIVEN_SQL = "given AS (SELECT * FROM (VALUES " + ", ".join(f"({c}, {k}, {t}::double, {m}, '{s}')" for c, k, t, m, s in GIVEN) + ") v(config, dims, low, min_cluster_size, selection_method)), labelled AS (SELECT config, id, label, CASE WHEN list_max(embedding[1:dims]) < low THEN -1 ELSE list_position(embedding[1:dims], list_max(embedding[1:dims])) - 1 END AS cluster_id, (row_idx % 10) / 10.0::double AS prob FROM items, given)"
+
+
+@query("coarse_ranked", f"""WITH {ITEMS}, {GIVEN_SQL}, s AS (SELECT config, cluster_id, count(*) AS n FROM labelled WHERE cluster_id <> -1 GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY config) AS p, row_number() OVER (PARTITION BY config ORDER BY n DESC) AS r FROM s),
+a AS (SELECT config, count(*) AS k, max(p) AS largest, coalesce(max(p) FILTER (r = 2), 0) AS second, sum(-p * ln(p)) AS h, count(*) FILTER (n < min_cluster_size) AS small_cluster_count, any_value(min_cluster_size) AS least, any_value(selection_method) AS method FROM p JOIN given USING (config) GROUP BY config),
+b AS (SELECT config, avg((cluster_id = -1)::int) AS noise, avg(prob) FILTER (cluster_id <> -1) AS prob FROM labelled GROUP BY config), t AS (SELECT config, cluster_id, label, count(*) AS n FROM labelled WHERE cluster_id <> -1 GROUP BY ALL),
+u AS (SELECT config, sum(most) / sum(n) AS purity FROM (SELECT config, cluster_id, max(n) AS most, sum(n) AS n FROM t GROUP BY ALL) GROUP BY config),
+m AS (SELECT *, CASE WHEN k > 1 THEN h / ln(k) ELSE 0 END AS entropy, exp(h) AS effective, greatest(0, (largest - 0.55) / 0.15) AS giant, greatest(0, abs(k - 2) - 0.5) AS many, k <= 1 OR noise > 0.10 OR largest > 0.70 OR second < 0.15 OR exp(h) < 1.8 AS invalid FROM a JOIN b USING (config) JOIN u USING (config)),
+z AS (SELECT *, CASE WHEN invalid THEN '-infinity'::double ELSE 1.5 * least(second / 0.4, 1) + 1.2 * greatest(0, 1 - abs(effective - 2)) + 0.8 * entropy + 0.6 * (1 - noise) + 0.4 * prob + 0.3 * least(least / 40.0, 1) + CASE WHEN method = 'eom' THEN 0.2 ELSE 0 END - 1.2 * giant - 0.3 * many END AS score FROM m)
+SELECT row_number() OVER (ORDER BY score DESC, config) AS coarse_rank, config::bigint AS config, k, small_cluster_count, invalid, round(purity, 6) AS purity, round(CASE WHEN invalid THEN -1 ELSE score END, 6) AS score FROM z""")
+def coarse_ranked(spark, d):
+    rows = None
+    for c, k, t, *_ in GIVEN:
+        first = F.transform(F.slice("embedding", 1, k), lambda x: x.cast("double"))
+        best = F.array_max(first)
+        one = items(spark, d).select(F.lit(c).alias("config"), "id", F.when(best < t, -1).otherwise(F.array_position(first, best) - 1).cast("int").alias("cluster_id"), (F.col("row_idx") % 10 / 10).alias("prob"))
+        rows = one if rows is None else rows.unionByName(one)
+    table = spark.createDataFrame([(c, m, s, None) for c, _, _, m, s in GIVEN], "config int, min_cluster_size int, selection_method string, error string")
+    out = hdbscan.ranked_coarse(rows, table, labels(spark, d))
+    return rounded(out.select("coarse_rank", "config", "k", "small_cluster_count", "invalid", "purity", F.when(F.col("invalid"), -1.0).otherwise(F.col("score")).alias("score")))
+
+
+def shapes(spark: SparkSession, d: str) -> DataFrame:
+    return points(spark, d).select("specimen_id", ((F.col("x") - 25) / 50).alias("x"), ((F.col("y") - 5) / 10).alias("y"), ((F.col("z") - 50) / 100).alias("z"))
+
+
+SHAPES = POINTS + ", shapes AS (SELECT specimen_id, (x - 25) / 50 AS x, (y - 5) / 10 AS y, (z - 50) / 100 AS z FROM points)"
+#: Eight directions, and the image's axes for up = y: right = up x d, and above = d x right.
+VIEWS = """dirs AS (SELECT i, sqrt(greatest(0, 1 - z * z)) * cos(t) AS dx, sqrt(greatest(0, 1 - z * z)) * sin(t) AS dy, z AS dz FROM (SELECT i, 1 - 2 * (i + 0.5::double) / 8 AS z, i * pi() * (3 - sqrt(5)) AS t FROM range(8) r(i))),
+axes AS (SELECT i AS view, dx, dy, dz, dz / n AS rx, -dx / n AS rz, dy * (-dx / n) AS ux, (dz * dz + dx * dx) / n AS uy, -dy * dz / n AS uz FROM (SELECT *, sqrt(dx * dx + dz * dz) AS n FROM dirs))"""
+HALF = "tan(radians(60) / 2)"
+
+
+def _boxes(of: str, keys: str) -> str:
+    """SELECT of the box in each view of the points that of gives, with r the eye's distance."""
+    depth, right, above = "(r - x * dx - y * dy - z * dz)", "(x * rx + z * rz)", "(x * ux + y * uy + z * uz)"
+    seen = f"SELECT {keys}, view, {depth} <= 1e-9 AS near, CASE WHEN {depth} > 1e-9 THEN floor(({right} / ({depth} * {HALF}) + 1) / 2 * 224) END AS px, CASE WHEN {depth} > 1e-9 THEN floor((1 - {above} / ({depth} * {HALF})) / 2 * 224) END AS py FROM {of}, axes"
+    side = lambda c: f"greatest(0, least(max({c}), 223) - greatest(min({c}), 0) + 1)"
+    return f"SELECT {keys}, view, CASE WHEN bool_or(near) THEN 1.0::double ELSE {side('px')} * {side('py')} / (224 * 224) END AS fill_ratio, bool_or(near) OR min(px) <= 0 OR min(py) <= 0 OR max(px) >= 223 OR max(py) >= 223 AS touches_border FROM ({seen}) GROUP BY {keys}, view"
+
+
+@query("view_fill", f"WITH {SHAPES}, {VIEWS}, far AS (SELECT specimen_id, greatest(0.25, max(sqrt(x * x + y * y + z * z)) * 1.05) AS r FROM shapes GROUP BY specimen_id), p AS (SELECT s.*, r FROM shapes s JOIN far USING (specimen_id)) SELECT specimen_id, view::bigint AS view, round(fill_ratio, 6) AS fill_ratio, touches_border FROM ({_boxes('p', 'specimen_id')})")
+def view_fill(spark, d):
+    s = shapes(spark, d)
+    return rounded(camera.fills(s, "specimen_id", camera.safe_radius(s, "specimen_id"), metadata.fibonacci_sphere(spark, 8)))
+
+
+IN, OUT = 0.3, 0.6
+MISS = f"greatest(0, fmax - {OUT}) + greatest(0, {IN} - fmin)"
+
+
+@query("camera_radius", f"""WITH RECURSIVE {SHAPES}, {VIEWS}, zero AS (SELECT specimen_id, min(fill_ratio) AS fmin, max(fill_ratio) AS fmax FROM ({_boxes('(SELECT *, 2.0::double AS r FROM shapes)', 'specimen_id')}) GROUP BY specimen_id),
+tuned AS (SELECT 0 AS step, specimen_id, 0.25::double AS lo, 8.0::double AS hi, 2.0::double AS r, fmin, fmax, 2.0::double AS best_r, fmin AS best_min, fmax AS best_max, {MISS} AS best_miss FROM zero
+UNION ALL SELECT step, specimen_id, lo, hi, r, fmin, fmax, CASE WHEN {MISS} < best_miss THEN r ELSE best_r END, CASE WHEN {MISS} < best_miss THEN fmin ELSE best_min END, CASE WHEN {MISS} < best_miss THEN fmax ELSE best_max END, least({MISS}, best_miss)
+FROM (SELECT step, specimen_id, lo, hi, r, best_r, best_min, best_max, best_miss, min(fill_ratio) AS fmin, max(fill_ratio) AS fmax FROM ({_boxes(f'(SELECT t.*, (t.lo + t.hi) / 2 AS r, x, y, z FROM (SELECT step + 1 AS step, specimen_id, CASE WHEN fmax > {OUT} THEN r ELSE lo END AS lo, CASE WHEN fmax > {OUT} THEN hi ELSE r END AS hi, best_r, best_min, best_max, best_miss FROM tuned WHERE step < 12 AND NOT (fmin >= {IN} AND fmax <= {OUT})) t JOIN shapes USING (specimen_id))', 'step, specimen_id, lo, hi, r, best_r, best_min, best_max, best_miss')}) GROUP BY ALL))
+SELECT specimen_id, round(CASE WHEN fmin >= {IN} AND fmax <= {OUT} THEN r ELSE best_r END, 6) AS radius, round(CASE WHEN fmin >= {IN} AND fmax <= {OUT} THEN fmin ELSE best_min END, 6) AS fill_min, round(CASE WHEN fmin >= {IN} AND fmax <= {OUT} THEN fmax ELSE best_max END, 6) AS fill_max, CASE WHEN fmin >= {IN} AND fmax <= {OUT} THEN step ELSE 12 END::bigint AS iterations FROM tuned QUALIFY row_number() OVER (PARTITION BY specimen_id ORDER BY step DESC) = 1""")
+def camera_radius(spark, d):
+    return rounded(camera.autotune(shapes(spark, d), "specimen_id", metadata.fibonacci_sphere(spark, 8), (IN, OUT)))
+
+
+@query("equal_radii", "WITH z AS (SELECT l_partkey AS specimen, CASE WHEN l_linenumber % 2 = 0 THEN 'loose' ELSE 'up' END AS scale, max(l_tax)::double AS r FROM lineitem GROUP BY ALL) SELECT a.specimen, abs(a.r - b.r) <= 1e-8 + 1e-5 * abs(b.r) AS equal FROM z a JOIN z b ON a.specimen = b.specimen AND a.scale = 'loose' AND b.scale = 'up'")
+def equal_radii(spark, d):
+    z = _read(spark, d, "lineitem").select(F.col("l_partkey").alias("specimen"), F.when(F.col("l_linenumber") % 2 == 0, "loose").otherwise("up").alias("scale"), F.col("l_tax").cast("double").alias("final_radius"))
+    return camera.equal_radii(z)
+
+
+@query("light_direction", f"WITH {SHAPES}, e AS (SELECT specimen_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM shapes GROUP BY specimen_id) SELECT specimen_id, round(-x / sqrt(x * x + y * y + z * z), 6) + 0.0 AS x, round(-y / sqrt(x * x + y * y + z * z), 6) + 0.0 AS y, round(-z / sqrt(x * x + y * y + z * z), 6) + 0.0 AS z FROM e")
+def light_direction(spark, d):
+    e = shapes(spark, d).groupBy("specimen_id").agg(*(F.avg(c).alias(c) for c in "xyz"))
+    v = camera.light_direction(*(F.col(c) for c in "xyz"))
+    return rounded(e.select("specimen_id", *(v[i].alias(c) for i, c in enumerate("xyz"))))

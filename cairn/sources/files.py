@@ -1,9 +1,11 @@
 """Readers and writers of what the pipeline exchanges: file lists, id lists, labels, neighbour lists, arrays, meshes."""
 
+import csv
 import io
 import operator
 import re
 import struct
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -60,23 +62,92 @@ def read_labels(spark: SparkSession, path: str, lenient: bool = False) -> DataFr
     return t.select(F.when(F.size("w") >= 2, F.col("w")[0]).otherwise(bad.cast("string")).alias("id"), F.array_join(F.slice("w", 2, 1 << 20), " ").alias("label"))
 
 
-def labels_for(ids: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """ids with label: of a file with tabs or commas by id (others get ""), else of one label a line, by position."""
-    first = spark.read.text(path).first()
-    sep = next((s for s in ("\t", ",") if first and s in first.value), None)
-    if sep:
-        pairs = spark.read.csv(path, sep=sep).select(F.trim("_c0").alias("id"), F.trim("_c1").alias("label")).dropDuplicates(["id"])
-        return ids.join(pairs, "id", "left").withColumn("label", F.coalesce("label", F.lit("")))
-    lines = read_ids(spark, path).withColumnRenamed("id", "label")
+def labels_for(ids: DataFrame, spark: SparkSession, path: str | None) -> DataFrame:
+    """ids (row_idx, id) with label: of a file with tabs or commas in its first line by id (of repeated ids the last; others get
+    ""), else of one label a line, by position.
+
+    Where there is no file, or it is blank, has another number of lines, or no id of it is known, labels are what stands
+    before the first / in ids; if any id has none, there are no labels: all null.
+    """
+    inferred = ids.withColumn("label", F.when(F.contains("id", F.lit("/")), F.substring_index("id", "/", 1)))
+    inferred = inferred.join(F.broadcast(inferred.agg(F.bool_or(F.col("label").isNull() | (F.col("label") == "")).alias("_none")))).withColumn("label", F.when(~F.col("_none"), F.col("label"))).drop("_none")
+    if path is None or not _exists(spark, path):
+        return inferred
+    lines = read_ids(spark, path).withColumnRenamed("id", "line")
+    first = lines.filter("row_idx = 0").first()
+    if first is None:
+        return inferred
+    if sep := next((s for s in ("\t", ",") if s in first.line), None):
+        w = F.split("line", sep)
+        pairs = lines.filter(F.size(w) >= 2).groupBy(w[0].alias("id")).agg(F.max_by(w[1], F.col("row_idx")).alias("label"))
+        got = ids.join(pairs, "id", "left").withColumn("label", F.coalesce("label", F.lit("")))
+        return got if got.filter("label <> ''").take(1) else inferred
     if lines.count() != ids.count():
-        raise ValueError("labels by position need one line for each id")
-    return ids.join(lines, "row_idx")
+        return inferred
+    return ids.join(lines.withColumnRenamed("line", "label"), "row_idx")
 
 
-def read_neighbors(spark: SparkSession, folder: str) -> DataFrame:
-    """All knn_*.csv below folder, columns by name; _file is where a row comes from."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "knn_*.csv").csv(folder, header=True)
-    return df.withColumn("_file", F.col("_metadata.file_path"))
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def scan_tables(spark: SparkSession, folder: str, pattern: str = "knn_*.csv", needed: tuple[str, ...] = (), deep: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rows of all CSV files below folder (in it, unless deep) whose names fit pattern, and an error row (_file, error) for each bad one.
+
+    Each file has a header of its own: columns meet by name, in any order, and what a file lacks is null. All are strings;
+    _file and _row (from 0) are where a row comes from. Bad files lack a needed column, have a blank header, or a
+    line of another length than it. Files without rows, or without any byte, give none.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", "content")
+    if not deep:
+        files = files.filter(~F.contains(F.substring_index("path", folder.rstrip("/") + "/", -1), F.lit("/")))
+
+    def parse(batches):
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    lines = list(csv.reader(io.StringIO(bytes(content).decode("utf-8-sig"))))
+                    head = [h.strip() for h in lines[0]] if lines else []
+                    if lacks := sorted(set(needed) - set(head)) if head else ["a header"]:
+                        raise ValueError(f"lacks {lacks}")
+                    rows = [(path, i, dict(zip(head, r, strict=True)), None) for i, r in enumerate(r for r in lines[1:] if r)]
+                except Exception as e:  # one bad file is a row of the error table, not the end of the run
+                    rows = [(path, None, None, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=["_file", "_row", "data", "error"])
+
+    out = files.mapInPandas(parse, "_file string, _row long, data map<string, string>, error string")
+    names = sorted(r.k for r in out.filter("error IS NULL").select(F.explode(F.map_keys("data")).alias("k")).distinct().collect())
+    columns = list(dict.fromkeys([*needed, *names]))
+    good = out.filter("error IS NULL").select(*(F.col("data")[c].alias(c) for c in columns), "_file", "_row")
+    return good, out.filter("error IS NOT NULL").select("_file", "error")
+
+
+def read_neighbors(spark: SparkSession, folder: str, merged: str = "merged_knn.csv", needed: tuple[str, ...] = ()) -> DataFrame:
+    """Neighbour lists of a folder: of the file merged, if it is there, else of all knn_*.csv below; see scan_tables.
+
+    Nothing to read, or a bad file, is an error.
+    """
+    one = f"{folder.rstrip('/')}/{merged}"
+    good, bad = scan_tables(spark, one if _exists(spark, one) else folder, merged if _exists(spark, one) else "knn_*.csv", needed)
+    if first := bad.orderBy("_file").first():
+        raise ValueError(f"{first['_file']}: {first['error']}")
+    if not good.take(1):
+        raise ValueError(f"no rows in {merged} or knn_*.csv below {folder}")
+    return good
+
+
+def match_rates(spark: SparkSession, folder: str, pattern: str = "knn_*.csv") -> tuple[DataFrame, DataFrame]:
+    """query_id, category, topk, match_count, match_rate of each file of a query's neighbours in folder, and its bad files.
+
+    A file is of the query in its first row; a neighbour matches if its id has the same first part before /.
+    """
+    rows, bad = scan_tables(spark, folder, pattern, ("query_id", "neighbor_id"), deep=False)
+    category = lambda c: F.substring_index(c, "/", 1)
+    per = rows.join(rows.filter("_row = 0").select("_file", F.col("query_id").alias("_query")), "_file")
+    match = (category(F.col("neighbor_id")) == category(F.col("_query"))).cast("int")
+    out = per.groupBy("_file", F.col("_query").alias("query_id")).agg(F.count("*").alias("topk"), F.sum(match).alias("match_count"), F.avg(match).alias("match_rate"))
+    return out.select("query_id", category(F.col("query_id")).alias("category"), "topk", "match_count", "match_rate"), bad
 
 
 def read_overall(spark: SparkSession, path: str) -> DataFrame:
@@ -185,13 +256,23 @@ def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
 
 
 def resolve_file(spark: SparkSession, folder: str, patterns: list[str], fallback: tuple[str, ...] = ()) -> str:
-    """The file below folder whose name fits one of patterns, else one of fallback (`*` and `?`): the least deep, then the first by name."""
+    """folder, if it is a file; else the file below it whose name fits one of patterns, else one of fallback (`*` and `?`): the
+    least deep, then the first by name. Several that fit, and a fallback, are warned of."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        raise FileNotFoundError(f"{folder} does not exist")
+    if system.getFileStatus(place).isFile():
+        return folder
     files = list_files(spark, folder, (r"[^./]+",)).select("path", "rel", F.substring_index("rel", "/", -1).alias("name"))
     for some in filter(None, (patterns, fallback)):
         fits = [F.col("name").rlike("^" + re.escape(p).replace(r"\*", ".*").replace(r"\?", ".") + "$") for p in some]
         depth = F.length("rel") - F.length(F.replace("rel", F.lit("/")))
-        if found := files.filter(reduce(operator.or_, fits)).agg(F.min_by("path", F.struct(depth, "rel")).alias("path")).first().path:
-            return found
+        found = files.filter(reduce(operator.or_, fits)).agg(F.min_by("path", F.struct(depth, "rel")).alias("path"), F.count("*").alias("n")).first()
+        if found.n:
+            if found.n > 1 or some is fallback:
+                warnings.warn(f"{found.n} files below {folder} fit {some}: {found.path} is taken", stacklevel=2)
+            return found.path
     raise FileNotFoundError(f"nothing below {folder} fits {patterns} or {list(fallback)}")
 
 
