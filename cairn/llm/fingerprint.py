@@ -1,8 +1,12 @@
 """Document fingerprints by locally consistent parsing: deterministic coin tossing names phrases, level by level.
 
 A phrase's bounds depend only on its near surroundings, so equal passages share their interior phrases wherever they
-stand. A fingerprint is the least hashes of a text's phrases of about 27 bytes and more; shares of equal ones estimate
-the likeness of two texts.
+stand. A fingerprint has two sketches of every text: the least hashes of its short phrases (of about 9 bytes) and of its long ones
+(of about 27). Shares of equal ones estimate the likeness of two texts: of long phrases if both have enough, else of short ones, so
+that always the same kind is compared.
+
+Null text is the empty text, which has an empty fingerprint; texts of any length are parsed whole. Rows that share a doc_id are in
+order of their text, null ids come last, and of one row the next is itself. Other columns are ignored; no rows: no rows.
 """
 
 from hashlib import sha256
@@ -16,8 +20,8 @@ from cairn.llm._common import mix, once, ship, small_batches, table
 
 ship(__name__)
 
-#: Hashes in a fingerprint; levels of phrases that count; a text with fewer than FEW such phrases also counts level 2.
-SIZE, LEAST_LEVEL, LEVELS, FEW = 48, 3, 8, 24
+#: Hashes in a sketch; the levels of short and of long phrases; so many long phrases are enough.
+SIZE, SHORT, LONG, ENOUGH = 64, 2, 3, 32
 #: Documents in a range of neighbours.
 RANGE = 4096
 
@@ -71,43 +75,43 @@ def _level(sym: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names, doc[cut]
 
 
-def fingerprints(texts: list[str]) -> list[np.ndarray]:
-    """Each text's SIZE least 32-bit phrase hashes, in order; an empty text has none."""
+def _sketches(doc: np.ndarray, names: np.ndarray, n: int) -> list[np.ndarray]:
+    """The SIZE least different 32-bit hashes of each document's phrases, in order."""
+    keys = np.unique(doc.astype(np.uint64) << np.uint64(32) | names >> np.uint64(32))
+    bounds = np.searchsorted((keys >> np.uint64(32)).astype(np.int64), np.arange(n + 1))
+    low = keys.astype(np.uint32)
+    return [low[a : min(b, a + SIZE)] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def fingerprints(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's sketches of short and of long phrases; an empty text has none in either."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     lens = np.array([len(b) for b in raw], np.int64)
     sym: np.ndarray = np.frombuffer(b"".join(raw), np.uint8)
     doc = np.repeat(np.arange(len(raw)), lens)
     if not len(sym):
-        return [np.zeros(0, np.uint32)] * len(raw)
-    keys, second, few = [], None, None
-    for level in range(1, LEVELS + 1):
+        return [(np.zeros(0, np.uint32),) * 2] * len(raw)
+    found = []
+    for level in range(1, LONG + 1):
         sym, doc = _level(sym, doc)
-        key = doc.astype(np.uint64) << np.uint64(32) | sym >> np.uint64(32)
-        if level == LEAST_LEVEL - 1:
-            second = key, doc
-        if level == LEAST_LEVEL:
-            few = np.bincount(doc, minlength=len(raw)) < FEW
-            keys.append(second[0][few[second[1]]])
-        if level >= LEAST_LEVEL:
-            keys.append(key)
-    keys = np.unique(np.concatenate(keys))
-    owner = (keys >> np.uint64(32)).astype(np.int64)
-    bounds = np.searchsorted(owner, np.arange(len(raw) + 1))
-    low = keys.astype(np.uint32)
-    return [low[a : min(b, a + SIZE)] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        if level in (SHORT, LONG):
+            found.append(_sketches(doc, sym, len(raw)))
+    return list(zip(*found, strict=True))
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The estimated share of phrases in common (Jaccard); 1 for two empty fingerprints."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    x, y = set(a.tolist()), set(b.tolist())
+    kind = int(min(len(a[1]), len(b[1])) >= ENOUGH)
+    x, y = set(a[kind].tolist()), set(b[kind].tolist())
+    if not x or not y:
+        return float(len(x) == len(y))
     least = sorted(x | y)[:SIZE]
     return sum(v in x and v in y for v in least) / len(least)
 
 
-def as_string(f: np.ndarray) -> str:
-    return "".join(f"{v:08x}" for v in f.tolist())
+def as_string(f: tuple[np.ndarray, np.ndarray]) -> str:
+    """Both sketches in hex, short phrases first."""
+    return "-".join("".join(f"{v:08x}" for v in part.tolist()) for part in f)
 
 
 def in_ranges(docs: DataFrame, per_range: int = RANGE) -> DataFrame:
