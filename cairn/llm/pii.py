@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._common import Scratch, cut, fresh, table, text_key
+from cairn.llm._common import Scratch, cut, fresh, join_counted, table, text_key
 
 #: The kinds in order, with their patterns (possessive where that changes no match, so that no text can exhaust a stack or take quadratic time).
 KINDS = {
@@ -117,12 +117,13 @@ def _revealing(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))
     every = F.concat(*(_each(k, lambda s, k: F.concat(F.lit(f"{k}:"), s.value)) for k in KINDS))
     values = found.select("doc_id", "key", F.explode(F.array_distinct(every)).alias("entity"))
-    known = scratch.cut(values.groupBy("entity").agg(F.count("*").alias("n_e")))
+    # Values that are in the same rows give the same result: their rows' number and summed hashes stand for all of them.
+    row = lambda salt: F.sum(F.xxhash64(F.lit(salt), "doc_id", "key").cast("decimal(38,0)"))
+    known = scratch.cut(values.groupBy("entity").agg(F.count("*").alias("n_e"), F.concat_ws(":", F.count("*"), row(0), row(1)).alias("same")))
     most = lambda n_e: F.pow(n_e.cast("double"), GENERALISE) * n ** (1 - GENERALISE) * (1 + 1e-9)
     top = known.agg(most(F.max("n_e"))).first()[0] or 0.0
-    # Values that are in the same single row give the same result: one of them stands for all.
-    of = values.join(known, "entity").groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.sort_array(F.collect_set(F.struct("n_e", "entity"))).alias("e"))
-    of = of.withColumn("e", F.concat(F.slice(F.filter("e", lambda v: v.n_e == 1), 1, 1), F.filter("e", lambda v: v.n_e > 1)))
+    total = known.agg(F.sum("n_e")).first()[0] or 0
+    of = join_counted(values, known, "entity", "n_e", total).groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_set(F.struct("n_e", F.col("same").alias("entity"))).alias("e"))
     counts = docs.select(_terms(F.col("text"))).groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") <= top)
     rows = found.select("doc_id", "key", "text").join(of, same).select("_d", "_k", "e", _terms(F.col("text")))
     rows = rows.join(counts, "term").withColumn("e", F.filter("e", lambda v: F.col("n_t") <= most(v.n_e)))
@@ -130,20 +131,30 @@ def _revealing(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame
     pairs = rows.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t"))
     ic = F.log(F.lit(n) / F.col("n_e"))
     pmi = F.log(F.lit(n) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    pairs = pairs.filter(ic > 0).select("entity", "term", (pmi / ic).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
-    best = rows.select("_d", "_k", "entity", "term").join(pairs, ["entity", "term"]).groupBy("_d", "_k", "term").agg(F.max("disclosure").alias("disclosure"))
+    pairs = pairs.filter(ic > 0).select("entity", "term", "n_te", (pmi / ic).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    # Words of a value that very many rows hold are joined apart.
+    both = F.struct("entity", "term").alias("both")
+    best = join_counted(rows.select("_d", "_k", "term", both), pairs.select(both, "n_te", "disclosure"), "both", "n_te", rows.count()).groupBy("_d", "_k", "term").agg(F.max("disclosure").alias("disclosure"))
     action = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
     return best.groupBy("_d", "_k").agg(F.map_from_entries(F.collect_list(F.struct("term", action.alias("action")))).alias("shown"))
 
 
+def _masked(kind: str, text: Column) -> Column:
+    """text with other characters, of the same number, for all but the blanks of the valid matches of a kind."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(KINDS[kind]), F.lit(0)), lambda m: F.when(_VALID[kind](m), F.regexp_replace(m, r"[^\x20\x09-\x0D]", "\0")).otherwise(m))
+    return F.array_join(F.zip_with(F.split(text, KINDS[kind], -1), found, lambda t, m: F.concat(t, F.coalesce(m, F.lit("")))), "")
+
+
 def _places(text: Column, shown: Column) -> Column:
-    """start, stop, action of each occurrence of the words in shown, but those in base spans."""
-    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    """start, stop, action of each occurrence of the words in shown, but those in base spans: words that a mask of these changes."""
+    words = lambda t: F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
     kind = "array<struct<start:int,stop:int,action:string>>"
-    every = F.zip_with(_starts(F.split(text, WORD, -1), found), found, lambda at, m: F.struct(at.alias("start"), (at + F.length(m)).alias("stop"), shown[m].alias("action")))
-    walked = F.filter(every, lambda w: w.action.isNotNull())
-    spans = F.concat(*(F.transform(F.col(k), lambda s: F.struct(s.start.alias("start"), s.stop.alias("stop"))) for k in KINDS))
-    free = F.filter(walked, lambda w: ~F.exists(spans, lambda s: (w.start < s.stop) & (s.start < w.stop)))
+    every = lambda found: F.zip_with(_starts(F.split(text, WORD, -1), found), found, lambda at, m: F.struct(at.alias("start"), (at + F.length(m)).alias("stop"), m.alias("word")))
+    out = _let(words(text), every)
+    for k in KINDS:
+        whole = F.zip_with(out, words(_masked(k, text)), lambda w, m: F.when(w.word == m, w))
+        out = F.when(F.size(F.col(k)) > 0, whole).otherwise(out)
+    free = F.filter(F.transform(out, lambda w: F.when(w.isNotNull(), F.struct(w.start.alias("start"), w.stop.alias("stop"), shown[w.word].alias("action")))), lambda w: w.action.isNotNull())
     return F.when(shown.isNotNull(), free).otherwise(F.array().cast(kind))
 
 
