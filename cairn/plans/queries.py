@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import color, identity, vectors
-from cairn.operators import camera, cluster_metrics, decomposition, hdbscan, knn, metadata, pooling, retrieval_metrics, routing
+from cairn.operators import branches, camera, cluster_metrics, decomposition, hdbscan, hulls, knn, metadata, pooling, retrieval_metrics, routing
 
 QUERIES, ORACLES = {}, {}
 
@@ -247,7 +247,13 @@ def bbox_features(spark, d):
     return rounded(metadata.boxes(points(spark, d), "specimen_id"))
 
 
-@query("pca_axis_lengths")
+COV = ", ".join(f"covar_samp({a}, {b}) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+
+
+@query("pca_axis_lengths", f"""WITH {POINTS}, c AS (SELECT specimen_id, count(*) AS n, {COV} FROM points GROUP BY specimen_id), q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM c), p AS (SELECT *, sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM q),
+r AS (SELECT *, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (p * p * p) / 2 AS r FROM p), f AS (SELECT *, acos(greatest(-1, least(1, r))) / 3 AS f FROM r),
+e AS (SELECT specimen_id, q + 2 * p * cos(f) AS e1, q + 2 * p * cos(f + 2 * pi() / 3) AS e3, q AS m FROM f WHERE n >= 3 AND p > 0), l AS (SELECT specimen_id, 2 * sqrt(greatest(e1, 0)) AS a, 2 * sqrt(greatest(3 * m - e1 - e3, 0)) AS b, 2 * sqrt(greatest(e3, 0)) AS d FROM e)
+SELECT specimen_id, round(a, 6) AS pc1_length, round(b, 6) AS pc2_length, round(d, 6) AS pc3_length, round(a / greatest(b, 1e-8::double), 6) AS elongation_12, round(a / greatest(d, 1e-8::double), 6) AS elongation_13, round(b / greatest(d, 1e-8::double), 6) AS elongation_23, round(d / greatest(b, 1e-8::double), 6) AS flatness_ratio, round(d / greatest(a, 1e-8::double), 6) AS thinness_ratio, (d / greatest(b, 1e-8::double) < 0.02)::bigint AS is_planar_degenerate, (b / greatest(a, 1e-8::double) < 0.02)::bigint AS is_linear_degenerate FROM l""")
 def pca_axis_lengths(spark, d):
     return rounded(metadata.axis_lengths(points(spark, d), "specimen_id"))
 
@@ -432,7 +438,14 @@ def hsv_histogram(spark, d):
     return rounded(color.histogram(pixels(spark, d), "image_id", "hsv"))
 
 
-@query("lab_histogram")
+LINEAR = "CASE WHEN {0} <= 0.04045::double THEN {0} / 12.92::double ELSE pow(({0} + 0.055::double) / 1.055::double, 2.4::double) END"
+ROOT = "CASE WHEN {0} > 0.008856::double THEN cbrt({0}) ELSE 7.787::double * {0} + 16::double / 116 END"
+#: The sRGB matrix and the D65 white point.
+LAB = f"""lin AS (SELECT *, {LINEAR.format("r")} AS lr, {LINEAR.format("g")} AS lg, {LINEAR.format("b")} AS lb FROM pixels), xyz AS (SELECT *, (0.4124564::double * lr + 0.3575761::double * lg + 0.1804375::double * lb) / 0.95047::double AS x, 0.2126729::double * lr + 0.7151522::double * lg + 0.0721750::double * lb AS y, (0.0193339::double * lr + 0.1191920::double * lg + 0.9503041::double * lb) / 1.08883::double AS z FROM lin),
+fx AS (SELECT *, {ROOT.format("x")} AS fx, {ROOT.format("y")} AS fy, {ROOT.format("z")} AS fz FROM xyz), la AS (SELECT image_id, r, g, b, greatest(0, least(1, (116 * fy - 16) / 100)) AS l_, greatest(0, least(1, (500 * (fx - fy) + 128) / 255)) AS a_, greatest(0, least(1, (200 * (fy - fz) + 128) / 255)) AS b_ FROM fx)"""
+
+
+@query("lab_histogram", f"WITH {PIXELS}, {LAB}, " + HIST.format(p="la", c="l_, a_, b_"))
 def lab_histogram(spark, d):
     return rounded(color.histogram(pixels(spark, d), "image_id", "lab"))
 
@@ -689,3 +702,26 @@ def light_direction(spark, d):
     e = shapes(spark, d).groupBy("specimen_id").agg(*(F.avg(c).alias(c) for c in "xyz"))
     v = camera.light_direction(*(F.col(c) for c in "xyz"))
     return rounded(e.select("specimen_id", *(v[i].alias(c) for i, c in enumerate("xyz"))))
+
+
+@query("convex_hulls")
+def convex_hulls(spark, d):
+    return rounded(hulls.convex_hulls(shapes(spark, d), "specimen_id"))
+
+
+SAMPLED = f"least AS (SELECT specimen_id, count(*) AS n, min(x) AS x0, min(y) AS y0, min(z) AS z0, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS long FROM shapes GROUP BY specimen_id), cubes AS (SELECT specimen_id, floor((x - x0) / side) AS i, floor((y - y0) / side) AS j, floor((z - z0) / side) AS k, x, y, z FROM (SELECT *, greatest(long / pow(40, 1.0::double / 3), 1e-9) AS side FROM shapes JOIN least USING (specimen_id) WHERE n > 40))"
+
+
+@query("voxel_counts", f"WITH {SHAPES}, {SAMPLED}, v AS (SELECT specimen_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM cubes GROUP BY specimen_id, i, j, k), a AS (SELECT specimen_id, count(*) AS n FROM v GROUP BY specimen_id) SELECT specimen_id, least(40, n) AS n FROM a UNION ALL SELECT specimen_id, n FROM least WHERE n <= 40")
+def voxel_counts(spark, d):
+    return hulls.hull_sample(shapes(spark, d), "specimen_id", 40).groupBy("specimen_id").agg(F.count("*").alias("n"))
+
+
+@query("branch_labels")
+def branch_labels(spark, d):
+    return rounded(branches.detect(items(spark, d), hdbscan.Config(5, 1), 3, sides=True)[0])
+
+
+@query("coarse_sweep")
+def coarse_sweep(spark, d):
+    return rounded(hdbscan.coarse_sweep(items(spark, d), [(p, m, 1, s) for p in (0, 5) for m in (5, 20) for s in ("eom", "leaf")], labels=labels(spark, d)).withColumn("score", F.when(F.col("invalid"), -1.0).otherwise(F.col("score"))))
