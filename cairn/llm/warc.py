@@ -20,7 +20,8 @@ ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 def _decoded(text: Column) -> Column:
     """text with numeric and named entities as characters, once; what names none stays."""
-    names = F.create_map(*(F.lit(x) for name, point in sorted(name2codepoint.items()) for x in (name, chr(point))))
+    common = ("amp", "lt", "gt", "quot", "nbsp")
+    names = F.create_map(*(F.lit(x) for name in [*common, *sorted(set(name2codepoint) - set(common))] for x in (name, chr(name2codepoint[name]))))
 
     def one(e: Column) -> Column:
         body = F.substring(e, F.lit(2), F.length(e) - 2)
@@ -30,8 +31,12 @@ def _decoded(text: Column) -> Column:
         char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, point)), 8, "0")), "UTF-32")
         return F.coalesce(F.when(F.startswith(body, F.lit("#")), char).otherwise(F.try_element_at(names, body)), e)
 
-    found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
-    return F.array_join(F.zip_with(F.split(text, ENTITY), found, lambda t, e: F.concat(t, F.coalesce(one(e), F.lit("")))), "")
+    def joined(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))
+        return F.array_join(F.zip_with(F.split(t, ENTITY), found, lambda x, e: F.concat(x, F.coalesce(one(e), F.lit("")))), "")
+
+    # The text is used twice but made once, and is left alone where no entity can be.
+    return F.element_at(F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit("&")), joined(t)).otherwise(t)), 1)
 
 
 def visible_text(html: Column) -> Column:
