@@ -348,8 +348,7 @@ def selected(tree: DataFrame, config: DataFrame, steps: Steps, span: int = SPAN)
     order of their first points. prob: the point's lambda over the largest in its cluster. Clusters are settled a span at a time.
     """
     rows, k = clusters_of(tree, steps)
-    many = F.broadcast(config) if config.count() < 10_000 else config
-    k = steps.cut(k.join(many, "tree").drop("tree").withColumnRenamed("of", "tree"))
+    k = steps.cut(k.join(config, "tree").withColumnRenamed("tree", "_of").withColumnRenamed("of", "tree"))
     last = k.agg(F.max("k")).first()[0] or 0
     spans = last // span + 1
     chosen = _sweep_up(k, spans, span, steps)
@@ -362,9 +361,9 @@ def selected(tree: DataFrame, config: DataFrame, steps: Steps, span: int = SPAN)
         chosen = steps.cut(up.withColumn("chosen", F.lit(True)))
     marks = _sweep_down(k.join(chosen, ["tree", "cluster"], "left"), F.when(F.coalesce("chosen", F.lit(False)), F.col("cluster")).otherwise(-1).cast("long"), spans, span, steps)
     count = chosen.filter("chosen").groupBy("tree").agg(F.count("*").alias("chosen_count"))
-    owned = marks.filter("mark >= 0").join(k.select("tree", "n", "root_ok", "epsilon").distinct(), "tree").join(count, "tree")
-    members = rows.filter("child < n").select(F.col("tree").alias("_of"), F.col("parent").alias("cluster"), F.col("child").alias("pos"), "lam").join(many.select(F.col("tree").alias("_of"), F.col("of").alias("tree")), "_of").drop("_of")
-    got = steps.cut(members.join(owned, ["tree", "cluster"]))
+    owned = marks.filter("mark >= 0").join(k.select("tree", "cluster", "_of", "n", "root_ok", "epsilon"), ["tree", "cluster"]).join(count, "tree")
+    members = rows.filter("child < n").select(F.col("tree").alias("_of"), F.col("parent").alias("cluster"), F.col("child").alias("pos"), "lam")
+    got = steps.cut(members.join(owned, ["_of", "cluster"]))
     most = got.groupBy("tree", "mark").agg(F.max("lam").alias("most"))
     # Of one cluster that is all, what leaves it at more than epsilon is noise.
     kept = got.filter(~((F.col("mark") == F.col("n")) & F.col("root_ok") & (F.col("chosen_count") == 1) & (F.col("epsilon") > 0) & (F.col("lam") < 1 / F.col("epsilon"))))

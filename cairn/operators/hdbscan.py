@@ -42,8 +42,7 @@ def placed(items: DataFrame, steps: Steps) -> DataFrame:
 
 def linkage_of(points: DataFrame, samples: list[int], metric: str, steps: Steps) -> DataFrame:
     """The merges of each of samples; the tree's name is followed by |min_samples."""
-    cored = steps.cut(density.core_distances(points, samples, metric))
-    edges = density.spanning_trees(cored, steps, [f"|{s}" for s in samples], metric)
+    edges = density.spanning_trees(density.core_distances(points, samples, metric), steps, [f"|{s}" for s in samples], metric)
     return steps.cut(density.single_linkage(edges, steps))
 
 
@@ -63,7 +62,7 @@ def fitted(points: DataFrame, configs: list[Config], steps: Steps, merges: DataF
     of = [F.struct(F.lit(f"|{c.samples}|{c.min_cluster_size}").alias("suffix"), F.lit(i).alias("config"), F.lit(c.selection == "leaf").alias("leaf"), F.lit(c.allow_single_cluster).alias("root_ok"), F.lit(float(c.epsilon)).alias("epsilon")) for i, c in enumerate(configs)]
     mine = F.explode(F.filter(F.array(*of), lambda c: F.endswith("tree", c["suffix"])))
     config = trees.select("tree").distinct().withColumn("c", mine).select("tree", F.concat_ws("|", F.substring_index("tree", "|", -2), "c.config", F.expr("substring(tree, 1, length(tree) - length(c.suffix))")).alias("of"), "c.leaf", "c.root_ok", "c.epsilon")
-    got = density.selected(trees, steps.cut(config), steps)
+    got = density.selected(trees, config, steps)
     name = F.split("tree", "\\|", 4)
     return got.select(name[3].alias("tree"), name[2].cast("int").alias("config"), "pos", "label", "prob")
 

@@ -30,18 +30,21 @@ class Steps:
     def __enter__(self):
         return self
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def _written(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = f"{self.root}/{uuid.uuid4().hex}.parquet"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return self._written(df)[0]
 
     def cut(self, df: DataFrame) -> DataFrame:
-        out = self.keep(df)
-        self.paths.append(out.inputFiles()[0].rsplit("/", 1)[0] if out.inputFiles() else None)
+        out, path = self._written(df)
+        self.paths.append(path)
         return out
 
     def __exit__(self, *error):
-        for path in filter(None, self.paths):
+        for path in self.paths:
             place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 

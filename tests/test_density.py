@@ -32,10 +32,10 @@ def weights(merges):
 
 @pytest.fixture(scope="module")
 def trees():
-    return {"a": cloud(1, 90), "b": cloud(2, 60), "two": cloud(3, 10)[:2], "one": cloud(3, 10)[:1]}
+    return {"a": cloud(1, 64), "b": cloud(2, 40), "two": cloud(3, 10)[:2], "one": cloud(3, 10)[:1]}
 
 
-@pytest.mark.parametrize("block, most, span", [(1024, 1 << 20, 1 << 16), (16, 40, 8), (7, 0, 1)])
+@pytest.mark.parametrize("block, most, span", [(1024, 1 << 20, 1 << 16), (9, 0, 16)])
 def test_trees(spark, trees, block, most, span):
     """Whatever blocks, contraction and spans are, the spanning tree, the merges and the condensed tree are those of one array."""
     with Steps(spark) as steps:
@@ -151,7 +151,7 @@ def test_steps(spark):
 
 @pytest.fixture(scope="module")
 def clustered():
-    x = cloud(2, 120)
+    x = cloud(2, 60)
     label = np.random.default_rng(3).choice([-1, 0, 0, 0, 1, 2, 7], len(x))
     label[label == 7] = 2
     label[0] = 9  # alone
