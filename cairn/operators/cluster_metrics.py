@@ -42,9 +42,9 @@ def contingency(c: DataFrame, labels: DataFrame, noise: str = "as_cluster") -> D
     return both.groupBy("label", "cluster_id").agg(F.count("*").alias("n"))
 
 
-def purity(table: DataFrame) -> DataFrame:
-    """One row: the share of rows with their cluster's main label; 0.0 without rows."""
-    return table.groupBy("cluster_id").agg(F.max("n").alias("m"), F.sum("n").alias("t")).agg(F.coalesce(F.sum("m") / F.sum("t"), F.lit(0.0)).alias("purity"))
+def purity(table: DataFrame, empty: float | None = 0.0) -> DataFrame:
+    """One row: the share of rows with their cluster's main label; without rows, empty (sweeps have NaN there, reports 0)."""
+    return table.groupBy("cluster_id").agg(F.max("n").alias("m"), F.sum("n").alias("t")).agg(F.coalesce(F.sum("m") / F.sum("t"), F.lit(empty).cast("double")).alias("purity"))
 
 
 def cluster_purity(table: DataFrame) -> DataFrame:

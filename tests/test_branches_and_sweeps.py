@@ -166,3 +166,29 @@ def test_pca_by_blocks(spark):
     want = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
     assert np.allclose([r.ratio for r in report], want[:3] / want.sum()) and report[-1].cumulative == pytest.approx(want[:3].sum() / want.sum())
     assert decomposition.pca(frame(spark, x).limit(0), 3)[1].count() == 0
+
+
+def test_valleys(spark):
+    rows = [(0, 0.1, 2), (1, 0.15, 3), (2, 0.15, 5), (3, 0.9, 8)]
+    linkage = spark.createDataFrame(rows, "r long, distance double, size long").repartition(3)
+    got = {r.r: (r.gap, r.score) for r in hdbscan.valley_scores(linkage).collect()}
+    for (i, d, n), after in zip(rows, rows[1:] + [None], strict=True):
+        gap = None if after is None else after[1] - d
+        assert got[i] == (gap if gap is None else pytest.approx(gap), None if gap is None else pytest.approx(gap * np.log(n)))
+    assert [r.r for r in hdbscan.valley_scores(linkage, 2).collect()] == [2, 0]
+
+
+def test_kmeans_of_planted_items(spark):
+    from cairn.operators import decomposition
+
+    x = two()
+    got = decomposition.kmeans(frame(spark, x), 2).toPandas().set_index("id").loc[[f"i{i}" for i in range(80)]]
+    assert got.cluster_id[:40].nunique() == got.cluster_id[40:].nunique() == 1 and got.cluster_id.nunique() == 2
+    for part in (slice(0, 40), slice(40, 80)):
+        assert np.allclose(got.score[part], np.linalg.norm(x[part] - x[part].mean(0), axis=1))
+
+
+def test_purity_of_nothing(spark):
+    none = spark.createDataFrame([], "label string, cluster_id int, n long")
+    assert cluster_metrics.purity(none).first().purity == 0.0 and cluster_metrics.purity(none, None).first().purity is None
+    assert np.isnan(cluster_metrics.purity(none, float("nan")).first().purity)
