@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.vectors import doubles, l2_normalize
-from cairn.operators import decomposition, density
+from cairn.operators import decomposition, dendrogram, density
 from cairn.operators.cluster_metrics import agreement, coarse_metrics_by, intra_distance, sweep_score
 from cairn.operators.steps import Steps, numbered
 
@@ -97,6 +97,16 @@ def tree_tables(items: DataFrame, c: Config = Config()) -> tuple[DataFrame, Data
         return steps.keep(merges.select("r", "left", "right", "distance", "size")), steps.keep(tree.select("parent", "child", "lambda_val", "child_size"))
 
 
+def tree_drawing(items: DataFrame, c: Config = Config(), clusters: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The leaves (id, place, x; with clusters (id, cluster_id) also cluster_id, color) and links of the single linkage's drawing."""
+    with Steps(items.sparkSession) as steps:
+        points = placed(items.withColumn("tree", F.lit("all")), steps)
+        merges = linkage_of(points, [c.samples], c.metric, steps)
+        names = points.select(F.lit(f"all|{c.samples}").alias("tree"), "pos", "id")
+        leaves, lines = dendrogram.layout(merges, names, clusters)
+        return leaves.drop("tree"), lines.drop("tree")
+
+
 def mutual_reachability_nearest(items: DataFrame, c: Config = Config()) -> DataFrame:
     """row_idx, nearest, distance: the lightest edge of each item in the spanning tree, which is its lightest of all; ties by the ends."""
     with Steps(items.sparkSession) as steps:

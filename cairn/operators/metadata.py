@@ -162,3 +162,43 @@ def use_color(items: DataFrame, mode: str = "auto", least: float = 0.2) -> DataF
     n = items.agg(F.count("*").alias("n"), F.count_if(F.col("has_color")).alias("n_color"))
     share = F.coalesce(F.try_divide("n_color", "n") >= least, F.lit(False))
     return n.withColumn("use_color", F.lit(mode == "force") if mode in ("off", "force") else share)
+
+
+# The columns of the feature matrix, in order; those of which log(1 + x) is taken; and the colour columns.
+FEATURE_COLUMNS = ("bbox_longest", "surface_area", "convex_hull_volume", "convex_hull_area", "equiv_diameter_hull", "aspect_xy", "aspect_xz", "aspect_yz", "elongation_12", "elongation_13", "elongation_23")
+LOG_COLUMNS = FEATURE_COLUMNS[:5]
+COLOR_COLUMNS = ("mean_r", "mean_g", "mean_b", "std_r", "std_g", "std_b")
+
+
+def feature_matrix(records: DataFrame, color: bool = False, logs: bool = True) -> tuple[DataFrame, list[str]]:
+    """records with features (an array) and the names of its columns: shape, and colour if asked, scaled by median and quartiles.
+
+    What isn't finite is its column's median, or 0 where none is; a missing colour is 0.
+    """
+    names = [*FEATURE_COLUMNS, *(COLOR_COLUMNS if color else ())]
+    cast = {c: F.col(c).cast("double") for c in FEATURE_COLUMNS} | {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(0.0)) for c in names[11:]}
+    held = F.struct(*(F.col(c) for c in records.columns)).alias("_row")
+    scaled = robust_scaled(records.select(held, *(cast[c].alias(c) for c in names)), names, LOG_COLUMNS if logs else ())
+    return scaled.select("_row.*", F.array(*names).alias("features")), names
+
+
+def run_summary(records: DataFrame, errors: DataFrame | None = None, slow: float = 60.0) -> DataFrame:
+    """One row over the records of a run and its error rows: counts, shares, means of times and points, and the slowest item.
+
+    Groups named -1 are noise. Values that are missing or not a number take no part in a mean; the slowest of equal ones is the
+    first by specimen_id. slow: seconds from which an item is slow; 0: none is.
+    """
+    known = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
+    of = lambda c: F.count_if(F.col(c).cast("int") == 1)
+    n, group = F.count("*"), F.col("pregroup_id").cast("string")
+    noise, shown = F.count_if(group == "-1"), {0.02: "0_02", 0.05: "0_05", 0.10: "0_10"}
+    seconds = known("total_sec")
+    out = [n.alias("n_success"), of("has_color").alias("n_color"), F.try_divide(of("has_color"), n).alias("color_ratio"), F.count_distinct(F.when(group != "-1", group)).alias("n_pregroups_excluding_noise"), noise.alias("n_noise"), F.try_divide(noise, n).alias("noise_ratio")]
+    out += [of(c).alias("n_" + c.removeprefix("is_")) for c in ("is_planar_degenerate", "is_linear_degenerate", "is_planar_like", "is_linear_like", "hull_failed", "volume_failed")]
+    out += [F.count_if(known(f"{c}_ratio") < t).alias(f"n_{c}_lt_{s}") for c in ("flatness", "thinness") for t, s in shown.items()]
+    out += [F.avg(known(c)).alias(f"mean_{c.removeprefix('n_')}") for c in ("n_points_used_for_hull", "mesh_load_sec", "aabb_sec", "hull_sec", "mesh_volume_sec", "total_sec")]
+    slowest = F.min_by(F.when(seconds.isNotNull(), F.col("specimen_id").cast("string")), F.when(seconds.isNotNull(), F.struct(-seconds, F.col("specimen_id").cast("string"))))
+    out += [F.max(seconds).alias("max_total_sec"), slowest.alias("slowest_specimen_id"), (F.count_if(seconds >= slow) if slow > 0 else F.lit(0).cast("long")).alias("n_slow_specimens"), F.lit(float(slow)).alias("slow_threshold_sec")]
+    row = records.agg(*out)
+    skipped = records.sparkSession.range(1).select(F.lit(0).cast("long").alias("n_skipped")) if errors is None else errors.agg(n.alias("n_skipped"))
+    return row.join(F.broadcast(skipped)).withColumn("n_input_files", F.col("n_success") + F.col("n_skipped"))

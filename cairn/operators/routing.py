@@ -137,11 +137,12 @@ def size_distance(q: Column, c: Column, mode: str = "ratio_penalty", threshold:
         return F.coalesce(F.abs(q - c), F.lit(0.0))
     x, y = (F.pow(F.lit(10.0), q), F.pow(F.lit(10.0), c)) if logs else (q, c)
     ratio = F.when(q.isNotNull() & c.isNotNull(), F.abs(F.log(F.greatest(x, F.lit(least))) - F.log(F.greatest(y, F.lit(least)))))
-    gate = F.when(ratio > math.log(threshold), penalty).otherwise(0.0) if mode == "margin_gate" else F.lit(0.0)
+    apart = F.greatest(x, y) / F.greatest(F.least(x, y), F.lit(least))
+    gate = F.when(apart > threshold, penalty).otherwise(0.0) if mode == "margin_gate" else F.lit(0.0)
     return F.coalesce(ratio + gate, F.lit(0.0))
 
 
-def normalized(x: str, how: str, by: str = "query_idx", least: float = 1e-8) -> Column:
+def normalized(x: str, how: str, by: str | list[str] = "query_idx", least: float = 1e-8) -> Column:
     """x scaled over the rows of by: zscore by the population deviation, minmax, robust by the quartile range (else the
     median, else 1), or none. What isn't finite is 0 and takes no part in the scale."""
     w = Window.partitionBy(by)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import color, identity, vectors
-from cairn.operators import branches, camera, cluster_metrics, decomposition, hdbscan, hulls, knn, metadata, pooling, retrieval_metrics, routing
+from cairn.operators import branches, camera, cluster_metrics, decomposition, fusion_grid, hdbscan, hulls, knn, metadata, pooling, retrieval_metrics, routing
+from cairn.operators.steps import Steps
 
 QUERIES, ORACLES = {}, {}
 
@@ -358,7 +359,7 @@ def size_norm_modes(spark, d):
     return rounded(p.select("query_idx", "candidate_idx", *(routing.normalized("s", m).alias(f"s_{m}") for m in MODES)))
 
 
-@query("size_distance_modes", f"WITH {POOL}, r AS (SELECT *, abs(ln(greatest(pow(10, q), 1e-8::double)) - ln(greatest(pow(10, c), 1e-8::double))) AS r FROM pool) SELECT query_idx, candidate_idx, round(abs(q - c), 6) AS d_plain, round(r, 6) AS d_ratio_penalty, round(r + CASE WHEN r > ln(1.5::double) THEN 0.05 ELSE 0 END, 6) AS d_margin_gate FROM r")
+@query("size_distance_modes", f"WITH {POOL}, r AS (SELECT *, abs(ln(greatest(pow(10, q), 1e-8::double)) - ln(greatest(pow(10, c), 1e-8::double))) AS r FROM pool) SELECT query_idx, candidate_idx, round(abs(q - c), 6) AS d_plain, round(r, 6) AS d_ratio_penalty, round(r + CASE WHEN greatest(pow(10, q), pow(10, c)) / greatest(least(pow(10, q), pow(10, c)), 1e-8::double) > 1.5 THEN 0.05 ELSE 0 END, 6) AS d_margin_gate FROM r")
 def size_distance_modes(spark, d):
     return rounded(_pool(spark, d).select("query_idx", "candidate_idx", *(routing.size_distance(F.col("q"), F.col("c"), m).alias(f"d_{m}") for m in ("plain", "ratio_penalty", "margin_gate"))))
 
@@ -515,9 +516,12 @@ _hdbscan("hdbscan_eom", "eom")
 _hdbscan("hdbscan_leaf", "leaf")
 
 
-@query("hdbscan_linkage", f"""WITH RECURSIVE {PLACED}, {_reach(CORE5)}, {GROWN}, ranked AS (SELECT row_number() OVER (ORDER BY w, a, b) - 1 AS r, a, b, w, count(*) OVER () + 1 AS n FROM edges),
-joined AS (SELECT 0::bigint AS r, pos AS node, pos AS top FROM points UNION ALL SELECT r + 1, node, CASE WHEN top IN (la, lb) THEN n + r ELSE top END FROM (SELECT m.r, m.node, m.top, e.n, max(CASE WHEN node = e.a THEN top END) OVER () AS la, max(CASE WHEN node = e.b THEN top END) OVER () AS lb FROM joined m JOIN ranked e ON e.r = m.r))
-SELECT e.r, max(CASE WHEN node = a THEN top END) AS "left", max(CASE WHEN node = b THEN top END) AS "right", round(w, 6) AS distance, (SELECT count(*) FROM joined k WHERE k.r = e.r + 1 AND k.top = e.n + e.r) AS size FROM ranked e JOIN joined j ON j.r = e.r GROUP BY e.r, e.n, w""")
+MERGED = f"""WITH RECURSIVE {PLACED}, {_reach(CORE5)}, {GROWN}, ranked AS (SELECT row_number() OVER (ORDER BY w, a, b) - 1 AS r, a, b, w, count(*) OVER () + 1 AS n FROM edges),
+joined AS (SELECT 0::bigint AS r, pos AS node, pos AS top FROM points UNION ALL SELECT r + 1, node, CASE WHEN top IN (la, lb) THEN n + r ELSE top END FROM (SELECT m.r, m.node, m.top, e.n, max(CASE WHEN node = e.a THEN top END) OVER () AS la, max(CASE WHEN node = e.b THEN top END) OVER () AS lb FROM joined m JOIN ranked e ON e.r = m.r))"""
+LINKAGE = """SELECT e.r, max(CASE WHEN node = a THEN top END) AS "left", max(CASE WHEN node = b THEN top END) AS "right", round(w, 6) AS distance, (SELECT count(*) FROM joined k WHERE k.r = e.r + 1 AND k.top = e.n + e.r) AS size FROM ranked e JOIN joined j ON j.r = e.r GROUP BY e.r, e.n, w"""
+
+
+@query("hdbscan_linkage", f"{MERGED}\n{LINKAGE}")
 def hdbscan_linkage(spark, d):
     return rounded(hdbscan.tree_tables(items(spark, d), FIVE)[0])
 
@@ -725,3 +729,79 @@ def branch_labels(spark, d):
 @query("coarse_sweep")
 def coarse_sweep(spark, d):
     return rounded(hdbscan.coarse_sweep(items(spark, d), [(p, m, 1, s) for p in (0, 5) for m in (5, 20) for s in ("eom", "leaf")], labels=labels(spark, d)).withColumn("score", F.when(F.col("invalid"), -1.0).otherwise(F.col("score"))))
+
+
+GRID = fusion_grid.grid(["bbox_longest", "log_bbox_volume", "apparent_size_proxy"], list(fusion_grid.MODES), [0.02, 0.1])
+GRIDDED = PAIRS.replace(ITEMS, SIZES) + f""", near AS (SELECT query_idx, neighbor_idx AS c_idx, distance, row_number() OVER (PARTITION BY query_idx ORDER BY distance, neighbor_idx) AS rank_shape FROM pairs QUALIFY rank_shape <= 50),
+feat AS (SELECT row_idx, unnest(['bbox_longest', 'log_bbox_volume', 'apparent_size_proxy']) AS feature, unnest([bbox_longest, log_bbox_volume, log_size]) AS v FROM sizes),
+base_ AS (SELECT row_idx, feature, v, CASE WHEN feature = 'bbox_longest' THEN abs(v) ELSE pow(10, v) END AS b FROM feat),
+kinds AS (SELECT f.feature, m.mode FROM (SELECT unnest(['bbox_longest', 'log_bbox_volume', 'apparent_size_proxy']) AS feature) f, (SELECT unnest({list(fusion_grid.MODES)}) AS mode) m),
+apart AS (SELECT n.*, kinds.feature, mode, CASE WHEN x.v IS NULL OR y.v IS NULL THEN 0 WHEN mode = 'plain_distance' THEN abs(x.v - y.v) ELSE abs(ln(greatest(x.b, 1e-8::double)) - ln(greatest(y.b, 1e-8::double))) + CASE WHEN mode = 'margin_gate' AND greatest(x.b, y.b) / greatest(least(x.b, y.b), 1e-8::double) > 1.5 THEN 0.05 ELSE 0 END END AS raw FROM near n CROSS JOIN kinds LEFT JOIN base_ x ON x.row_idx = query_idx AND x.feature = kinds.feature LEFT JOIN base_ y ON y.row_idx = c_idx AND y.feature = kinds.feature),
+scaled AS (SELECT *, quantile_cont(raw, 0.75) OVER w - quantile_cont(raw, 0.25) OVER w AS iqr, quantile_cont(raw, 0.5) OVER w AS med FROM apart WINDOW w AS (PARTITION BY query_idx, feature, mode)),
+total AS (SELECT query_idx, c_idx, rank_shape, feature, mode, lam, round(distance + lam * raw / CASE WHEN iqr > 1e-8 THEN iqr WHEN med > 1e-8 THEN med ELSE 1 END, 6) AS dist FROM scaled, (SELECT unnest([0.02::double, 0.1::double]) AS lam)),
+listed AS (SELECT feature, mode, lam, query_idx, c_idx FROM total QUALIFY row_number() OVER (PARTITION BY query_idx, feature, mode, lam ORDER BY dist, rank_shape) <= 10 UNION ALL SELECT 'baseline', 'baseline', 0, query_idx, c_idx FROM near WHERE rank_shape <= 10),
+rates AS (SELECT feature, mode, lam, a.id, a.label, avg(CASE WHEN a.label = b.label THEN 1 ELSE 0 END) AS rate FROM listed JOIN items a ON a.row_idx = query_idx JOIN items b ON b.row_idx = c_idx GROUP BY ALL),
+cat AS (SELECT feature, mode, lam, label, count(*) AS n, avg(rate) AS m FROM rates GROUP BY ALL), delta AS (SELECT c.*, b.m AS bm FROM cat c JOIN cat b ON b.feature = 'baseline' AND b.label = c.label WHERE c.feature <> 'baseline')"""
+
+
+def _grid_rates(spark, d):
+    s = sizes(spark, d).withColumn("log_bbox_longest", F.col("log_size"))
+    pairs = _knn(spark, d, k=50).select("query_idx", F.col("neighbor_idx").alias("candidate_idx"), "distance")
+    names = items(spark, d).select("row_idx", "id")
+    ranked = fusion_grid.grid_ranked(pairs, s, GRID).join(names.toDF("query_idx", "query_id"), "query_idx").join(names.toDF("candidate_idx", "neighbor_id"), "candidate_idx")
+    return Steps(spark).keep(fusion_grid.grid_rates(ranked, labels(spark, d)))
+
+
+@query("fusion_grid_best", f"WITH {GRIDDED}, o AS (SELECT feature, mode, lam, count(*) AS n_queries, avg(rate) AS m, coalesce(stddev_samp(rate), 0) AS sd FROM rates GROUP BY ALL), worse AS (SELECT feature, mode, lam, count(*) FILTER (m - bm < -1e-9) AS n FROM delta GROUP BY ALL) SELECT o.feature AS size_feature, o.mode AS size_penalty_mode, o.lam AS lambda_size, n_queries, round(m, 6) AS mean_match_rate, round(sd, 6) AS std_match_rate, worse.n AS n_category_worse, round(m - (SELECT m FROM o WHERE feature = 'baseline'), 6) + 0.0 AS delta_mean_match_rate, row_number() OVER (ORDER BY round(m, 9) DESC, worse.n, o.feature, o.mode, o.lam) AS place FROM o JOIN worse USING (feature, mode, lam)")
+def fusion_grid_best(spark, d):
+    return rounded(fusion_grid.grid_best(_grid_rates(spark, d)))
+
+
+@query("fusion_grid_by_label", f"WITH {GRIDDED} SELECT feature AS size_feature, mode AS size_penalty_mode, lam AS lambda_size, label AS query_label, n AS n_queries, round(m, 6) AS mean_match_rate, round(bm, 6) AS baseline_mean_match_rate, round(m - bm, 6) + 0.0 AS delta_mean_match_rate FROM delta")
+def fusion_grid_by_label(spark, d):
+    return rounded(fusion_grid.grid_by_label(_grid_rates(spark, d)))
+
+
+#: Leaves by the path from the root, the links' middles by halves: a leaf k merges below a link counts 1 / 2 ** k.
+DRAWN = f"""{MERGED}, linkage AS ({LINKAGE}), total AS (SELECT count(*) + 1 AS n FROM linkage),
+walk AS (SELECT 2 * n - 2 AS node, 0::bigint AS start FROM total UNION ALL SELECT CASE WHEN side = 0 THEN l."left" ELSE l."right" END, start + side * coalesce(k.size, 1) FROM walk JOIN total ON node >= n JOIN linkage l ON l.r = node - n LEFT JOIN linkage k ON k.r = l."left" - n CROSS JOIN (SELECT unnest([0, 1]) AS side)),
+below AS (SELECT n + r AS top, n + r AS node, 0 AS deep FROM linkage, total UNION ALL SELECT top, CASE WHEN side = 0 THEN l."left" ELSE l."right" END, deep + 1 FROM below JOIN total ON node >= n JOIN linkage l ON l.r = node - n CROSS JOIN (SELECT unnest([0, 1]) AS side)),
+middle AS (SELECT node AS top, 5.0::double + 10 * start AS x FROM walk, total WHERE node < n UNION ALL SELECT b.top, sum((5 + 10 * start) * pow(2.0::double, -deep)) FROM below b JOIN walk w USING (node), total WHERE b.node < n GROUP BY b.top)"""
+
+
+@query("dendrogram_leaves", f"{DRAWN}, labelled AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, vec_id, embedding::double[] AS e FROM embeddings) SELECT label::varchar || '/' || v.vec_id::varchar AS id, start AS place, 5.0::double + 10 * start AS x, coalesce(c, -2) AS cluster_id, CASE WHEN c IS NULL THEN '{hdbscan.dendrogram.UNKNOWN}' WHEN c = -1 THEN '{hdbscan.dendrogram.NOISE}' ELSE {list(hdbscan.dendrogram.PALETTE)}[c % 10 + 1] END AS color FROM (SELECT *, CASE WHEN vec_id % 7 = 0 THEN NULL WHEN list_max(e[1:6]) < 0.15 THEN -1 ELSE list_position(e[1:6], list_max(e[1:6])) - 1 END::bigint AS c FROM labelled) v JOIN embeddings b ON b.vec_id = v.vec_id JOIN walk ON node = pos")
+def dendrogram_leaves(spark, d):
+    leaves = hdbscan.tree_drawing(items(spark, d), FIVE, clusters(spark, d).filter("row_idx % 7 <> 0"))[0]
+    return rounded(leaves.fillna(-2, ["cluster_id"]))
+
+
+@query("dendrogram_links", f"""{DRAWN} SELECT l.r, round(a.x, 6) AS x1, round(b.x, 6) AS x2, coalesce(k.distance, 0) AS y1, coalesce(m.distance, 0) AS y2, l.distance AS height FROM linkage l JOIN middle a ON a.top = l."left" JOIN middle b ON b.top = l."right", total t LEFT JOIN linkage k ON k.r = l."left" - t.n LEFT JOIN linkage m ON m.r = l."right" - t.n""")
+def dendrogram_links(spark, d):
+    return rounded(hdbscan.tree_drawing(items(spark, d), FIVE)[1])
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """Size records of a run, from part: shapes from prices and sizes, times from quantities in stock."""
+    p, k = _read(spark, d, "part"), F.col("p_partkey")
+    price, size = F.col("p_retailprice").cast("double"), F.col("p_size").cast("double")
+    made = {c: F.when(k % (i + 11) != 0, (k % (i + 3) + 1) * price / 100) for i, c in enumerate(metadata.FEATURE_COLUMNS[1:])}
+    shape = {"flatness_ratio": size / 400, "thinness_ratio": price / 40000, "n_points_used_for_hull": k % 50, "mesh_load_sec": size / 10, "aabb_sec": size / 20, "hull_sec": F.when(k % 4 != 0, size), "mesh_volume_sec": size / 5, "total_sec": size + k % 13}
+    flags = {c: (k % n == 0).cast("int") for c, n in (("has_color", 3), ("is_planar_degenerate", 5), ("is_linear_degenerate", 7), ("is_planar_like", 4), ("is_linear_like", 6), ("hull_failed", 17), ("volume_failed", 19))}
+    colors = {c: F.when(k % 3 == 0, (k % (i + 5)) / 10.0) for i, c in enumerate(metadata.COLOR_COLUMNS)}
+    group = F.when(k % 9 == 0, "-1").otherwise(F.concat(F.lit("vol_q"), (k % 5).cast("string")))
+    return p.select(F.col("p_partkey").cast("string").alias("specimen_id"), size.alias("bbox_longest"), group.alias("pregroup_id"), *(v.alias(c) for c, v in (made | shape | flags | colors).items()))
+
+
+RECORDS = "records AS (SELECT p_partkey::varchar AS specimen_id, p_partkey AS k, p_size::double AS bbox_longest, " + ", ".join(f"CASE WHEN p_partkey % {i + 11} <> 0 THEN (p_partkey % {i + 3} + 1) * p_retailprice::double / 100 END AS {c}" for i, c in enumerate(metadata.FEATURE_COLUMNS[1:])) + ", " + ", ".join(f"CASE WHEN p_partkey % 3 = 0 THEN (p_partkey % {i + 5}) / 10.0::double ELSE 0 END AS {c}" for i, c in enumerate(metadata.COLOR_COLUMNS)) + ", p_size / 400.0::double AS flat, p_retailprice::double / 40000 AS thin, (p_size + p_partkey % 13)::double AS sec FROM part)"
+NAMED = metadata.FEATURE_COLUMNS + metadata.COLOR_COLUMNS
+
+
+@query("feature_matrix", f"WITH {RECORDS}, med AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS {c}' for c in NAMED)} FROM records), filled AS (SELECT specimen_id, {', '.join((f'ln(1 + greatest(coalesce(r.{c}, m.{c}), 0))' if c in metadata.LOG_COLUMNS else f'coalesce(r.{c}, m.{c})') + f' AS {c}' for c in NAMED)} FROM records r, med m), q AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS m_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS i_{c}' for c in NAMED)} FROM filled) SELECT specimen_id, {', '.join(f'round(({c} - m_{c}) / CASE WHEN i_{c} > 0 THEN i_{c} ELSE 1 END, 6) + 0.0 AS {c}' for c in NAMED)} FROM filled, q")
+def feature_matrix(spark, d):
+    rows, names = metadata.feature_matrix(records(spark, d), color=True)
+    return rounded(rows.select("specimen_id", *(F.col("features")[i].alias(c) for i, c in enumerate(names))))
+
+
+@query("run_summary", f"WITH {RECORDS} SELECT count(*) AS n_success, count(*) FILTER (k % 3 = 0) AS n_color, round(count(*) FILTER (k % 3 = 0) / count(*), 6) AS color_ratio, count(DISTINCT CASE WHEN k % 9 <> 0 THEN k % 5 END) AS n_pregroups_excluding_noise, count(*) FILTER (k % 9 = 0) AS n_noise, round(count(*) FILTER (k % 9 = 0) / count(*), 6) AS noise_ratio, " + ", ".join(f"count(*) FILTER (k % {n} = 0) AS n_{c}" for c, n in (("planar_degenerate", 5), ("linear_degenerate", 7), ("planar_like", 4), ("linear_like", 6), ("hull_failed", 17), ("volume_failed", 19))) + ", " + ", ".join(f"count(*) FILTER ({v} < {t}::double) AS n_{c}_lt_{s}" for c, v in (("flatness", "flat"), ("thinness", "thin")) for t, s in ((0.02, "0_02"), (0.05, "0_05"), (0.10, "0_10"))) + ", round(avg(k % 50), 6) AS mean_points_used_for_hull, round(avg(bbox_longest / 10), 6) AS mean_mesh_load_sec, round(avg(bbox_longest / 20), 6) AS mean_aabb_sec, round(avg(bbox_longest) FILTER (k % 4 <> 0), 6) AS mean_hull_sec, round(avg(bbox_longest / 5), 6) AS mean_mesh_volume_sec, round(avg(sec), 6) AS mean_total_sec, max(sec) AS max_total_sec, (SELECT specimen_id FROM records ORDER BY sec DESC, specimen_id LIMIT 1) AS slowest_specimen_id, count(*) FILTER (sec >= 55) AS n_slow_specimens, 55.0::double AS slow_threshold_sec, 0 AS n_skipped, count(*) AS n_input_files FROM records")
+def run_summary(spark, d):
+    return rounded(metadata.run_summary(records(spark, d), slow=55.0))

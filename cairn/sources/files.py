@@ -2,6 +2,8 @@
 
 import csv
 import io
+import json
+import math
 import operator
 import re
 import struct
@@ -282,3 +284,21 @@ def read_rates(spark: SparkSession, path: str, needed: tuple[str, ...]) -> DataF
     if lacks := sorted(set(needed) - set(df.columns)):
         raise ValueError(f"{path} lacks {lacks}")
     return df
+
+
+def write_object(spark: SparkSession, values: dict, path: str) -> None:
+    """One JSON object as one file, over one that is there: of a report's few values, never of a table's rows. NaN is null."""
+
+    def plain(x):
+        if isinstance(x, dict):
+            return {str(k): plain(v) for k, v in x.items()}
+        if isinstance(x, (list, tuple)):
+            return [plain(v) for v in x]
+        return None if isinstance(x, float) and not math.isfinite(x) else x
+
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(json.dumps(plain(values), ensure_ascii=False, indent=2).encode()))
+    finally:
+        out.close()
