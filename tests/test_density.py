@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import cluster_metrics, density, hdbscan
-from cairn.operators.steps import Steps, components, follow, numbered
+from cairn.operators.steps import Steps, components, follow, numbered, together
 
 SCHEMA = "tree string, row_idx long, id string, embedding array<double>"
 
@@ -66,6 +66,27 @@ def test_trees(spark, trees, block, most, span):
             assert sorted((round(v, 6), s) for c, v, s in zip(t.child, t.lambda_val, t.child_size, strict=True) if c >= len(x)) == sorted((round(v, 6), s) for _, c, v, s in brute if c >= len(x))
 
 
+def test_many_small_trees(spark):
+    """Frames hold many whole groups, and small trees are dealt over the tasks: their bytes would all fit one."""
+    rows = spark.range(3000).selectExpr("concat('t', id % 500) AS tree", "id % 2 AS part", "id AS v").repartition(7)
+    seen = together(rows, ["tree", "part"], lambda g: g.groupby("group").agg(kinds=("tree", "nunique"), n=("v", "size")).assign(frame=len(g)), "kinds long, n long, frame long", least=40).collect()
+    assert len(seen) == 500 and {(r.kinds, r.n) for r in seen} == {(1, 6)} and max(r.frame for r in seen) > 40
+    rng = np.random.default_rng(5)
+    parts = {f"t{i}": cloud(i, 10 + i % 5) for i in range(60)}
+    edges = {t: brute_trees.spanning_tree(x, brute_trees.core_distances(x, 2, "euclidean"), "euclidean") for t, x in parts.items()}
+    # With a heavier pair of ends in each tree, which goes.
+    rows = [(t, int(a), int(b), float(w)) for t, e in edges.items() for a, b, w in e] + [(t, *sorted(rng.choice(len(x), 2, False).tolist()), 99.0) for t, x in parts.items()]
+    with Steps(spark) as steps:
+        tree = steps.cut(density.contracted(spark.createDataFrame(rows, "tree string, a long, b long, w double"), steps))
+        merges = density.single_linkage(tree, steps)
+        assert merges.rdd.getNumPartitions() > 1
+        merges = merges.toPandas()
+        kept = tree.toPandas()
+    for t, x in parts.items():
+        assert set(kept[kept.tree == t][["a", "b", "w"]].itertuples(index=False, name=None)) == set(map(tuple, edges[t].tolist()))
+        assert np.allclose(merges[merges.tree == t].sort_values("r")[["left", "right", "distance", "size"]], brute_trees.single_linkage(edges[t], len(x)))
+
+
 CONFIGS = [("eom", False, 0.0), ("leaf", False, 0.0), ("eom", True, 0.0), ("eom", False, 0.6), ("leaf", True, 2.5), ("eom", True, 0.9)]
 
 
