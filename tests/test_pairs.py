@@ -115,3 +115,31 @@ def test_queries_of_their_own(spark):
     for queries, of in ((None, range(90)), (items.filter("row_idx < 40"), range(20))):
         got = {(r.query_idx // 2, r.rank): (r.neighbor_idx // 2, r.distance) for r in knn.knn(items, 3, "euclidean", queries, block=20).collect()}
         assert got == {(i, k + 1): (j, v) for i in of for k, (v, j) in enumerate(sorted((d[i, j], j) for j in range(90) if j != i)[:3])}
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_precision_of_tiles(metric):
+    """Tiles are single where that tells distances apart, double where rows are far out or nearly equal; the neighbours are the same."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 6))
+    close = np.array([1, 2, 3, 4, 5, 6.0]) + np.round(rng.normal(size=x.shape) * 1e-3, 4)
+    far = x + 1e5 if metric == "euclidean" else close
+    for v, single in ((x, True), (far, False)):
+        a, b = rows(np.arange(350), v[:350]), rows(np.arange(350, 700), v[350:])
+        assert (pairs.Product(a.x, b.x, metric).left.dtype == np.float32) is single
+        got = pairs.nearest(a, b, 3, metric)[0]
+        d = pairs.Product(v[:350], v[350:], metric).exact(*np.divmod(np.arange(350 * 350), 350)).reshape(350, 350)
+        order = np.argsort(d, axis=1, kind="stable")[:, :3]
+        assert (got.ids == order + 350).all() and (got.d == np.take_along_axis(d, order, 1)).all()
+    copies = np.repeat(x[:100], 7, 0)[:600]
+    same = pairs.Product(copies, copies, metric)
+    assert same.left.dtype == np.float64  # copies: the distances of a sample are 0
+
+
+def test_few_candidates_of_a_mask():
+    rng = np.random.default_rng(6)
+    for shape in ((16, 24), (5, 7), (1, 8), (3, 16)):
+        mask = rng.random(shape) < 0.05
+        mask.flat[-1] = True
+        for m in (mask, np.asfortranarray(mask)):
+            assert [p.tolist() for p in pairs.places(m)] == [p.tolist() for p in np.nonzero(m)]
