@@ -2,11 +2,11 @@
 
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.retrieval_metrics import matched
-from cairn.operators.routing import normalized, size_distance, top
+from cairn.operators.routing import size_distance, top
 
 # The features that a size may be, those that are decimal logarithms, and names that stand for others.
 FEATURES = ("log_size_scalar", "aspect_xy", "elongation_12", "flatness_ratio", "bbox_longest", "log_bbox_longest", "bbox_volume", "log_bbox_volume", "apparent_size_proxy", "apparent_size_volume_proxy")
@@ -27,45 +27,83 @@ def grid(features: list[str], modes: list[str], weights: list[float]) -> list[tu
     return list(dict.fromkeys((f, m, float(w)) for f, m, w in product(features, modes, weights)))
 
 
-def grid_ranked(pairs: DataFrame, sizes: DataFrame, settings: list[tuple[str, str, float]], k: int = 10, rerank: int = 50, norm: str = "robust", threshold: float = 1.5, penalty: float = 0.05) -> DataFrame:
+def _percentile(x: Column, p: float) -> Column:
+    """Of a sorted array, exact, between its neighbours; null if it is empty."""
+    at = (F.size(x) - 1) * p
+    low, high = F.get(x, F.floor(at).cast("int")), F.get(x, F.ceil(at).cast("int"))
+    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+
+def _scale(x: Column, how: str, least: float = 1e-8) -> Column:
+    """base, span: what `routing.normalized` takes from a list and divides it by; x holds the list's finite numbers, sorted."""
+    base, span = F.lit(0.0), F.lit(1.0)
+    if how == "zscore":
+        mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+        deviation = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.size(x))
+        span = F.when(deviation > least, deviation).otherwise(1.0)
+    elif how == "minmax":
+        base, width = F.array_min(x), F.array_max(x) - F.array_min(x)
+        span = F.when(width > least, width).otherwise(float("inf"))
+    elif how != "none":
+        iqr, median = _percentile(x, 0.75) - _percentile(x, 0.25), _percentile(x, 0.5)
+        span = F.when(iqr > least, iqr).when(median > least, median).otherwise(1.0)
+    return F.struct(base.alias("base"), span.alias("span"))
+
+
+def grid_ranked(pairs: DataFrame, sizes: DataFrame, settings: list[tuple[str, str, float]], k: int = 10, rerank: int = 50, norm: str = "robust", threshold: float = 1.5, penalty: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
     """size_feature, size_penalty_mode, lambda_size, query_idx, candidate_idx, distance_final, rank_final: the k best of each
     query's rerank nearest under each setting, by distance + weight * size; and the k nearest under (baseline, baseline, 0).
 
-    pairs: query_idx, candidate_idx, distance. sizes: row_idx and the features, one row an item; a size that is missing or not
-    finite adds nothing. Pairs are shuffled by query once: sizes, their scales and the ranks of all settings follow in place.
+    pairs: query_idx, candidate_idx, distance, and carry, which the result has too. sizes: row_idx and the features, one row an
+    item; a size that is missing or not finite adds nothing. A query's rerank pairs are one array, so sizes, their scales and
+    the ranks of all settings need no rows, shuffles or sorts of their own.
     """
     columns = sorted({ALIASES.get(f, f) for f, _, _ in settings})
     finite = [F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf")), F.col(c).cast("double")).alias(c) for c in columns]
     s = sizes.select("row_idx", F.struct(*finite).alias("_s"))
-    first = top(pairs.select("query_idx", "candidate_idx", "distance"), rerank, rank="rank_shape")
-    both = first.join(s.toDF("candidate_idx", "_c"), "candidate_idx", "left").join(s.toDF("query_idx", "_q"), "query_idx", "left")
+    first = top(pairs.select("query_idx", "candidate_idx", "distance", *carry), rerank, rank="rank_shape")
+    listed = first.join(s.toDF("candidate_idx", "_c"), "candidate_idx", "left").groupBy("query_idx").agg(F.sort_array(F.collect_list(F.struct("rank_shape", "candidate_idx", "distance", "_c", *carry))).alias("_p"))
+    both = listed.join(s.toDF("query_idx", "_q"), "query_idx", "left")
 
     def raw(feature: str, mode: str):
-        q, c = (F.col(f"{side}.{ALIASES.get(feature, feature)}") for side in ("_q", "_c"))
+        name = ALIASES.get(feature, feature)
         logs = feature in LOGARITHMS
-        if mode == "plain_distance":
-            return size_distance(q, c, "plain")
-        return size_distance(*((q, c) if logs else (F.abs(q), F.abs(c))), mode, threshold, penalty, logs)
+
+        def of(e):
+            q, c = F.col("_q")[name], e["_c"][name]
+            if mode == "plain_distance":
+                return size_distance(q, c, "plain")
+            return size_distance(*((q, c) if logs else (F.abs(q), F.abs(c))), mode, threshold, penalty, logs)
+
+        return F.transform("_p", of)
 
     kinds = list(dict.fromkeys((f, m) for f, m, _ in settings))
     weights = {kind: [w for f, m, w in settings if (f, m) == kind] for kind in kinds}
     each = [F.struct(F.lit(f).alias("size_feature"), F.lit(m).alias("size_penalty_mode"), F.array(*map(F.lit, weights[f, m])).alias("_w"), raw(f, m).alias("_raw")) for f, m in kinds]
     # The baseline is one more kind, whose size is 0: all lists come of one pass over the pairs.
-    each.append(F.struct(F.lit("baseline").alias("size_feature"), F.lit("baseline").alias("size_penalty_mode"), F.array(F.lit(0.0)).alias("_w"), F.lit(0.0).alias("_raw")))
-    out = both.select("query_idx", "candidate_idx", "distance", "rank_shape", F.explode(F.array(*each)).alias("e")).select("query_idx", "candidate_idx", "distance", "rank_shape", "e.*")
-    out = out.withColumn("_n", normalized("_raw", norm, ["query_idx", "size_feature", "size_penalty_mode"]))
-    out = out.withColumn("lambda_size", F.explode("_w")).withColumn("distance_final", F.round(F.col("distance") + F.col("lambda_size") * F.col("_n"), 6))
-    w = Window.partitionBy("query_idx", *SETTING).orderBy("distance_final", "rank_shape")
-    out = out.withColumn("rank_final", F.row_number().over(w).cast("long")).filter(F.col("rank_final") <= k)
-    return out.select(*SETTING, "query_idx", "candidate_idx", "distance_final", "rank_final")
+    each.append(F.struct(F.lit("baseline").alias("size_feature"), F.lit("baseline").alias("size_penalty_mode"), F.array(F.lit(0.0)).alias("_w"), F.transform("_p", lambda e: F.lit(0.0)).alias("_raw")))
+    out = both.select("query_idx", "_p", F.explode(F.array(*each)).alias("e")).select("query_idx", "_p", "e.*")
+    known = lambda v: ~F.isnan(v) & (F.abs(v) != float("inf"))
+    out = out.withColumn("_x", F.array_sort(F.filter("_raw", known))).withColumn("_scale", _scale(F.col("_x"), norm)).withColumn("lambda_size", F.explode("_w"))
+
+    def final(e, i):
+        v = F.get("_raw", i)
+        size = (F.when(known(v), v) - F.col("_scale.base")) / F.col("_scale.span")
+        size = F.coalesce(F.when(known(size), size), F.lit(0.0))
+        return F.struct(F.round(e["distance"] + F.col("lambda_size") * size, 6).alias("distance_final"), e["rank_shape"].alias("rank_shape"), e["candidate_idx"].alias("candidate_idx"), *(e[c].alias(c) for c in carry))
+
+    best = F.slice(F.sort_array(F.transform("_p", final)), 1, k)
+    out = out.select(*SETTING, "query_idx", F.posexplode(best).alias("_at", "e"))
+    return out.select(*SETTING, "query_idx", "e.candidate_idx", "e.distance_final", (F.col("_at") + 1).cast("long").alias("rank_final"), *(f"e.{c}" for c in carry))
 
 
 def grid_rates(ranked: DataFrame, labels: DataFrame) -> DataFrame:
     """The setting, query_id, query_label and rate of each query: the share of its neighbours that have its label (two nulls are equal).
 
-    ranked: the setting, query_id, neighbor_id. labels: id, label.
+    ranked: the setting, query_id, neighbor_id; or, carried from pairs that were matched before they were ranked, query_id,
+    query_label, match, so that only pairs are joined and not each setting's lists. labels: id, label.
     """
-    return matched(ranked, labels, "equal").groupBy(*SETTING, "query_id", "query_label").agg(F.avg("match").alias("rate"))
+    return (ranked if "match" in ranked.columns else matched(ranked, labels, "equal")).groupBy(*SETTING, "query_id", "query_label").agg(F.avg("match").alias("rate"))
 
 
 def grid_overall(rates: DataFrame) -> DataFrame:

@@ -215,3 +215,26 @@ def test_path_sums_of_a_long_chain(spark):
     with Steps(spark) as steps:
         got = {r.id: r.total for r in dendrogram.path_sums(chain, 1001, steps, span=16).collect()}
     assert got == {i: sum(k % 7 for k in range(i, 1000)) for i in range(1, 1000)}
+
+
+def test_grid_scales_within_arrays(spark):
+    """Each norm scales a query's list as its window does, only one window ranks pairs, and carried columns arrive."""
+    from pyspark.sql import functions as F
+
+    from cairn.operators.routing import normalized
+
+    rng = np.random.default_rng(8)
+    near = [(q, int(c), round(float(v), 3)) for q in range(6) for c, v in zip(rng.permutation(12)[:7], rng.random(7), strict=True)]
+    near += [(9, 1, 0.5), (10, 99, 0.1)]  # one candidate; one without a size
+    pairs = spark.createDataFrame(near, "query_idx long, candidate_idx long, distance double").withColumn("match", F.col("candidate_idx") % 2)
+    size = spark.createDataFrame([(i, float(v)) for i, v in enumerate(rng.normal(size=12).round(2))] + [(11 + 3, None)], "row_idx long, bbox_longest double")
+    for norm in ("robust", "zscore", "minmax", "none"):
+        got = fusion_grid.grid_ranked(pairs, size, [("bbox_longest", "plain_distance", 0.3)], 5, 7, norm, carry=("match",))
+        assert got._jdf.queryExecution().executedPlan().toString().count("- Window [") == 1
+        got = {(r.query_idx, r.candidate_idx): (r.distance_final, r.match) for r in got.filter("size_feature <> 'baseline'").collect()}
+        both = pairs.join(size.toDF("query_idx", "q"), "query_idx", "left").join(size.toDF("candidate_idx", "c"), "candidate_idx", "left").withColumn("x", F.coalesce(F.abs(F.col("q") - F.col("c")), F.lit(0.0)))
+        want = {(r.query_idx, r.candidate_idx): r for r in both.withColumn("v", F.round(F.col("distance") + 0.3 * normalized("x", norm), 6)).collect()}
+        assert len(got) == 6 * 5 + 2
+        assert all(abs(v - want[p].v) < 2e-6 and m == want[p].match for p, (v, m) in got.items())
+        for q in range(6):
+            assert max(v for (a, _), (v, _) in got.items() if a == q) <= sorted(r.v for (a, _), r in want.items() if a == q)[4] + 2e-6
