@@ -143,3 +143,18 @@ def test_few_candidates_of_a_mask():
         mask.flat[-1] = True
         for m in (mask, np.asfortranarray(mask)):
             assert [p.tolist() for p in pairs.places(m)] == [p.tolist() for p in np.nonzero(m)]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_only_neighbours_leave_a_search(spark, metric):
+    """However many blocks a row is searched in, as many rows leave the search as it has neighbours."""
+    x = np.random.default_rng(5).normal(size=(300, 4)).astype(np.float32)
+    points = spark.createDataFrame([(t, 300, i, [float(c) for c in v]) for t in "ab" for i, v in enumerate(x)], "tree string, n long, pos long, embedding array<float>")
+    d = apart(x.astype(float), metric)
+    want = {(t, i, j, d[i, j]) for t in "ab" for i in range(300) for _, j in sorted((d[i, j], j) for j in range(300) if j != i)[:7]}
+    found = pairs.near_pairs(points, 7, metric, 32).collect()
+    assert len(found) == len(want) == 2 * 300 * 7
+    assert {(r.tree, r.pos, r.near) for r in found} == {w[:3] for w in want}
+    some = pairs.near_across(points.filter("pos % 50 = 0 AND tree = 'b'"), points, 7, metric, 32).collect()
+    assert len(some) == 6 * 7
+    assert {(r.tree, r.pos, r.near) for r in some} == {w[:3] for w in want if w[0] == "b" and w[1] % 50 == 0}
