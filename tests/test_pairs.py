@@ -158,3 +158,29 @@ def test_only_neighbours_leave_a_search(spark, metric):
     some = pairs.near_across(points.filter("pos % 50 = 0 AND tree = 'b'"), points, 7, metric, 32).collect()
     assert len(some) == 6 * 7
     assert {(r.tree, r.pos, r.near) for r in some} == {w[:3] for w in want if w[0] == "b" and w[1] % 50 == 0}
+
+
+@pytest.mark.parametrize("metric, samples", [("euclidean", 5), ("euclidean", 20), ("cosine", 5)])
+def test_copies_meet_without_rounds(spark, monkeypatch, metric, samples):
+    """Rows with more copies than neighbours are joined through their first ones; the lightest tree results, ties too."""
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(12, 3)), 14, axis=0)
+    x[-3:] = rng.normal(size=(3, 3))
+    x = x[rng.permutation(len(x))]
+    points = spark.createDataFrame([("t", len(x), i, [float(c) for c in v]) for i, v in enumerate(x)], "tree string, n long, pos long, embedding array<double>")
+
+    def none(*_):
+        raise AssertionError("a round over all pairs")
+
+    monkeypatch.setattr(pairs, "leaving_edges", none)
+    with Steps(spark) as steps:
+        cored = steps.cut(density.core_distances(points, [samples], metric, 32))
+        got = density._searched(cored, steps, [""], metric, 32, density.EDGES).toPandas()
+    core, w = reach(x, samples) if metric == "euclidean" else (None, None)
+    if metric == "cosine":
+        d = apart(x, metric)
+        core = np.sort(np.where(np.eye(len(x), dtype=bool), np.inf, d), axis=1)[:, samples - 1]
+        w = np.maximum(d, np.maximum(core[:, None], core[None]))
+    a, b, best = density._lightest(w)
+    assert sorted(zip(got.a, got.b, strict=True)) == sorted(zip(a, b, strict=True))
+    assert sorted(got.w) == pytest.approx(sorted(best), abs=1e-9)
