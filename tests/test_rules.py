@@ -54,6 +54,38 @@ def test_strict_routing_falls_back_to_all(spark):
     assert {r.query_idx: r["count"] for r in got} == {0: 2, 1: 1, 2: 1}
 
 
+@pytest.mark.parametrize("mode", ["strict", "soft", "off"])
+def test_candidates_by_small_blocks_equal_all_pairs(spark, mode):
+    groups = ["vol_q1"] * 9 + ["vol_q2", None, "vol_q5", None] + ["vol_q3"] * 4
+    items = spark.createDataFrame(list(enumerate(groups)), "row_idx long, pregroup_id string")
+    for known in (True, False):
+        want = []
+        for q, g in enumerate(groups):
+            near = [f"vol_q{int(g[-1]) + k}" for k in (-1, 1)] if g else []
+            far = lambda x: near.index(x) + 1 if x in near else 4 if x or not known else 5
+            rows = sorted((0 if mode == "off" or g is None or x == g else far(x), c) for c, x in enumerate(groups) if c != q)
+            own = [r for r in rows if r[0] == 0]
+            kept = {"off": rows, "strict": own or rows, "soft": own if len(own) >= 6 else rows[:6]}[mode]
+            want += [(q, c, tier) for tier, c in kept]
+        got = routing.candidates(items, mode, pool_k=3, known_first=known, block=2)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("named", [4500, 0])
+def test_one_group_is_dealt_over_tasks(spark, named):
+    n = 4500
+    items = spark.range(n).select(F.col("id").alias("row_idx"), F.when(F.col("id") < named, "vol_q1").alias("pregroup_id"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as for tables over it
+    try:
+        by_task = [r["count"] for r in routing.candidates(items, mode="strict").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set(key, was)
+    assert sum(by_task) == n * (n - 1)
+    assert max(by_task) < sum(by_task) / 2
+
+
 def test_agreement_with_and_without_noise(spark):
     c = spark.createDataFrame([("1", 0), ("2", 0), ("3", 1), ("4", -1)], "id string, cluster_id int")
     y = spark.createDataFrame([("1", "a"), ("2", "a"), ("3", "b"), ("4", "b")], "id string, label string")
