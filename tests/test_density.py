@@ -240,6 +240,24 @@ def test_density_validity(spark, clustered, block):
     assert cluster_metrics.density_validity(rows_of(spark, x, np.full(len(x), -1))).count() == 0
 
 
+def test_validity_numbers_points(spark, clustered, monkeypatch):
+    """Whatever the rows' ids and the clusters' names are, a tree's points are 0 to n - 1, as its merges are numbered from n on."""
+    x, label = clustered
+    seen = []
+
+    def trees(points, *args):
+        seen.extend(points.select("tree", "n", "pos").collect())
+        assert all(0 <= r.pos < r.n for r in seen)
+        return density.spanning_trees(points, *args)
+
+    monkeypatch.setattr(cluster_metrics, "spanning_trees", trees)
+    c = rows_of(spark, x, np.where(label == 1, -5, label)).withColumn("row_idx", F.col("row_idx") * 11 + 20)
+    got = {r.cluster_id: (r.n, r.sparseness, r.separation) for r in cluster_metrics.density_validity(c, block=11).collect()}
+    assert len({(r.tree, r.pos) for r in seen}) == len(seen) == sum(n for n, _, _ in got.values())
+    want = {-5 if k == 1 else k: v for k, v in brute_validity(x, label).items()}
+    assert {k: v[1:] for k, v in got.items()} == {k: pytest.approx(v[:2], abs=2e-6) for k, v in want.items()}
+
+
 def test_validity_is_high_for_clumps_apart(spark):
     x = np.concatenate([np.random.default_rng(0).normal(c, 0.05, (30, 3)) for c in (0, 5)])
     for label, low, high in ((np.repeat([0, 1], 30), 0.8, 1.0), (np.tile([0, 1], 30), -1.0, 0.0)):

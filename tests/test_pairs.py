@@ -184,3 +184,26 @@ def test_copies_meet_without_rounds(spark, monkeypatch, metric, samples):
     a, b, best = density._lightest(w)
     assert sorted(zip(got.a, got.b, strict=True)) == sorted(zip(a, b, strict=True))
     assert sorted(got.w) == pytest.approx(sorted(best), abs=1e-9)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+@pytest.mark.parametrize("away, odd", [(0, False), (1e6, False), (0, True)])
+def test_measured(monkeypatch, metric, away, odd):
+    """Distances by a product are those by differences, far from the origin, between copies and of rows that are no numbers too."""
+    monkeypatch.setattr(pairs, "TILE", 16)
+    x = np.random.default_rng(2).normal(size=(90, 5)) + away
+    x[7], x[50] = x[3], x[3] + 1e-7
+    if odd:
+        x[3], x[5, 2] = np.nan, np.inf
+    with np.errstate(all="ignore"):
+        want = density.distances(x, x, metric, None)
+    got, cross = np.full((90, 90), -1.0), np.full((60, 30), -1.0)
+    for i, j, d in pairs.measured(rows(range(90), x), None, metric):
+        got[i, j] = d
+    for i, j, d in pairs.measured(rows(range(60), x[:60]), rows(range(30), x[60:]), metric):
+        cross[i, j] = d
+    assert got == pytest.approx(want, rel=1e-7, abs=1e-12) and cross == pytest.approx(want[:60, 60:], rel=1e-7, abs=1e-12)
+    for k in (1, 3, 64):
+        with np.errstate(all="ignore"):
+            power = np.where(want > 0, want ** -float(k), 0.0)
+            assert pairs.inverse_powers(want, k) == pytest.approx(power, rel=1e-12)
