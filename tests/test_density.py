@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import cluster_metrics, density, hdbscan
+from cairn.operators import cluster_metrics, density, hdbscan, pairs
 from cairn.operators.steps import Steps, components, follow, numbered, together
 
 SCHEMA = "tree string, row_idx long, id string, embedding array<double>"
@@ -201,6 +201,44 @@ def test_block_measures(spark, clustered, block):
     assert cluster_metrics.silhouette(c, block=block).first().silhouette == pytest.approx(np.mean(s))
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_sums_to_clusters(monkeypatch, metric):
+    """However tiles cut clusters, and whether a block holds them whole or in part: what a block pair returns are sums of plain distances."""
+    monkeypatch.setattr(pairs, "TILE", 16)
+    x = cloud(4, 200)
+    label = np.sort(np.random.default_rng(1).choice([-7, 0, 1, 2, 3, 4, 5, 40, 41, 42, 43], 200, p=[0.3, 0.3, *[0.4 / 9] * 9]))
+    members, d = np.array([(label == k).sum() for k in label]), density.distances(x, x, metric, None)
+    side = lambda s: pairs.Rows({"pos": np.arange(200)[s].tobytes(), "vec": x[s].tobytes()})
+    for one, two in ((slice(0, 90), slice(90, 200)), (slice(30, 150), None)):
+        cols = two or one
+        forth, back = (cluster_metrics.Sums(label[p], label[q], members[q]) for p, q in ((one, cols), (cols, one)))
+        for i, j, t in pairs.measured(side(one), None if two is None else side(two), metric):
+            forth.see(i, j, t)
+            back.see(j, i, t.T)
+        for sums, p, q in ((forth, one, cols), (back, cols, one)):
+            got = {(r.row_idx, r.other): (r.s, r.m, r.best) for f in sums.frames(np.arange(200)[p]) for r in f.itertuples()}
+            inside, want = label[q], {}
+            for i in range(200)[p]:
+                near = [d[i, q][inside == k].mean() for k in set(inside) if k != label[i] and (inside == k).sum() == (label == k).sum()]
+                for k in set(inside) | {label[i]}:
+                    m, best = (inside == k).sum(), min(near, default=np.inf) if k == label[i] else np.inf
+                    if k == label[i] and (m or best < np.inf) or k != label[i] and m < (label == k).sum():
+                        want[i, k] = (d[i, q][inside == k].sum(), m, best)
+            assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_measures_move_large_blocks(spark, clustered, monkeypatch):
+    """Silhouettes and distances within large clusters go by pairs of large blocks: rows met n / 1024 others' blocks before."""
+    x, label = clustered
+    monkeypatch.setattr(cluster_metrics, "block_pairs", lambda points, *_: density.block_pairs(points.filter("n <= 9"), 9))
+    c = rows_of(spark, x, label)
+    whole, parts = ({r.cluster_id: r.mean_distance for r in cluster_metrics.intra_distance(c, block=b).collect()} for b in (9, 4))
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    for k in set(label) - {-1, 9}:
+        want = d[np.ix_(label == k, label == k)][np.triu_indices((label == k).sum(), 1)].mean()
+        assert whole[k] == pytest.approx(want) and parts[k] == pytest.approx(want)
+
+
 def brute_validity(x, label):
     d = np.round(np.linalg.norm(x[:, None] - x[None], axis=2), 6)
     out, core, inner, sparse = {}, {}, {}, {}
