@@ -87,6 +87,23 @@ def test_many_small_trees(spark):
         assert np.allclose(merges[merges.tree == t].sort_values("r")[["left", "right", "distance", "size"]], brute_trees.single_linkage(edges[t], len(x)))
 
 
+def test_groups_are_dealt_after_a_join(spark):
+    """With as many partitions as tasks, a join by the same columns must not stand for the dealing: it may become a broadcast, which
+    leaves a group's rows in several tasks."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(was, (str(2 * spark.sparkContext.defaultParallelism), "-1"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 4000, 1, 7).selectExpr("concat('t', id % 20) AS tree", "id AS v")
+        sized = rows.join(rows.groupBy("tree").agg(F.count("*").alias("k")), "tree")
+        seen = together(sized, ["tree"], lambda g: g.groupby("tree", as_index=False).agg(n=("v", "size")), "tree string, n long")
+        assert "REPARTITION_BY_NUM" in seen._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.tree, r.n) for r in seen.collect()) == sorted((f"t{i}", 200) for i in range(20))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 CONFIGS = [("eom", False, 0.0), ("leaf", False, 0.0), ("eom", True, 0.0), ("eom", False, 0.6), ("leaf", True, 2.5), ("eom", True, 0.9)]
 
 
